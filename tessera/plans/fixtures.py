@@ -133,3 +133,31 @@ def labels_sql() -> str:
 def labels_df(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(s, m, l, i) for i, (s, m, l) in enumerate(METHOD_LABELS)],
                                  "space string, method string, label string, label_order int")
+
+
+# pools (row_id, features array<float>, label int).
+def embeddings_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read_table(spark, sf_dir, "embeddings")
+    return e.select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("features"), F.col("label").cast("int"))
+
+
+LINEITEM_ROW_ID = ("cast(conv(substr(md5(concat_ws('|', cast(l_orderkey as string), cast(l_linenumber as string), "
+                   "cast(l_partkey as string), cast(l_suppkey as string), "
+                   "cast(cast(round(l_extendedprice * 100) as bigint) as string))), 1, 15), 16, 10) as bigint)")
+LINEITEM_ROW_ID_SQL = ("('0x' || substr(md5(concat_ws('|', cast(l_orderkey as varchar), cast(l_linenumber as varchar), "
+                       "cast(l_partkey as varchar), cast(l_suppkey as varchar), "
+                       "cast(cast(round(l_extendedprice * 100) as bigint) as varchar))), 1, 15))::BIGINT")
+
+
+def lineitem_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numeric lineitem pool: quantity, extendedprice, discount, tax; label = returnflag code (A=0, N=1, R=2)."""
+    li = read_table(spark, sf_dir, "lineitem")
+    return li.select(
+        F.expr(LINEITEM_ROW_ID).alias("row_id"),
+        F.array(*[F.col(c).cast("float") for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")]).alias("features"),
+        F.expr("case l_returnflag when 'A' then 0 when 'N' then 1 else 2 end").cast("int").alias("label"))
+
+
+def lineitem_pool_sql() -> str:
+    return (f"select {LINEITEM_ROW_ID_SQL} as row_id, "
+            "case l_returnflag when 'A' then 0 when 'N' then 1 else 2 end as label from lineitem")

@@ -532,3 +532,6 @@ group by bucket""", ["bin_lo"])
 def q_hist(spark, sf):
     s = A.scores(spark, sf).filter(F.col("c") == 8)
     return H.gain_histogram(H._paired(s, TARGET, ORIG))
+
+
+from tessera.plans import queries_select  # noqa: E402,F401  (registers more queries)
