@@ -39,6 +39,8 @@ from tessera.session import cut_lineage
 
 KEY = "row_id"
 VEC = "features"
+CHUNK_VALUES = 4_000_000   # largest distance block (rows x candidates) held by a task at once
+HIST_BUCKETS = 1024        # radius histogram per cluster for the reverse-triangle bound
 
 
 def _prep(pool: DataFrame, key: str, vec: str) -> DataFrame:
@@ -155,28 +157,97 @@ def _exact_sums(members: DataFrame, cand_ids, cand_cluster, cand_vecs, metric: s
             x = V.normalise(x) if metric == "cosine" else x
             cl = pdf["cluster"].to_numpy()
             for c in np.intersect1d(np.unique(cl), ccl):
-                sel = ccl == c
-                part[sel] += V.pairwise(x[cl == c], cv[sel], metric).sum(0)
+                sel = np.where(ccl == c)[0]
+                xm = x[cl == c]
+                step = max(1, CHUNK_VALUES // max(len(sel), 1))
+                for i in range(0, len(xm), step):  # bounded distance block per step
+                    part[sel] += V.pairwise(xm[i:i + step], cv[sel], metric).sum(0)
         yield pd.DataFrame({"cand": ids, "s": part})
     rows = members.mapInPandas(fn, "cand long, s double").groupBy("cand").agg(F.sum("s").alias("s")).collect()
     return {r["cand"]: r["s"] for r in rows}
 
 
 def _lower_bounds(assigned: DataFrame, n: np.ndarray, s: np.ndarray, metric: str) -> DataFrame:
+    """Lower bound of S(x) = sum over members y of |x - y| for every member x (euclidean).
+
+    The maximum of
+      n |x - mu|                                  (triangle inequality on the sum), and
+      sum_y | |x - a| - |y - a| |  for anchors a   (reverse triangle inequality).
+    Anchors per cluster: the mean and the member farthest from it (in near-1-D clusters the
+    second makes the bound almost exact).  Each reverse bound is exact over the other buckets
+    of a per-(cluster, anchor) distance histogram (k x 2 x HIST_BUCKETS counts and sums on the
+    driver) and counts 0 inside x's own bucket.
+    """
     sc = assigned.sparkSession.sparkContext
+    k = len(n)
     means = s / np.maximum(n, 1)[:, None]
-    b = sc.broadcast((n.astype(np.float64), means))
+    bm = sc.broadcast(means)
 
-    def fn(it):
-        nn, mu = b.value
+    def radius(it):
+        mu = bm.value
+        for pdf in it:
+            if len(pdf) == 0:
+                continue
+            x = V.stack(pdf[VEC])
+            cl = pdf["cluster"].to_numpy()
+            yield pd.DataFrame({KEY: pdf[KEY].to_numpy(), VEC: pdf[VEC], "cluster": cl,
+                                "r": np.linalg.norm(x - mu[cl], axis=1)})
+    rad = assigned.mapInPandas(radius, "row_id long, features array<float>, cluster int, r double")
+    far = rad.groupBy("cluster").agg(F.max_by(VEC, F.struct("r", KEY)).alias("f"), F.max("r").alias("rmax")).collect()
+    anchors = np.repeat(means[:, None, :], 2, axis=1)
+    lo, hi = np.zeros((k, 2)), np.zeros((k, 2))
+    for r in far:
+        anchors[r["cluster"], 1] = np.asarray(r["f"], dtype=np.float64)
+        # |x - mu| <= rmax and |x - far| <= |x - mu| + |mu - far| <= 2 rmax: fixed ranges, no extra pass
+        hi[r["cluster"]] = (r["rmax"], 2.0 * r["rmax"])
+    ba = sc.broadcast(anchors)
+
+    def anchor_dist(it):
+        an = ba.value
         for pdf in it:
             if len(pdf) == 0:
                 continue
             x = V.stack(pdf[VEC])
             cl = pdf["cluster"].to_numpy()
-            lb = nn[cl] * np.linalg.norm(x - mu[cl], axis=1)
+            d = np.linalg.norm(x[:, None, :] - an[cl], axis=2)  # n x 2
+            yield pd.DataFrame({KEY: pdf[KEY].to_numpy(), VEC: pdf[VEC], "cluster": cl,
+                                "d0": d[:, 0], "d1": d[:, 1]})
+    ad = assigned.mapInPandas(anchor_dist, "row_id long, features array<float>, cluster int, d0 double, d1 double")
+    width = np.where(hi > lo, (hi - lo) / HIST_BUCKETS, 1.0)
+
+    def bucket_of(col, j):
+        lo_a = F.element_at(F.array(*[F.lit(float(v)) for v in lo[:, j]]), F.col("cluster") + 1)
+        w_a = F.element_at(F.array(*[F.lit(float(v)) for v in width[:, j]]), F.col("cluster") + 1)
+        return F.greatest(F.least(F.floor((F.col(col) - lo_a) / w_a), F.lit(HIST_BUCKETS - 1)), F.lit(0)).cast("int")
+    hist = (ad.select("cluster", F.explode(F.array(
+        F.struct(F.lit(0).alias("j"), bucket_of("d0", 0).alias("b"), F.col("d0").alias("d")),
+        F.struct(F.lit(1).alias("j"), bucket_of("d1", 1).alias("b"), F.col("d1").alias("d")))).alias("h"))
+        .groupBy("cluster", "h.j", "h.b").agg(F.count(F.lit(1)).alias("c"), F.sum("h.d").alias("sd")).collect())
+    cnt = np.zeros((k, 2, HIST_BUCKETS))
+    sd = np.zeros((k, 2, HIST_BUCKETS))
+    for r in hist:
+        cnt[r["cluster"], r["j"], r["b"]] += r["c"]
+        sd[r["cluster"], r["j"], r["b"]] += r["sd"]
+    c_below = np.cumsum(cnt, 2) - cnt
+    s_below = np.cumsum(sd, 2) - sd
+    c_above = cnt.sum(2, keepdims=True) - np.cumsum(cnt, 2)
+    s_above = sd.sum(2, keepdims=True) - np.cumsum(sd, 2)
+    b = sc.broadcast((n.astype(np.float64), lo, width, c_below, s_below, c_above, s_above))
+
+    def fn(it):
+        nn, lo_, w_, cb, sb, ca, sa = b.value
+        for pdf in it:
+            if len(pdf) == 0:
+                continue
+            cl = pdf["cluster"].to_numpy()
+            lb = nn[cl] * pdf["d0"].to_numpy()
+            for j, col in ((0, "d0"), (1, "d1")):
+                r = pdf[col].to_numpy()
+                bk = np.clip(np.floor((r - lo_[cl, j]) / w_[cl, j]), 0, HIST_BUCKETS - 1).astype(int)
+                rev = (r * cb[cl, j, bk] - sb[cl, j, bk]) + (sa[cl, j, bk] - r * ca[cl, j, bk])
+                lb = np.maximum(lb, rev)
             yield pd.DataFrame({KEY: pdf[KEY].to_numpy(), VEC: pdf[VEC], "cluster": cl, "lb": lb})
-    return assigned.mapInPandas(fn, "row_id long, features array<float>, cluster int, lb double")
+    return ad.mapInPandas(fn, "row_id long, features array<float>, cluster int, lb double")
 
 
 def _best_members_euclidean(assigned: DataFrame, k: int, start_ids: list[int], start_cost: np.ndarray,
@@ -308,11 +379,14 @@ def init_kmedoidspp(pool: DataFrame, k: int, seed: int, metric: str = "euclidean
 
 # ---------------------------------------------------------------- I10: iterate
 def kmedoids(pool: DataFrame, k: int, seed: int = 42, metric: str = "euclidean", init: str = "k-medoids++",
-             max_iter: int = 300, key: str = "row_id", vec: str = "features", batch: int = 2048):
+             max_iter: int = 300, key: str = "row_id", vec: str = "features", batch: int = 2048,
+             verbose: bool = False, tol: float = 0.0):
     """K-medoids (alternate updates).  Returns (medoid ids in cluster order, info dict).
 
     n >= N returns the whole pool (I2).  ``info`` reports iterations, candidates
-    scored exactly and the final cost.
+    scored exactly and the final cost.  The loop ends when the medoids are stable (the
+    reference rule, ``tol = 0``) or, with ``tol > 0``, when an iteration lowers the total
+    cost by less than that relative amount.
     """
     p = _prep(pool, key, vec)
     n_rows = p.count()
@@ -325,6 +399,7 @@ def kmedoids(pool: DataFrame, k: int, seed: int = 42, metric: str = "euclidean",
     else:
         medoids = init_kmedoidspp(p, k, seed, metric)
     info = {"iterations": 0, "candidates_scored": 0}
+    prev_cost = None
     for it in range(max_iter):
         a = assign(p, medoids, metric).persist()
         cost = a.groupBy("cluster").agg(F.sum("dist").alias("c")).collect()
@@ -354,8 +429,16 @@ def kmedoids(pool: DataFrame, k: int, seed: int = 42, metric: str = "euclidean",
             info["candidates_scored"] += ev
         a.unpersist()
         info["iterations"] = it + 1
+        if verbose:
+            print(f"iter {it}: cost {cur.sum():.4f} changed {sum(x != y for x, y in zip(new, medoids))} "
+                  f"scored {info['candidates_scored']}", flush=True)
+        info["cost"] = float(cur.sum())
         if new == medoids:
             break
+        if tol > 0 and prev_cost is not None and prev_cost - cur.sum() < tol * prev_cost:
+            medoids = new
+            break
+        prev_cost = cur.sum()
         medoids = new
     return medoids, info
 

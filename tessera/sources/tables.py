@@ -9,10 +9,33 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
+# A scan smaller than this is left alone even if it yields a single task.
+SPREAD_MIN_BYTES = 4 * 1024 * 1024
+
 
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(table_path(sf_dir, name))
+    return spread(spark.read.parquet(table_path(sf_dir, name)))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan at least one task per core.
+
+    Files written as a single row group split into one task, which leaves all but
+    one core idle until the first shuffle.  On a cluster, inputs split into far
+    more tasks than this and the function is a no-op; it only decides from the
+    planned partition count and the optimizer's size estimate (no job).
+    """
+    spark = df.sparkSession
+    want = spark.sparkContext.defaultParallelism
+    try:
+        n = df.rdd.getNumPartitions()
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - estimation is best effort
+        return df
+    if n < want and size >= SPREAD_MIN_BYTES:
+        return df.repartition(want)
+    return df
