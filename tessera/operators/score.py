@@ -207,3 +207,41 @@ def class_discovery(pool: DataFrame, selected: DataFrame, by=()) -> DataFrame:
     """Classes selected / classes in the pool."""
     from tessera.operators.select import class_coverage
     return class_coverage(pool, selected, by=by)
+
+
+def knn_predict_grouped(contexts: DataFrame, test: DataFrame, k: int = 5, metric: str = "euclidean",
+                        group: str = "candidate_id") -> DataFrame:
+    """E1 for many contexts at once (one per candidate): all contexts are broadcast together (their
+    total size is checked), each test batch is scored against every context.
+    Output (group, row_id, y_true, class, prob)."""
+    ctx = contexts.select(group, "row_id", "features", "label").orderBy(group, "row_id").collect()
+    V.check_broadcast(len(ctx), len(ctx[0]["features"]) if ctx else 1)
+    gid = np.asarray([r[group] for r in ctx], dtype=np.int64)
+    cids = np.asarray([r["row_id"] for r in ctx], dtype=np.int64)
+    cx = np.vstack([np.asarray(r["features"], dtype=np.float64) for r in ctx])
+    cy = np.asarray([r["label"] for r in ctx], dtype=np.int64)
+    tc = [r[0] for r in test.select("label").distinct().collect()]
+    classes = np.asarray(sorted(set(cy.tolist()) | set(tc)), dtype=np.int64)
+    b = test.sparkSession.sparkContext.broadcast((gid, cids, V.normalise(cx) if metric == "cosine" else cx, cy, classes))
+
+    def fn(it):
+        g, ids, m, y, cls = b.value
+        groups = np.unique(g)
+        for pdf in it:
+            if len(pdf) == 0:
+                continue
+            x = V.stack(pdf["features"])
+            x = V.normalise(x) if metric == "cosine" else x
+            for gg in groups:
+                sel = g == gg
+                kk = max(1, min(k, int(sel.sum())))
+                d = V.pairwise(x, m[sel], metric)
+                order = np.lexsort((np.broadcast_to(ids[sel], d.shape), d), axis=1)[:, :kk]
+                votes = y[sel][order]
+                probs = (votes[:, :, None] == cls[None, None, :]).sum(1) / float(kk)
+                n = len(pdf)
+                yield pd.DataFrame({group: gg, "row_id": np.repeat(pdf["row_id"].to_numpy(), len(cls)),
+                                    "y_true": np.repeat(pdf["label"].to_numpy(), len(cls)),
+                                    "class": np.tile(cls, n), "prob": probs.ravel()})
+    return test.select("row_id", "features", "label").mapInPandas(
+        fn, f"{group} long, row_id long, y_true int, class long, prob double").withColumn("class", F.col("class").cast("int"))

@@ -388,3 +388,21 @@ def q_full(spark, sf):
     pool = P.fold_assignment(FX.embeddings_pool(spark, sf), 5)
     train, test = P.split_fold(pool, 0)
     return E.all_metrics(E.knn_predict(train, test, 5))
+
+
+# ============================================================ RDSS, ZCore
+@register("rdss_embeddings")
+def q_rdss(spark, sf):
+    from tessera.operators.herding import rdss
+    pool = FX.embeddings_pool(spark, sf)
+    picks = rdss(pool, 20)
+    order = spark.createDataFrame([(int(i), p) for p, i in enumerate(picks)], "row_id long, pick int")
+    return pool.join(F.broadcast(order), "row_id").select("pick", "row_id", "label")
+
+
+@register("zcore_top_embeddings")
+def q_zcore(spark, sf):
+    from tessera.operators.zcore import zcore_scores
+    pool = FX.embeddings_pool(spark, sf)
+    scores = zcore_scores(pool, n_sample=4000, redund_nn=100, batch=2000).persist()
+    return S.top_by_score(scores, [10, 20, 40, 80])
