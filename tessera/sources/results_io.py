@@ -16,18 +16,44 @@ KEY = [c for c in REQUIRED if c != "value"]
 FOLD_IN_NAME = r"_f(\d+)\.csv$"
 
 
+def _files_by_header(spark: SparkSession, path_glob: str) -> dict:
+    """Group the files of a glob by their header line (one short read per file on the driver;
+    the number of result files is the number of folds x experiments, not data-sized)."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    pattern = jvm.org.apache.hadoop.fs.Path(path_glob)
+    fs = pattern.getFileSystem(conf)
+    groups: dict = {}
+    for st in fs.globStatus(pattern) or []:
+        path = st.getPath()
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(path)))
+        try:
+            header = reader.readLine() or ""
+        finally:
+            reader.close()
+        groups.setdefault(header.strip(), []).append(path.toString())
+    return groups
+
+
 def scan_result_files(spark: SparkSession, path_glob: str, folds=None) -> DataFrame:
     """Read every result CSV under a glob (header, all columns as text), tag rows with the source
-    file, take the fold from ``..._f<k>.csv`` when the column is absent, keep configured folds."""
-    df = spark.read.option("header", True).option("inferSchema", False).csv(path_glob)
-    df = df.withColumn("source_file", F.col("_metadata.file_name"))
-    if "fold" not in df.columns:
-        df = df.withColumn("fold", F.nullif(F.regexp_extract("source_file", FOLD_IN_NAME, 1), F.lit("")))
-    df = upgrade_old_layout(df)
-    df = check_and_cast(df)
+    file, take the fold from ``..._f<k>.csv`` when the column is absent, keep configured folds.
+
+    Files with different column layouts (old and new) are read per layout and unioned by name.
+    """
+    out = None
+    for _, paths in sorted(_files_by_header(spark, path_glob).items()):
+        df = spark.read.option("header", True).option("inferSchema", False).csv(paths)
+        df = df.withColumn("source_file", F.col("_metadata.file_name"))
+        if "fold" not in df.columns:
+            df = df.withColumn("fold", F.nullif(F.regexp_extract("source_file", FOLD_IN_NAME, 1), F.lit("")))
+        df = check_and_cast(upgrade_old_layout(df)).select(*REQUIRED, "source_file")
+        out = df if out is None else out.unionByName(df)
+    if out is None:
+        raise FileNotFoundError(path_glob)
     if folds is not None:
-        df = df.filter(F.col("fold").isin(*folds))
-    return df
+        out = out.filter(F.col("fold").isin(*folds))
+    return out
 
 
 def upgrade_old_layout(df: DataFrame) -> DataFrame:
