@@ -32,22 +32,21 @@ def _kernel(x: np.ndarray, m: np.ndarray, gamma: float) -> np.ndarray:
 
 
 def kernel_means(pool: DataFrame, gamma: float, block: int = 4096) -> DataFrame:
-    """(row_id, features, mu): exact mean kernel to the whole pool, one pass per broadcast block."""
+    """(row_id, features, mu): exact mean kernel to the whole pool, one pass per broadcast block.
+
+    Blocks are seeded hash buckets of row_id (about ``block`` rows each), so no id list
+    reaches the driver; each block's vectors are gathered and broadcast in turn.
+    """
+    from tessera.functions.hashing import seeded_order
     sc = pool.sparkSession.sparkContext
     n = pool.count()
-    ids = pool.select("row_id").orderBy("row_id")
-    bounds = [r[0] for r in ids.collect()[::block]] if n > block else []  # n / block split points
+    n_blocks = max(1, -(-n // block))
+    bucket = seeded_order("rdss-block", F.col("row_id")) % n_blocks
     acc = pool.select("row_id", "features").withColumn("ksum", F.lit(0.0))
-    edges = bounds[1:] + [None]
-    lo = None
-    for i, hi in enumerate(edges if bounds else [None]):
-        blk = pool
-        if bounds:
-            lo = bounds[i]
-            blk = blk.filter(F.col("row_id") >= lo)
-            if hi is not None:
-                blk = blk.filter(F.col("row_id") < hi)
-        rows = blk.select("features").collect()  # one bounded block
+    for i in range(n_blocks):
+        rows = pool.filter(bucket == i).select("features").collect()  # one block, about n / n_blocks rows
+        if not rows:
+            continue
         m = np.vstack([np.asarray(r[0], dtype=np.float64) for r in rows])
         V.check_broadcast(*m.shape)
         b = sc.broadcast(m)

@@ -16,13 +16,19 @@ from tessera.functions.joins import small_broadcast
 
 
 # ---------------------------------------------------------------- E1 k-NN
+CONTEXT_BLOCK = 20_000
+
+
 def knn_predict(context: DataFrame, test: DataFrame, k: int = 5, metric: str = "euclidean",
-                classes: list[int] | None = None) -> DataFrame:
-    """K-NN vote shares, k = clamp(k, 1, n_context).  The context (a selection: K rows, bounded
-    by the budget and checked) is broadcast; test rows stream through Arrow batches.
-    Ties in distance go to the lower row_id.  Output (row_id, y_true, class, prob) over the class
-    union of context and test (E6: absent classes get probability 0)."""
-    ctx = context.select("row_id", "features", "label").orderBy("row_id").collect()  # K rows, bounded
+                classes: list[int] | None = None, block: int = CONTEXT_BLOCK) -> DataFrame:
+    """K-NN vote shares, k = clamp(k, 1, n_context).  A context of at most ``block`` rows (a
+    selection: bounded by the budget) is broadcast whole; a larger one (E13, the full train pool)
+    goes through ``knn_predict_blocked``.  Ties in distance go to the lower row_id.  Output
+    (row_id, y_true, class, prob) over the class union of context and test (E6: absent classes 0)."""
+    n_ctx = context.limit(block + 1).count()
+    if n_ctx > block:
+        return knn_predict_blocked(context, test, k, metric, block)
+    ctx = context.select("row_id", "features", "label").orderBy("row_id").collect()  # <= block rows
     V.check_broadcast(len(ctx), len(ctx[0]["features"]) if ctx else 1)
     cids = np.asarray([r["row_id"] for r in ctx], dtype=np.int64)
     cx = np.vstack([np.asarray(r["features"], dtype=np.float64) for r in ctx])
@@ -53,6 +59,58 @@ def knn_predict(context: DataFrame, test: DataFrame, k: int = 5, metric: str = "
         fn, "row_id long, y_true int, class long, prob double").withColumn("class", F.col("class").cast("int"))
 
 
+def knn_predict_blocked(context: DataFrame, test: DataFrame, k: int = 5, metric: str = "euclidean",
+                        block: int = CONTEXT_BLOCK) -> DataFrame:
+    """E1 / E13 for a context of any size: the context is cut into seeded hash buckets of about
+    ``block`` rows; each bucket is broadcast in turn and every test row keeps its k nearest
+    members of it; the partial lists merge with a window group limit (row_number <= k) and
+    become vote shares.  Nothing larger than one bucket reaches the driver."""
+    from tessera.functions.hashing import seeded_order
+    n = context.count()
+    k = max(1, min(k, n))
+    n_blocks = max(1, -(-n // block))
+    bucket = seeded_order("knn-block", F.col("row_id")) % n_blocks
+    sc = test.sparkSession.sparkContext
+    parts = None
+    for i in range(n_blocks):
+        rows = context.filter(bucket == i).select("row_id", "features", "label").collect()  # one bucket
+        if not rows:
+            continue
+        ids = np.asarray([r["row_id"] for r in rows], dtype=np.int64)
+        m = np.vstack([np.asarray(r["features"], dtype=np.float64) for r in rows])
+        V.check_broadcast(*m.shape)
+        ys = np.asarray([r["label"] for r in rows], dtype=np.int64)
+        b = sc.broadcast((ids, V.normalise(m) if metric == "cosine" else m, ys))
+
+        def fn(it, b=b):
+            cid, mm, cy = b.value
+            kk = min(k, len(cid))
+            for pdf in it:
+                if len(pdf) == 0:
+                    continue
+                x = V.stack(pdf["features"])
+                x = V.normalise(x) if metric == "cosine" else x
+                d = V.pairwise(x, mm, metric)
+                order = np.lexsort((np.broadcast_to(cid, d.shape), d), axis=1)[:, :kk]
+                yield pd.DataFrame({"row_id": np.repeat(pdf["row_id"].to_numpy(), kk),
+                                    "y_true": np.repeat(pdf["label"].to_numpy(), kk),
+                                    "ctx_id": cid[order].ravel(),
+                                    "dist": np.take_along_axis(d, order, 1).ravel(),
+                                    "ctx_label": cy[order].ravel()})
+        p = test.select("row_id", "features", "label").mapInPandas(
+            fn, "row_id long, y_true int, ctx_id long, dist double, ctx_label long")
+        parts = p if parts is None else parts.unionByName(p)
+    w = Window.partitionBy("row_id").orderBy("dist", "ctx_id")
+    top = parts.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= F.lit(k))
+    classes = sorted({r[0] for r in context.select("label").distinct().collect()}
+                     | {r[0] for r in test.select("label").distinct().collect()})  # class list, bounded
+    votes = top.groupBy("row_id", "y_true", F.col("ctx_label").cast("int").alias("class")).agg(
+        (F.count(F.lit(1)) / float(k)).alias("prob"))
+    grid = test.select("row_id", F.col("label").alias("y_true")).withColumn(
+        "class", F.explode(F.array(*[F.lit(int(c)) for c in classes])))
+    return grid.join(votes, ["row_id", "y_true", "class"], "left").fillna(0.0, subset=["prob"])
+
+
 # ---------------------------------------------------------------- E2, E3, E4, E5
 def logistic_predict(context: DataFrame, test: DataFrame, max_iter: int = 1000) -> DataFrame:
     """Multinomial logistic regression (pyspark.ml) fitted on the context."""
@@ -86,7 +144,8 @@ def gbt_predict(context: DataFrame, test: DataFrame, max_iter: int = 20) -> Data
 def user_scorer(context: DataFrame, test: DataFrame, fit_predict, classes: list[int]) -> DataFrame:
     """User scorer hook.  ``fit_predict(ctx_pdf, test_pdf) -> probs (n_test x n_classes)``; the
     context (bounded) is broadcast and test rows are scored per Arrow batch."""
-    ctx = context.toPandas()
+    ctx = context.toPandas()  # a selection: bounded by the budget
+    V.check_broadcast(len(ctx), max(len(ctx.columns), 1))
     b = test.sparkSession.sparkContext.broadcast(ctx)
     cls = np.asarray(classes)
 

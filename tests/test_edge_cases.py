@@ -71,3 +71,14 @@ def test_auc_ties_and_single_label(spark):
     assert E.auc(pred).first().AUC == 0.5
     single = pred.filter("y_true = 1")
     assert E.auc(single).first().AUC is None
+
+
+def test_blocked_knn_equals_broadcast_knn(spark):
+    from tessera.plans import fixtures as FX
+    from tests.conftest import SF_SMALL
+    pool = FX.embeddings_pool(spark, SF_SMALL)
+    ctx = pool.filter("row_id % 3 = 0")
+    test = pool.filter("row_id % 3 <> 0")
+    a = E.knn_predict(ctx, test, 5).orderBy("row_id", "class").collect()
+    b = E.knn_predict_blocked(ctx, test, 5, block=37).orderBy("row_id", "class").collect()
+    assert [(r.row_id, r["class"], r.prob) for r in a] == [(r.row_id, r["class"], r.prob) for r in b]
