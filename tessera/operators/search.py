@@ -235,3 +235,30 @@ def pair_random_and_curve(random_scores: DataFrame, curve: DataFrame, budgets: D
     r = curve_lookup(random_scores, budgets, by).withColumnRenamed("size", "random_size")
     c = curve_lookup(curve, budgets, by).withColumnRenamed("size", "curve_size")
     return r.join(c, list(by) + ["n_selected"], "inner")
+
+
+# ---------------------------------------------------------------- C9 (apply), C13, C16
+def flipped_members(cands: DataFrame, flips: DataFrame) -> DataFrame:
+    """Membership of every flip neighbour: (candidate_id, flip_id, row_id).  Additions add the row,
+    removals drop it; the base membership is replicated per flip (bounded: size x attempts)."""
+    ids = flips.select("candidate_id", "flip_id").distinct()
+    base = cands.join(ids, "candidate_id")
+    rm = flips.filter("op = 'remove'").select("candidate_id", "flip_id", "row_id")
+    add = flips.filter("op = 'add'").select("candidate_id", "flip_id", "row_id")
+    return base.join(rm, ["candidate_id", "flip_id", "row_id"], "left_anti").unionByName(add)
+
+
+def local_search_step(cands: DataFrame, metrics: DataFrame, flip_metrics: DataFrame) -> DataFrame:
+    """C9 keep-best: per candidate, the best flip if it beats the candidate's fitness.
+    ``flip_metrics`` is (candidate_id, flip_id, fitness) for all flips scored in one job.
+    Returns (candidate_id, flip_id or NULL when the candidate stays)."""
+    best = flip_metrics.groupBy("candidate_id").agg(
+        F.max_by(F.struct("flip_id", "fitness"), F.struct(F.col("fitness"), -F.col("flip_id"))).alias("b"))
+    j = best.join(metrics.select("candidate_id", F.col("fitness").alias("f0")), "candidate_id")
+    return j.select("candidate_id", F.when(F.col("b.fitness") > F.col("f0"), F.col("b.flip_id")).alias("flip_id"))
+
+
+def size_ladder(targets: list[int], reached: int) -> list[int]:
+    """Target sizes still to search (descending), dropping those the curve already reached
+    (reached = smallest size in the curve)."""
+    return [t for t in sorted(set(targets), reverse=True) if t < reached]

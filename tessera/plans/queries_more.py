@@ -129,3 +129,48 @@ def q_gbt(spark, sf):
     ctx = pool.join(sel, "row_id", "left_semi")
     test = P.subsample(pool.join(sel, "row_id", "left_anti"), 2000, 5)
     return E.gbt_predict(ctx, test, max_iter=5)
+
+
+@register("one_hot", f"""
+with p as (select p_partkey, p_brand, cast({"('0x' || substr(md5(concat('0', '|', p_partkey)), 1, 8))::BIGINT"} % 5 as int) as fold from part),
+lv as (select distinct p_brand as v from p where fold <> 0 order by v offset 1)
+select p_partkey, v as level, cast(coalesce(p_brand = v, false) as double) as indicator
+from (select * from p where fold = 0) t, lv""")
+def q_one_hot(spark, sf):
+    p = P.fold_assignment(read_table(spark, sf, "part").select(F.col("p_partkey").alias("row_id"), "p_brand"), 5)
+    train, test = P.split_fold(p, 0)
+    _, enc = P.one_hot(train.select("row_id", "p_brand"), test.select("row_id", "p_brand"), ["p_brand"])
+    cols = [c for c in enc.columns if c.startswith("p_brand_")]
+    stack = ", ".join(f"'{c[len('p_brand_'):]}', `{c}`" for c in cols)
+    return enc.selectExpr("row_id as p_partkey", f"stack({len(cols)}, {stack}) as (level, indicator)")
+
+
+@register("embedding_space", """
+select c.c_custkey as row_id, cast(len(e.embedding) as bigint) as dims from customer c join embeddings e on c.c_custkey = e.vec_id""")
+def q_embedding_space(spark, sf):
+    pool = read_table(spark, sf, "customer").select(F.col("c_custkey").alias("row_id"))
+    emb = read_table(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id"), "embedding", "label")
+    return R.embedding_space(pool, emb).select("row_id", F.size("features").cast("bigint").alias("dims"))
+
+
+@register("embedding_coverage", """
+select c_custkey as row_id from customer where c_custkey not in (select vec_id from embeddings)""")
+def q_embedding_coverage(spark, sf):
+    pool = read_table(spark, sf, "customer").select(F.col("c_custkey").alias("row_id"))
+    emb = read_table(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id"))
+    return R.embedding_coverage(pool, emb)
+
+
+@register("znorm_embeddings")
+def q_znorm(spark, sf):
+    return P.preprocess_vectors(FX.embeddings_pool(spark, sf), znorm=True, drop_constant=True)
+
+
+@register("align_probs", f"""
+with p as (select doc_id as row_id, quality as y_true, (({"('0x' || substr(md5(concat('p', '|', doc_id)), 1, 8))::BIGINT"} % 100) / 100.0) as s from labels)
+select row_id, y_true, c.class, case when c.class = 1 then s when c.class = 0 then 1 - s else 0.0 end as prob
+from p, (values (0), (1), (2)) c(class)""", ["prob"])
+def q_align(spark, sf):
+    from tessera.plans.queries_select import _f3
+    classes = spark.createDataFrame([(0,), (1,), (2,)], "class int")
+    return E.align_probs(_f3(spark, sf), classes)

@@ -148,3 +148,32 @@ def q_pair(spark, sf):
            .withColumn("m", F.explode(F.array(*[F.lit(m) for m in (1, 2, 4, 8, 16, 32)])))
            .select("dataset", "fold", (F.col("n_classes") * F.col("m")).alias("n_selected")))
     return C.pair_random_and_curve(rnd, curve, bud)
+
+
+def _flip_scores(cands, flips, train, val):
+    members = C.flipped_members(cands, flips)
+    keyed = members.withColumn("candidate_id", F.col("candidate_id") * 1000 + F.col("flip_id"))
+    m = _score(keyed.select("candidate_id", "row_id"), train, val)
+    return m.select((F.col("candidate_id") / 1000).cast("long").alias("candidate_id"),
+                    (F.col("candidate_id") % 1000).alias("flip_id"), "fitness")
+
+
+@register("local_search_step")
+def q_local_search(spark, sf):
+    """Score 6 flips of each of 4 candidates in one job, keep the improving ones."""
+    train, val = _split_pool(spark, sf)
+    train = train.persist()
+    cands = C.random_candidates(train, 4, SIZE, 42).persist()
+    m0 = _score(cands, train, val)
+    flips = C.flip_neighbours(cands, train, 6, 3)
+    return C.local_search_step(cands, m0, _flip_scores(cands, flips, train, val))
+
+
+@register("curve_evaluation")
+def q_curve_eval(spark, sf):
+    """Refit each candidate subset (k-NN) and score it on the held-out fold: AUC/ACC/F1 per candidate."""
+    pool = P.fold_assignment(FX.embeddings_pool(spark, sf), 5)
+    train, test = P.split_fold(pool, 0)
+    cands = C.random_candidates(train, 6, 30, 11)
+    pred = E.knn_predict_grouped(cands.join(train, "row_id"), test, 5)
+    return E.all_metrics(pred, by=("candidate_id",))
