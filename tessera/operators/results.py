@@ -56,10 +56,15 @@ def runs_to_do(expected: DataFrame, existing: DataFrame, key=KEY) -> DataFrame:
 
 
 def dedupe_batch(batch: DataFrame, order_col: str, key=KEY, keep: str = "last") -> DataFrame:
-    """One row per key; ``keep='last'`` keeps the highest ``order_col``."""
-    o = F.col(order_col).desc() if keep == "last" else F.col(order_col).asc()
-    w = Window.partitionBy(*key).orderBy(o)
-    return batch.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    """One row per key; ``keep='last'`` keeps the row with the highest ``order_col``.
+
+    An aggregate (``max_by`` / ``min_by`` of the whole row), so it combines map-side and a key
+    holding a large share of the rows never sits in one task.
+    """
+    others = [c for c in batch.columns if c not in key]
+    pick = F.max_by if keep == "last" else F.min_by
+    return (batch.groupBy(*key).agg(pick(F.struct(*others), F.col(order_col)).alias("_r"))
+            .select(*key, *[F.col(f"_r.{c}").alias(c) for c in others]))
 
 
 def duplicate_keys(batch: DataFrame, key=KEY) -> DataFrame:

@@ -180,9 +180,17 @@ def align_probs(pred: DataFrame, classes: DataFrame, by=()) -> DataFrame:
 
 
 # ---------------------------------------------------------------- E7, E8 AUC
+AUC_BUCKETS = 4096
+
+
 def auc(pred: DataFrame, by=(), restrict_to_test_labels: bool = True) -> DataFrame:
-    """One-vs-rest AUC per class by the Mann-Whitney form with average ranks (ties share),
-    computed on distinct scores: groupBy(run, class, prob) counts, then cumulative counts.
+    """One-vs-rest AUC per class by the Mann-Whitney form with average ranks (ties share).
+
+    Exact and skew-safe: scores are first reduced to distinct values per (run, class) with
+    positive / negative counts (a partial aggregate).  Probabilities are cut into fixed buckets
+    of [0, 1]; rows below a bucket come from a cumulative sum over at most AUC_BUCKETS + 2
+    bucket totals, rows below a score inside its bucket from a window over that bucket only,
+    so one run with very many test rows is spread over many tasks.
 
     Binary (2 labels): the AUC of the larger label's column.  More labels: macro mean over
     the labels seen in test (E8: over all classes with both positives and negatives).
@@ -191,10 +199,17 @@ def auc(pred: DataFrame, by=(), restrict_to_test_labels: bool = True) -> DataFra
     g = list(by)
     pos = (F.col("y_true") == F.col("class")).cast("long")
     cnt = pred.groupBy(*g, "class", "prob").agg(F.sum(pos).alias("p"), F.sum(1 - pos).alias("n"))
-    w = Window.partitionBy(*g, "class").orderBy("prob").rowsBetween(Window.unboundedPreceding, -1)
-    below = F.coalesce(F.sum(F.col("p") + F.col("n")).over(w), F.lit(0))
-    # average rank of the tied block = rows below + (block size + 1) / 2
-    ranked = cnt.withColumn("avg_rank", below + (F.col("p") + F.col("n") + 1) / 2.0)
+    b = F.when(F.col("prob") < 0, -1).when(F.col("prob") >= 1, AUC_BUCKETS) \
+         .otherwise(F.floor(F.col("prob") * AUC_BUCKETS).cast("int"))
+    cnt = cnt.withColumn("bucket", b).withColumn("t", F.col("p") + F.col("n"))
+    tot = cnt.groupBy(*g, "class", "bucket").agg(F.sum("t").alias("bt"))
+    wb = Window.partitionBy(*g, "class").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    tot = tot.withColumn("before_bucket", F.coalesce(F.sum("bt").over(wb), F.lit(0)))
+    wi = Window.partitionBy(*g, "class", "bucket").orderBy("prob").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = (cnt.join(tot.select(*g, "class", "bucket", "before_bucket"), g + ["class", "bucket"])
+              .withColumn("below", F.col("before_bucket") + F.coalesce(F.sum("t").over(wi), F.lit(0)))
+              # average rank of the tied block = rows below + (block size + 1) / 2
+              .withColumn("avg_rank", F.col("below") + (F.col("t") + 1) / 2.0))
     per = ranked.groupBy(*g, "class").agg(F.sum(F.col("p") * F.col("avg_rank")).alias("R"),
                                           F.sum("p").alias("P"), F.sum("n").alias("N"))
     per = per.withColumn("auc", F.when((F.col("P") > 0) & (F.col("N") > 0),
