@@ -145,7 +145,7 @@ def q_improvability(spark, sf):
 
 
 @register("dense_ranks", W() + """
-select *, dense_rank() over (partition by dataset, c, evaluator, metric order by round(value, 9) desc) as rank
+select *, cast(dense_rank() over (partition by dataset, c, evaluator, metric order by round(value, 9) desc) as int) as rank
 from cells""", ["value"])
 def q_dense_ranks(spark, sf):
     return G.with_dense_rank(A.cells(spark, sf))
@@ -224,7 +224,7 @@ def q_wide_decode(spark, sf):
 
 
 @register("missing_cells", W() + """
-select col, list_sort(list(dataset)) as datasets, count(*) as n_missing from
+select col, list_sort(list(dataset)) as datasets, cast(count(*) as int) as n_missing from
  (select * from (select g.col, k.dataset from (select distinct concat(cast(c as varchar), 'C_', space, '_', method, '_', evaluator, '_', metric) as col from cells) g
   cross join (select dataset from catalog) k) gk
   anti join (select concat(cast(c as varchar), 'C_', space, '_', method, '_', evaluator, '_', metric) as col, dataset
@@ -246,7 +246,7 @@ def q_compact(spark, sf):
 
 @register("best_flags", W() + """
 select *, case when place = 1 then 'best' when place = 2 then 'second' end as flag from
- (select *, dense_rank() over (partition by evaluator, metric, c order by round(value, 4) desc) as place from
+ (select *, cast(dense_rank() over (partition by evaluator, metric, c order by round(value, 4) desc) as int) as place from
   (select space, method, evaluator, metric, c, avg(value) as value from cells group by all) a) x""", ["value"])
 def q_best_flags(spark, sf):
     cl = A.cells(spark, sf).groupBy("space", "method", "evaluator", "metric", "c").agg(F.avg("value").alias("value"))

@@ -26,7 +26,7 @@ def q_metric_rows(spark, sf):
 
 
 @register("runs_to_do", O.with_base() + """
-select * from (select distinct dataset, fold, space, method, n_selected, s.seed, evaluator, m.metric
+select * from (select distinct dataset, fold, space, method, n_selected, cast(s.seed as int) as seed, evaluator, m.metric
   from fact, range(42, 47) s(seed), (values ('AUC'), ('ACC'), ('F1')) m(metric) where method <> 'All') e
 where not exists (select 1 from fact f where f.dataset = e.dataset and f.fold = e.fold and f.space = e.space
   and f.method = e.method and f.n_selected = e.n_selected and f.seed is not distinct from e.seed
