@@ -111,9 +111,10 @@ def init_random(pool: DataFrame, k: int, seed: int) -> list[int]:
     return [r[KEY] for r in rows]
 
 
-def _cluster_sums(assigned: DataFrame, metric: str, k: int):
-    """Per cluster: member count and sum of member vectors (normalised for cosine).
-    Partial sums per partition (k rows each), merged on the driver (k x d values)."""
+def _cluster_sums(assigned: DataFrame, metric: str, k: int, with_cost: bool = False):
+    """Per cluster: member count, sum of member vectors (normalised for cosine) and, with
+    ``with_cost``, the summed assignment distance.  Partial sums per partition (k rows each),
+    merged on the driver (k x d values): one pass."""
     def fn(it):
         acc = {}
         for pdf in it:
@@ -122,22 +123,27 @@ def _cluster_sums(assigned: DataFrame, metric: str, k: int):
             x = V.stack(pdf[VEC])
             x = V.normalise(x) if metric == "cosine" else x
             cl = pdf["cluster"].to_numpy()
+            dist = pdf["dist"].to_numpy()
             for c in np.unique(cl):
-                s = x[cl == c]
-                n0, v0 = acc.get(int(c), (0, 0.0))
-                acc[int(c)] = (n0 + len(s), v0 + s.sum(0))
+                m = cl == c
+                s = x[m]
+                n0, v0, d0 = acc.get(int(c), (0, 0.0, 0.0))
+                acc[int(c)] = (n0 + len(s), v0 + s.sum(0), d0 + float(dist[m].sum()))
         if acc:
             yield pd.DataFrame({"cluster": list(acc.keys()), "n": [v[0] for v in acc.values()],
-                                "s": [list(map(float, v[1])) for v in acc.values()]})
-    parts = assigned.mapInPandas(fn, "cluster int, n long, s array<double>").collect()
+                                "s": [list(map(float, v[1])) for v in acc.values()],
+                                "d": [v[2] for v in acc.values()]})
+    parts = assigned.mapInPandas(fn, "cluster int, n long, s array<double>, d double").collect()
     n = np.zeros(k, dtype=np.int64)
+    cost = np.zeros(k)
     s = None
     for r in parts:
         vec = np.asarray(r["s"])
         s = np.zeros((k, len(vec))) if s is None else s
         n[r["cluster"]] += r["n"]
         s[r["cluster"]] += vec
-    return n, s
+        cost[r["cluster"]] += r["d"]
+    return (n, s, cost) if with_cost else (n, s)
 
 
 def _exact_sums(members: DataFrame, cand_ids, cand_cluster, cand_vecs, metric: str) -> dict:
@@ -251,9 +257,9 @@ def _lower_bounds(assigned: DataFrame, n: np.ndarray, s: np.ndarray, metric: str
 
 
 def _best_members_euclidean(assigned: DataFrame, k: int, start_ids: list[int], start_cost: np.ndarray,
-                            batch: int, restrict_cluster: bool = True):
+                            batch: int, sums=None):
     """Exact argmin over members of the summed distance to the cluster, with bound pruning."""
-    n, s = _cluster_sums(assigned, "euclidean", k)
+    n, s = sums if sums is not None else _cluster_sums(assigned, "euclidean", k)
     lbs = _lower_bounds(assigned, n, s, "euclidean").persist()
     best_val = np.asarray(start_cost, dtype=np.float64).copy()
     best_id = list(start_ids)
@@ -371,9 +377,13 @@ def init_kmedoidspp(pool: DataFrame, k: int, seed: int, metric: str = "euclidean
                 d = V.pairwise(x, m, metric)[:, 0]
                 yield pd.DataFrame({KEY: pdf[KEY].to_numpy(), VEC: pdf[VEC],
                                     "dmin": np.minimum(pdf["dmin"].to_numpy(), d)})
+        prev = state
         state = state.mapInPandas(upd, "row_id long, features array<float>, dmin double")
-        if r % checkpoint_every == 0:
-            state = cut_lineage(state)
+        # reliable checkpoint every few rounds (survives executor loss); cached in between so the
+        # two jobs of the next round do not recompute the chain of updates
+        state = cut_lineage(state) if r % checkpoint_every == 0 else state.persist()
+        prev.unpersist()
+    state.unpersist()
     return chosen
 
 
@@ -402,12 +412,8 @@ def kmedoids(pool: DataFrame, k: int, seed: int = 42, metric: str = "euclidean",
     prev_cost = None
     for it in range(max_iter):
         a = assign(p, medoids, metric).persist()
-        cost = a.groupBy("cluster").agg(F.sum("dist").alias("c")).collect()
-        cur = np.zeros(k)
-        for r in cost:
-            cur[r["cluster"]] = r["c"]
+        n, s, cur = _cluster_sums(a, metric, k, with_cost=True)
         if metric == "cosine":
-            n, s = _cluster_sums(a, metric, k)
             b = a.sparkSession.sparkContext.broadcast(s)
 
             def fn(itr, b=b):
@@ -425,7 +431,7 @@ def kmedoids(pool: DataFrame, k: int, seed: int = 42, metric: str = "euclidean",
             for r in best:
                 new[r["cluster"]] = r[KEY]
         else:
-            new, _, ev = _best_members_euclidean(a, k, medoids, cur, batch)
+            new, _, ev = _best_members_euclidean(a, k, medoids, cur, batch, sums=(n, s))
             info["candidates_scored"] += ev
         a.unpersist()
         info["iterations"] = it + 1
