@@ -174,3 +174,34 @@ def q_align(spark, sf):
     from tessera.plans.queries_select import _f3
     classes = spark.createDataFrame([(0,), (1,), (2,)], "class int")
     return E.align_probs(_f3(spark, sf), classes)
+
+
+@register("evaluator_slice", O.with_base() + "select * from cells where evaluator = 'KNN' and metric = 'F1'", ["value"])
+def q_eval_slice(spark, sf):
+    return G.evaluator_slices(A.cells(spark, sf), "KNN").filter("metric = 'F1'")
+
+
+@register("combination_coverage", O.with_base() + """,
+extra as (select * from catalog union all select 'ds_extra', 2, 1, 4, 'Supervised Classification', 1.0),
+have as (select space, method, evaluator, list(distinct dataset) as have from cells group by all),
+alls as (select list(dataset) as all_ds from extra)
+select space, method, evaluator,
+       list_sort(list_filter(all_ds, lambda d: not list_contains(have, d))) as datasets
+from have, alls""".replace("\n,\nextra", ",\nextra"))
+def q_combo_cov(spark, sf):
+    cat = A.catalog(spark, sf)
+    extra = cat.unionByName(spark.range(1).select(
+        F.lit("ds_extra").alias("dataset"), F.lit(2).alias("n_classes"), F.lit(1).cast("bigint").alias("n_samples"),
+        F.lit(4).alias("n_features"), F.lit("Supervised Classification").alias("task_type"),
+        F.lit(1.0).alias("imbalance_ratio")))
+    return G.combination_coverage(A.cells(spark, sf), extra)
+
+
+@register("runs_with_curve", O.with_base() + """
+select distinct dataset, fold from foldt where method = 'KMedoids' and space = 'Emb' and metric = 'AUC'
+  and n_selected > 0 and value > 0""")
+def q_runs_curve(spark, sf):
+    from tessera.operators import search as C
+    ft = A.fold_table(spark, sf).filter("method = 'KMedoids' and space = 'Emb' and metric = 'AUC'")
+    curve = C.best_curve(ft.select("dataset", "fold", F.col("n_selected").alias("size"), F.col("value").alias("val_auc")))
+    return S.runs_with_curve(curve)
