@@ -266,13 +266,25 @@ def balanced_accuracy(hard: DataFrame, by=()) -> DataFrame:
 
 
 def all_metrics(pred: DataFrame, by=()) -> DataFrame:
-    """AUC, ACC, F1, BalACC per run, long: (by..., metric, value) (G1 shape)."""
-    hard = hard_predictions(pred, by)
+    """AUC, ACC, F1, BalACC per run, long: (by..., metric, value) (G1 shape).
+
+    ACC, macro F1 and balanced accuracy come from one confusion aggregate (ACC = sum tp /
+    sum (tp + fn), since every row is a tp or an fn of its true class); AUC joins on the run
+    key (a constant key when ungrouped), so the whole result is one query plan.
+    """
     g = list(by)
-    m = auc(pred, by)
-    for other in (accuracy(hard, by), macro_f1(hard, by), balanced_accuracy(hard, by)):
-        # one row per run on each side: a key join (runs with a constant key when ungrouped)
-        m = m.join(other, g, "full") if g else m.withColumn(other.columns[0], other.select(other.columns[0]).scalar())
+    conf = confusion(hard_predictions(pred, by), by)
+    den = 2 * F.col("tp") + F.col("fp") + F.col("fn")
+    sup = F.col("tp") + F.col("fn")
+    cls = conf.groupBy(*g).agg(
+        (F.sum("tp") / F.sum(sup)).alias("ACC"),
+        F.avg(F.when(den > 0, 2 * F.col("tp") / den).otherwise(0.0)).alias("F1"),
+        F.avg(F.when(sup > 0, F.col("tp") / sup)).alias("BalACC"))
+    a = auc(pred, by)
+    if g:
+        m = a.join(cls, g, "full")
+    else:
+        m = a.withColumn("_k", F.lit(0)).join(cls.withColumn("_k", F.lit(0)), "_k").drop("_k")
     stack = "stack(4, 'AUC', AUC, 'ACC', ACC, 'F1', F1, 'BalACC', BalACC) as (metric, value)"
     return m.selectExpr(*g, stack)
 
