@@ -91,12 +91,15 @@ def rdss(pool: DataFrame, n: int, alpha: float | None = None, gamma: float | Non
                         x = V.stack(pdf["features"])
                         yield pdf.assign(pen=pdf["pen"].to_numpy() + _kernel(x, v, gamma)[:, 0],
                                          picked=pdf["picked"].to_numpy() | (pdf["row_id"].to_numpy() == pid))
+            prev = state
             state = state.mapInPandas(upd, "row_id long, features array<float>, mu double, pen double, picked boolean")
-            if t % checkpoint_every == 0:
-                state = cut_lineage(state)
+            # reliable checkpoint every few rounds, cached in between (no recompute of pending updates)
+            state = cut_lineage(state) if t % checkpoint_every == 0 else state.persist()
+            prev.unpersist()
         score = F.col("pen") / F.lit(float(t + 1)) - F.lit(alpha) * F.col("mu")
         best = (state.filter(~F.col("picked"))
                 .agg(F.min_by(F.struct("row_id", "features"), F.struct(score, F.col("row_id"))).alias("b")).first()["b"])
         picks.append(best["row_id"])
         last_vec = best["features"]
+    state.unpersist()
     return picks

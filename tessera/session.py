@@ -43,8 +43,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Make ``DataFrame.checkpoint()`` usable and return the folder in use.
 
     On a cluster the folder must be shared storage named by the cluster in
-    ``spark.checkpoint.dir``; we never replace it.  Only when nothing is set
-    (local tests) a temporary folder is taken.
+    ``spark.checkpoint.dir``; we never replace it, and a cluster session without it
+    is an error.  Only in local mode with nothing set (tests) a temporary folder is taken.
     """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
@@ -52,7 +52,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current.get()
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="tessera-ckpt-")
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to shared storage: iterative operators cut lineage "
+                               "with reliable checkpoints there")
+        configured = tempfile.mkdtemp(prefix="tessera-ckpt-")  # local mode only (tests)
     sc.setCheckpointDir(configured)
     return configured
 
