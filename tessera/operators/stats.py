@@ -349,10 +349,7 @@ def leave_one_dataset_out(scores: DataFrame, target: str, margin: float = 0.01)
 
 def removal_fractions(n_fracs: int = 9):
     """0.1, 0.2, ... 0.9 as produced by repeated float addition (so int(N * (1 - f)) matches)."""
-    out, f = [], 0.1
-    for i in range(n_fracs):
-        out.append(0.1 + i * 0.1)
-    return out
+    return [0.1 + i * 0.1 for i in range(n_fracs)]
 
 
 def progressive_removal(scores: DataFrame, target: str, n_seeds: int = 20, base_seed: int = 42,
