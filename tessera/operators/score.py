@@ -269,8 +269,8 @@ def all_metrics(pred: DataFrame, by=()) -> DataFrame:
     """AUC, ACC, F1, BalACC per run, long: (by..., metric, value) (G1 shape).
 
     ACC, macro F1 and balanced accuracy come from one confusion aggregate (ACC = sum tp /
-    sum (tp + fn), since every row is a tp or an fn of its true class); AUC joins on the run
-    key (a constant key when ungrouped), so the whole result is one query plan.
+    sum (tp + fn), since every row is a tp or an fn of its true class); the AUC rows are
+    unioned in long form, so no join is needed.
     """
     g = list(by)
     conf = confusion(hard_predictions(pred, by), by)
@@ -280,13 +280,9 @@ def all_metrics(pred: DataFrame, by=()) -> DataFrame:
         (F.sum("tp") / F.sum(sup)).alias("ACC"),
         F.avg(F.when(den > 0, 2 * F.col("tp") / den).otherwise(0.0)).alias("F1"),
         F.avg(F.when(sup > 0, F.col("tp") / sup)).alias("BalACC"))
-    a = auc(pred, by)
-    if g:
-        m = a.join(cls, g, "full")
-    else:
-        m = a.withColumn("_k", F.lit(0)).join(cls.withColumn("_k", F.lit(0)), "_k").drop("_k")
-    stack = "stack(4, 'AUC', AUC, 'ACC', ACC, 'F1', F1, 'BalACC', BalACC) as (metric, value)"
-    return m.selectExpr(*g, stack)
+    a = auc(pred, by).select(*g, F.lit("AUC").alias("metric"), F.col("AUC").alias("value"))
+    stack = "stack(3, 'ACC', ACC, 'F1', F1, 'BalACC', BalACC) as (metric, value)"
+    return a.unionByName(cls.selectExpr(*g, stack))
 
 
 def class_discovery(pool: DataFrame, selected: DataFrame, by=()) -> DataFrame:

@@ -104,8 +104,10 @@ def top_by_score(scores: DataFrame, budgets, score: str = "score", key: str = "r
         top = top.withColumn("pos", F.row_number().over(w))
     else:
         top = scores.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= F.lit(max(budgets)))
-    b = small_broadcast(scores.sparkSession.createDataFrame([(int(x),) for x in budgets], "n_selected int"))
-    return top.join(b, F.col("pos") <= F.col("n_selected")).select(*by, "n_selected", key, score, "pos")
+    # every budget the row falls inside (budgets nest): an explode, no theta join
+    arr = F.array(*[F.lit(int(x)) for x in sorted(set(budgets))])
+    return (top.withColumn("n_selected", F.explode(F.filter(arr, lambda b: b >= F.col("pos"))))
+            .select(*by, "n_selected", key, score, "pos"))
 
 
 # ---------------------------------------------------------------- I16, I21
