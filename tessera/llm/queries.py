@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import simhash
+from tessera.llm import line_dedup, simhash
 from tessera.llm.common import read
 
 QUERIES: dict = {}
@@ -24,3 +24,20 @@ def query(name: str, sql: str | None = None):
 def op2(spark, sf_dir):
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=4, max_bits=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op1_line_dedup", """
+with l as (select doc_id, string_split(text, chr(10)) as ls from documents where coalesce(text, '') <> ''),
+w as (select doc_id, i, least(3, len(ls)) as n, array_to_string(ls[i + 1:i + 3], chr(10)) as content
+      from (select doc_id, ls, unnest(range(0, greatest(len(ls) - 2, 1))) as i from l)),
+later as (select doc_id, i, n from w qualify row_number() over (partition by content order by doc_id, i) > 1),
+gone as (select distinct doc_id, unnest(range(i, i + n)) as i from later),
+p as (select doc_id, unnest(range(0, len(ls))) as i, unnest(ls) as line from l),
+k as (select p.doc_id, count(*) as n_lines, count(gone.i) as n_removed,
+             string_agg(p.line, chr(10) order by p.i) filter (where gone.i is null) as kept
+      from p left join gone on p.doc_id = gone.doc_id and p.i = gone.i group by p.doc_id)
+select d.doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from documents d left join k on d.doc_id = k.doc_id""")
+def op1(spark, sf_dir):
+    found = line_dedup.line_dedup(read(spark, sf_dir, "documents"), min_lines=3)
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
