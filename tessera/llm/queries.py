@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import line_dedup, simhash
+from tessera.llm import decontaminate, line_dedup, simhash
 from tessera.llm.common import read
 
 QUERIES: dict = {}
@@ -41,3 +41,27 @@ from documents d left join k on d.doc_id = k.doc_id""")
 def op1(spark, sf_dir):
     found = line_dedup.line_dedup(read(spark, sf_dir, "documents"), min_lines=3)
     return found.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op4_decontaminate", r"""
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+windows as (select distinct item_id, len(w[i:i + 12]) as n, array_to_string(w[i:i + 12], ' ') as content
+            from (select item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) as i from b where len(w) > 0)),
+sizes as (select distinct n from windows),
+grams as (select doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') as content
+          from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from d, sizes where len(w) >= n)),
+hits as (select doc_id, item_id, i, n from grams join windows using (n, content)),
+words as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from hits) group by doc_id),
+items as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items
+          from (select distinct doc_id, cast(item_id as varchar) as item from hits) group by doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(items, '')) as items_sha256,
+       coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from d left join words on d.doc_id = words.doc_id left join items on d.doc_id = items.doc_id""")
+def op4(spark, sf_dir):
+    found = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
