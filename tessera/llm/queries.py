@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, line_dedup, simhash
+from tessera.llm import decontaminate, line_dedup, quality, simhash
 from tessera.llm.common import read
 
 QUERIES: dict = {}
@@ -65,3 +65,10 @@ def op4(spark, sf_dir):
     found = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+@query("op8_quality_classifier")
+def op8(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, quality.graded(read(spark, sf_dir, "labels")))
+    return quality.score(docs, model).select("doc_id", "expected_grade", "p_top", "keep")
