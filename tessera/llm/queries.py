@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, line_dedup, quality, simhash
+from tessera.functions.hashing import sql_seeded_order
+from tessera.llm import decontaminate, line_dedup, mixing, quality, simhash
 from tessera.llm.common import read
 
 QUERIES: dict = {}
@@ -72,3 +73,36 @@ def op8(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, quality.graded(read(spark, sf_dir, "labels")))
     return quality.score(docs, model).select("doc_id", "expected_grade", "p_top", "keep")
+
+
+def _raking_sql() -> str:
+    """The raking of op10, one step per common table expression."""
+    steps, last = [], "start"
+    for s in range(mixing.SWEEPS):
+        for d in mixing.DIMENSIONS:
+            name = f"r{s}_{d}"
+            steps.append(f"{name} as (select * exclude (factor), factor * (target_{d} / sum(tokens * factor) over (partition by {d})) "
+                         f"as factor from {last})")
+            last = name
+    powers = mixing.SMOOTHING
+    return rf"""
+with d as (select doc_id, coalesce(source, '') as source, coalesce(lang, '') as lang,
+  case when contains(text, ' | ') then 'table' when regexp_matches(text, '[#$%&*]{{3}}') then 'signs'
+       when contains(lower(text), 'licen') then 'legal' when contains(text, '@') then 'contact' else 'prose' end as topic,
+  cast(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as bigint) as n_tokens
+  from (select doc_id, source, lang, coalesce(text, '') as text from documents)),
+cells as (select source, lang, topic, cast(sum(n_tokens) as double) as tokens from d group by all),
+start as (select *, {", ".join(f"pow(sum(tokens) over (partition by {x}), {powers[x]}) as target_{x}" for x in mixing.DIMENSIONS)},
+          1.0::double as factor from cells),
+{", ".join(steps)},
+p as (select source, lang, topic, round(least(factor / (select max(factor) from {last} where tokens > 0), 1.0), 9) as probability from {last})
+select d.doc_id, d.source, d.lang, d.topic, d.n_tokens, p.probability,
+       ({sql_seeded_order("'17'", "d.doc_id")} + 0.5) / 4294967296.0 < p.probability as sampled
+from d join p using (source, lang, topic)"""
+
+
+@query("op10_mixing", _raking_sql())
+def op10(spark, sf_dir):
+    found = mixing.mix(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("__source").alias("source"), F.col("__lang").alias("lang"),
+                        F.col("__topic").alias("topic"), F.col("__tokens").alias("n_tokens"), "probability", "sampled")
