@@ -24,7 +24,7 @@ from tessera.llm.common import alnum_split, text_or_empty
 
 MAX_RATINGS = 20_000
 BITS = 20
-MIN_P_TOP = 0.8  # tail probability of the top grade that a selected document needs
+MARGIN = 1.5  # log odds that a document's tokens may take off the top grade before the document is rejected
 MIN_DOCS = 20  # sampled documents in which a bucket must occur to get a weight
 MIN_Z = 4.0  # standard errors by which a bucket's mean grade must differ from the overall mean to get a weight
 MIN_LIFT = 0.25  # and by which part of a grade: common words that drift with length say little about a document
@@ -136,9 +136,10 @@ def fit(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: s
     return OrdinalModel(weights, np.cumsum(np.concatenate((x[len(used):len(used) + 1], np.exp(x[len(used) + 1:])))), bits)
 
 
-def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text", min_p_top: float = MIN_P_TOP) -> DataFrame:
-    """``docs`` (all rows and columns) with expected_grade, p_top and keep (p_top >= ``min_p_top``).  A text without
-    words scores as the average rating.  A model without ratings gives null scores and keeps every document."""
+def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text", margin: float = MARGIN) -> DataFrame:
+    """``docs`` (all rows and columns) with expected_grade, p_top and keep.  A document is kept if its tail probability of
+    the top grade is at least that of a text whose score is ``-margin``: without telling tokens the score is 0, so a
+    model that has learnt little keeps everything.  A model without ratings gives null scores and keeps every document."""
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds, model.bits))
     plain = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ADDED.fieldNames()])
     schema = T.StructType(plain.schema.fields + ADDED.fields)
@@ -150,8 +151,8 @@ def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text", min_p_to
             texts = b.column(at).cast(pa.binary())
             s = np.array([m.weights[buckets(t.as_py() or b"", m.bits)].sum(dtype=np.float64) for t in texts], np.float64)
             if len(m.thresholds):
-                tails = m.tails(s)
-                new = [pa.array(tails.sum(axis=1)), pa.array(tails[:, -1]), pa.array(tails[:, -1] >= min_p_top)]
+                tails, cut = m.tails(s), m.tails(np.array([-margin]))[0, -1]
+                new = [pa.array(tails.sum(axis=1)), pa.array(tails[:, -1]), pa.array(tails[:, -1] >= cut)]
             else:
                 new = [pa.nulls(len(s), pa.float64()), pa.nulls(len(s), pa.float64()), pa.array([True] * len(s), pa.bool_())]
             yield pa.RecordBatch.from_arrays(list(b.columns) + new, names=schema.fieldNames())

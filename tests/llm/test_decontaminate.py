@@ -60,6 +60,7 @@ def test_random_and_edge_cases(spark, make_docs, monkeypatch):
     assert kept.columns == df.columns
     assert sorted(map(repr, (r.doc_id for r in kept.collect()))) == sorted(repr(r[0]) for r in want if not r[4])
     assert D.contamination(df.where("false"), bench).count() == 0
+    assert not any(r.contaminated for r in D.contamination(make_docs([(1, "w"), (2, None)]), bench).collect())
     assert not any(r.contaminated for r in D.contamination(df, bench.where("false")).collect())
 
 

@@ -32,7 +32,7 @@ def test_query_scores_every_document_as_the_model_says(spark):
         s = sum(float(model.weights[b]) for b in Q.buckets(r.text.encode(), model.bits))
         tail = 1 / (1 + np.exp(model.thresholds - s))
         assert abs(got[r.doc_id].p_top - tail[-1]) < 1e-6 and abs(got[r.doc_id].expected_grade - tail.sum()) < 1e-6
-        assert got[r.doc_id].keep == (got[r.doc_id].p_top >= Q.MIN_P_TOP)
+        assert got[r.doc_id].keep == (s >= -Q.MARGIN)
 
 
 def test_edge_cases(spark, make_docs):
