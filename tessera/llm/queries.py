@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions.hashing import sql_seeded_order
-from tessera.llm import decontaminate, line_dedup, mixing, quality, simhash
+from tessera.llm import decontaminate, line_dedup, mixing, quality, simhash, substring_dedup
 from tessera.llm.common import read
 
 QUERIES: dict = {}
@@ -106,3 +106,20 @@ def op10(spark, sf_dir):
     found = mixing.mix(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.col("__source").alias("source"), F.col("__lang").alias("lang"),
                         F.col("__topic").alias("topic"), F.col("__tokens").alias("n_tokens"), "probability", "sampled")
+
+
+@query("op9_substring_dedup", r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select doc_id, i, array_to_string(w[i + 1:i + 20], ' ') as path
+      from (select doc_id, w, unnest(range(0, len(w) - 19)) as i from d where len(w) >= 20)),
+later as (select doc_id, i from s qualify row_number() over (partition by path order by doc_id, i) > 1),
+gone as (select distinct doc_id, unnest(range(i, i + 20)) as i from later),
+p as (select doc_id, unnest(range(0, len(w))) as i, unnest(w) as word from d),
+k as (select p.doc_id, count(*) as n_words, count(gone.i) as n_removed,
+             string_agg(word, ' ' order by p.i) filter (where gone.i is null) as kept
+      from p left join gone on p.doc_id = gone.doc_id and p.i = gone.i group by p.doc_id)
+select d.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from d left join k on d.doc_id = k.doc_id""")
+def op9(spark, sf_dir):
+    found = substring_dedup.substring_dedup(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
