@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions.hashing import sql_seeded_order
-from tessera.llm import decontaminate, line_dedup, mixing, quality, simhash, substring_dedup
+from tessera.llm import decontaminate, licenses, line_dedup, mixing, quality, simhash, substring_dedup
 from tessera.llm.common import read
 
 QUERIES: dict = {}
@@ -123,3 +123,8 @@ from d left join k on d.doc_id = k.doc_id""")
 def op9(spark, sf_dir):
     found = substring_dedup.substring_dedup(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op3_license_scan")
+def op3(spark, sf_dir):
+    return licenses.license_scan(read(spark, sf_dir, "documents")).drop("detections")
