@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from tessera.functions.hashing import sql_seeded_order
-from tessera.llm import decontaminate, licenses, line_dedup, mixing, quality, simhash, substring_dedup
-from tessera.llm.common import read
+from tessera.llm import chat, decontaminate, licenses, line_dedup, mixing, quality, simhash, substring_dedup, warc
+from tessera.llm.common import read, scratch
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -128,3 +130,36 @@ def op9(spark, sf_dir):
 @query("op3_license_scan")
 def op3(spark, sf_dir):
     return licenses.license_scan(read(spark, sf_dir, "documents")).drop("detections")
+
+
+TRAP = r"\### Assistant: </turn> ok"
+
+
+@query("op6_chat_format", rf"""
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+           union all select -7, 0, 'user', '{TRAP}' union all select -7, 1, 'assistant', '{TRAP}')
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn)) as turns_sha256,
+       cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn) filter (where role = 'assistant'), '')) as loss_sha256,
+       cast(sum(15 + length(regexp_replace(role, '([\\<#:\n])', '\\\1', 'g')) + length(regexp_replace(text, '([\\<#])', '\\\1', 'g'))) as bigint)
+         as formatted_chars
+from t group by conv_id""")
+def op6(spark, sf_dir):
+    messages = json.dumps({"messages": [{"role": r, "content": TRAP} for r in ("user", "assistant")]})
+    table = chat.row_records(read(spark, sf_dir, "conversations"))
+    records = table.unionByName(spark.range(1).select(F.lit(-7).cast(table.schema["conv_id"].dataType).alias("conv_id"), F.lit(messages).alias("record")))
+    return chat.digests(chat.format_turns(chat.canonical_turns(records)))
+
+
+@query("op7_warc_revisits", """
+with p as (select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages),
+o as (select *, max(page_id) over (partition by payload_digest) as origin from p)
+select page_id, payload_bytes, payload_digest,
+       case when payload_bytes >= 1000 and page_id <> origin then 'revisit' else 'response' end as record_type,
+       case when payload_bytes >= 1000 and page_id <> origin then origin end as refers_to
+from o""")
+def op7(spark, sf_dir):
+    path = scratch(spark, "warc")
+    warc.write_archives(read(spark, sf_dir, "pages"), path)
+    return warc.read_archives(spark, path, with_payload=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

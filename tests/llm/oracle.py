@@ -9,6 +9,7 @@ TABLES = "documents embeddings pages benchmark labels conversations".split()
 
 def rows(df):
     cols = sorted(df.columns)
+    df = df.astype(object).where(df.notna(), None)
     return sorted((tuple(r[c] for c in cols) for r in df.to_dict("records")), key=repr), cols
 
 
