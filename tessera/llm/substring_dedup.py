@@ -25,12 +25,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import blanks_split, parallelism, stored, text_key, text_or_empty
+from tessera.llm.common import blanks_split, parallelism, text_key, text_or_empty
 
 MIN_WORDS = 20
-BUCKETS = 1 << 16
+BUCKETS = 1 << 16  # by the upper 16 bits of the prefix hash
 GROUP_SUFFIXES = 1 << 21
-CHUNK_WORDS = 1 << 21  # words whose windows a task holds at once
+CHUNK_WORDS = 1 << 19  # words whose windows a task holds at once
 LADDER = (1, 2, 4)  # prefix lengths; the last resort is the whole path
 MIX = np.uint64(0x9E3779B97F4A7C15)
 ZSTD = "zstd"
@@ -51,49 +51,58 @@ def _step(h: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 class _Chunk:
-    """The windows of some whole documents: ``doc`` (index of the document), ``place``, ``path`` and prefix buckets."""
-
-    def __init__(self, texts: list[bytes], depth: int, paths: bool):
-        words = [blanks_split(t) for t in texts]
-        counts = np.array([len(w) for w in words], np.int64)
-        digest = xxhash.xxh64_intdigest
-        flat = np.array([digest(w) for ws in words for w in ws], np.uint64)
+    """The windows of some whole documents, in their order: ``doc`` (index of the document), ``place``, ``path`` and
+    prefix buckets."""
+
+    def __init__(self, texts, depth: int, paths: bool):
+        digest, hashed = xxhash.xxh64_intdigest, []
+        for t in texts:
+            words = blanks_split(t)
+            hashed.append(np.fromiter(map(digest, words), np.uint64, len(words)))
+        counts = np.fromiter(map(len, hashed), np.int64, len(hashed))
+        flat = np.concatenate(hashed) if hashed else np.zeros(0, np.uint64)
+        del hashed
         n_windows = np.maximum(counts - depth + 1, 0)
-        self.doc = np.repeat(np.arange(len(texts)), n_windows)
-        firsts = np.cumsum(n_windows) - n_windows
-        self.place = np.arange(len(self.doc)) - np.repeat(firsts, n_windows)
+        total = int(n_windows.sum())
+        self.doc = np.repeat(np.arange(len(counts), dtype=np.int32), n_windows)
+        self.place = (np.arange(total) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)).astype(np.int32)
         at = self.place + np.repeat(np.cumsum(counts) - counts, n_windows)
-        h = np.zeros(len(at), np.uint64)
+        h = np.zeros(total, np.uint64)
         self.buckets = []
         for k in range(depth if paths else LADDER[-1]):
             if k < depth:
                 h = _step(h, flat[at + k])
             if k + 1 in LADDER:
-                self.buckets.append((h >> np.uint64(48)).astype(np.int64) % BUCKETS)
+                self.buckets.append((h >> np.uint64(48)).astype(np.uint16))
         self.path = h
         while len(self.buckets) < len(LADDER):
             self.buckets.append(self.buckets[-1])
 
 
-def _chunks(batches, n_texts_column: int, depth: int, paths: bool):
-    """Whole documents, a bounded number of bytes at a time: (rows of the batch, chunk)."""
+def _slices(batches, text_column: int):
+    """Parts of the batches whose texts hold about CHUNK_WORDS words (or one longer text)."""
     for b in batches:
-        texts = b.column(n_texts_column).cast(pa.binary())
-        size = np.diff(np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1]) \
-            if len(texts) else np.zeros(0)
-        start = 0
-        while start < len(texts):
-            end = max(start + 1, start + int(np.searchsorted(np.cumsum(size[start:]), CHUNK_WORDS * 6, side="right")))
-            yield b.slice(start, end - start), _Chunk([t.as_py() for t in texts[start:end]], depth, paths)
+        if not len(b):
+            continue
+        sizes = np.array([len(t.as_buffer()) for t in b.column(text_column).cast(pa.binary())])
+        start, ends = 0, np.cumsum(sizes)
+        while start < len(b):
+            done = int(ends[start - 1]) if start else 0
+            end = max(start + 1, int(np.searchsorted(ends, done + CHUNK_WORDS * 6, side="right")))
+            yield b.slice(start, end - start)
             start = end
 
 
+def _texts(column):
+    return (t.as_py() for t in column.cast(pa.binary()))
+
+
 def prefix_counts(docs: DataFrame, min_words: int) -> list[np.ndarray]:
     """Suffixes by bucket of their prefixes of LADDER lengths; BUCKETS numbers per length reach the driver."""
     def run(batches):
         total = np.zeros((len(LADDER), BUCKETS), np.int64)
-        for _, chunk in _chunks(batches, 0, min_words, False):
-            for k, at in enumerate(chunk.buckets):
+        for b in _slices(batches, 0):
+            for k, at in enumerate(_Chunk(_texts(b.column(0)), min_words, False).buckets):
                 total[k] += np.bincount(at, minlength=BUCKETS)
         level, bucket = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(level.astype(np.int32)), pa.array(bucket.astype(np.int32)),
@@ -119,7 +128,7 @@ def _groups(counts: list[np.ndarray], at_least: int) -> tuple[list[np.ndarray],
 
 def _later(doc_id_order: tuple, path: np.ndarray) -> np.ndarray:
     """True for every suffix whose path also starts earlier; doc_id_order: sort keys, last one first, as for lexsort."""
-    order = np.argsort(path, kind="stable")
+    order = np.argsort(path)
     p = path[order]
     same = np.zeros(len(p), bool)
     same[1:] = p[1:] == p[:-1]
@@ -137,60 +146,58 @@ def _later(doc_id_order: tuple, path: np.ndarray) -> np.ndarray:
     return out
 
 
+def short_key(text_col: str):
+    """32 bits of the text key: enough to tell apart the few documents that share an id."""
+    return F.shiftright(text_key(text_col), 32).cast("int")
+
+
 def later_repeats(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
     """(id, key, places): for each document the packed start places of windows that also start earlier, in any number of
-    rows; ids are bigints."""
+    rows; ids are bigints, keys the ``short_key`` of the text."""
     spark = docs.sparkSession
     rows = docs.select(text_or_empty(text_col).alias("text"), F.col(id_col).cast("bigint").alias("id"),
-                       text_key(text_col).alias("key"))
+                       short_key(text_col).alias("key"))
     where, n_groups = _groups(prefix_counts(rows.select("text"), min_words), parallelism(spark))
     plan = spark.sparkContext.broadcast(where)  # fixed size: one int per bucket and prefix length
     names = ["grp", "n_docs", "n", "ids", "known", "keys", "counts", "places", "paths"]
 
     def split(batches):
         groups = plan.value
-        for b, chunk in _chunks(batches, 0, min_words, True):
-            if not len(chunk.path):
-                continue
+        for b in _slices(batches, 0):
             known = b.column(1).is_valid().to_numpy(zero_copy_only=False)
             ids = b.column(1).fill_null(0).to_numpy()
             keys = b.column(2).to_numpy()
-            order = np.lexsort((keys, ids, known))
-            rank = np.empty(len(order), np.int64)
-            # rows that repeat an id and a text are one document
-            s_ids, s_keys, s_known = ids[order], keys[order], known[order]
+            order = np.lexsort((keys, ids, known))  # documents in order; rows that repeat an id and a text are one
+            ids, keys, known = ids[order], keys[order], known[order]
             new = np.ones(len(order), bool)
-            new[1:] = (s_ids[1:] != s_ids[:-1]) | (s_keys[1:] != s_keys[:-1]) | (s_known[1:] != s_known[:-1])
-            rank[order] = np.cumsum(new) - 1
-            s_ids, s_keys, s_known = s_ids[new], s_keys[new], s_known[new]
-            doc = rank[chunk.doc]
-            by_doc = np.lexsort((chunk.place, doc))
-            if not new.all():  # drop the windows of repeated rows
-                d, p = doc[by_doc], chunk.place[by_doc]
-                once = np.ones(len(d), bool)
-                once[1:] = (d[1:] != d[:-1]) | (p[1:] != p[:-1])
-                by_doc = by_doc[once]
-            doc, place, path = doc[by_doc], chunk.place[by_doc], chunk.path[by_doc]
+            new[1:] = (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1]) | (known[1:] != known[:-1])
+            ids, keys, known = ids[new], keys[new], known[new]
+            chunk = _Chunk(_texts(b.column(0).take(pa.array(order[new]))), min_words, True)
+            doc, place, path = chunk.doc, chunk.place, chunk.path
+            if not len(path):
+                continue
             group = np.full(len(doc), -1, np.int32)
             for table, bucket in zip(groups, chunk.buckets):
-                group = np.where(group < 0, table[bucket[by_doc]], group)
+                group = np.where(group < 0, table[bucket], group)
             whole = group < 0
             group[whole] = (path[whole] % np.uint64(n_groups)).astype(np.int32)
             later = _later((place, doc), path)
-            sent = np.flatnonzero(~later)
-            sent = sent[np.argsort(group[sent], kind="stable")]
-            bounds = np.searchsorted(group[sent], np.arange(n_groups + 1))
-            parts = [(g, sent[bounds[g]:bounds[g + 1]]) for g in range(n_groups)] + [(-1, np.flatnonzero(later))]
             made = []
-            for g, at in parts:
-                if not len(at):
-                    continue
-                d, counts = np.unique(doc[at], return_counts=True)
-                gaps = np.diff(place[at], prepend=0)
-                gaps[np.cumsum(counts)[:-1]] = place[at][np.cumsum(counts)[:-1]]
-                made.append([g, len(d), len(at), _pack(np.diff(s_ids[d], prepend=0)), _pack(s_known[d]), s_keys[d].tobytes(),
-                             _pack(counts.astype(np.uint32)), _pack(gaps.astype(np.uint32)),
-                             path[at].tobytes() if g >= 0 else b""])
+            for known_later in (False, True):  # later than another place in this chunk: decided, sent without its path
+                sent = np.flatnonzero(later == known_later)
+                small = group[sent].astype(np.int16) if n_groups < 1 << 15 else group[sent]
+                sent = sent[np.argsort(small, kind="stable")]
+                bounds = np.searchsorted(group[sent], np.arange(n_groups + 1))
+                for g in np.flatnonzero(np.diff(bounds)):
+                    at = sent[bounds[g]:bounds[g + 1]]
+                    d, p = doc[at], place[at]
+                    first = np.flatnonzero(np.diff(d, prepend=-1))
+                    gaps = np.diff(p, prepend=0)
+                    gaps[first] = p[first]
+                    d = d[first]
+                    made.append([g, len(d), len(at), _pack(np.diff(ids[d], prepend=0)), _pack(known[d]), keys[d].tobytes(),
+                                 _pack(np.diff(np.append(first, len(at))).astype(np.uint32)), _pack(gaps.astype(np.uint32)),
+                                 b"" if known_later else path[at].tobytes()])
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
                 zip(*made), [pa.int32(), pa.int32(), pa.int64()] + [pa.binary()] * 6)], names=names)
 
@@ -201,7 +208,7 @@ def later_repeats(docs: DataFrame, id_col: str, text_col: str, min_words: int) -
         run = np.cumsum(gaps)
         first = np.cumsum(counts) - counts
         place = run - np.repeat(run[first] - gaps[first], counts)
-        return (np.cumsum(_unpack(ids, n_docs, np.int64)), _unpack(known, n_docs, np.bool_), np.frombuffer(keys, np.int64), counts,
+        return (np.cumsum(_unpack(ids, n_docs, np.int64)), _unpack(known, n_docs, np.bool_), np.frombuffer(keys, np.int32), counts,
                 place.astype(np.uint32), np.frombuffer(paths, np.uint64))
 
     def by_document(ids, known, keys, counts, place):
@@ -210,35 +217,36 @@ def later_repeats(docs: DataFrame, id_col: str, text_col: str, min_words: int) -
         offsets = np.concatenate(([0], ends)).astype(np.int32)
         buffers = [None, pa.py_buffer((offsets * 4).astype(np.int32).tobytes()), pa.py_buffer(place.astype(np.uint32).tobytes())]
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64(), mask=~known), pa.array(keys, pa.int64()),
+            [pa.array(ids, pa.int64(), mask=~known), pa.array(keys, pa.int32()),
              pa.Array.from_buffers(pa.binary(), len(counts), buffers)], names=["id", "key", "places"])
 
-    def local(batches):
-        for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns)):
-                ids, known, keys, counts, place, _ = opened(row)
-                yield by_document(ids, known, keys, counts, place)
-
     def subtree(table: pa.Table) -> pa.Table:
-        parts = [opened(row) for row in zip(*(table[c].to_pylist() for c in names))]
-        counts = np.concatenate([p[3] for p in parts])
-        ids, known, keys = (np.repeat(np.concatenate([p[k] for p in parts]), counts) for k in (0, 1, 2))
-        place, path = (np.concatenate([p[k] for p in parts]) for k in (4, 5))
-        at = np.flatnonzero(_later((place, keys, ids, known), path))
-        at = at[np.lexsort((place[at], keys[at], ids[at], known[at]))]
-        ids, known, keys, place = ids[at], known[at], keys[at], place[at]
-        new = np.ones(len(at), bool)
-        new[1:] = (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1]) | (known[1:] != known[:-1])
-        first = np.flatnonzero(new)
-        return pa.Table.from_batches([by_document(ids[first], known[first], keys[first],
-                                                  np.diff(np.append(first, len(at))), place)])
+        rows = list(zip(*(table[c] for c in names)))
+        rows = [[v.as_py() if k < 3 else v.as_buffer() for k, v in enumerate(r)] for r in rows]
+        out = [by_document(*opened(r)[:5]) for r in rows if not len(r[8])]  # decided before
+        parts = [opened(r) for r in rows if len(r[8])]
+        if parts:
+            counts = np.concatenate([p[3] for p in parts])
+            doc = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+            ids, known, keys = (np.concatenate([p[k] for p in parts]) for k in (0, 1, 2))
+            rank = np.empty(len(ids), np.int32)  # documents in order, the same one in several parts once
+            order = np.lexsort((keys, ids, known))
+            ids, known, keys = ids[order], known[order], keys[order]
+            new = np.ones(len(ids), bool)
+            new[1:] = (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1]) | (known[1:] != known[:-1])
+            rank[order] = np.cumsum(new) - 1
+            ids, known, keys, doc = ids[new], known[new], keys[new], rank[doc]
+            place, path = (np.concatenate([p[k] for p in parts]) for k in (4, 5))
+            at = np.flatnonzero(_later((place, doc), path))
+            at = at[np.lexsort((place[at], doc[at]))]
+            first = np.flatnonzero(np.diff(doc[at], prepend=-1))
+            d = doc[at][first]
+            out.append(by_document(ids[d], known[d], keys[d], np.diff(np.append(first, len(at))), place[at]))
+        return pa.Table.from_batches(out)
 
     packed = rows.mapInArrow(split, "grp int, n_docs int, n bigint, ids binary, known binary, keys binary, counts binary, "
                                     "places binary, paths binary")
-    packed = stored(packed.repartition(n_groups, "grp"), "suffixes")
-    out = "id bigint, key bigint, places binary"
-    found = packed.where("grp >= 0").groupBy("grp").applyInArrow(subtree, out)
-    return found.unionByName(packed.where("grp < 0").mapInArrow(local, out))
+    return packed.groupBy("grp").applyInArrow(subtree, "id bigint, key int, places binary")
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -249,7 +257,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are judged on the input.  Documents of fewer words lose nothing.  ``id_col`` is an integer column.
     """
     places = later_repeats(docs, id_col, text_col, min_words).groupBy("id", "key").agg(F.collect_list("places").alias("places"))
-    rows = docs.select(F.col(id_col).cast("bigint").alias("__id"), text_key(text_col).alias("__key"),
+    rows = docs.select(F.col(id_col).cast("bigint").alias("__id"), short_key(text_col).alias("__key"),
                        text_or_empty(text_col).alias("__text"))
     joined = rows.join(places, rows["__id"].eqNullSafe(places["id"]) & (rows["__key"] == places["key"]), "left").select(
         "__id", "__text", "places")
