@@ -7,7 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from tessera.functions.hashing import sql_seeded_order
-from tessera.llm import chat, decontaminate, licenses, line_dedup, mixing, quality, simhash, substring_dedup, warc
+from tessera.llm import ann, chat, decontaminate, licenses, line_dedup, mixing, quality, simhash, substring_dedup, warc
 from tessera.llm.common import read, scratch
 
 QUERIES: dict = {}
@@ -163,3 +163,9 @@ def op7(spark, sf_dir):
     warc.write_archives(read(spark, sf_dir, "pages"), path)
     return warc.read_archives(spark, path, with_payload=False).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op5_nearest_neighbours")
+def op5(spark, sf_dir):
+    rows = read(spark, sf_dir, "embeddings")
+    return ann.nearest(rows, rows.where(F.col("vec_id") % 50 == 0), k=5)
