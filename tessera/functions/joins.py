@@ -1,4 +1,4 @@
-"""Join helpers: null-safe keys and size-checked broadcast."""
+"""Join helpers: null-safe keys and broadcast of config tables."""
 
 from __future__ import annotations
 
@@ -7,28 +7,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Broadcast only below this many rows unless the caller proves a smaller bound.
-DEFAULT_BROADCAST_ROWS = 200_000
-
 
 def null_safe_on(left: DataFrame, right: DataFrame, cols) -> Column:
     """Equality on every key column where NULL equals NULL (``<=>``)."""
     return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in cols])
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after checking that it holds at most ``max_rows`` rows.
-
-    Above the bound the frame is returned unchanged, so the join falls back to a
-    shuffle join (AQE may still convert it at run time).  The check reads at most
-    ``max_rows + 1`` rows.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def small_broadcast(df: DataFrame) -> DataFrame:
     """Broadcast for frames whose size is bounded by construction (config tables:
-    methods, budgets, labels, thresholds).  Use ``bounded_broadcast`` for anything
-    derived from data."""
+    methods, budgets, labels, thresholds).  Tables derived from data get no hint: Spark
+    broadcasts them by their size in bytes, at plan time or (AQE) at run time."""
     return F.broadcast(df)

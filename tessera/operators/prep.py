@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.hashing import seeded_order
-from tessera.functions.joins import bounded_broadcast
 
+# The words (lower case) that a binary column may hold.
 BINARY_WORDS = ("yes", "no", "true", "false", "t", "f", "1", "0")
 
 
@@ -56,16 +56,19 @@ def constant_columns(pool: DataFrame, features, nulls_count: bool = False) -> Da
     return row.selectExpr(f"stack({len(features)}, {stack}) as (column_name, is_constant)")
 
 
-def column_types(pool: DataFrame, features) -> DataFrame:
-    """Num / cat / bin per column.  Non-numeric columns are cat; a column is bin when it has
-    at most 2 distinct values and every lowercased value is in the binary word list."""
-    numeric = {f.name for f in pool.schema.fields if isinstance(f.dataType, T.NumericType)}
+def column_types(pool: DataFrame, features, categorical=()) -> DataFrame:
+    """Num / cat / bin per column.  Numeric columns are num unless named in ``categorical``; the others are
+    cat, or bin if they have at most 2 distinct values and every lowercased value is in the binary word list.
+
+    Distinct values are collected only among the listed words (a handful), so no column's values are gathered."""
+    numeric = {f.name for f in pool.schema.fields if isinstance(f.dataType, T.NumericType)} - set(categorical)
     aggs = []
     for c in features:
-        s = F.lower(F.col(c).cast("string"))
-        is_bin = (F.count_distinct(c) <= 2) & F.coalesce(F.bool_and(s.isin(*BINARY_WORDS)), F.lit(True))
-        base = F.lit("num") if c in numeric else F.lit("cat")
-        aggs.append(F.when(is_bin, F.lit("bin")).otherwise(base).alias(c))
+        word = F.lower(F.col(c).cast("string")).isin(*BINARY_WORDS)
+        values = F.size(F.collect_set(F.when(word, F.col(c).cast("string"))))
+        is_bin = (values <= 2) & F.coalesce(F.bool_and(word), F.lit(True))
+        kind = F.lit("num") if c in numeric else F.when(is_bin, F.lit("bin")).otherwise(F.lit("cat"))
+        aggs.append((F.first(kind) if c in numeric else kind).alias(c))
     row = pool.agg(*aggs)
     stack = ", ".join(f"'{c}', `{c}`" for c in features)
     return row.selectExpr(f"stack({len(features)}, {stack}) as (column_name, column_type)")
@@ -75,7 +78,7 @@ def encode_labels(pool: DataFrame, label: str = "label", out: str = "label") ->
     """P5: labels in sorted order -> 0..C-1 (dense rank over the distinct labels, joined back)."""
     codes = pool.select(F.col(label).alias("_raw")).distinct()
     codes = codes.withColumn("_code", (F.dense_rank().over(Window.orderBy("_raw")) - 1).cast("int"))
-    j = pool.join(bounded_broadcast(codes), pool[label].eqNullSafe(codes["_raw"]), "left")
+    j = pool.join(codes, pool[label].eqNullSafe(codes["_raw"]), "left")
     return j.drop(label).withColumnRenamed("_code", out).drop("_raw")
 
 
@@ -130,7 +133,7 @@ def apply_ordinal(df: DataFrame, codes: DataFrame, columns) -> DataFrame:
     for c in columns:
         m = codes.filter(F.col("column_name") == c).select(F.col("category").alias(f"_cat_{c}"),
                                                            F.col("code").alias(f"_code_{c}"))
-        out = out.join(bounded_broadcast(m), out[c].cast("string") == F.col(f"_cat_{c}"), "left")
+        out = out.join(m, out[c].cast("string") == F.col(f"_cat_{c}"), "left")
         out = out.withColumn(c, F.when(F.col(c).isNull(), F.lit(None).cast("double"))
                              .otherwise(F.coalesce(F.col(f"_code_{c}"), F.lit(-1.0)))).drop(f"_cat_{c}", f"_code_{c}")
     return out
@@ -149,23 +152,28 @@ def apply_imputer(df: DataFrame, fills: dict) -> DataFrame:
     return df.fillna({k: v for k, v in fills.items() if v is not None})
 
 
-def one_hot(train: DataFrame, test: DataFrame, columns):
-    """One-hot with the first (sorted) level dropped; test aligned to the train levels
-    (unseen levels -> all zeros, missing -> 0)."""
-    levels = {}
-    for c in columns:
-        lv = (train.select(F.col(c).cast("string").alias("v")).filter("v is not null").distinct()
-              .orderBy("v").limit(10_000).collect())  # level list of one column, bounded
-        levels[c] = [r.v for r in lv][1:]
+def one_hot_levels(train: DataFrame, columns) -> DataFrame:
+    """P11 fit: (column_name, level, index) of every level seen in train but the first (sorted) of its column; indices
+    count from 0 within a column.  One row per level, however many there are."""
+    parts = [train.select(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("level"))
+             .filter(F.col("level").isNotNull()).distinct() for c in columns]
+    levels = parts[0]
+    for p in parts[1:]:
+        levels = levels.unionByName(p)
+    w = Window.partitionBy("column_name").orderBy("level")
+    return levels.withColumn("index", F.row_number().over(w) - 2).filter("index >= 0")
+
 
-    def enc(df):
-        out = df
-        for c, lv in levels.items():
-            for v in lv:
-                out = out.withColumn(f"{c}_{v}", (F.col(c).cast("string") == v).cast("double"))
-            out = out.drop(c)
-        return out.fillna(0.0, subset=[f"{c}_{v}" for c, lv in levels.items() for v in lv])
-    return enc(train), enc(test)
+def one_hot(df: DataFrame, levels: DataFrame, columns) -> DataFrame:
+    """P11 apply: each column becomes a sparse vector: array of (index, value 1.0), empty for the first level, for
+    levels not seen in train and for missing values.  No column per level is made and no level is left out."""
+    out = df
+    for c in columns:
+        m = levels.filter(F.col("column_name") == c).select(F.col("level").alias("_level"), F.col("index").alias("_index"))
+        hit = F.array(F.struct(F.col("_index").alias("index"), F.lit(1.0).alias("value")))
+        out = out.join(m, out[c].cast("string") == m["_level"], "left")
+        out = out.withColumn(c, F.when(F.col("_index").isNull(), F.filter(hit, lambda x: F.lit(False))).otherwise(hit)).drop("_level", "_index")
+    return out
 
 
 def preprocess_vectors(pool: DataFrame, col: str = "features", zero_nulls: bool = True,
@@ -215,10 +223,12 @@ def train_size(n: int, n_folds: int) -> int:
     return math.ceil(n * (n_folds - 1) / n_folds)
 
 
-def search_sizes(first_size: int, n_train: int, n_classes: int) -> list[int]:
-    """Start at min(first size, 25% of train); C * 2^i (i < 7) kept in [C, start]."""
-    start = min(first_size, int(0.25 * n_train))
-    return [start] + [n_classes * 2 ** i for i in range(7) if n_classes <= n_classes * 2 ** i <= start]
+def search_sizes(sizes: list[int], n_train: int, n_classes: int) -> list[int]:
+    """The configured sizes and C * 2^i (i < 7) within [C, start], descending and distinct, where start is
+    the smaller of the first configured size and 25% of train (always part of the list)."""
+    start = min(sizes[0], int(0.25 * n_train))
+    wanted = {start, *sizes, *(n_classes * 2 ** i for i in range(7))}
+    return sorted((s for s in wanted if n_classes <= s <= start), reverse=True)
 
 
 def comparison_sizes(n_train: int, n_classes: int, cap: int = 250) -> list[int]:

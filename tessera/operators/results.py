@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.joins import bounded_broadcast, null_safe_on, small_broadcast
+from tessera.functions.joins import null_safe_on, small_broadcast
 
 BASE_SEED = 42
 C_MULTIPLIERS = (1, 2, 4, 8, 16, 32)
@@ -146,7 +146,7 @@ def missing_datasets(catalog: DataFrame, results: DataFrame) -> DataFrame:
 
 def filter_by_catalog(results: DataFrame, catalog: DataFrame) -> DataFrame:
     """Keep result rows whose dataset the (filtered) catalog allows."""
-    return results.join(bounded_broadcast(catalog.select("dataset").distinct()), "dataset", "left_semi")
+    return results.join(catalog.select("dataset").distinct(), "dataset", "left_semi")
 
 
 def suite_covering(results: DataFrame, suites: DataFrame) -> DataFrame:
@@ -165,7 +165,7 @@ def budget_filter(results: DataFrame, catalog: DataFrame, multipliers=C_MULTIPLI
     Baseline rows are kept with c NULL.  Datasets missing from the catalog drop
     (``unknown_budget_datasets`` lists them).
     """
-    cat = bounded_broadcast(catalog.select("dataset", "n_classes"))
+    cat = catalog.select("dataset", "n_classes")
     j = results.join(cat, "dataset", "inner")
     c = F.expr("cast(n_selected div n_classes as int)")
     ok = (F.col("n_selected") % F.col("n_classes") == 0) & c.isin(*multipliers)
@@ -301,7 +301,7 @@ def to_wide(long_df: DataFrame, catalog: DataFrame, base_df: DataFrame | None =
             F.col("baseline").alias("value")))
     wide = named.groupBy("dataset").pivot("col", columns).agg(F.first("value"))
     meta = catalog.select("dataset", "n_samples", "n_features", "n_classes", "imbalance_ratio")
-    return bounded_broadcast(meta).join(wide, "dataset", "right")
+    return meta.join(wide, "dataset", "right")
 
 
 WIDE_COLUMN_REGEX = r"^(\d+)C_([^_]+)_([^_]+)_([^_]+)_([^_]+?)(?:_(I|RANK))?$"

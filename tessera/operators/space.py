@@ -13,9 +13,11 @@ def original_space(pool: DataFrame, features, out: str = "features") -> DataFram
 
 def embedding_space(pool: DataFrame, embeddings: DataFrame, key: str = "row_id", vec: str = "embedding",
                     out: str = "features") -> DataFrame:
-    """R2: join a supplied embedding table on the row key and check that every pool row has one."""
+    """R2: join a supplied embedding table on the row key; a pool row without an embedding is an error (raised when the
+    query runs), never dropped.  ``embedding_coverage`` lists such rows beforehand."""
     e = embeddings.select(F.col(key), F.col(vec).alias(out))
-    return pool.join(e, key, "inner")
+    checked = F.coalesce(F.col(out), F.raise_error(F.concat(F.lit("no embedding for row "), F.col(key).cast("string"))))
+    return pool.join(e, key, "left").withColumn(out, checked)
 
 
 def embedding_coverage(pool: DataFrame, embeddings: DataFrame, key: str = "row_id") -> DataFrame:

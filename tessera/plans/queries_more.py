@@ -111,9 +111,9 @@ def q_dataset_filter(spark, sf):
 
 @register("original_space", f"""select {FX.LINEITEM_ROW_ID_SQL} as row_id,
   [cast(l_quantity as float), cast(l_extendedprice as float), cast(l_discount as float), cast(l_tax as float)] as features
-from lineitem where l_returnflag = 'R'""")
+from lineitem""")
 def q_original_space(spark, sf):
-    li = read_table(spark, sf, "lineitem").filter("l_returnflag = 'R'").withColumn("row_id", F.expr(FX.LINEITEM_ROW_ID))
+    li = read_table(spark, sf, "lineitem").withColumn("row_id", F.expr(FX.LINEITEM_ROW_ID))
     return R.original_space(li, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]).select("row_id", "features")
 
 
@@ -133,23 +133,22 @@ def q_gbt(spark, sf):
 
 @register("one_hot", f"""
 with p as (select p_partkey, p_brand, cast({"('0x' || substr(md5(concat('0', '|', p_partkey)), 1, 8))::BIGINT"} % 5 as int) as fold from part),
-lv as (select distinct p_brand as v from p where fold <> 0 order by v offset 1)
-select p_partkey, v as level, cast(coalesce(p_brand = v, false) as double) as indicator
-from (select * from p where fold = 0) t, lv""")
+lv as (select v, cast(row_number() over (order by v) - 2 as int) as index from (select distinct p_brand as v from p where fold <> 0) x)
+select p_partkey, p_brand, index, case when index is not null then 1.0 end as indicator
+from (select * from p where fold = 0) t left join (select * from lv where index >= 0) l on p_brand = v""")
 def q_one_hot(spark, sf):
     p = P.fold_assignment(read_table(spark, sf, "part").select(F.col("p_partkey").alias("row_id"), "p_brand"), 5)
     train, test = P.split_fold(p, 0)
-    _, enc = P.one_hot(train.select("row_id", "p_brand"), test.select("row_id", "p_brand"), ["p_brand"])
-    cols = [c for c in enc.columns if c.startswith("p_brand_")]
-    stack = ", ".join(f"'{c[len('p_brand_'):]}', `{c}`" for c in cols)
-    return enc.selectExpr("row_id as p_partkey", f"stack({len(cols)}, {stack}) as (level, indicator)")
+    enc = P.one_hot(test.withColumn("hot", F.col("p_brand")), P.one_hot_levels(train.select(F.col("p_brand").alias("hot")), ["hot"]), ["hot"])
+    return enc.select(F.col("row_id").alias("p_partkey"), "p_brand", F.explode_outer("hot").alias("e")).select(
+        "p_partkey", "p_brand", F.col("e.index").alias("index"), F.col("e.value").alias("indicator"))
 
 
 @register("embedding_space", """
-select c.c_custkey as row_id, cast(len(e.embedding) as bigint) as dims from customer c join embeddings e on c.c_custkey = e.vec_id""")
+select e.vec_id as row_id, cast(len(e.embedding) as bigint) as dims from embeddings e""")
 def q_embedding_space(spark, sf):
-    pool = read_table(spark, sf, "customer").select(F.col("c_custkey").alias("row_id"))
-    emb = read_table(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id"), "embedding", "label")
+    pool = read_table(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id"))
+    emb = read_table(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id"), "embedding")
     return R.embedding_space(pool, emb).select("row_id", F.size("features").cast("bigint").alias("dims"))
 
 
@@ -176,9 +175,9 @@ def q_align(spark, sf):
     return E.align_probs(_f3(spark, sf), classes)
 
 
-@register("evaluator_slice", O.with_base() + "select * from cells where evaluator = 'KNN' and metric = 'F1'", ["value"])
+@register("evaluator_slice", O.with_base() + "select * from cells where evaluator = 'KNN'", ["value"])
 def q_eval_slice(spark, sf):
-    return G.evaluator_slices(A.cells(spark, sf), "KNN").filter("metric = 'F1'")
+    return G.evaluator_slices(A.cells(spark, sf), "KNN")
 
 
 @register("combination_coverage", O.with_base() + """,

@@ -63,12 +63,15 @@ def q_constant(spark, sf):
 
 @register("column_types", """
 select 'p_brand' as column_name, case when count(distinct p_brand) <= 2 and coalesce(bool_and(lower(p_brand) in ('yes','no','true','false','t','f','1','0')), true) then 'bin' else 'cat' end as column_type from part
-union all select 'p_size', case when count(distinct p_size) <= 2 and coalesce(bool_and(lower(cast(p_size as varchar)) in ('yes','no','true','false','t','f','1','0')), true) then 'bin' else 'num' end from part
+union all select 'p_size', case when count(*) > 0 then 'num' end from part
+union all select 'p_even', case when count(distinct p_size % 2) <= 2 then 'num' end from part
+union all select 'p_code', case when count(distinct p_size % 2) <= 2 then 'bin' else 'cat' end from part
 union all select 'p_flag', case when count(distinct p_flag) <= 2 and coalesce(bool_and(lower(p_flag) in ('yes','no','true','false','t','f','1','0')), true) then 'bin' else 'cat' end
   from (select case when p_size % 2 = 0 then 'Yes' else 'no' end as p_flag from part) f""")
 def q_types(spark, sf):
     part = read_table(spark, sf, "part").withColumn("p_flag", F.expr("case when p_size % 2 = 0 then 'Yes' else 'no' end"))
-    return P.column_types(part, ["p_brand", "p_size", "p_flag"])
+    part = part.withColumns({"p_even": F.expr("p_size % 2"), "p_code": F.expr("p_size % 2")})
+    return P.column_types(part, ["p_brand", "p_size", "p_even", "p_code", "p_flag"], categorical=["p_code"])
 
 
 @register("label_encoding", "select c_custkey, cast(dense_rank() over (order by c_mktsegment) - 1 as int) as label from customer")

@@ -11,7 +11,8 @@ def test_budget_grid_rounds_half_even_and_clamps():
 
 def test_search_and_comparison_sizes():
     assert P.train_size(100, 10) == 90
-    assert P.search_sizes(200, 400, 3) == [100, 3, 6, 12, 24, 48, 96]
+    assert P.search_sizes([200], 400, 3) == [100, 96, 48, 24, 12, 6, 3]
+    assert P.search_sizes([250, 180, 100, 50], 4000, 2) == [250, 180, 128, 100, 64, 50, 32, 16, 8, 4, 2]
     assert P.comparison_sizes(400, 3) == [3, 6, 12, 24, 48, 96]
 
 
