@@ -12,6 +12,7 @@ computed next to the data in Arrow batches.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,6 +28,43 @@ def normal_two_sided_p(z: float) -> float:
     return math.erfc(abs(z) / SQRT2)
 
 
+@lru_cache(maxsize=256)
+def _signed_rank_counts(n: int) -> np.ndarray:
+    """How many of the 2^n sign choices of the ranks 1..n give each sum of positive ranks (exact below 2^53)."""
+    c = np.zeros(n * (n + 1) // 2 + 1)
+    c[0] = 1.0
+    for r in range(1, n + 1):
+        c[r:] = c[r:] + c[:len(c) - r]
+    return c
+
+
+def signed_rank_p(n: int, statistic: float) -> float:
+    """Exact two-sided p of the smaller rank sum of n untied, non-zero differences."""
+    c = _signed_rank_counts(n)
+    return float(min(1.0, 2.0 * c[:int(round(statistic)) + 1].sum() / c.sum()))
+
+
+@lru_cache(maxsize=256)
+def _rank_sum_counts(n0: int, n1: int) -> np.ndarray:
+    """How many of the choices of n0 among n0 + n1 ranks give each value of U (0..n0 n1)."""
+    ways = [np.zeros(n0 * n1 + 1) for _ in range(n0 + 1)]
+    ways[0][0] = 1.0
+    for rank in range(n0 + n1):  # the k-th chosen of rank r (from 0) stands above r - k unchosen ones
+        for k in range(min(rank, n0 - 1), -1, -1):
+            above = rank - k
+            if above <= n1:
+                ways[k + 1][above:] += ways[k][:len(ways[k]) - above] if above else ways[k]
+    return ways[n0]
+
+
+def mann_whitney_p(n0: int, n1: int, u: float) -> float:
+    """Exact two-sided p of U without ties."""
+    small, large = min(n0, n1), max(n0, n1)
+    c = _rank_sum_counts(small, large)
+    top = int(round(max(u, n0 * n1 - u)))
+    return float(min(1.0, 2.0 * c[top:].sum() / c.sum()))
+
+
 def _gammq(a: float, x: float) -> float:
     """Regularised upper incomplete gamma Q(a, x)."""
     if x < 0 or a <= 0:
@@ -110,6 +148,16 @@ def nemenyi_cd(n_methods: int, n_datasets: int, alpha: float = 0.05) -> float:
 
 
 # ---------------------------------------------------------------- pandas UDFs (Arrow batches)
+@F.pandas_udf(T.DoubleType())
+def signed_rank_p_udf(n: pd.Series, statistic: pd.Series) -> pd.Series:
+    return pd.Series([signed_rank_p(int(a), float(b)) for a, b in zip(n, statistic)], dtype="float64")
+
+
+@F.pandas_udf(T.DoubleType())
+def mann_whitney_p_udf(n0: pd.Series, n1: pd.Series, u: pd.Series) -> pd.Series:
+    return pd.Series([mann_whitney_p(int(a), int(b), float(c)) for a, b, c in zip(n0, n1, u)], dtype="float64")
+
+
 @F.pandas_udf(T.DoubleType())
 def normal_p_udf(z: pd.Series) -> pd.Series:
     return z.map(lambda v: float("nan") if v is None or pd.isna(v) else normal_two_sided_p(float(v)))

@@ -9,8 +9,10 @@ Rank rules: average ranks with shared ties (H2, H4, H13, H15), dense (G22),
 ordinal (H6).  Values are rounded to ``TIE_DECIMALS`` before ties are decided,
 so engines that sum in different orders agree on ties.
 
-Wilcoxon p-values use the tie-corrected normal approximation (no exact small-n
-distribution); the statistic itself is exact.
+Wilcoxon and Mann-Whitney p-values follow SciPy's automatic choice: the exact
+distribution for small samples without ties (signed rank: at most 50 differences,
+none zero; rank sum: one side of at most 8), else the tie-corrected normal form
+(rank sum: with continuity correction).
 """
 
 from __future__ import annotations
@@ -23,10 +25,12 @@ from pyspark.sql import functions as F
 
 from tessera.functions.hashing import seeded_order
 from tessera.functions.joins import small_broadcast
-from tessera.functions.tails import chi2_sf_udf, nemenyi_cd, normal_p_udf, range_sf_udf
+from tessera.functions.tails import (chi2_sf_udf, mann_whitney_p_udf, nemenyi_cd, normal_p_udf, range_sf_udf,
+                                     signed_rank_p_udf)
 
 TIE_DECIMALS = 9
 C_BUDGETS = (1, 2, 4, 8, 16, 32)
+EXACT_PAIRS, EXACT_SIDE = 50, 8
 
 
 def _r(c) -> Column:
@@ -110,6 +114,7 @@ def wilcoxon(diffs: DataFrame, group=("c", "label_a", "label_b"), zero_method: s
     """
     g = list(group)
     d = diffs.withColumn("d", _r("d"))
+    d = d.withColumn("zeros", F.count_if(F.col("d") == 0).over(Window.partitionBy(*g)))
     if zero_method == "wilcox":
         d = d.filter(F.col("d") != 0)
     a = F.abs(F.col("d"))
@@ -118,7 +123,7 @@ def wilcoxon(diffs: DataFrame, group=("c", "label_a", "label_b"), zero_method: s
     ranked = d.withColumn("r", F.rank().over(w) + (F.count(F.lit(1)).over(wt) - 1) / 2.0) \
               .withColumn("t", F.count(F.lit(1)).over(wt))
     agg = ranked.groupBy(*g).agg(
-        F.count(F.lit(1)).alias("n"),
+        F.count(F.lit(1)).alias("n"), F.max("zeros").alias("zeros"),
         (F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0))
          + F.sum(F.when(F.col("d") == 0, F.col("r")).otherwise(0.0)) / 2).alias("w_plus"),
         (F.sum(F.when(F.col("d") < 0, F.col("r")).otherwise(0.0))
@@ -131,9 +136,13 @@ def wilcoxon(diffs: DataFrame, group=("c", "label_a", "label_b"), zero_method: s
     stat = F.least("w_plus", "w_minus")
     z = F.when(var > 0, (stat - mean) / F.sqrt(var))
     ok = F.col("n") >= min_pairs
-    return agg.select(*g, "n", "w_plus", "w_minus",
-                      F.when(ok, stat).alias("statistic"), F.when(ok, z).alias("z")) \
-              .withColumn("p_value", F.when(ok, F.when(F.col("z").isNull(), F.lit(1.0)).otherwise(normal_p_udf("z"))))
+    exact = (n <= EXACT_PAIRS) & (F.col("zeros") == 0) & (F.col("tie_term") == 0)
+    # the functions see rows of the other branch too, so their arguments are made harmless there
+    p_exact = signed_rank_p_udf(F.when(exact, F.col("n")).otherwise(F.lit(1)), F.when(exact, F.col("stat")).otherwise(F.lit(0.0)))
+    p_normal = F.when(F.col("z").isNull(), F.lit(1.0)).otherwise(normal_p_udf("z"))
+    return agg.withColumn("stat", stat).withColumn("z", F.when(ok, z)) \
+              .withColumn("p_value", F.when(ok, F.when(exact, p_exact).otherwise(p_normal))) \
+              .select(*g, "n", "w_plus", "w_minus", F.when(ok, F.col("stat")).alias("statistic"), "z", "p_value")
 
 
 def all_pairs(labels: list[str]) -> list[tuple[str, str]]:
@@ -249,7 +258,8 @@ def gain_decomposition(scores: DataFrame, target: str, orig: str, random: str) -
 
 def mann_whitney(values: DataFrame, group=("c",), side_col: str = "side", value_col: str = "d",
                  min_each: int = 3) -> DataFrame:
-    """Two-sided Mann-Whitney U (normal form with tie correction) between side 0 and side 1."""
+    """Two-sided Mann-Whitney U between side 0 and side 1: exact without ties if a side has at most EXACT_SIDE values, else
+    the normal form with tie and continuity correction."""
     g = list(group)
     v = _r(value_col)
     w = Window.partitionBy(*g).orderBy(v)
@@ -264,10 +274,15 @@ def mann_whitney(values: DataFrame, group=("c",), side_col: str = "side", value_
     u0 = F.col("r0") - n0 * (n0 + 1) / 2
     n = n0 + n1
     var = n0 * n1 / 12.0 * ((n + 1) - F.col("tie_term") / (n * (n - 1)))
-    z = (u0 - n0 * n1 / 2) / F.sqrt(var)
+    z = (F.greatest(u0, n0 * n1 - u0) - n0 * n1 / 2 - 0.5) / F.sqrt(var)
     ok = (F.col("n0") >= min_each) & (F.col("n1") >= min_each) & (var > 0)
+    exact = ok & (F.least(n0, n1) <= EXACT_SIDE) & (F.col("tie_term") == 0)
+    one = F.lit(1)
+    p_exact = mann_whitney_p_udf(F.when(exact, F.col("n0")).otherwise(one), F.when(exact, F.col("n1")).otherwise(one),
+                                 F.when(exact, F.col("u")).otherwise(F.lit(0.0)))
+    p_normal = F.when(F.col("z") <= 0, F.lit(1.0)).otherwise(normal_p_udf("z"))
     return agg.withColumn("u", u0).withColumn("z", F.when(ok, z)) \
-              .withColumn("p_value", F.when(ok, normal_p_udf("z")))
+              .withColumn("p_value", F.when(ok, F.when(exact, p_exact).otherwise(p_normal)))
 
 
 def rescue_boost(scores: DataFrame, target: str, orig: str, random: str) -> DataFrame:
