@@ -180,31 +180,33 @@ def vs_reference_tests(scores: DataFrame, reference: str, labels: list[str]) ->
     return bh_adjust(t.withColumnRenamed("label_a", "label").drop("label_b"))
 
 
-def with_band(ranks: DataFrame, cd: float) -> DataFrame:
+def with_band(ranks: DataFrame, cd) -> DataFrame:
     """H8: in_band = mean_rank <= best + CD; is_best = within 0.005 of the best."""
     w = Window.partitionBy("c")
     best = F.min("mean_rank").over(w)
     return (ranks.withColumn("best_rank", best)
             .withColumn("is_best", F.abs(F.col("mean_rank") - F.col("best_rank")) < 0.005)
-            .withColumn("in_band", F.col("mean_rank") <= F.col("best_rank") + F.lit(cd)))
+            .withColumn("in_band", F.col("mean_rank") <= F.col("best_rank") + (cd if isinstance(cd, Column) else F.lit(cd))))
 
 
 # ---------------------------------------------------------------- H9, H10, H11
-def rank_table(scores: DataFrame, reference: str, alpha: float = 0.05) -> DataFrame:
-    """H9: mean rank per (c, label) with best / in-band / star flags.
+def rank_table(scores: DataFrame, reference: str, labels: list[str], alpha: float = 0.05) -> DataFrame:
+    """H9: mean rank per (c, label) with best / in-band / star flags.  ``labels`` is the configured list; labels
+    without values take no part.
 
-    The CD uses the number of active labels and the number of datasets in the
-    scores (as the reference does).
+    The CD uses the number of active labels and the number of datasets in the scores; both are scalar
+    subqueries, so building the plan runs no job.
     """
     ranks = mean_ranks(scores)
-    k = active_labels(scores).count()
-    n_ds = scores.select("dataset").distinct().count()
-    cd = critical_distance(k, n_ds, alpha) if k >= 2 else float("nan")
-    labels = [r.label for r in active_labels(scores).orderBy("label_order").collect()]
+    k = active_labels(scores).select(F.count(F.lit(1))).scalar()
+    n_ds = scores.select(F.count_distinct("dataset")).scalar()
+    # quantile part of the critical distance for 0..len(labels) methods
+    unit = F.array(*[F.lit(critical_distance(m, 1, alpha) if m >= 2 else float("nan")) for m in range(len(labels) + 1)])
+    cd = F.get(unit, k.cast("int")) / F.sqrt(n_ds)
     tests = vs_reference_tests(scores, reference, labels).select("c", "label", "p_value", "q_value")
     return (with_band(ranks, cd).join(tests, ["c", "label"], "left")
             .withColumn("stars", stars(F.col("q_value")))
-            .withColumn("cd", F.lit(cd)))
+            .withColumn("cd", cd))
 
 
 def rank_table_check(table: DataFrame) -> DataFrame:
@@ -302,11 +304,10 @@ def rescue_boost(scores: DataFrame, target: str, orig: str, random: str) -> Data
 
 
 # ---------------------------------------------------------------- H14, H15
-def mean_score_table(scores: DataFrame, reference: str) -> DataFrame:
+def mean_score_table(scores: DataFrame, reference: str, labels: list[str]) -> DataFrame:
     """Mean value per (c, label) over the datasets that have it, with BH stars vs reference."""
     means = scores.filter(F.col("value").isNotNull()).groupBy("c", "label").agg(
         F.avg("value").alias("mean_value"), F.count(F.lit(1)).alias("n"))
-    labels = [r.label for r in active_labels(scores).orderBy("label_order").collect()]
     tests = vs_reference_tests(scores, reference, labels).select("c", "label", "q_value")
     return means.join(tests, ["c", "label"], "left").withColumn("stars", stars(F.col("q_value")))
 
@@ -378,14 +379,14 @@ def progressive_removal(scores: DataFrame, target: str, n_seeds: int = 20, base_
     """
     fractions = list(fractions or removal_fractions())
     datasets = scores.select("dataset").distinct()
-    n_all = datasets.count()
-    keeps = [int(n_all * (1 - f)) for f in fractions]
+    # int(N (1 - f)) per fraction, N as a scalar subquery
+    keeps = [F.floor(scores.select(F.count_distinct("dataset")).scalar() * F.lit(1 - f)).cast("int") for f in fractions]
     ranks = complete_case_ranks(scores).select("dataset", "c", "label", "rank")
     pos = (datasets.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(n_seeds - 1))))
            .withColumn("pos", F.row_number().over(
                Window.partitionBy("seed").orderBy(seeded_order(F.col("seed") + base_seed, F.col("dataset")), "dataset"))))
     kept = (pos.withColumn("fi", F.explode(F.sequence(F.lit(0), F.lit(len(fractions) - 1))))
-            .withColumn("n_keep", F.array(*[F.lit(k) for k in keeps])[F.col("fi")])
+            .withColumn("n_keep", F.array(*keeps)[F.col("fi")])
             .filter((F.col("pos") <= F.col("n_keep")) & (F.col("n_keep") >= min_keep)))
     mr = (kept.join(ranks, "dataset").groupBy("seed", "fi", "c", "label").agg(F.avg("rank").alias("mean_rank")))
     w = Window.partitionBy("seed", "fi", "c")
@@ -393,8 +394,8 @@ def progressive_removal(scores: DataFrame, target: str, n_seeds: int = 20, base_
            .groupBy("seed", "fi").agg(F.bool_and(F.col("mean_rank") <= F.col("best") + margin).alias("top")))
     per_f = top.groupBy("fi").agg(F.count_if("top").alias("seeds_target_top"))
     fr = scores.sparkSession.createDataFrame(
-        [(i, float(round(f, 1)), k) for i, (f, k) in enumerate(zip(fractions, keeps))],
-        "fi int, fraction_removed double, datasets_kept int")
+        [(i, float(round(f, 1))) for i, f in enumerate(fractions)], "fi int, fraction_removed double")
+    fr = fr.withColumn("datasets_kept", F.array(*keeps)[F.col("fi")])
     out = small_broadcast(fr).join(per_f, "fi", "left").withColumn(
         "seeds_target_top", F.coalesce("seeds_target_top", F.lit(0)).cast("bigint")) \
         .withColumn("n_seeds", F.lit(n_seeds))

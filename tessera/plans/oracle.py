@@ -71,6 +71,46 @@ def ranks_cte(src: str = "scores", name: str = "ranks") -> str:
            from {name}_cc)"""
 
 
+# two-sided normal tail p of a z value: Simpson's rule on [|z|, |z| + 12]
+def normal_p_sql(z: str) -> str:
+    return (f"list_sum(list_transform(range(0, 4001), lambda i: (case when i in (0, 4000) then 1 when i % 2 = 1 then 4 else 2 end) "
+            f"* exp(-0.5 * power(abs({z}) + i * 0.003, 2)))) * 0.001 * 2 / sqrt(2 * pi())")
+
+
+# exact signed-rank tail: 2 P(W <= s) for n untied differences, by counting the sign choices rank by rank
+SIGNED_RANK_CTE = """sr as (select 0 as n, 0 as s, 1.0::double as ways union all
+       select n + 1, s + step, sum(ways) from (select n, s, ways, unnest([0, n + 1]) as step from sr where n < 50) x group by n, s + step),
+srp as (select n, s, 2 * sum(ways) over (partition by n order by s) / power(2.0, n) as p from sr)"""
+
+# exact rank-sum counts: ranks taken one by one, k of them chosen, u = unchosen ones below the chosen
+RANK_SUM_CTE = """rs as (select 0 as m, 0 as k, 0 as u, 1.0::double as ways union all
+       select m + 1, k + step, u + step * (m - k), sum(ways)
+       from (select m, k, u, ways, unnest([0, 1]) as step from rs where m < 24) x group by m, k + step, u + step * (m - k)),
+rsp as (select m, k, u, 2 * sum(ways) over (partition by m, k order by u desc) / sum(ways) over (partition by m, k) as p from rs)"""
+
+
+def wilcoxon_p_sql(diffs: str, group: str, zero_drop: bool = False, min_pairs: int = 5) -> str:
+    """As ``wilcoxon_sql`` with p_value; needs SIGNED_RANK_CTE in a ``with recursive``."""
+    base = wilcoxon_sql(diffs, group, zero_drop, min_pairs)
+    return f"""(select w.*, case when w.n >= {min_pairs} then case
+          when w.n <= 50 and zeros = 0 and distinct_abs = n_all then least(1.0, srp.p)
+          when z is null then 1.0 else {normal_p_sql("z")} end end as p_value
+   from {base} w join (select {group}, count(*) as n_all, count_if(round(d, 9) = 0) as zeros, count(distinct abs(round(d, 9))) as distinct_abs
+                       from {diffs} group by {group}) t using ({group})
+   left join srp on srp.n = w.n and srp.s = cast(round(least(w_plus, w_minus)) as int))"""
+
+
+def bh_sql(tests: str, group: str = "c") -> str:
+    """The relation ``tests`` plus q_value (Benjamini-Hochberg per group; p_value may be null)."""
+    return f"""(select * exclude (i, m), case when p_value is not null then min(least(1.0, p_value * m / i)) over (
+          partition by {group}, p_value is null order by p_value desc, i desc rows between unbounded preceding and current row) end as q_value
+   from (select *, row_number() over (partition by {group}, p_value is null order by p_value) as i,
+                count(*) over (partition by {group}, p_value is null) as m from {tests}) b)"""
+
+
+STARS_SQL = "case when q_value is null then '' when q_value < 0.001 then '***' when q_value < 0.01 then '**' when q_value < 0.05 then '*' else '' end"
+
+
 def wilcoxon_sql(diffs: str, group: str, zero_drop: bool = False, min_pairs: int = 5) -> str:
     """statistic, z of the paired signed-rank test over a relation (group cols..., d)."""
     flt = "where d <> 0" if zero_drop else ""

