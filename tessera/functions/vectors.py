@@ -7,12 +7,14 @@ import pandas as pd
 
 # Largest medoid / candidate block broadcast at once (rows x dims of float64).
 MAX_BROADCAST_VALUES = 50_000_000
+# Largest context that a user scorer is given whole.
+MAX_CONTEXT_ROWS = 100_000
 
 
 def stack(col: pd.Series) -> np.ndarray:
     if len(col) == 0:
         return np.zeros((0, 0))
-    return np.vstack([np.asarray(v, dtype=np.float64) for v in col.to_numpy()])
+    return np.concatenate(col.to_numpy()).astype(np.float64).reshape(len(col), -1)
 
 
 def normalise(x: np.ndarray) -> np.ndarray:

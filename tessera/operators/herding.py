@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
+from tessera.functions.tiles import BLOCK_ROWS, meet
 from tessera.session import cut_lineage
 
 
@@ -31,40 +32,22 @@ def _kernel(x: np.ndarray, m: np.ndarray, gamma: float) -> np.ndarray:
     return np.exp(-gamma * V.pairwise(x, m, "euclidean") ** 2)
 
 
-def kernel_means(pool: DataFrame, gamma: float, block: int = 4096) -> DataFrame:
-    """(row_id, features, mu): exact mean kernel to the whole pool, one pass per broadcast block.
+def kernel_means(pool: DataFrame, gamma: float, block: int = BLOCK_ROWS) -> DataFrame:
+    """(row_id, features, mu): exact mean kernel to the whole pool.  Blocks of the pool meet blocks of the pool on the
+    executors, and partial sums are added up; one job, nothing passes the driver."""
+    def sums(x: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(m):
+            return pd.DataFrame({"row_id": [], "ksum": []})
+        return pd.DataFrame({"row_id": x["row_id"], "ksum": _kernel(V.stack(x["features"]), V.stack(m["features"]), gamma).sum(1)})
 
-    Blocks are seeded hash buckets of row_id (about ``block`` rows each), so no id list
-    reaches the driver; each block's vectors are gathered and broadcast in turn.
-    """
-    from tessera.functions.hashing import seeded_order
-    sc = pool.sparkSession.sparkContext
-    n = pool.count()
-    n_blocks = max(1, -(-n // block))
-    bucket = seeded_order("rdss-block", F.col("row_id")) % n_blocks
-    acc = pool.select("row_id", "features").withColumn("ksum", F.lit(0.0))
-    for i in range(n_blocks):
-        rows = pool.filter(bucket == i).select("features").collect()  # one block, about n / n_blocks rows
-        if not rows:
-            continue
-        m = np.vstack([np.asarray(r[0], dtype=np.float64) for r in rows])
-        V.check_broadcast(*m.shape)
-        b = sc.broadcast(m)
-
-        def fn(it, b=b):
-            mm = b.value
-            for pdf in it:
-                if len(pdf):
-                    x = V.stack(pdf["features"])
-                    yield pdf.assign(ksum=pdf["ksum"].to_numpy() + _kernel(x, mm, gamma).sum(1))
-        acc = acc.mapInPandas(fn, "row_id long, features array<float>, ksum double")
-        if i % 4 == 3:
-            acc = cut_lineage(acc)
-    return acc.select("row_id", "features", (F.col("ksum") / n).alias("mu"))
+    rows = pool.select("row_id", "features")
+    total = meet(rows, rows, sums, "row_id long, ksum double", block, block).groupBy("row_id").agg(F.sum("ksum").alias("ksum"))
+    n = pool.select(F.count(F.lit(1))).scalar()
+    return rows.join(total, "row_id").select("row_id", "features", (F.col("ksum") / n).alias("mu"))
 
 
 def rdss(pool: DataFrame, n: int, alpha: float | None = None, gamma: float | None = None,
-         block: int = 4096, checkpoint_every: int = 8) -> list[int]:
+         block: int = BLOCK_ROWS, checkpoint_every: int = 8) -> list[int]:
     """Ids of the n rows picked by alpha-MMD herding (in pick order).  n <= 0 is an error;
     n >= N returns the whole pool."""
     if n <= 0:
@@ -95,6 +78,7 @@ def rdss(pool: DataFrame, n: int, alpha: float | None = None, gamma: float | Non
             state = state.mapInPandas(upd, "row_id long, features array<float>, mu double, pen double, picked boolean")
             # reliable checkpoint every few rounds, cached in between (no recompute of pending updates)
             state = cut_lineage(state) if t % checkpoint_every == 0 else state.persist()
+            state.count()  # the new state is filled from the cached old one before that goes
             prev.unpersist()
         score = F.col("pen") / F.lit(float(t + 1)) - F.lit(alpha) * F.col("mu")
         best = (state.filter(~F.col("picked"))

@@ -12,112 +12,66 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
-from tessera.functions.joins import small_broadcast
+from tessera.functions.tiles import BLOCK_ROWS, meet
 
 
 # ---------------------------------------------------------------- E1 k-NN
-CONTEXT_BLOCK = 20_000
-
-
 def knn_predict(context: DataFrame, test: DataFrame, k: int = 5, metric: str = "euclidean",
-                classes: list[int] | None = None, block: int = CONTEXT_BLOCK) -> DataFrame:
-    """K-NN vote shares, k = clamp(k, 1, n_context).  A context of at most ``block`` rows (a
-    selection: bounded by the budget) is broadcast whole; a larger one (E13, the full train pool)
-    goes through ``knn_predict_blocked``.  Ties in distance go to the lower row_id.  Output
-    (row_id, y_true, class, prob) over the class union of context and test (E6: absent classes 0)."""
-    n_ctx = context.limit(block + 1).count()
-    if n_ctx > block:
-        return knn_predict_blocked(context, test, k, metric, block)
-    ctx = context.select("row_id", "features", "label").orderBy("row_id").collect()  # <= block rows
-    V.check_broadcast(len(ctx), len(ctx[0]["features"]) if ctx else 1)
-    cids = np.asarray([r["row_id"] for r in ctx], dtype=np.int64)
-    cx = np.vstack([np.asarray(r["features"], dtype=np.float64) for r in ctx])
-    cy = np.asarray([r["label"] for r in ctx], dtype=np.int64)
-    if classes is None:
-        tc = [r[0] for r in test.select("label").distinct().collect()]  # class list, bounded
-        classes = sorted(set(cy.tolist()) | set(tc))
-    kk = max(1, min(k, len(ctx)))
-    b = test.sparkSession.sparkContext.broadcast((cids, V.normalise(cx) if metric == "cosine" else cx, cy,
-                                                 np.asarray(classes, dtype=np.int64)))
+                classes: list[int] | None = None, block: int = BLOCK_ROWS, by: tuple = ()) -> DataFrame:
+    """K-NN vote shares, k = clamp(k, 1, n_context), one path for every context size.
+
+    Blocks of test rows meet blocks of context rows on the executors (``tiles.meet``); each block keeps a test row's k
+    nearest, and a window group limit merges the partial lists.  Ties in distance go to the lower row_id.  Output
+    (by..., row_id, y_true, class, prob): one row per test row and class, absent classes 0 (E6).  ``classes`` is the
+    list asked for, by default the labels of context and test.  With ``by``, contexts of several groups are scored at
+    once, each against its own test rows.
+    """
+    g = list(by)
 
-    def fn(it):
-        ids, m, y, cls = b.value
-        for pdf in it:
-            if len(pdf) == 0:
-                continue
-            x = V.stack(pdf["features"])
-            x = V.normalise(x) if metric == "cosine" else x
-            d = V.pairwise(x, m, metric)
-            order = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :kk]
-            votes = y[order]
-            probs = (votes[:, :, None] == cls[None, None, :]).sum(1) / float(kk)
-            n = len(pdf)
-            yield pd.DataFrame({"row_id": np.repeat(pdf["row_id"].to_numpy(), len(cls)),
-                                "y_true": np.repeat(pdf["label"].to_numpy(), len(cls)),
-                                "class": np.tile(cls, n), "prob": probs.ravel()})
-    return test.select("row_id", "features", "label").mapInPandas(
-        fn, "row_id long, y_true int, class long, prob double").withColumn("class", F.col("class").cast("int"))
-
-
-def knn_predict_blocked(context: DataFrame, test: DataFrame, k: int = 5, metric: str = "euclidean",
-                        block: int = CONTEXT_BLOCK) -> DataFrame:
-    """E1 / E13 for a context of any size: the context is cut into seeded hash buckets of about
-    ``block`` rows; each bucket is broadcast in turn and every test row keeps its k nearest
-    members of it; the partial lists merge with a window group limit (row_number <= k) and
-    become vote shares.  Nothing larger than one bucket reaches the driver."""
-    from tessera.functions.hashing import seeded_order
-    n = context.count()
-    k = max(1, min(k, n))
-    n_blocks = max(1, -(-n // block))
-    bucket = seeded_order("knn-block", F.col("row_id")) % n_blocks
-    sc = test.sparkSession.sparkContext
-    parts = None
-    for i in range(n_blocks):
-        rows = context.filter(bucket == i).select("row_id", "features", "label").collect()  # one bucket
-        if not rows:
-            continue
-        ids = np.asarray([r["row_id"] for r in rows], dtype=np.int64)
-        m = np.vstack([np.asarray(r["features"], dtype=np.float64) for r in rows])
-        V.check_broadcast(*m.shape)
-        ys = np.asarray([r["label"] for r in rows], dtype=np.int64)
-        b = sc.broadcast((ids, V.normalise(m) if metric == "cosine" else m, ys))
-
-        def fn(it, b=b):
-            cid, mm, cy = b.value
-            kk = min(k, len(cid))
-            for pdf in it:
-                if len(pdf) == 0:
-                    continue
-                x = V.stack(pdf["features"])
-                x = V.normalise(x) if metric == "cosine" else x
-                d = V.pairwise(x, mm, metric)
-                order = np.lexsort((np.broadcast_to(cid, d.shape), d), axis=1)[:, :kk]
-                yield pd.DataFrame({"row_id": np.repeat(pdf["row_id"].to_numpy(), kk),
-                                    "y_true": np.repeat(pdf["label"].to_numpy(), kk),
-                                    "ctx_id": cid[order].ravel(),
-                                    "dist": np.take_along_axis(d, order, 1).ravel(),
-                                    "ctx_label": cy[order].ravel()})
-        p = test.select("row_id", "features", "label").mapInPandas(
-            fn, "row_id long, y_true int, ctx_id long, dist double, ctx_label long")
-        parts = p if parts is None else parts.unionByName(p)
-    w = Window.partitionBy("row_id").orderBy("dist", "ctx_id")
+    def nearest(t: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        names = g + ["row_id", "y_true", "ctx_id", "dist", "ctx_label"]
+        if not len(t) or not len(c):
+            return pd.DataFrame({n: [] for n in names})
+        ids, labels = c["row_id"].to_numpy(), c["label"].to_numpy()
+        x, m = V.stack(t["features"]), V.stack(c["features"])
+        d = V.pairwise(V.normalise(x), V.normalise(m), metric) if metric == "cosine" else V.pairwise(x, m, metric)
+        kk = min(k, len(ids))
+        order = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :kk]
+        out = {n: np.repeat(t[n].iloc[0], len(t) * kk) for n in g}
+        return pd.DataFrame(out | {
+            "row_id": np.repeat(t["row_id"].to_numpy(), kk), "y_true": np.repeat(t["label"].to_numpy(), kk), "ctx_id": ids[order].ravel(),
+            "dist": np.take_along_axis(d, order, 1).ravel(), "ctx_label": labels[order].ravel()})[names]
+
+    k = max(1, k)
+    types = dict(test.dtypes)
+    keys = "".join(f"{n} {types[n]}, " for n in g)
+    parts = meet(test.select(*g, "row_id", "features", "label"), context.select(*g, "row_id", "features", "label"), nearest,
+                 f"{keys}row_id long, y_true int, ctx_id long, dist double, ctx_label int", block, block, by=by)
+    w = Window.partitionBy(*g, "row_id").orderBy("dist", "ctx_id")
     top = parts.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= F.lit(k))
-    classes = sorted({r[0] for r in context.select("label").distinct().collect()}
-                     | {r[0] for r in test.select("label").distinct().collect()})  # class list, bounded
-    votes = top.groupBy("row_id", "y_true", F.col("ctx_label").cast("int").alias("class")).agg(
-        (F.count(F.lit(1)) / float(k)).alias("prob"))
-    grid = test.select("row_id", F.col("label").alias("y_true")).withColumn(
-        "class", F.explode(F.array(*[F.lit(int(c)) for c in classes])))
-    return grid.join(votes, ["row_id", "y_true", "class"], "left").fillna(0.0, subset=["prob"])
+    votes = top.groupBy(*g, "row_id", "y_true", F.col("ctx_label").alias("class")).agg(F.count(F.lit(1)).alias("n"))
+    # a context of fewer than k rows gives every test row that many votes
+    total = top.groupBy(*g, "row_id").agg(F.count(F.lit(1)).alias("of"))
+    if classes is None:
+        seen = context.select("label").unionByName(test.select("label")).distinct()
+        wanted = seen.select(F.array_sort(F.collect_set(F.col("label").cast("int")))).scalar()  # class list, bounded
+    else:
+        wanted = F.array(*[F.lit(int(c)) for c in classes])
+    grid = test.select(*g, "row_id", F.col("label").cast("int").alias("y_true")).withColumn("class", F.explode(wanted))
+    out = grid.join(total, g + ["row_id"], "left").join(votes, g + ["row_id", "y_true", "class"], "left")
+    return out.select(*g, "row_id", "y_true", "class", F.coalesce(F.col("n") / F.col("of"), F.lit(0.0)).alias("prob"))
 
 
 # ---------------------------------------------------------------- E2, E3, E4, E5
-def logistic_predict(context: DataFrame, test: DataFrame, max_iter: int = 1000) -> DataFrame:
-    """Multinomial logistic regression (pyspark.ml) fitted on the context."""
+def logistic_predict(context: DataFrame, test: DataFrame, max_iter: int = 1000, c: float = 1.0) -> DataFrame:
+    """Multinomial logistic regression (pyspark.ml) fitted on the context with an L2 penalty of strength 1 / ``c``:
+    sum of losses + |w|^2 / (2 c), i.e. regParam = 1 / (c n) on the mean loss, without feature scaling."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector, vector_to_array
     tr = context.select(array_to_vector("features").alias("fv"), F.col("label").cast("double").alias("y"))
-    model = LogisticRegression(featuresCol="fv", labelCol="y", maxIter=max_iter).fit(tr)
+    n = tr.count()
+    model = LogisticRegression(featuresCol="fv", labelCol="y", maxIter=max_iter, tol=1e-8, family="multinomial",
+                               regParam=1.0 / (c * max(n, 1)), elasticNetParam=0.0, standardization=False).fit(tr)
     te = test.select("row_id", F.col("label").alias("y_true"), array_to_vector("features").alias("fv"))
     pr = model.transform(te).select("row_id", "y_true", vector_to_array("probability").alias("p"))
     return pr.select("row_id", "y_true", F.posexplode("p").alias("class", "prob"))
@@ -143,9 +97,11 @@ def gbt_predict(context: DataFrame, test: DataFrame, max_iter: int = 20) -> Data
 
 def user_scorer(context: DataFrame, test: DataFrame, fit_predict, classes: list[int]) -> DataFrame:
     """User scorer hook.  ``fit_predict(ctx_pdf, test_pdf) -> probs (n_test x n_classes)``; the
-    context (bounded) is broadcast and test rows are scored per Arrow batch."""
-    ctx = context.toPandas()  # a selection: bounded by the budget
-    V.check_broadcast(len(ctx), max(len(ctx.columns), 1))
+    context (a selection of at most ``V.MAX_CONTEXT_ROWS`` rows, checked before it is read) is broadcast and test rows
+    are scored per Arrow batch."""
+    if context.limit(V.MAX_CONTEXT_ROWS + 1).count() > V.MAX_CONTEXT_ROWS:
+        raise ValueError(f"a user scorer takes a context of at most {V.MAX_CONTEXT_ROWS} rows")
+    ctx = context.toPandas()
     b = test.sparkSession.sparkContext.broadcast(ctx)
     cls = np.asarray(classes)
 
@@ -293,37 +249,7 @@ def class_discovery(pool: DataFrame, selected: DataFrame, by=()) -> DataFrame:
 
 def knn_predict_grouped(contexts: DataFrame, test: DataFrame, k: int = 5, metric: str = "euclidean",
                         group: str = "candidate_id") -> DataFrame:
-    """E1 for many contexts at once (one per candidate): all contexts are broadcast together (their
-    total size is checked), each test batch is scored against every context.
+    """E1 for many contexts at once (one per candidate): every context against the whole test table.
     Output (group, row_id, y_true, class, prob)."""
-    ctx = contexts.select(group, "row_id", "features", "label").orderBy(group, "row_id").collect()
-    V.check_broadcast(len(ctx), len(ctx[0]["features"]) if ctx else 1)
-    gid = np.asarray([r[group] for r in ctx], dtype=np.int64)
-    cids = np.asarray([r["row_id"] for r in ctx], dtype=np.int64)
-    cx = np.vstack([np.asarray(r["features"], dtype=np.float64) for r in ctx])
-    cy = np.asarray([r["label"] for r in ctx], dtype=np.int64)
-    tc = [r[0] for r in test.select("label").distinct().collect()]
-    classes = np.asarray(sorted(set(cy.tolist()) | set(tc)), dtype=np.int64)
-    b = test.sparkSession.sparkContext.broadcast((gid, cids, V.normalise(cx) if metric == "cosine" else cx, cy, classes))
-
-    def fn(it):
-        g, ids, m, y, cls = b.value
-        groups = np.unique(g)
-        for pdf in it:
-            if len(pdf) == 0:
-                continue
-            x = V.stack(pdf["features"])
-            x = V.normalise(x) if metric == "cosine" else x
-            for gg in groups:
-                sel = g == gg
-                kk = max(1, min(k, int(sel.sum())))
-                d = V.pairwise(x, m[sel], metric)
-                order = np.lexsort((np.broadcast_to(ids[sel], d.shape), d), axis=1)[:, :kk]
-                votes = y[sel][order]
-                probs = (votes[:, :, None] == cls[None, None, :]).sum(1) / float(kk)
-                n = len(pdf)
-                yield pd.DataFrame({group: gg, "row_id": np.repeat(pdf["row_id"].to_numpy(), len(cls)),
-                                    "y_true": np.repeat(pdf["label"].to_numpy(), len(cls)),
-                                    "class": np.tile(cls, n), "prob": probs.ravel()})
-    return test.select("row_id", "features", "label").mapInPandas(
-        fn, f"{group} long, row_id long, y_true int, class long, prob double").withColumn("class", F.col("class").cast("int"))
+    ids = contexts.select(F.array_sort(F.collect_set(group))).scalar()  # candidate ids: the population, bounded
+    return knn_predict(contexts, test.withColumn(group, F.explode(ids)), k, metric, by=(group,))

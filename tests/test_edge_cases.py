@@ -80,5 +80,39 @@ def test_blocked_knn_equals_broadcast_knn(spark):
     ctx = pool.filter("row_id % 3 = 0")
     test = pool.filter("row_id % 3 <> 0")
     a = E.knn_predict(ctx, test, 5).orderBy("row_id", "class").collect()
-    b = E.knn_predict_blocked(ctx, test, 5, block=37).orderBy("row_id", "class").collect()
+    b = E.knn_predict(ctx, test, 5, block=37).orderBy("row_id", "class").collect()
     assert [(r.row_id, r["class"], r.prob) for r in a] == [(r.row_id, r["class"], r.prob) for r in b]
+    for block in (37, 4096):  # the classes asked for, whatever the context size
+        got = E.knn_predict(ctx, test, 5, classes=list(range(12)), block=block)
+        assert got.count() == 12 * test.count()
+    small = E.knn_predict(ctx.limit(3), test, 5).groupBy("row_id").agg(F.sum("prob").alias("p")).select("p").distinct().collect()
+    assert [round(r.p, 9) for r in small] == [1.0]
+
+
+def test_logistic_penalty_matches_hand_solution(spark):
+    # one feature, two classes at -1 and 1: with scores (-w x, w x) the stationary point is w = 2 (1 - p), p = sigmoid(2 w)
+    ctx = spark.createDataFrame([(1, [-1.0], 0), (2, [1.0], 1)], "row_id long, features array<double>, label int")
+    got = {(r.row_id, r["class"]): r.prob for r in E.logistic_predict(ctx, ctx).collect()}
+    w = 0.5
+    for _ in range(200):
+        w = 2 * (1 - 1 / (1 + math.exp(-2 * w)))
+    assert got[(2, 1)] == pytest.approx(1 / (1 + math.exp(-2 * w)), abs=1e-4)
+
+
+def test_one_hot_encodes_every_level(spark):
+    from tessera.operators import prep as P
+    df = spark.range(10_001).select(F.format_string("v%05d", "id").alias("x"))
+    enc = P.one_hot(df.withColumn("raw", F.col("x")), P.one_hot_levels(df, ["x"]), ["x"])
+    got = enc.select("raw", F.explode("x").alias("e")).select("raw", "e.index").collect()
+    assert len(got) == 10_000 and all(r.raw == f"v{r['index'] + 1:05d}" for r in got)
+    odd = P.one_hot(spark.createDataFrame([(None,), ("new",), ("v00000",)], "x string"), P.one_hot_levels(df, ["x"]), ["x"])
+    assert [len(r.x) for r in odd.collect()] == [0, 0, 0]
+
+
+def test_missing_embedding_is_an_error(spark):
+    from tessera.operators import space as R
+    pool = spark.createDataFrame([(1,), (2,)], "row_id long")
+    emb = spark.createDataFrame([(1, [0.5])], "row_id long, embedding array<float>")
+    with pytest.raises(Exception, match="no embedding for row 2"):
+        R.embedding_space(pool, emb).collect()
+    assert [r.row_id for r in R.embedding_coverage(pool, emb).collect()] == [2]
