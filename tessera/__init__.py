@@ -13,11 +13,8 @@ __version__ = "0.1.0"
 
 # Ship our functions to Python workers by value: executors then need no installed copy of
 # this package (works the same on local[*] and on a cluster, whatever the working directory).
-try:  # pragma: no cover - depends on the bundled cloudpickle
-    import sys as _sys
+import sys as _sys  # noqa: E402
 
-    from pyspark import cloudpickle as _cloudpickle
+from pyspark import cloudpickle as _cloudpickle  # noqa: E402
 
-    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
-except Exception:  # noqa: BLE001
-    pass
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])

@@ -19,8 +19,8 @@ BASE_SEED = 42
 C_MULTIPLIERS = (1, 2, 4, 8, 16, 32)
 METRICS = ("AUC", "ACC", "F1")
 BASELINE_METHOD = "All"
-SUPERVISED_METHOD = "SSMA"
-EXEMPT_METHODS = (BASELINE_METHOD, SUPERVISED_METHOD)
+# methods whose runs do not follow the seed window; callers add their own (e.g. a supervised search)
+EXEMPT_METHODS = (BASELINE_METHOD,)
 KEY = ["dataset", "fold", "space", "method", "n_selected", "seed", "evaluator", "metric"]
 RUN_KEY = ["dataset", "fold", "space", "method", "evaluator", "n_selected", "seed", "metric"]
 FOLD_KEY = ["dataset", "fold", "space", "method", "evaluator", "n_selected", "metric"]
@@ -213,9 +213,10 @@ def seed_means(run_df: DataFrame) -> DataFrame:
     return run_df.groupBy(*FOLD_KEY).agg(F.avg("value").alias("value"))
 
 
-def run_and_seed_means(df: DataFrame, runs_per_method: dict, base_seed: int = BASE_SEED) -> DataFrame:
+def run_and_seed_means(df: DataFrame, runs_per_method: dict, base_seed: int = BASE_SEED,
+                       exempt=EXEMPT_METHODS) -> DataFrame:
     """G16 with G9 in between: run mean -> seed window -> seed mean (per fold)."""
-    return seed_means(seed_window(run_means(df), runs_per_method, base_seed))
+    return seed_means(seed_window(run_means(df), runs_per_method, base_seed, exempt))
 
 
 def metrics_side_by_side(fold_df: DataFrame, metrics=METRICS) -> DataFrame:
@@ -226,8 +227,9 @@ def metrics_side_by_side(fold_df: DataFrame, metrics=METRICS) -> DataFrame:
 
 def missing_metrics(fold_df: DataFrame, metrics=METRICS) -> DataFrame:
     """(dataset, space, method, evaluator, n_selected, metric) with a metric absent in some folds,
-    with the sorted list of folds where it is absent."""
+    with the sorted list of folds where it is absent.  Baseline rows are left out."""
     g = ["dataset", "space", "method", "evaluator", "n_selected"]
+    fold_df = fold_df.filter(F.col("method") != BASELINE_METHOD)
     expected = fold_df.select(*g, "fold").distinct().withColumn(
         "metric", F.explode(F.array(*[F.lit(x) for x in metrics])))
     missing = expected.join(fold_df.select(*g, "fold", "metric").distinct(), g + ["fold", "metric"], "left_anti")
@@ -323,21 +325,33 @@ def wide_to_long(wide: DataFrame, id_cols=("dataset",)) -> DataFrame:
                     "value")
 
 
-def missing_cells(long_df: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Per wide column, the catalog datasets with no value (sorted).
+def missing_cells(long_df: DataFrame, catalog: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Per wide column, the catalog datasets with no value (sorted).  ``columns`` is the configured list of wide
+    columns; one without any value is listed with every dataset.  By default the columns that have a row.
 
-    The catalog's dataset list is one bounded array (scalar subquery); no grid join.
+    The grid of datasets and columns is exploded from the column list and anti-joined, so no dataset list is
+    gathered before the groups of missing ones.
     """
-    all_ds = catalog.select(F.array_sort(F.collect_set("dataset"))).scalar()
-    have = (long_df.groupBy(wide_column_name().alias("col"))
-            .agg(F.collect_set(F.when(F.col("value").isNotNull(), F.col("dataset"))).alias("have")))
-    return (have.select("col", F.array_except(all_ds, "have").alias("datasets"))
-            .withColumn("n_missing", F.size("datasets")).filter("n_missing > 0"))
+    have = long_df.filter(F.col("value").isNotNull()).select(wide_column_name().alias("col"), "dataset").distinct()
+    names = F.array(*[F.lit(c) for c in columns]) if columns else \
+        long_df.select(F.collect_set(wide_column_name())).scalar()  # column names: the configuration, bounded
+    grid = catalog.select("dataset").distinct().withColumn("col", F.explode(names))
+    gone = grid.join(have, ["col", "dataset"], "left_anti")
+    return gone.groupBy("col").agg(F.array_sort(F.collect_list("dataset")).alias("datasets")).withColumn(
+        "n_missing", F.size("datasets"))
 
 
 # ---------------------------------------------------------------- G24, G25, G26, G27, G29
+def compact_long(long_df: DataFrame, base_df: DataFrame) -> DataFrame:
+    """G24 input: values, improvabilities and ranks as rows of ``kind`` value / improvability / rank."""
+    ranked = with_improvability(with_dense_rank(long_df), base_df)
+    return ranked.select(*CELL_KEY, F.expr(
+        "stack(3, 'value', value, 'improvability', improvability, 'rank', cast(rank as double)) as (kind, value)"))
+
+
 def compact_table(long_df: DataFrame, multipliers=C_MULTIPLIERS) -> DataFrame:
-    """Mean over datasets per (space, method, evaluator, metric[, kind]); budgets as columns."""
+    """Mean over datasets per (space, method, evaluator, metric[, kind]); budgets as columns.  With
+    ``compact_long`` the table also holds improvabilities and ranks."""
     key = ["space", "method", "evaluator", "metric"] + (["kind"] if "kind" in long_df.columns else [])
     return long_df.groupBy(*key).pivot("c", list(multipliers)).agg(F.avg("value"))
 
@@ -377,18 +391,28 @@ def evaluator_slices(long_df: DataFrame, evaluator: str) -> DataFrame:
     return long_df.filter(F.col("evaluator") == evaluator)
 
 
-def fold_coverage(fold_df: DataFrame, n_folds: int) -> DataFrame:
-    """Cells and baselines with fewer folds than expected, with the missing folds."""
+def fold_coverage(fold_df: DataFrame, n_folds: int, expected_cells: DataFrame | None = None) -> DataFrame:
+    """Cells and baselines with fewer folds than expected, with the missing folds.  ``expected_cells`` is the
+    configured grid (the cell key columns); its cells without any fold are listed with all folds missing."""
     g = ["dataset", "space", "method", "evaluator", "n_selected", "metric"]
     expected = F.sequence(F.lit(0), F.lit(n_folds - 1))
-    return (fold_df.groupBy(*g).agg(F.array_sort(F.collect_set("fold")).alias("folds"))
+    rows = fold_df.select(*g, "fold")
+    if expected_cells is not None:
+        rows = rows.unionByName(expected_cells.select(*g).withColumn("fold", F.lit(None).cast("int")))
+    return (rows.groupBy(*g).agg(F.array_sort(F.collect_set("fold")).alias("folds"))
             .filter(F.size("folds") < n_folds)
             .withColumn("missing_folds", F.array_except(expected, "folds")))
 
 
-def combination_coverage(long_df: DataFrame, catalog: DataFrame) -> DataFrame:
-    """(dataset, space, method, evaluator) combinations with no row for a dataset."""
-    all_ds = catalog.select(F.array_sort(F.collect_set("dataset"))).scalar()
-    have = long_df.groupBy("space", "method", "evaluator").agg(F.collect_set("dataset").alias("have"))
-    return (have.select("space", "method", "evaluator", F.array_except(all_ds, "have").alias("datasets"))
-            .filter(F.size("datasets") > 0))
+def combination_coverage(long_df: DataFrame, catalog: DataFrame, combinations: list[tuple] | None = None) -> DataFrame:
+    """(space, method, evaluator) combinations with the datasets that have no row.  ``combinations`` is the configured
+    list; one without any row is listed with every dataset.  By default the combinations that have a row."""
+    names = ["space", "method", "evaluator"]
+    have = long_df.select("dataset", *names).distinct()
+    if combinations:
+        combos = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, c)]) for c in combinations])
+    else:
+        combos = long_df.select(F.collect_set(F.struct(*names))).scalar()  # the configuration, bounded
+    grid = catalog.select("dataset").distinct().withColumn("_k", F.explode(combos)).select("dataset", *[F.col(f"_k.{n}").alias(n) for n in names])
+    gone = grid.join(have, ["dataset", *names], "left_anti")
+    return gone.groupBy(*names).agg(F.array_sort(F.collect_list("dataset")).alias("datasets"))

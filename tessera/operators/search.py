@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from tessera.functions.hashing import seeded_order
 
 MAX_SELECTION = 500
-MAX_GENES_ON = 20_000
 
 
 def _h(seed, cand: Column, key: Column) -> Column:
@@ -27,11 +26,9 @@ def _h(seed, cand: Column, key: Column) -> Column:
 # ---------------------------------------------------------------- C1
 def random_candidates(pool: DataFrame, n_candidates: int, size: int, seed: int = 42) -> DataFrame:
     """n_candidates random subsets of ``size`` rows, each with >= 1 row per class (min hash per
-    class, then the lowest hashes of the rest).  size > 20,000 turns every row on (reference quirk)."""
+    class, then the lowest hashes of the rest), at every size."""
     cand = pool.select("row_id", "label").withColumn(
         "candidate_id", F.explode(F.sequence(F.lit(0), F.lit(n_candidates - 1))))
-    if size > MAX_GENES_ON:
-        return cand.select("candidate_id", "row_id")
     h = _h(seed, F.col("candidate_id"), F.col("row_id"))
     cand = cand.withColumn("h", h)
     firsts = cand.groupBy("candidate_id", "label").agg(F.min_by("row_id", F.struct("h", "row_id")).alias("row_id"))
@@ -51,11 +48,13 @@ def reduction(size: Column, n_classes: Column, max_size: int = MAX_SELECTION) ->
     return 0.5 * lin + 0.5 * (0.5 + 0.5 * lg)
 
 
-def fitness(val_auc: Column, red: Column, alpha: float, size: Column, all_classes: Column) -> Column:
-    """Alpha * val_auc + (1 - alpha) * reduction; 0 if size < 2, size > 20,000 or a class is absent.
-    A classifier failure gives val_auc 0 while the reduction part still counts (reference quirk)."""
+def fitness(val_auc: Column, red: Column, alpha: float, size: Column, all_classes: Column, max_size: int | None = None) -> Column:
+    """Alpha * val_auc + (1 - alpha) * reduction; 0 if size < 2, a class is absent or, with ``max_size`` (the largest
+    context a scorer takes; 20,000 in the published method), the subset is larger.  A classifier failure gives val_auc 0
+    while the reduction part still counts."""
     f = F.lit(alpha) * F.coalesce(val_auc, F.lit(0.0)) + F.lit(1.0 - alpha) * red
-    return F.when((size < 2) | (size > MAX_GENES_ON) | ~all_classes, F.lit(0.0)).otherwise(f)
+    bad = (size < 2) | ~all_classes
+    return F.when(bad if max_size is None else bad | (size > max_size), F.lit(0.0)).otherwise(f)
 
 
 def candidate_metrics(cands: DataFrame, pool: DataFrame, val_auc: DataFrame, alpha: float = 0.5) -> DataFrame:
@@ -72,7 +71,7 @@ def candidate_metrics(cands: DataFrame, pool: DataFrame, val_auc: DataFrame, alp
 
 
 # ---------------------------------------------------------------- C4
-def crossover(cands: DataFrame, pairs: DataFrame, seed: int, p_cross: float = 1.0) -> DataFrame:
+def crossover(cands: DataFrame, pairs: DataFrame, seed: int, p_cross: float = 0.7) -> DataFrame:
     """C4: uniform crossover; ``pairs`` is (child_id, parent_a, parent_b).  Each row's membership is
     taken from parent a or b by a hash coin (prob 1/2); with prob 1 - p_cross the child copies a."""
     a = cands.select(F.col("candidate_id").alias("parent_a"), "row_id", F.lit(1).alias("in_a"))
@@ -109,12 +108,16 @@ def mutation_counts(n_candidates: int, sizes: dict, n_genes: int, p_mut: float,
 
 
 def mutate(cands: DataFrame, pool: DataFrame, counts: dict, seed: int) -> DataFrame:
-    """C5 apply: remove the lowest-hash unprotected active rows, add the lowest-hash inactive rows."""
+    """C5 apply: remove the lowest-hash active rows, never the last one of a class (rows are ranked within their class
+    and the highest-hash one of each class stays, as a check after every single removal would give), and add the
+    lowest-hash inactive rows."""
     spark = cands.sparkSession
     cnt = F.broadcast(spark.createDataFrame([(int(c), int(a), int(r)) for c, (a, r) in counts.items()],
                                             "candidate_id long, n_add int, n_remove int"))
-    prot = protected_rows(cands, pool)
-    active = cands.join(prot, ["candidate_id", "row_id"], "left_anti")
+    own = cands.join(pool.select("row_id", "label"), "row_id").withColumn(
+        "h", _h(f"{seed}r", F.col("candidate_id"), F.col("row_id")))
+    last = own.groupBy("candidate_id", "label").agg(F.max_by("row_id", F.struct("h", "row_id")).alias("row_id"))
+    active = cands.join(last.select("candidate_id", "row_id"), ["candidate_id", "row_id"], "left_anti")
     wr = Window.partitionBy("candidate_id").orderBy(_h(f"{seed}r", F.col("candidate_id"), F.col("row_id")), "row_id")
     rm = (active.withColumn("pos", F.row_number().over(wr)).filter(F.col("pos") <= 10)
           .join(cnt, "candidate_id").filter(F.col("pos") <= F.col("n_remove")).select("candidate_id", "row_id"))
@@ -142,11 +145,16 @@ def repair(cands: DataFrame, pool: DataFrame, seed: int) -> DataFrame:
 
 
 def shrink(cands: DataFrame, pool: DataFrame, target: int, seed: int) -> DataFrame:
-    """Shrink every candidate to ``target`` rows at random, keeping protected rows."""
-    prot = protected_rows(cands, pool).withColumn("p", F.lit(0))
+    """Shrink every candidate to ``target`` rows at random, keeping protected rows (one row per class: the lowest
+    hash), also where they outnumber the target."""
+    h = _h(f"{seed}s", F.col("candidate_id"), F.col("row_id"))
+    own = cands.join(pool.select("row_id", "label"), "row_id").withColumn("h", h)
+    prot = own.groupBy("candidate_id", "label").agg(F.min_by("row_id", F.struct("h", "row_id")).alias("row_id"))
+    prot = prot.select("candidate_id", "row_id", F.lit(0).alias("p"))
     j = cands.join(prot, ["candidate_id", "row_id"], "left").withColumn("p", F.coalesce("p", F.lit(1)))
     w = Window.partitionBy("candidate_id").orderBy("p", _h(f"{seed}s", F.col("candidate_id"), F.col("row_id")), "row_id")
-    return j.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= F.lit(target)).select("candidate_id", "row_id")
+    return j.withColumn("pos", F.row_number().over(w)).filter((F.col("pos") <= F.lit(target)) | (F.col("p") == 0)).select(
+        "candidate_id", "row_id")
 
 
 # ---------------------------------------------------------------- C9, C10
@@ -169,12 +177,14 @@ def flip_neighbours(cands: DataFrame, pool: DataFrame, attempts: int, seed: int,
 
 
 def tournament(metrics: DataFrame, n_pairs: int, seed: int) -> DataFrame:
-    """C10 selection: binary tournaments; each pick is the fitter of two hash-chosen candidates."""
+    """C10 selection: binary tournaments; each pick is the fitter of two different hash-chosen candidates (the only one,
+    if the population is one)."""
     ids = metrics.select("candidate_id", "fitness")
     pop = ids.count()
     t = metrics.sparkSession.range(n_pairs * 2).withColumnRenamed("id", "slot")
     a = t.withColumn("candidate_id", seeded_order(f"{seed}:ta", F.col("slot")) % pop)
-    b = t.withColumn("candidate_id", seeded_order(f"{seed}:tb", F.col("slot")) % pop)
+    step = F.lit(1) + seeded_order(f"{seed}:tb", F.col("slot")) % max(pop - 1, 1)
+    b = t.withColumn("candidate_id", (seeded_order(f"{seed}:ta", F.col("slot")) + step) % pop)
     ranked = ids.withColumn("idx", F.row_number().over(Window.orderBy("candidate_id")) - 1)
     ja = a.join(ranked.select(F.col("idx").alias("candidate_id"), F.col("candidate_id").alias("ca"), F.col("fitness").alias("fa")), "candidate_id")
     jb = b.join(ranked.select(F.col("idx").alias("candidate_id"), F.col("candidate_id").alias("cb"), F.col("fitness").alias("fb")), "candidate_id")

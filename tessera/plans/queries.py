@@ -92,7 +92,7 @@ def q_run_means(spark, sf):
 
 @register("seed_window", W() + "select * from win", ["value"])
 def q_seed_window(spark, sf):
-    return G.seed_window(G.run_means(A.fact(spark, sf)), FX.RUNS_PER_METHOD)
+    return G.seed_window(G.run_means(A.fact(spark, sf)), FX.RUNS_PER_METHOD, exempt=FX.EXEMPT)
 
 
 @register("seed_means", W() + "select * from foldt", ["value"])
@@ -109,7 +109,7 @@ left join (select dataset, fold, space, method, evaluator, count(distinct seed)
 left join {O.runs_values()} on e.method = u.method
 where coalesce(h.n_runs, 0) < coalesce(u.runs, 1)""")
 def q_missing_runs(spark, sf):
-    return G.missing_runs(G.run_means(A.fact(spark, sf)), FX.RUNS_PER_METHOD)
+    return G.missing_runs(G.run_means(A.fact(spark, sf)), FX.RUNS_PER_METHOD, exempt=FX.EXEMPT)
 
 
 @register("budget_filter", W() + """
@@ -163,7 +163,7 @@ def q_side_by_side(spark, sf):
 @register("missing_metrics", W() + """
 select e.dataset, e.space, e.method, e.evaluator, e.n_selected, e.metric, list_sort(list(distinct e.fold)) as missing_folds
 from (select distinct dataset, space, method, evaluator, n_selected, fold, m.metric
-      from foldt, (values ('AUC'), ('ACC'), ('F1')) m(metric)) e
+      from foldt, (values ('AUC'), ('ACC'), ('F1')) m(metric) where method <> 'All') e
 anti join (select distinct dataset, space, method, evaluator, n_selected, fold, metric from foldt) h
   using (dataset, space, method, evaluator, n_selected, fold, metric)
 group by all""")
@@ -174,10 +174,15 @@ def q_missing_metrics(spark, sf):
 @register("fold_coverage", W() + """
 select dataset, space, method, evaluator, n_selected, metric, folds,
        list_filter([0, 1, 2], lambda x: not list_contains(folds, x)) as missing_folds
-from (select dataset, space, method, evaluator, n_selected, metric, list_sort(list(distinct fold)) as folds
-      from foldt group by all) g where len(folds) < 3""")
+from (select dataset, space, method, evaluator, n_selected, metric,
+             coalesce(list_sort(list(distinct fold) filter (where fold is not null)), []) as folds
+      from (select dataset, space, method, evaluator, n_selected, metric, fold from foldt union all
+            select dataset, 'Emb', 'NeverRun', 'KNN', n_classes, 'AUC', null from catalog) r group by all) g where len(folds) < 3""")
 def q_fold_coverage(spark, sf):
-    return G.fold_coverage(A.fold_table(spark, sf), 3)
+    # configured cells: one method of the configuration has no run at all
+    want = A.catalog(spark, sf).select("dataset", F.lit("Emb").alias("space"), F.lit("NeverRun").alias("method"), F.lit("KNN").alias("evaluator"),
+                                       F.col("n_classes").alias("n_selected"), F.lit("AUC").alias("metric"))
+    return G.fold_coverage(A.fold_table(spark, sf), 3, want)
 
 
 def _wide_columns():
@@ -223,25 +228,35 @@ def q_wide_decode(spark, sf):
     return G.wide_to_long(wide).filter(F.col("value").isNotNull())
 
 
-@register("missing_cells", W() + """
+CONFIGURED_COLS = [c for c in WIDE_COLS if not c.startswith("Orig_All")] + ["64C_Emb_KMedoids_KNN_AUC"]
+
+
+@register("missing_cells", W() + f"""
 select col, list_sort(list(dataset)) as datasets, cast(count(*) as int) as n_missing from
- (select * from (select g.col, k.dataset from (select distinct concat(cast(c as varchar), 'C_', space, '_', method, '_', evaluator, '_', metric) as col from cells) g
+ (select * from (select g.col, k.dataset from (values {", ".join(f"('{c}')" for c in CONFIGURED_COLS)}) g(col)
   cross join (select dataset from catalog) k) gk
   anti join (select concat(cast(c as varchar), 'C_', space, '_', method, '_', evaluator, '_', metric) as col, dataset
              from cells where value is not null) h using (col, dataset)) m
 group by col""")
 def q_missing_cells(spark, sf):
-    return G.missing_cells(A.cells(spark, sf), A.catalog(spark, sf))
+    return G.missing_cells(A.cells(spark, sf), A.catalog(spark, sf), CONFIGURED_COLS)
+
+
+_BUDGET_AVGS = ", ".join(f'avg(case when c = {c} then value end) as "{c}"' for c in G.C_MULTIPLIERS)
 
 
-@register("compact_table", W() + """
-select space, method, evaluator, metric,
-  avg(case when c = 1 then value end) as "1", avg(case when c = 2 then value end) as "2",
-  avg(case when c = 4 then value end) as "4", avg(case when c = 8 then value end) as "8",
-  avg(case when c = 16 then value end) as "16", avg(case when c = 32 then value end) as "32"
-from cells group by all""", ['"1"', '"2"', '"4"', '"8"', '"16"', '"32"'])
+@register("compact_table", W() + f"""
+, imp as (select cells.*, (1.0 - value / baseline) * 100 as improvability from cells
+          left join (select dataset, evaluator, metric, baseline from base) b using (dataset, evaluator, metric)),
+rk as (select *, case when value is not null then dense_rank() over (partition by dataset, c, evaluator, metric, value is null
+                                                                     order by round(value, 9) desc) end as rank from imp),
+kinds as (select space, method, evaluator, metric, c, 'value' as kind, value from rk union all
+          select space, method, evaluator, metric, c, 'improvability', improvability from rk union all
+          select space, method, evaluator, metric, c, 'rank', cast(rank as double) from rk)
+select space, method, evaluator, metric, kind, {_BUDGET_AVGS}
+from kinds group by space, method, evaluator, metric, kind""", [f'"{c}"' for c in G.C_MULTIPLIERS])
 def q_compact(spark, sf):
-    return G.compact_table(A.cells(spark, sf))
+    return G.compact_table(G.compact_long(A.cells(spark, sf), A.baselines(spark, sf)))
 
 
 @register("best_flags", W() + """

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions.hashing import seeded_order, sql_seeded_order
 from tessera.operators import prep as P
 from tessera.operators import results as G
 from tessera.operators import score as E
@@ -40,12 +41,17 @@ def q_runs_to_do(spark, sf):
     return G.runs_to_do(expected.select(*G.KEY), fact)
 
 
+_SEQ_SQL = sql_seeded_order("'seq'", "cast(round(value * 1e6) as bigint)")
+
+
 @register("dedupe_batch", O.with_base() + """
 select dataset, fold, space, method, n_selected, seed, evaluator, metric, value from (
   select *, row_number() over (partition by dataset, fold, space, method, n_selected, seed, evaluator, metric
-                               order by value desc) as rn from fact) x where rn = 1""", ["value"])
+                               order by """ + _SEQ_SQL + """ desc) as rn from fact) x where rn = 1""", ["value"])
 def q_dedupe(spark, sf):
-    return G.dedupe_batch(A.fact(spark, sf), "value")
+    # the last row of the batch by a sequence that has nothing to do with the value's size
+    seq = seeded_order("seq", F.round(F.col("value") * 1e6).cast("bigint"))
+    return G.dedupe_batch(A.fact(spark, sf).withColumn("seq", seq), "seq").drop("seq")
 
 
 @register("missing_datasets", O.with_base() + """
@@ -180,20 +186,19 @@ def q_eval_slice(spark, sf):
     return G.evaluator_slices(A.cells(spark, sf), "KNN")
 
 
-@register("combination_coverage", O.with_base() + """,
-extra as (select * from catalog union all select 'ds_extra', 2, 1, 4, 'Supervised Classification', 1.0),
-have as (select space, method, evaluator, list(distinct dataset) as have from cells group by all),
-alls as (select list(dataset) as all_ds from extra)
-select space, method, evaluator,
-       list_sort(list_filter(all_ds, lambda d: not list_contains(have, d))) as datasets
-from have, alls""".replace("\n,\nextra", ",\nextra"))
+COMBINATIONS = [(sp, m, "KNN") for sp, m, _ in FX.METHOD_LABELS] + [("Emb", "NeverRun", "KNN")]
+
+
+@register("combination_coverage", O.with_base() + f""",
+want as (select dataset, space, method, evaluator from (select dataset from catalog union all select 'ds_extra') d,
+         (values {", ".join(str(c) for c in COMBINATIONS)}) k(space, method, evaluator))
+select space, method, evaluator, list_sort(list(dataset)) as datasets
+from (select * from want anti join (select distinct dataset, space, method, evaluator from cells) h using (dataset, space, method, evaluator)) g
+group by all""".replace("\n,\nwant", ",\nwant"))
 def q_combo_cov(spark, sf):
-    cat = A.catalog(spark, sf)
-    extra = cat.unionByName(spark.range(1).select(
-        F.lit("ds_extra").alias("dataset"), F.lit(2).alias("n_classes"), F.lit(1).cast("bigint").alias("n_samples"),
-        F.lit(4).alias("n_features"), F.lit("Supervised Classification").alias("task_type"),
-        F.lit(1.0).alias("imbalance_ratio")))
-    return G.combination_coverage(A.cells(spark, sf), extra)
+    cat = A.catalog(spark, sf).select("dataset")
+    extra = cat.unionByName(spark.range(1).select(F.lit("ds_extra").alias("dataset")))
+    return G.combination_coverage(A.cells(spark, sf), extra, COMBINATIONS)
 
 
 @register("runs_with_curve", O.with_base() + """

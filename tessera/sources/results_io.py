@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from tessera.functions.joins import null_safe_on
 
-# reference layout -> long fact names
+# Column names of the stored result layouts, and the long fact names they become.
 LONG_NAMES = {"instance_selection_space": "space", "instance_selection_algorithm": "method",
               "n_selected_samples": "n_selected", "random_state": "seed"}
 REQUIRED = ["dataset", "fold", "space", "method", "n_selected", "seed", "evaluator", "metric", "value"]
@@ -70,14 +70,14 @@ def upgrade_old_layout(df: DataFrame) -> DataFrame:
 
 
 def check_and_cast(df: DataFrame) -> DataFrame:
-    """Required columns or an error; unparsable numbers become NULL; fold/int columns typed."""
+    """Required columns or an error; unparsable numbers and the text NaN become NULL; fold/int columns typed."""
     missing = [c for c in REQUIRED if c not in df.columns]
     if missing:
         raise ValueError(f"result table misses columns {missing}")
     return (df.withColumn("fold", F.col("fold").try_cast("int"))
             .withColumn("n_selected", F.col("n_selected").try_cast("int"))
             .withColumn("seed", F.col("seed").try_cast("int"))
-            .withColumn("value", F.col("value").try_cast("double")))
+            .withColumn("value", F.nanvl(F.col("value").try_cast("double"), F.lit(None).cast("double"))))
 
 
 def read_catalog(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -88,8 +88,9 @@ def read_catalog(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFr
 
 def merge_results(existing: DataFrame, batch: DataFrame, recompute: bool = False) -> DataFrame:
     """Keyed append.  Without recompute, stored rows win and only new keys are added; with
-    recompute, stored rows with a key in the batch are replaced.  Keys compare null-safe."""
-    b = batch.select(*REQUIRED)
+    recompute, stored rows with a key in the batch are replaced.  Keys compare null-safe.  A batch that holds a key
+    twice is an error when the query runs (G4 check); reduce it with ``dedupe_batch`` before."""
+    b = _checked_keys(batch.select(*REQUIRED))
     e = existing.select(*REQUIRED)
     if recompute:
         kb = b.select(*KEY).distinct()
@@ -99,12 +100,18 @@ def merge_results(existing: DataFrame, batch: DataFrame, recompute: bool = False
     return e.unionByName(new)
 
 
+def _checked_keys(batch: DataFrame) -> DataFrame:
+    """``batch`` itself; raises when it runs if a key occurs more than once (an aggregate, so a hot key is combined map-side)."""
+    one = batch.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n"), F.first("value").alias("value"))
+    checked = F.when(F.col("_n") > 1, F.raise_error(F.concat_ws(" ", F.lit("duplicate key in batch:"), *[
+        F.col(c).cast("string") for c in KEY])).cast("double")).otherwise(F.col("value"))
+    return one.withColumn("value", checked).select(*REQUIRED)
+
+
 def write_results(df: DataFrame, path: str):
     """S6 sink: parquet partitioned by fold; only the folds present in ``df`` are replaced
     (dynamic partition overwrite), so concurrent folds do not clobber each other."""
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    df.write.mode("overwrite").partitionBy("fold").parquet(path)
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("fold").parquet(path)
 
 
 def write_wide(df: DataFrame, path: str, fmt: str = "csv"):
@@ -130,10 +137,10 @@ class KeyedStore:
         self.spark, self.path, self.key, self.partition_by = spark, path, list(key), partition_by
 
     def read(self) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(self.path)
-        except Exception:  # noqa: BLE001 - no store yet
-            return None
+        """The stored rows; None only if the path does not exist (any other error is raised)."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        there = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+        return self.spark.read.parquet(self.path) if there else None
 
     def missing(self, wanted: DataFrame) -> DataFrame:
         have = self.read()
@@ -158,14 +165,53 @@ class KeyedStore:
         return have.join(w, null_safe_on(have, w, self.key), "left_semi")
 
 
+class SelectionStore(KeyedStore):
+    """Stored selections (one row per selected row), reused only if they fit: a run counts as stored if its pool
+    length is ``pool_size`` and it has as many rows as its budget asks for (all rows, if the pool is smaller)."""
+
+    KEY = ["dataset", "fold", "space", "method", "n_selected", "seed"]
+
+    def __init__(self, spark: SparkSession, path: str, pool_size: int):
+        super().__init__(spark, path, self.KEY)
+        self.pool_size = pool_size
+
+    def read(self) -> DataFrame | None:
+        rows = super().read()
+        if rows is None:
+            return None
+        valid = selection_store_valid(rows, self.pool_size).select(*self.KEY)
+        return rows.join(valid, null_safe_on(rows, valid, self.KEY), "left_semi")
+
+
+def flatten_selections(nested: DataFrame) -> DataFrame:
+    """The nested form (run key, pool_size, selected array<long>) as one row per selected row, in its order."""
+    return nested.select(*SelectionStore.KEY, "pool_size", F.posexplode("selected").alias("pos", "row_id"))
+
+
+def prediction_store(spark: SparkSession, path: str) -> KeyedStore:
+    """Stored probabilities, one row per (run, test row, class)."""
+    return KeyedStore(spark, path, ["dataset", "fold", "space", "method", "n_selected", "seed", "evaluator", "row_id", "class"])
+
+
+def embedding_store(spark: SparkSession, path: str) -> KeyedStore:
+    """Stored embeddings per dataset, fold and split."""
+    return KeyedStore(spark, path, ["dataset", "fold", "split", "row_id"], ["dataset", "fold", "split"])
+
+
+def score_store(spark: SparkSession, path: str) -> KeyedStore:
+    """Stored row scores (coverage scores) per dataset, fold and space."""
+    return KeyedStore(spark, path, ["dataset", "fold", "space", "row_id"], ["dataset", "fold"])
+
+
 def selection_store_valid(store: DataFrame, pool_size: int) -> DataFrame:
     """S7 reuse check: a stored selection is valid only if its pool length matches and the number
     of selected rows equals the requested size."""
     g = ["dataset", "fold", "space", "method", "n_selected", "seed"]
     return (store.groupBy(*g).agg(F.count(F.lit(1)).alias("n_rows"), F.max("pool_size").alias("pool_size"))
-            .filter((F.col("n_rows") == F.col("n_selected")) & (F.col("pool_size") == pool_size)))
+            .filter((F.col("n_rows") == F.least("n_selected", F.lit(pool_size))) & (F.col("pool_size") == pool_size)))
 
 
+# Fields of a stored candidate.
 CURVE_STRUCT = T.StructType([
     T.StructField("n_genes", T.IntegerType()), T.StructField("initial_selection_size", T.IntegerType()),
     T.StructField("genes", T.ArrayType(T.IntegerType())), T.StructField("fitness", T.DoubleType()),

@@ -14,12 +14,12 @@ Within one batch, duplicate keys keep the last row (G4) when an order column is
 
 from __future__ import annotations
 
-import os
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.joins import null_safe_on
+from tessera.operators.results import dedupe_batch
 from tessera.sources.results_io import KEY, REQUIRED
 
 
@@ -32,9 +32,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """Stored results, one row per key (latest batch wins)."""
-    df = spark.read.parquet(path)
-    w = Window.partitionBy(*KEY).orderBy(F.col("_batch").desc())
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn", "_batch")
+    return dedupe_batch(spark.read.parquet(path), "_batch", KEY).drop("_batch").select(*REQUIRED)
 
 
 def upsert_batch(batch: DataFrame, batch_id: int, path: str, recompute: bool = False,
@@ -42,13 +40,15 @@ def upsert_batch(batch: DataFrame, batch_id: int, path: str, recompute: bool = F
     spark = batch.sparkSession
     b = batch
     if order_col:
-        w = Window.partitionBy(*KEY).orderBy(F.col(order_col).desc())
-        b = b.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+        b = dedupe_batch(b, order_col, KEY)
     else:
         b = b.dropDuplicates(KEY)
     b = b.select(*REQUIRED)
     if not recompute and _exists(spark, path):
-        have = spark.read.parquet(path).select(*KEY).distinct()
+        # only the stored folds that the batch touches
+        folds = [r.fold for r in b.select("fold").distinct().collect()]
+        stored = spark.read.parquet(path)
+        have = stored.filter(F.col("fold").isin(*[f for f in folds if f is not None]) | F.col("fold").isNull()).select(*KEY).distinct()
         b = b.join(have, null_safe_on(b, have, KEY), "left_anti")
     b.withColumn("_batch", F.lit(int(batch_id))).write.mode("append").partitionBy("fold").parquet(path)
 
@@ -75,6 +75,3 @@ def result_stream(spark: SparkSession, folder: str, fmt: str = "parquet", schema
     r = spark.readStream.schema(schema)
     return r.parquet(folder) if fmt == "parquet" else r.option("header", True).csv(folder)
 
-
-def join_path(*parts: str) -> str:
-    return os.path.join(*parts)
