@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessera.operators import prep as P
@@ -12,6 +14,8 @@ from tessera.plans import analysis as A
 from tessera.plans import fixtures as FX
 from tessera.plans import oracle as O
 from tessera.plans.queries import register
+from tessera.session import ensure_checkpoint_dir
+from tessera.sources.results_io import curve_json, scan_curves, write_curves
 
 POP, SIZE = 8, 20
 
@@ -97,47 +101,91 @@ def q_best_curve(spark, sf):
     return C.best_curve(_curve_entries(spark, sf))
 
 
+def _candidates(spark, sf):
+    """Curve candidates with the stored fields; the first ``size`` of as many genes as the dataset has rows are on."""
+    cat = A.catalog(spark, sf).select("dataset", "n_classes", F.col("n_samples").cast("int").alias("n_genes"))
+    c = C.best_curve(_curve_entries(spark, sf)).join(cat, "dataset")
+    red = C.reduction(F.col("size").cast("double"), F.col("n_classes").cast("double"))
+    return c.withColumn("genes", F.expr("transform(sequence(1, n_genes), i -> int(i <= size))")).withColumn("reduction", red) \
+        .withColumn("fitness", C.fitness(F.col("val_auc"), red, 0.5, F.col("size"), F.lit(True)))
+
+
+_CAND_SQL = CURVE_SQL.replace("select dataset, fold, size, val_auc from (", "select dataset, fold, size, val_auc, n_classes, n_samples from (", 1) \
+    .replace("where val_auc >= m", "join (select dataset, n_classes, n_samples from catalog) k using (dataset) where val_auc >= m")
+_RED_SQL = ("0.5 * (1 - size / 500.0) + 0.5 * (0.5 + 0.5 * (1 - (log2(size) - log2(n_classes)) / (log2(500) - log2(n_classes))))")
+
+
+@register("curve_scan", f"select dataset, cast(fold as int) as fold, cast(size as int) as size, val_auc, n_classes, "
+          f"cast(n_samples as int) as n_genes, cast(least(size, n_samples) as int) as n_on from ({_CAND_SQL}) x", ["val_auc"])
+def q_curve_scan(spark, sf):
+    """Curve files written to the shared folder and read back."""
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/curves-{uuid.uuid4().hex}"
+    write_curves(curve_json(_candidates(spark, sf)), folder)
+    return scan_curves(spark, folder).select("dataset", "fold", "size", "val_auc", "n_classes", "n_genes",
+                                             F.aggregate("genes", F.lit(0), lambda a, g: a + g).alias("n_on"))
+
+
+@register("reduction", f"select dataset, fold, size, {_RED_SQL} as reduction from ({_CAND_SQL}) x", ["reduction"])
+def q_reduction(spark, sf):
+    return _candidates(spark, sf).select("dataset", "fold", "size", "reduction")
+
+
+@register("fitness", f"select dataset, fold, size, case when size < 2 then 0.0 else 0.5 * val_auc + 0.5 * ({_RED_SQL}) end as fitness "
+          f"from ({_CAND_SQL}) x", ["fitness"])
+def q_fitness(spark, sf):
+    return _candidates(spark, sf).select("dataset", "fold", "size", "fitness")
+
+
 HIST_SQL = O.with_base() + """
-select n_selected as initial_size, fold as step, avg(value) as mean_fitness, stddev_pop(value) as std_fitness,
+select dataset, n_selected as initial_size, fold as step, avg(value) as mean_fitness, stddev_pop(value) as std_fitness,
        max(value) as best_fitness, arg_max(seed, value) as best_candidate
-from (select * from run where method = 'RDSS' and metric = 'AUC' and dataset = 'ds3'
-      qualify row_number() over (partition by n_selected, fold, value order by seed) = 1) r
-group by n_selected, fold"""
+from (select * from run where metric = 'AUC' and method <> 'All'
+      qualify row_number() over (partition by dataset, n_selected, fold, value order by seed, space, method) = 1) r
+group by dataset, n_selected, fold"""
 
 
 @register("history_summary", HIST_SQL, ["mean_fitness", "std_fitness", "best_fitness"])
 def q_history(spark, sf):
     from pyspark.sql import Window
     from tessera.operators import results as G
-    run = G.run_means(A.fact(spark, sf)).filter("method = 'RDSS' and metric = 'AUC' and dataset = 'ds3'")
+    run = G.run_means(A.fact(spark, sf)).filter("metric = 'AUC' and method <> 'All'")
     # distinct fitness values per step so the best candidate is unique
-    run = run.withColumn("_r", F.row_number().over(Window.partitionBy("n_selected", "fold", "value").orderBy("seed"))) \
+    run = run.withColumn("_r", F.row_number().over(Window.partitionBy("dataset", "n_selected", "fold", "value").orderBy("seed", "space", "method"))) \
              .filter("_r = 1")
-    h = run.select(F.col("n_selected").alias("initial_size"), F.col("fold").alias("step"),
+    h = run.select("dataset", F.col("n_selected").alias("initial_size"), F.col("fold").alias("step"),
                    F.col("seed").alias("candidate_id"), F.col("value").alias("fitness"))
-    return C.history_summary(h)
+    return C.history_summary(h, by=("dataset",))
 
 
 SMOOTH_SQL = O.with_base() + """,
-pts as (select log10(n_selected) as lx, value as y from foldt where method = 'KMedoids' and space = 'Emb' and metric = 'AUC' and dataset = 'ds5'),
-rng as (select min(lx) as lo, max(lx) as hi from pts),
-g as (select gi, lo + gi * (hi - lo) / 199 as gx from rng, range(0, 200) t(gi)),
-w as (select g.gi, g.gx, exp(-0.5 * power((g.gx - p.lx) / (log10((select n_samples from catalog where dataset = 'ds5')) / 100.0), 2)) as w, p.y
-      from g, pts p)
-select gi, power(10.0, gx) as size, sum(w * y) / sum(w) as mean,
+pts as (select dataset, log10(n_selected) as lx, value as y from foldt where method = 'KMedoids' and space = 'Emb' and metric = 'AUC'),
+rng as (select dataset, min(lx) as lo, max(lx) as hi from pts group by dataset),
+g as (select dataset, gi, lo + gi * (hi - lo) / 199 as gx from rng, range(0, 200) t(gi)),
+w as (select g.dataset, g.gi, g.gx, exp(-0.5 * power((g.gx - p.lx) / (log10(k.n_samples) / 100.0), 2)) as w, p.y
+      from g join pts p using (dataset) join catalog k using (dataset))
+select dataset, gi, power(10.0, gx) as size, sum(w * y) / sum(w) as mean,
        sqrt(greatest(sum(w * y * y) / sum(w) - power(sum(w * y) / sum(w), 2), 0.0)) as std
-from w group by gi, gx""".replace("\n,\npts", ",\npts")
+from w group by dataset, gi, gx""".replace("\n,\npts", ",\npts")
 
 
 @register("kernel_smoother", SMOOTH_SQL, ["size", "mean", "std"])
 def q_smoother(spark, sf):
-    ft = A.fold_table(spark, sf).filter("method = 'KMedoids' and space = 'Emb' and metric = 'AUC' and dataset = 'ds5'")
-    n_train = A.catalog(spark, sf).filter("dataset = 'ds5'").first()["n_samples"]
-    return C.kernel_smoother(ft.select(F.col("n_selected").alias("size"), F.col("value").alias("auc")), n_train) \
-        .withColumn("gi", F.col("gi").cast("bigint"))
+    ft = A.fold_table(spark, sf).filter("method = 'KMedoids' and space = 'Emb' and metric = 'AUC'")
+    points = ft.join(A.catalog(spark, sf).select("dataset", F.col("n_samples").alias("n_train")), "dataset").select(
+        "dataset", "n_train", F.col("n_selected").alias("size"), F.col("value").alias("auc"))
+    return C.kernel_smoother(points).withColumn("gi", F.col("gi").cast("bigint"))
+
+
+_PAIR_SQL = CURVE_SQL.replace("select dataset, fold, size, val_auc from (", """, curve as (select dataset, fold, size, val_auc from (""", 1) + """),
+rnd as (select dataset, fold, n_selected as size, avg(value) as random_auc from foldt where metric = 'AUC' and method = 'Random' group by all),
+bud as (select distinct r.dataset, r.fold, k.n_classes * m as n_selected from (select distinct dataset, fold from rnd) r
+        join catalog k using (dataset), (values (1), (2), (4), (8), (16), (32)) v(m)),
+a as (select b.*, r.size as random_size, r.random_auc from bud b asof join rnd r
+      on b.dataset = r.dataset and b.fold = r.fold and b.n_selected >= r.size)
+select a.*, c.size as curve_size, c.val_auc from a asof join curve c on a.dataset = c.dataset and a.fold = c.fold and a.n_selected >= c.size"""
 
 
-@register("pair_random_and_curve")
+@register("pair_random_and_curve", _PAIR_SQL, ["random_auc", "val_auc"])
 def q_pair(spark, sf):
     ft = A.fold_table(spark, sf).filter("metric = 'AUC'")
     rnd = ft.filter("method = 'Random'").groupBy("dataset", "fold", F.col("n_selected").alias("size")).agg(

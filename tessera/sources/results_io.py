@@ -227,9 +227,32 @@ CURVE_NAME = r"^(.*)_fold(\d+)_best_chromosomes_curve\.json$"
 def scan_curves(spark: SparkSession, path_glob: str) -> DataFrame:
     """Candidate-curve JSON files (one map size -> candidate per file) -> one row per candidate;
     numeric-looking keys become ints; dataset and fold come from the file name."""
-    raw = spark.read.text(path_glob, wholetext=True).withColumn("file", F.col("_metadata.file_name"))
+    raw = spark.read.text(path_glob, wholetext=True)
+    # the metadata column has the name as part of a URL
+    raw = raw.withColumn("file", F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))))
     m = F.from_json("value", T.MapType(T.StringType(), CURVE_STRUCT))
     return (raw.select("file", F.explode(m).alias("size", "c"))
             .select(F.regexp_extract("file", CURVE_NAME, 1).alias("dataset"),
                     F.regexp_extract("file", CURVE_NAME, 2).cast("int").alias("fold"),
                     F.col("size").try_cast("int").alias("size"), "c.*"))
+
+
+def write_curves(curves: DataFrame, folder: str):
+    """One ``<dataset>_fold<k>_best_chromosomes_curve.json`` per (dataset, fold) of (dataset, fold, json): as many small
+    files as the catalog has folds, written through the file system of ``folder``."""
+    spark = curves.sparkSession
+    jvm = spark.sparkContext._jvm
+    base = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for r in curves.select("dataset", "fold", "json").toLocalIterator():
+        out = fs.create(jvm.org.apache.hadoop.fs.Path(base, f"{r.dataset}_fold{r.fold}_best_chromosomes_curve.json"))
+        out.write(r.json.encode())
+        out.close()
+
+
+def curve_json(entries: DataFrame) -> DataFrame:
+    """(dataset, fold, json): the curve map of each fold from one row per candidate (dataset, fold, size and the fields of
+    ``CURVE_STRUCT``)."""
+    fields = [f.name for f in CURVE_STRUCT.fields if f.name in entries.columns]
+    pair = F.struct(F.col("size").cast("string").alias("key"), F.struct(*fields).alias("value"))
+    return entries.groupBy("dataset", "fold").agg(F.to_json(F.map_from_entries(F.collect_list(pair))).alias("json"))
