@@ -12,9 +12,10 @@ at consecutive places, so the tree is cut at this depth and a node is named by a
    Buckets are packed into groups of about ``GROUP_SUFFIXES`` suffixes, so a group fits in memory at any input size.
 3. Subtrees.  A group sorts its suffixes by path; every run of equal paths is a deep internal node, its first leaf (by
    document id, text key and place) stays, the other leaves are later repeats and go back to their documents.
-4. Each document drops the words that its later repeats cover.
+4. Documents and their later repeats meet in as many buckets as there are groups, so a bucket's texts fit in memory
+   too, and each document drops the words that its later repeats cover.
 
-Suffixes travel as packed columns (8 bytes of path hash, about one byte of place); the text is shuffled once, by id.
+Suffixes travel as packed columns (8 bytes of path hash, about one byte of place); the text is shuffled once.
 """
 
 from __future__ import annotations
@@ -34,15 +35,19 @@ CHUNK_WORDS = 1 << 19  # words whose windows a task holds at once
 LADDER = (1, 2, 4)  # prefix lengths; the last resort is the whole path
 MIX = np.uint64(0x9E3779B97F4A7C15)
 ZSTD = "zstd"
+PACKED = [pa.int32(), pa.int32(), pa.int64()] + [pa.binary()] * 5
 
 
 def _pack(values: np.ndarray) -> bytes:
-    return pa.compress(np.ascontiguousarray(values), codec=ZSTD, asbytes=True)
+    """Compressed by byte planes: the upper bytes of small numbers cost next to nothing."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T
+    return pa.compress(np.ascontiguousarray(planes), codec=ZSTD, asbytes=True)
 
 
 def _unpack(data, n: int, dtype) -> np.ndarray:
-    size = n * np.dtype(dtype).itemsize
-    return np.frombuffer(pa.decompress(data, size, codec=ZSTD, asbytes=True), dtype) if n else np.zeros(0, dtype)
+    size = np.dtype(dtype).itemsize
+    planes = np.frombuffer(pa.decompress(data, n * size, codec=ZSTD, asbytes=True), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(planes.T).view(dtype).reshape(n)
 
 
 def _step(h: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -146,14 +151,34 @@ def _later(doc_id_order: tuple, path: np.ndarray) -> np.ndarray:
     return out
 
 
+def _opened(_, n_docs, n, ids, known, keys, counts, gaps, paths=b""):
+    """(ids, known, keys, counts) of the documents of a packed row and its places and paths."""
+    counts = _unpack(counts, n_docs, np.uint32).astype(np.int64)
+    gaps = _unpack(gaps, n, np.uint32).astype(np.int64)
+    run = np.cumsum(gaps)
+    first = np.cumsum(counts) - counts
+    place = run - np.repeat(run[first] - gaps[first], counts)
+    return (np.cumsum(_unpack(ids, n_docs, np.int64)), _unpack(known, n_docs, np.bool_), np.frombuffer(keys, np.int32), counts,
+            place.astype(np.uint32), np.frombuffer(paths, np.uint64))
+
+
+def _bucket(ids: np.ndarray, keys: np.ndarray, n: int) -> np.ndarray:
+    """Bucket of a document; the same as ``bucket_of``, spread by id so that copies of a text do not meet."""
+    return np.mod(ids ^ keys.astype(np.int64), n).astype(np.int32)
+
+
+def bucket_of(id_col: str, key_col: str, n: int):
+    return F.pmod(F.coalesce(F.col(id_col), F.lit(0)).bitwiseXOR(F.col(key_col).cast("bigint")), F.lit(n)).cast("int")
+
+
 def short_key(text_col: str):
     """32 bits of the text key: enough to tell apart the few documents that share an id."""
     return F.shiftright(text_key(text_col), 32).cast("int")
 
 
-def later_repeats(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """(id, key, places): for each document the packed start places of windows that also start earlier, in any number of
-    rows; ids are bigints, keys the ``short_key`` of the text."""
+def later_repeats(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> tuple[DataFrame, int]:
+    """Packed start places of the windows that also start earlier, by bucket of the document (``bucket_of``), and the number
+    of buckets; a document's places may come in several rows."""
     spark = docs.sparkSession
     rows = docs.select(text_or_empty(text_col).alias("text"), F.col(id_col).cast("bigint").alias("id"),
                        short_key(text_col).alias("key"))
@@ -202,29 +227,14 @@ def later_repeats(docs: DataFrame, id_col: str, text_col: str, min_words: int) -
                 zip(*made), [pa.int32(), pa.int32(), pa.int64()] + [pa.binary()] * 6)], names=names)
 
     def opened(row):
-        _, n_docs, n, ids, known, keys, counts, gaps, paths = row
-        counts = _unpack(counts, n_docs, np.uint32).astype(np.int64)
-        gaps = _unpack(gaps, n, np.uint32).astype(np.int64)
-        run = np.cumsum(gaps)
-        first = np.cumsum(counts) - counts
-        place = run - np.repeat(run[first] - gaps[first], counts)
-        return (np.cumsum(_unpack(ids, n_docs, np.int64)), _unpack(known, n_docs, np.bool_), np.frombuffer(keys, np.int32), counts,
-                place.astype(np.uint32), np.frombuffer(paths, np.uint64))
-
-    def by_document(ids, known, keys, counts, place):
-        """Rows (id, key, places) of one packed part."""
-        ends = np.cumsum(counts)
-        offsets = np.concatenate(([0], ends)).astype(np.int32)
-        buffers = [None, pa.py_buffer((offsets * 4).astype(np.int32).tobytes()), pa.py_buffer(place.astype(np.uint32).tobytes())]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64(), mask=~known), pa.array(keys, pa.int32()),
-             pa.Array.from_buffers(pa.binary(), len(counts), buffers)], names=["id", "key", "places"])
+        return _opened(*row)
 
     def subtree(table: pa.Table) -> pa.Table:
         rows = list(zip(*(table[c] for c in names)))
         rows = [[v.as_py() if k < 3 else v.as_buffer() for k, v in enumerate(r)] for r in rows]
-        out = [by_document(*opened(r)[:5]) for r in rows if not len(r[8])]  # decided before
         parts = [opened(r) for r in rows if len(r[8])]
+        decided = [opened(r) for r in rows if not len(r[8])]  # later than a place in their own chunk
+        found = [[np.repeat(p[k], p[3]) for k in range(3)] + [p[4]] for p in decided]
         if parts:
             counts = np.concatenate([p[3] for p in parts])
             doc = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
@@ -238,15 +248,31 @@ def later_repeats(docs: DataFrame, id_col: str, text_col: str, min_words: int) -
             ids, known, keys, doc = ids[new], known[new], keys[new], rank[doc]
             place, path = (np.concatenate([p[k] for p in parts]) for k in (4, 5))
             at = np.flatnonzero(_later((place, doc), path))
-            at = at[np.lexsort((place[at], doc[at]))]
-            first = np.flatnonzero(np.diff(doc[at], prepend=-1))
-            d = doc[at][first]
-            out.append(by_document(ids[d], known[d], keys[d], np.diff(np.append(first, len(at))), place[at]))
-        return pa.Table.from_batches(out)
+            found.append([ids[doc[at]], known[doc[at]], keys[doc[at]], place[at]])
+        ids, known, keys, place = (np.concatenate([f[k] for f in found]) for k in range(4))
+        made = list(packed_rows(_bucket(ids, keys, n_groups), ids, known, keys, place))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*made), PACKED)] if made else [pa.array([], t) for t in PACKED], names=names[:8])
+
+    def packed_rows(bucket, ids, known, keys, place):
+        """Rows (bucket, n_docs, n, ids, known, keys, counts, places), one per bucket."""
+        order = np.lexsort((place, keys, ids, known, bucket))
+        bucket, ids, known, keys, place = bucket[order], ids[order], known[order], keys[order], place[order]
+        edges = np.flatnonzero(np.diff(bucket, prepend=-1))
+        for lo, hi in zip(edges, np.append(edges[1:], len(bucket))):
+            i, k, y, p = ids[lo:hi], known[lo:hi], keys[lo:hi], place[lo:hi].astype(np.int64)
+            new = np.ones(hi - lo, bool)
+            new[1:] = (i[1:] != i[:-1]) | (y[1:] != y[:-1]) | (k[1:] != k[:-1])
+            first = np.flatnonzero(new)
+            gaps = np.diff(p, prepend=0)
+            gaps[first] = p[first]
+            yield [int(bucket[lo]), len(first), int(hi - lo), _pack(np.diff(i[first], prepend=0)), _pack(k[first]), y[first].tobytes(),
+                   _pack(np.diff(np.append(first, hi - lo)).astype(np.uint32)), _pack(gaps.astype(np.uint32))]
 
     packed = rows.mapInArrow(split, "grp int, n_docs int, n bigint, ids binary, known binary, keys binary, counts binary, "
                                     "places binary, paths binary")
-    return packed.groupBy("grp").applyInArrow(subtree, "id bigint, key int, places binary")
+    found = packed.groupBy("grp").applyInArrow(subtree, "bucket int, n_docs int, n bigint, ids binary, known binary, keys binary, "
+                                                        "counts binary, places binary".replace("bucket", "grp"))
+    return found.withColumnRenamed("grp", "bucket"), n_groups
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -256,29 +282,29 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smaller id (null first; rows of one id in the order of their text key), or further up in the same document.  Windows
     are judged on the input.  Documents of fewer words lose nothing.  ``id_col`` is an integer column.
     """
-    places = later_repeats(docs, id_col, text_col, min_words).groupBy("id", "key").agg(F.collect_list("places").alias("places"))
-    rows = docs.select(F.col(id_col).cast("bigint").alias("__id"), short_key(text_col).alias("__key"),
-                       text_or_empty(text_col).alias("__text"))
-    joined = rows.join(places, rows["__id"].eqNullSafe(places["id"]) & (rows["__key"] == places["key"]), "left").select(
-        "__id", "__text", "places")
-
-    def cut(batches):
-        for b in batches:
-            for s in range(0, len(b), 512):
-                ids, n_words, n_removed, kept = [], [], [], []
-                for i, t, p in zip(*(b.slice(s, 512).column(k) for k in range(3))):
-                    words = blanks_split(t.as_py().encode())
-                    starts = p.as_py()
-                    ids.append(i.as_py())
-                    n_words.append(len(words))
-                    if starts:
-                        at = np.frombuffer(b"".join(starts), np.uint32).astype(np.int64)
-                        edge = np.bincount(at, minlength=len(words) + 1) - np.bincount(at + min_words, minlength=len(words) + 1)
-                        left = np.flatnonzero(np.cumsum(edge)[:len(words)] == 0)
-                        words = [words[k] for k in left.tolist()]
-                    n_removed.append(n_words[-1] - len(words))
-                    kept.append(b" ".join(words))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n_words, pa.int64()), pa.array(
-                    n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=[id_col, "n_words", "n_removed", "kept_text"])
-
-    return joined.mapInArrow(cut, f"`{id_col}` bigint, n_words bigint, n_removed bigint, kept_text string")
+    found, n_buckets = later_repeats(docs, id_col, text_col, min_words)
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), short_key(text_col).alias("key"), text_or_empty(text_col).alias("text"))
+    rows = rows.withColumn("bucket", bucket_of("id", "key", n_buckets))
+
+    def cut(texts: pa.Table, parts: pa.Table) -> pa.Table:
+        gone: dict = {}
+        for row in zip(*(parts[c].to_pylist() for c in parts.column_names)):
+            ids, known, keys, counts, place, _ = _opened(*row)
+            ends = np.cumsum(counts)
+            for i, ok, key, lo, hi in zip(ids.tolist(), known.tolist(), keys.tolist(), (ends - counts).tolist(), ends.tolist()):
+                gone.setdefault((i if ok else None, key), []).append(place[lo:hi])
+        out = []
+        for i, key, t in zip(texts["id"], texts["key"], texts["text"].cast(pa.binary())):
+            words = blanks_split(t.as_py())
+            n, starts = len(words), gone.get((i.as_py(), key.as_py()))
+            if starts:
+                at = np.concatenate(starts).astype(np.int64)
+                edge = np.bincount(at, minlength=n + 1) - np.bincount(at + min_words, minlength=n + 1)
+                words = [words[k] for k in np.flatnonzero(np.cumsum(edge)[:n] == 0).tolist()]
+            out.append((i.as_py(), n, n - len(words), b" ".join(words)))
+        columns = list(zip(*out)) or [[]] * 4
+        return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()),
+                         pa.array(columns[3], pa.binary()).cast(pa.string())], names=[id_col, "n_words", "n_removed", "kept_text"])
+
+    return rows.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(
+        cut, f"`{id_col}` bigint, n_words bigint, n_removed bigint, kept_text string")
