@@ -166,9 +166,13 @@ def q_embedding_coverage(spark, sf):
     return R.embedding_coverage(pool, emb)
 
 
-@register("znorm_embeddings")
+@register("znorm_embeddings", """
+with e as (select vec_id as row_id, unnest(embedding) as x, generate_subscripts(embedding, 1) - 1 as i from embeddings),
+s as (select i, avg(x) as mu, stddev_pop(x) as sd from e group by i)
+select row_id, cast(i as int) as dim, cast(cast((x - mu) / sd as float) as double) as value from e join s using (i) where sd > 0""", ["value"])
 def q_znorm(spark, sf):
-    return P.preprocess_vectors(FX.embeddings_pool(spark, sf), znorm=True, drop_constant=True)
+    z = P.preprocess_vectors(FX.embeddings_pool(spark, sf), znorm=True, drop_constant=True)
+    return z.select("row_id", F.posexplode("features").alias("dim", "value")).withColumn("value", F.col("value").cast("double"))
 
 
 @register("align_probs", f"""

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tessera.functions.hashing import sql_seeded_order
 from tessera.operators import prep as P
 from tessera.operators import score as E
 from tessera.operators import search as C
@@ -20,6 +21,25 @@ from tessera.sources.results_io import curve_json, scan_curves, write_curves
 POP, SIZE = 8, 20
 
 
+def _order_sql(prefix: str, cand: str = "candidate_id", key: str = "row_id") -> str:
+    return sql_seeded_order(f"concat('{prefix}:', {cand})", key)
+
+
+def _train_sql() -> str:
+    return f"""emb as (select vec_id as row_id, embedding as features, cast(label as int) as label, {sql_seeded_order("'42'", "vec_id")} / 4294967296.0 as u
+        from embeddings), train as (select row_id, features, label from emb where u >= 0.2), val as (select row_id, features, label from emb where u < 0.2)"""
+
+
+def _cands_sql(n: int, size: int, seed: int, pool: str = "train") -> str:
+    """C1 as SQL: ``cands`` (candidate_id, row_id, label)."""
+    return f"""cx as (select cast(c.id as int) as candidate_id, t.row_id, t.label, {_order_sql(seed, "c.id", "t.row_id")} as h from {pool} t, range(0, {n}) c(id)),
+firsts as (select * from cx qualify row_number() over (partition by candidate_id, label order by h, row_id) = 1),
+rest as (select *, row_number() over (partition by candidate_id order by h, row_id) as pos from (select * from cx anti join firsts using (candidate_id, row_id)) a),
+cands as (select candidate_id, row_id, label from firsts union all
+  select rest.candidate_id, row_id, label from rest join (select candidate_id, count(*) as n_cls from firsts group by candidate_id) k using (candidate_id)
+  where pos <= {size} - n_cls)"""
+
+
 def _split_pool(spark, sf):
     pool = P.train_validation_split(FX.embeddings_pool(spark, sf))
     return pool.filter("split = 'train'").drop("split"), pool.filter("split = 'val'").drop("split")
@@ -58,23 +78,42 @@ def q_generation(spark, sf):
     return generation(spark, sf)
 
 
-@register("random_candidates")
+@register("random_candidates", f"with {_train_sql()}, {_cands_sql(POP, SIZE, 42)} select * from cands")
 def q_random_candidates(spark, sf):
     train, _ = _split_pool(spark, sf)
     c = C.random_candidates(train, POP, SIZE, 42)
-    return c.join(train.select("row_id", "label"), "row_id").groupBy("candidate_id").agg(
-        F.count(F.lit(1)).alias("size"), F.count_distinct("label").alias("n_classes"))
+    return c.join(train.select("row_id", "label"), "row_id").select("candidate_id", "row_id", "label")
 
 
-@register("shrink_candidates")
+@register("shrink_candidates", f"""with {_train_sql()}, {_cands_sql(POP, 40, 42)},
+s as (select *, {_order_sql('7s')} as h2 from cands),
+p as (select *, row_number() over (partition by candidate_id, label order by h2, row_id) as within from s)
+select candidate_id, row_id from p
+qualify within = 1 or row_number() over (partition by candidate_id order by case when within = 1 then 0 else 1 end, h2, row_id) <= 15""")
 def q_shrink(spark, sf):
     train, _ = _split_pool(spark, sf)
-    c = C.random_candidates(train, POP, 40, 42)
-    s = C.shrink(c, train, 15, 7)
-    return s.groupBy("candidate_id").count()
+    return C.shrink(C.random_candidates(train, POP, 40, 42), train, 15, 7)
+
+
+@register("repair_candidates", f"""with {_train_sql()}, {_cands_sql(POP, 40, 42)},
+cut as (select * from cands where label > 1),
+miss as (select i.candidate_id, c.label from (select distinct candidate_id from cut) i, (select distinct label from train) c
+         anti join cut on cut.candidate_id = i.candidate_id and cut.label = c.label),
+pick as (select m.candidate_id, t.row_id from miss m join train t using (label)
+         qualify row_number() over (partition by m.candidate_id, m.label order by {_order_sql('5p', 'm.candidate_id', 't.row_id')}, t.row_id) = 1)
+select candidate_id, row_id from cut union all select candidate_id, row_id from pick""")
+def q_repair(spark, sf):
+    train, _ = _split_pool(spark, sf)
+    c = C.random_candidates(train, POP, 40, 42).join(train.select("row_id", "label"), "row_id").filter("label > 1").select("candidate_id", "row_id")
+    return C.repair(c, train, 5)
 
 
-@register("flip_neighbours")
+@register("flip_neighbours", f"""with {_train_sql()}, {_cands_sql(4, SIZE, 42)},
+free as (select * from (select *, count(*) over (partition by candidate_id, label) as n from cands) a where n > 1),
+rm as (select candidate_id, row_id, cast(row_number() over (partition by candidate_id order by {_order_sql('3f')}, row_id) - 1 as int) as flip_id, 'remove' as op from free),
+off as (select cast(c.id as int) as candidate_id, t.row_id from train t, range(0, 4) c(id) anti join cands k on k.candidate_id = c.id and k.row_id = t.row_id),
+ad as (select candidate_id, row_id, cast(row_number() over (partition by candidate_id order by {_order_sql('3g')}, row_id) + 6 as int) as flip_id, 'add' as op from off)
+select * from rm where flip_id < 7 union all select * from ad where flip_id < 10""")
 def q_flips(spark, sf):
     train, _ = _split_pool(spark, sf)
     c = C.random_candidates(train, 4, SIZE, 42)

@@ -356,16 +356,24 @@ def q_metrics_events(spark, sf):
     return E.all_metrics(_events_pred(spark, sf))
 
 
-@register("knn_predictions", f"""
-with {EMB_SQL},
-ctx as (select * from emb order by {H("'42'", 'row_id')}, row_id limit 20),
-te as (select * from emb where row_id not in (select row_id from ctx)),
-nn as (select t.row_id, t.label as y_true, c.label as cl,
+KNN_SQL = """nn as (select t.row_id, t.label as y_true, c.label as cl,
               row_number() over (partition by t.row_id order by list_distance(cast(t.features as double[]), cast(c.features as double[])), c.row_id) as r
        from te t, ctx c),
-cls as (select distinct label as class from (select label from ctx union all select label from te) u)
-select n.row_id, n.y_true, cast(cls.class as int) as class, count_if(n.cl = cls.class and n.r <= 5) / 5.0 as prob
-from nn n, cls group by all""", ["prob"])
+cls as (select distinct label as class from (select label from ctx union all select label from te) u),
+pr as (select n.row_id, n.y_true, cast(cls.class as int) as class, count_if(n.cl = cls.class and n.r <= 5) / 5.0 as prob
+       from nn n, cls group by all)"""
+METRIC_CTES = EVENTS_SQL[EVENTS_SQL.index("hard as"):].replace("as auc\n", "as auc, count_if(y_true = class) as p, count_if(y_true <> class) as n\n") \
+    .replace("/ (count_if(y_true = class) * count_if(y_true <> class))", "/ nullif(count_if(y_true = class) * count_if(y_true <> class), 0)")
+METRICS_SQL = """select 'AUC' as metric, (select avg(auc) from aucs where p > 0) as value
+union all select 'ACC', (select avg(case when y_true = y_pred then 1.0 else 0.0 end) from hard)
+union all select 'F1', (select avg(case when 2 * tp + fp + fn > 0 then 2.0 * tp / (2 * tp + fp + fn) else 0.0 end) from conf)
+union all select 'BalACC', (select avg(tp / (tp + fn)) from conf where tp + fn > 0)"""
+SEL20_SQL = f"""{EMB_SQL},
+ctx as (select * from emb order by {H("'42'", 'row_id')}, row_id limit 20),
+te as (select * from emb where row_id not in (select row_id from ctx))"""
+
+
+@register("knn_predictions", f"with {SEL20_SQL}, {KNN_SQL} select * from pr", ["prob"])
 def q_knn(spark, sf):
     pool = FX.embeddings_pool(spark, sf)
     sel = S.random_selection(pool, [20], [42]).select("row_id")
@@ -374,7 +382,7 @@ def q_knn(spark, sf):
     return E.knn_predict(ctx, test, 5)
 
 
-@register("knn_metrics")
+@register("knn_metrics", f"with {SEL20_SQL}, {KNN_SQL}, {METRIC_CTES} {METRICS_SQL}", ["value"])
 def q_knn_metrics(spark, sf):
     return E.all_metrics(q_knn(spark, sf))
 
@@ -386,7 +394,8 @@ def q_lr(spark, sf):
     return E.logistic_predict(pool.join(sel, "row_id", "left_semi"), pool.join(sel, "row_id", "left_anti"), 100)
 
 
-@register("full_pool_reference")
+@register("full_pool_reference", f"""with {EMB_SQL}, ctx as (select * from emb where {H("'0'", 'row_id')} % 5 <> 0),
+te as (select * from emb where {H("'0'", 'row_id')} % 5 = 0), {KNN_SQL}, {METRIC_CTES} {METRICS_SQL}""", ["value"])
 def q_full(spark, sf):
     pool = P.fold_assignment(FX.embeddings_pool(spark, sf), 5)
     train, test = P.split_fold(pool, 0)
