@@ -25,13 +25,23 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
+def stored(df: DataFrame, name: str, block_mb: int = 128) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors.  A task buffers
+    ``block_mb`` before it writes, and reads that much at once: less for rows of several MB."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", block_mb << 20).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, megabytes: int = 8) -> None:
+    """Bound the Arrow batches that Python workers get from here on: texts and index segments are large rows, and a worker
+    holds a batch with what it makes of it.  A smaller setting of the session stays."""
+    name, size = "spark.sql.execution.arrow.maxBytesPerBatch", megabytes << 20
+    now = int(spark.conf.get(name, str(64 << 20)).rstrip("b"))
+    if not 0 < now <= size:
+        spark.conf.set(name, str(size))
+
+
 def parallelism(spark: SparkSession) -> int:
     """Tasks to give to a small table whose rows fan out (a stored table of few MB reads as one task)."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)

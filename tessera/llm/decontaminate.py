@@ -19,9 +19,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import alnum_split, stored, text_key, text_or_empty
+from tessera.llm.common import alnum_split, small_batches, stored, text_key, text_or_empty
 
-SEGMENT_WORDS = 1 << 19
+SEGMENT_WORDS = 1 << 18
 SEGMENT_DOCS = 1 << 12
 BLOCK_WINDOWS = 50_000  # benchmark windows searched at once (13 terms each: about 5 MB)
 WINDOW = 13
@@ -55,6 +55,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 slack: int = SLACK) -> DataFrame:
     """The stored index: rows (segment, ids, keys, counts, starts, terms, ends, places).  Documents longer than a
     segment make one of their own.  Null texts have no words."""
+    small_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
     gap = window + 2 * slack + 1
 
@@ -82,7 +83,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col), text_key(text_col), text_or_empty(text_col))
     index = rows.mapInArrow(run, f"ids array<{id_type}>, keys array<bigint>, counts array<bigint>, starts binary, "
                                  "terms binary, ends binary, places binary")
-    return stored(index.select(F.expr("uuid()").alias("segment"), *NAMES[1:]), "postings")
+    return stored(index.select(F.expr("uuid()").alias("segment"), *NAMES[1:]), "postings", block_mb=16)
 
 
 NAMES = ["segment", "ids", "keys", "counts", "starts", "terms", "ends", "places"]
@@ -127,8 +128,8 @@ class _Postings:
         return self.places[self.ends[k - 1] if k else 0:self.ends[k]]
 
     def sizes(self, at: np.ndarray) -> np.ndarray:
-        first = np.where(at > 0, self.ends[at - 1], 0)
-        return np.where(at < 0, 0, self.ends[at] - first)
+        bounds = np.concatenate(([0], self.ends))
+        return np.where(at < 0, 0, bounds[at + 1] - bounds[np.maximum(at, 0)])
 
 
 def _intersect(seg: _Postings, lists: np.ndarray, offsets: np.ndarray, slack: int, misses: int):
@@ -187,8 +188,8 @@ def _search_block(index, items, arrow_type, terms, item_type, slack, near_share)
     def count(batches):
         total = np.zeros(len(wanted.value), np.int64)
         for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns)):
-                seg = _Postings(b"", row[0], row[1], b"")
+            for terms_, ends in zip(*b.columns):
+                seg = _Postings(b"", terms_.as_buffer(), ends.as_buffer(), b"")
                 total += seg.sizes(seg.find(wanted.value))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(wanted.value[at]), pa.array(total[at])], names=["term", "n"])
@@ -209,8 +210,8 @@ def _search_block(index, items, arrow_type, terms, item_type, slack, near_share)
         item_ids, windows = plan.value
         rarest = np.array([w[0][0] for w in windows], np.int64)
         for b in batches:
-            for segment, starts, terms_, ends, places in zip(*(c.to_pylist() for c in b.columns)):
-                seg, hits = _Postings(starts, terms_, ends, places), {"exact": [], "near": []}
+            for segment, *arrays in zip(*b.columns):  # one segment at a time, not copied
+                seg, hits = _Postings(*(a.as_buffer() for a in arrays)), {"exact": [], "near": []}
                 for n in np.flatnonzero(seg.find(rarest) >= 0) if len(rarest) else ():
                     t, offsets, misses = windows[n]
                     exact, near = _intersect(seg, seg.find(t), offsets, slack, misses)
@@ -232,7 +233,7 @@ def _search_block(index, items, arrow_type, terms, item_type, slack, near_share)
                     by_code = dict(zip(codes.tolist(), item_ids))
                     doc, code, first, last = _merge(doc, codes[which], first, last)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([segment] * len(doc)), pa.array(doc.astype(np.int32)),
+                        [pa.array([segment.as_py()] * len(doc)), pa.array(doc.astype(np.int32)),
                          pa.array([by_code[c] for c in code.tolist()], arrow_type), pa.array([kind] * len(doc)),
                          pa.array(first.astype(np.int64)), pa.array(last.astype(np.int64))],
                         names=["segment", "nth_doc", "item", "kind", "first", "last"])
