@@ -4,7 +4,7 @@ Scale design
 ------------
 * Distances are never materialised as an n x n table.  Every pass streams the
   pool through ``mapInPandas`` and compares each Arrow batch with a *bounded*
-  broadcast block (the k medoids, or one batch of candidates); the block size
+  broadcast block (the k medoids); the block size
   is checked (``vectors.check_broadcast``).
 * Seeding (k-medoids++, I9): greedy D^2 sampling with ``2 + ln k`` local trials
   per round.  Candidates are drawn with exponential keys ``-ln(u) / D^2`` (u is
@@ -16,9 +16,9 @@ Scale design
   - cosine: the sum is n - x.(sum of members), exact in one linear pass;
   - euclidean: exact with pruning.  The sum is at least n |x - mean| (triangle
     inequality); members whose bound is not below the best sum found so far cannot
-    win.  Remaining candidates are scored exactly, most promising first, in
-    broadcast batches against the members of their cluster (partial sums per
-    partition, then a grouped sum).  No candidate cap and no pair rows.
+    cannot win.  Remaining candidates meet the members of their cluster block by
+    block on the executors (``tiles.meet``: partial sums, then a grouped sum).  No
+    candidate cap, no pair rows, and no candidate vector on the driver.
 * The assignment is recomputed from the pool and the medoid ids each iteration,
   so lineage never grows with the number of iterations.
 """
@@ -29,17 +29,17 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import vectors as V
 from tessera.functions.hashing import seeded_order, seeded_unit
+from tessera.functions.tiles import meet
 from tessera.session import cut_lineage
 
 KEY = "row_id"
 VEC = "features"
-CHUNK_VALUES = 4_000_000   # largest distance block (rows x candidates) held by a task at once
 HIST_BUCKETS = 1024        # radius histogram per cluster for the reverse-triangle bound
 
 
@@ -48,7 +48,7 @@ def _prep(pool: DataFrame, key: str, vec: str) -> DataFrame:
 
 
 def _fetch(pool: DataFrame, ids: list[int]) -> np.ndarray:
-    """Vectors of a bounded id list (k medoids or one candidate batch), in the order of ids."""
+    """Vectors of a bounded id list (k medoids), in the order of ids."""
     V.check_broadcast(len(ids), 1)
     rows = pool.filter(F.col(KEY).isin(ids)).select(KEY, VEC).collect()
     by_id = {r[KEY]: np.asarray(r[VEC], dtype=np.float64) for r in rows}
@@ -146,33 +146,6 @@ def _cluster_sums(assigned: DataFrame, metric: str, k: int, with_cost: bool = Fa
     return (n, s, cost) if with_cost else (n, s)
 
 
-def _exact_sums(members: DataFrame, cand_ids, cand_cluster, cand_vecs, metric: str) -> dict:
-    """Exact summed distance of each candidate to the members of its cluster (one pass)."""
-    sc = members.sparkSession.sparkContext
-    V.check_broadcast(*cand_vecs.shape)
-    b = sc.broadcast((np.asarray(cand_ids, dtype=np.int64), np.asarray(cand_cluster, dtype=np.int64),
-                      _prepare_block(cand_vecs, metric)))
-
-    def fn(it):
-        ids, ccl, cv = b.value
-        part = np.zeros(len(ids))
-        for pdf in it:
-            if len(pdf) == 0:
-                continue
-            x = V.stack(pdf[VEC])
-            x = V.normalise(x) if metric == "cosine" else x
-            cl = pdf["cluster"].to_numpy()
-            for c in np.intersect1d(np.unique(cl), ccl):
-                sel = np.where(ccl == c)[0]
-                xm = x[cl == c]
-                step = max(1, CHUNK_VALUES // max(len(sel), 1))
-                for i in range(0, len(xm), step):  # bounded distance block per step
-                    part[sel] += V.pairwise(xm[i:i + step], cv[sel], metric).sum(0)
-        yield pd.DataFrame({"cand": ids, "s": part})
-    rows = members.mapInPandas(fn, "cand long, s double").groupBy("cand").agg(F.sum("s").alias("s")).collect()
-    return {r["cand"]: r["s"] for r in rows}
-
-
 def _lower_bounds(assigned: DataFrame, n: np.ndarray, s: np.ndarray, metric: str) -> DataFrame:
     """Lower bound of S(x) = sum over members y of |x - y| for every member x (euclidean).
 
@@ -256,41 +229,59 @@ def _lower_bounds(assigned: DataFrame, n: np.ndarray, s: np.ndarray, metric: str
     return ad.mapInPandas(fn, "row_id long, features array<float>, cluster int, lb double")
 
 
-def _best_members_euclidean(assigned: DataFrame, k: int, start_ids: list[int], start_cost: np.ndarray,
-                            batch: int, sums=None):
-    """Exact argmin over members of the summed distance to the cluster, with bound pruning."""
+def _tile_sums(cands: DataFrame, members: DataFrame) -> DataFrame:
+    """(row_id, cluster, total): exact summed distance of every candidate to the members of its cluster.  Blocks of
+    candidates meet blocks of members on the executors and partial sums are added up, so a large cluster is spread
+    over many tasks and no candidate vector passes the driver."""
+    def part(c: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+        if not len(c) or not len(m):
+            return pd.DataFrame({KEY: [], "cluster": [], "s": []})
+        d = V.pairwise(V.stack(c[VEC]), V.stack(m[VEC]), "euclidean")
+        return pd.DataFrame({KEY: c[KEY], "cluster": c["cluster"], "s": d.sum(1)})
+    parts = meet(cands.select(KEY, VEC, "cluster"), members.select(KEY, VEC, "cluster"), part, "row_id long, cluster int, s double",
+                 by=("cluster",))
+    return parts.groupBy(KEY, "cluster").agg(F.sum("s").alias("total"))
+
+
+# candidates per cluster that are scored first, to have a good threshold for the others
+FIRST_CANDIDATES = 8
+
+
+def _best_members_euclidean(assigned: DataFrame, k: int, start_ids: list[int], start_cost: np.ndarray, sums=None):
+    """Exact argmin over members of the summed distance to the cluster, with bound pruning: the few members with the
+    lowest bounds of each cluster give a threshold; every member whose bound is below it is then scored in one job.
+    One row per cluster reaches the driver each time."""
     n, s = sums if sums is not None else _cluster_sums(assigned, "euclidean", k)
     lbs = _lower_bounds(assigned, n, s, "euclidean").persist()
     best_val = np.asarray(start_cost, dtype=np.float64).copy()
     best_id = list(start_ids)
-    last = (-1.0, -1)
-    evaluated = 0
-    while True:
-        thr = F.array(*[F.lit(float(v)) for v in best_val])[F.col("cluster")]
-        nxt = (lbs.filter(F.col("lb") < thr)
-               .filter((F.col("lb") > last[0]) | ((F.col("lb") == last[0]) & (F.col(KEY) > last[1])))
-               .orderBy("lb", KEY).limit(batch).collect())
-        if not nxt:
-            break
-        ids = [r[KEY] for r in nxt]
-        cls = [r["cluster"] for r in nxt]
-        vecs = np.vstack([np.asarray(r[VEC], dtype=np.float64) for r in nxt])
-        sums = _exact_sums(assigned, ids, cls, vecs, "euclidean")
-        for i, c in zip(ids, cls):
-            v = sums.get(i, math.inf)
-            if v < best_val[c] - 1e-12 or (abs(v - best_val[c]) <= 1e-12 and i < best_id[c]):
+
+    def score(cands: DataFrame):
+        total = F.round("total", 9)  # sums differ in the last bits by the order of addition
+        rows = _tile_sums(cands, assigned).groupBy("cluster").agg(F.min(F.struct(total.alias("v"), F.col(KEY))).alias("b")).collect()
+        for r in rows:
+            c, v, i = r["cluster"], r["b"]["v"], r["b"][KEY]
+            if v < best_val[c] - 1e-9 or (abs(v - best_val[c]) <= 1e-9 and i < best_id[c]):
                 best_val[c], best_id[c] = v, i
-        evaluated += len(ids)
-        last = (nxt[-1]["lb"], nxt[-1][KEY])
+
+    def below():
+        return F.col("lb") < F.array(*[F.lit(float(v)) for v in best_val])[F.col("cluster")]
+    w = Window.partitionBy("cluster").orderBy("lb", KEY)
+    first = lbs.filter(below()).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= FIRST_CANDIDATES).drop("_r")
+    score(first)
+    rest = lbs.filter(below())
+    evaluated = rest.count()
+    if evaluated:
+        score(rest)
     lbs.unpersist()
     return best_id, best_val, evaluated
 
 
-def init_heuristic(pool: DataFrame, k: int, metric: str = "euclidean", batch: int = 2048) -> list[int]:
+def init_heuristic(pool: DataFrame, k: int, metric: str = "euclidean") -> list[int]:
     """I8: the k rows with the smallest summed distance to the whole pool (exact).
 
     cosine: closed form n - x.(sum of rows).  euclidean: bounds n|x - mean| <= S(x) <= n|x - mean| + sum |y - mean|;
-    rows whose lower bound exceeds the k-th smallest upper bound drop, the rest are scored exactly in batches.
+    rows whose lower bound exceeds the k-th smallest upper bound drop, the rest are scored exactly in one job.
     """
     one = pool.withColumn("cluster", F.lit(0)).withColumn("dist", F.lit(0.0))
     n, s = _cluster_sums(one, metric, 1)
@@ -309,24 +300,10 @@ def init_heuristic(pool: DataFrame, k: int, metric: str = "euclidean", batch: in
     lbs = _lower_bounds(one, n, s, metric).persist()
     spread = lbs.agg(F.sum("lb")).first()[0] / float(n[0])  # sum |y - mean|
     kth_ub = lbs.select((F.col("lb") + F.lit(spread)).alias("ub")).orderBy("ub").limit(k).collect()[-1]["ub"]
-    cands = lbs.filter(F.col("lb") <= kth_ub).orderBy("lb", KEY)
-    scored = []
-    offset_last = (-1.0, -1)
-    while True:
-        nxt = (cands.filter((F.col("lb") > offset_last[0]) | ((F.col("lb") == offset_last[0]) & (F.col(KEY) > offset_last[1])))
-               .limit(batch).collect())
-        if not nxt:
-            break
-        ids = [r[KEY] for r in nxt]
-        vecs = np.vstack([np.asarray(r[VEC], dtype=np.float64) for r in nxt])
-        sums = _exact_sums(one, ids, [0] * len(ids), vecs, metric)
-        scored.extend((sums[i], i) for i in ids)
-        scored = sorted(scored)[:k]
-        offset_last = (nxt[-1]["lb"], nxt[-1][KEY])
-        if len(scored) >= k and nxt[-1]["lb"] > scored[-1][0]:
-            break
+    cands = lbs.filter(F.col("lb") <= kth_ub)
+    best = _tile_sums(cands, one).orderBy(F.round("total", 9), KEY).limit(k).collect()  # k rows
     lbs.unpersist()
-    return [i for _, i in sorted(scored)[:k]]
+    return [r[KEY] for r in best]
 
 
 def init_kmedoidspp(pool: DataFrame, k: int, seed: int, metric: str = "euclidean",
@@ -382,6 +359,7 @@ def init_kmedoidspp(pool: DataFrame, k: int, seed: int, metric: str = "euclidean
         # reliable checkpoint every few rounds (survives executor loss); cached in between so the
         # two jobs of the next round do not recompute the chain of updates
         state = cut_lineage(state) if r % checkpoint_every == 0 else state.persist()
+        state.count()  # the new state is filled from the cached old one before that goes
         prev.unpersist()
     state.unpersist()
     return chosen
@@ -389,7 +367,7 @@ def init_kmedoidspp(pool: DataFrame, k: int, seed: int, metric: str = "euclidean
 
 # ---------------------------------------------------------------- I10: iterate
 def kmedoids(pool: DataFrame, k: int, seed: int = 42, metric: str = "euclidean", init: str = "k-medoids++",
-             max_iter: int = 300, key: str = "row_id", vec: str = "features", batch: int = 2048,
+             max_iter: int = 300, key: str = "row_id", vec: str = "features",
              verbose: bool = False, tol: float = 0.0):
     """K-medoids (alternate updates).  Returns (medoid ids in cluster order, info dict).
 
@@ -405,7 +383,7 @@ def kmedoids(pool: DataFrame, k: int, seed: int = 42, metric: str = "euclidean",
     if init == "random":
         medoids = init_random(p, k, seed)
     elif init == "heuristic":
-        medoids = init_heuristic(p, k, metric, batch)
+        medoids = init_heuristic(p, k, metric)
     else:
         medoids = init_kmedoidspp(p, k, seed, metric)
     info = {"iterations": 0, "candidates_scored": 0}
@@ -431,7 +409,7 @@ def kmedoids(pool: DataFrame, k: int, seed: int = 42, metric: str = "euclidean",
             for r in best:
                 new[r["cluster"]] = r[KEY]
         else:
-            new, _, ev = _best_members_euclidean(a, k, medoids, cur, batch, sums=(n, s))
+            new, _, ev = _best_members_euclidean(a, k, medoids, cur, sums=(n, s))
             info["candidates_scored"] += ev
         a.unpersist()
         info["iterations"] = it + 1

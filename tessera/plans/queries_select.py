@@ -277,7 +277,7 @@ def q_update(spark, sf):
     a = K.assign(pool, med).persist()
     cost = {r["cluster"]: r["c"] for r in a.groupBy("cluster").agg(F.sum("dist").alias("c")).collect()}
     import numpy as np
-    new, vals, _ = K._best_members_euclidean(a, 10, med, np.array([cost.get(i, 0.0) for i in range(10)]), 2048)
+    new, vals, _ = K._best_members_euclidean(a, 10, med, np.array([cost.get(i, 0.0) for i in range(10)]))
     rows = [(i, int(m), float(v)) for i, (m, v) in enumerate(zip(new, vals))]
     return spark.createDataFrame(rows, "cluster int, medoid long, total double")
 
