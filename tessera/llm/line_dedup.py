@@ -46,10 +46,11 @@ def _windows(docs: DataFrame, id_col: str, text_col: str, min_lines: int) -> Dat
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 3) -> DataFrame:
     """(id, key, first): windows (by first line, from 0) that have an equal window at an earlier place."""
     windows = stored(_windows(docs, id_col, text_col, min_lines), "line-windows")
-    anchors = windows.where("opens").groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # the small sides are stored, so that a join has its own exchange on both sides and Spark can split a hot line
+    anchors = stored(windows.where("opens").groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "line-anchors")
     near = windows.join(anchors, "anchor", "left_semi").select("id", "key", "first", "line")
     earliest = near.groupBy("line").agg(F.min(F.struct("id", "key", "first")).alias("origin"), F.count("*").alias("n"))
-    met = near.join(earliest.where("n > 1").select("line", "origin"), "line")
+    met = near.join(stored(earliest.where("n > 1").select("line", "origin"), "line-origins"), "line")
     return met.where(~F.struct("id", "key", "first").eqNullSafe(F.col("origin"))).select("id", "key", "first")
 
 
