@@ -16,7 +16,7 @@ Scale design
   - cosine: the sum is n - x.(sum of members), exact in one linear pass;
   - euclidean: exact with pruning.  The sum is at least n |x - mean| (triangle
     inequality); members whose bound is not below the best sum found so far cannot
-    cannot win.  Remaining candidates meet the members of their cluster block by
+    win.  Remaining candidates meet the members of their cluster block by
     block on the executors (``tiles.meet``: partial sums, then a grouped sum).  No
     candidate cap, no pair rows, and no candidate vector on the driver.
 * The assignment is recomputed from the pool and the medoid ids each iteration,

@@ -15,7 +15,7 @@ from tessera.plans import analysis as A
 from tessera.plans import fixtures as FX
 from tessera.plans import oracle as O
 from tessera.plans.queries import register
-from tessera.session import ensure_checkpoint_dir
+from tessera.session import cut_lineage, ensure_checkpoint_dir
 from tessera.sources.results_io import curve_json, scan_curves, write_curves
 
 POP, SIZE = 8, 20
@@ -47,7 +47,7 @@ def _split_pool(spark, sf):
 
 def _score(cands, train, val):
     ctx = cands.join(train, "row_id")
-    pred = E.knn_predict_grouped(ctx, val, 5)
+    pred = cut_lineage(E.knn_predict_grouped(ctx, val, 5))  # read several times by the metric
     auc = E.auc(pred, by=("candidate_id",)).withColumnRenamed("AUC", "val_auc")
     return C.candidate_metrics(cands, train, auc)
 
