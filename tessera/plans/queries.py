@@ -354,7 +354,7 @@ def q_rank_table_check(spark, sf):
     return H.rank_table_check(H.rank_table(A.scores(spark, sf), RANDOM, LABELS))
 
 
-@register("friedman_statistic", W(O.scores_cte(), O.ranks_cte()) + """
+_FRIEDMAN_SQL = W(O.scores_cte(), O.ranks_cte()) + """
 select c, n_datasets, n_methods,
        (12.0 / (n_datasets * n_methods * (n_methods + 1)) * sum_r2 - 3.0 * n_datasets * (n_methods + 1))
        / (1 - tie_sum / (n_datasets * n_methods * (n_methods * n_methods - 1.0))) as friedman_chi2
@@ -362,12 +362,21 @@ from (select c, sum(R * R) as sum_r2, max(N) as n_datasets, count(*) as n_method
       from (select c, label, sum(rank) as R, count(*) as N from ranks group by c, label) p group by c) a
 join (select c, sum(t * t * t - t) as tie_sum from (select c, dataset, round(value, 9), count(*) as t from ranks group by all) x
       group by c) b using (c)
-where n_datasets >= 5 and n_methods >= 2""", ["friedman_chi2"])
+where n_datasets >= 5 and n_methods >= 2"""
+
+
+@register("friedman_statistic", _FRIEDMAN_SQL, ["friedman_chi2"])
 def q_friedman_stat(spark, sf):
     return H.friedman(A.scores(spark, sf)).drop("friedman_p")
 
 
-@register("friedman_test")
+# upper tail of chi-square with n_methods - 1 degrees of freedom: Simpson's rule on [x, x + 200]
+_CHI2_P = ("list_sum(list_transform(range(0, 8001), lambda i: (case when i in (0, 8000) then 1 when i % 2 = 1 then 4 else 2 end) "
+           "* power(greatest(friedman_chi2 + i * 0.025, 1e-300), (n_methods - 1) / 2.0 - 1) * exp(-(friedman_chi2 + i * 0.025) / 2))) * 0.025 / 3 "
+           "/ (power(2, (n_methods - 1) / 2.0) * gamma((n_methods - 1) / 2.0))")
+
+
+@register("friedman_test", f"select *, {_CHI2_P} as friedman_p from ({_FRIEDMAN_SQL}) f", ["friedman_chi2", "friedman_p"])
 def q_friedman(spark, sf):
     return H.friedman(A.scores(spark, sf))
 
