@@ -256,25 +256,27 @@ def _best_members_euclidean(assigned: DataFrame, k: int, start_ids: list[int], s
     best_val = np.asarray(start_cost, dtype=np.float64).copy()
     best_id = list(start_ids)
 
-    def score(cands: DataFrame):
-        total = F.round("total", 9)  # sums differ in the last bits by the order of addition
-        rows = _tile_sums(cands, assigned).groupBy("cluster").agg(F.min(F.struct(total.alias("v"), F.col(KEY))).alias("b")).collect()
-        for r in rows:
-            c, v, i = r["cluster"], r["b"]["v"], r["b"][KEY]
-            if v < best_val[c] - 1e-9 or (abs(v - best_val[c]) <= 1e-9 and i < best_id[c]):
-                best_val[c], best_id[c] = v, i
+    total = F.round("total", 9)  # sums differ in the last bits by the order of addition
+
+    def take(c: int, v: float, i: int):
+        if v < best_val[c] - 1e-9 or (abs(v - best_val[c]) <= 1e-9 and i < best_id[c]):
+            best_val[c], best_id[c] = v, i
 
     def below():
         return F.col("lb") < F.array(*[F.lit(float(v)) for v in best_val])[F.col("cluster")]
     w = Window.partitionBy("cluster").orderBy("lb", KEY)
     first = lbs.filter(below()).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= FIRST_CANDIDATES).drop("_r")
-    score(first)
-    rest = lbs.filter(below())
+    scored = _tile_sums(first, assigned).select("cluster", total.alias("v"), KEY).collect()  # a few rows per cluster
+    for r in scored:
+        take(r["cluster"], r["v"], r[KEY])
+    rest = lbs.filter(below()).filter(~F.col(KEY).isin([r[KEY] for r in scored]))
     evaluated = rest.count()
     if evaluated:
-        score(rest)
+        best = _tile_sums(rest, assigned).groupBy("cluster").agg(F.min(F.struct(total.alias("v"), F.col(KEY))).alias("b")).collect()
+        for r in best:
+            take(r["cluster"], r["b"]["v"], r["b"][KEY])
     lbs.unpersist()
-    return best_id, best_val, evaluated
+    return best_id, best_val, evaluated + len(scored)
 
 
 def init_heuristic(pool: DataFrame, k: int, metric: str = "euclidean") -> list[int]:

@@ -133,8 +133,7 @@ def q_gbt(spark, sf):
     pool = FX.lineitem_pool(spark, sf)
     sel = S.balanced_selection(pool, 30, 42).select("row_id")
     ctx = pool.join(sel, "row_id", "left_semi")
-    test = P.subsample(pool.join(sel, "row_id", "left_anti"), 2000, 5)
-    return E.gbt_predict(ctx, test, max_iter=5)
+    return E.gbt_predict(ctx, pool.join(sel, "row_id", "left_anti"))
 
 
 @register("one_hot", f"""

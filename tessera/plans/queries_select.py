@@ -391,7 +391,7 @@ def q_knn_metrics(spark, sf):
 def q_lr(spark, sf):
     pool = FX.embeddings_pool(spark, sf)
     sel = S.balanced_selection(pool, 40, 42).select("row_id")
-    return E.logistic_predict(pool.join(sel, "row_id", "left_semi"), pool.join(sel, "row_id", "left_anti"), 100)
+    return E.logistic_predict(pool.join(sel, "row_id", "left_semi"), pool.join(sel, "row_id", "left_anti"))
 
 
 @register("full_pool_reference", f"""with {EMB_SQL}, ctx as (select * from emb where {H("'0'", 'row_id')} % 5 <> 0),
