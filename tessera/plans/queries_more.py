@@ -139,7 +139,7 @@ def q_gbt(spark, sf):
 @register("one_hot", f"""
 with p as (select p_partkey, p_brand, cast({"('0x' || substr(md5(concat('0', '|', p_partkey)), 1, 8))::BIGINT"} % 5 as int) as fold from part),
 lv as (select v, cast(row_number() over (order by v) - 2 as int) as index from (select distinct p_brand as v from p where fold <> 0) x)
-select p_partkey, p_brand, index, case when index is not null then 1.0 end as indicator
+select p_partkey, p_brand, index, case when index is not null then cast(1.0 as double) end as indicator
 from (select * from p where fold = 0) t left join (select * from lv where index >= 0) l on p_brand = v""")
 def q_one_hot(spark, sf):
     p = P.fold_assignment(read_table(spark, sf, "part").select(F.col("p_partkey").alias("row_id"), "p_brand"), 5)
