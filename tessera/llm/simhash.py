@@ -83,8 +83,9 @@ def link_fingerprints(nodes: DataFrame, max_bits: int = 4) -> DataFrame:
         transform(array(shiftrightunsigned(fp, 32)), s -> {ball})[0],
         transform(transform(array(fp & 4294967295L), s -> {ball})[0], k -> k | 4294967296L))""")
     items = root.repartition(parallelism(spark), "fp").select("fp", "root", F.explode(keys).alias("key"))
-    mixed = items.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
-    met = stored(items.join(mixed.select("key"), "key", "left_semi"), "simhash-candidates")
+    mixed = items.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
+    # one exchange of the items serves the grouping and the join; the candidates left are few and joined anew below
+    met = stored(items.join(mixed, "key", "left_semi"), "simhash-candidates")
     other = met.select("key", F.col("fp").alias("fp2"), F.col("root").alias("root2"))
     links = met.join(other, (met["key"] == other["key"]) & (F.col("root") < F.col("root2"))
                      & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= max_bits))
@@ -104,7 +105,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = stored(fingerprints(docs, id_col, text_col, shingle), "simhash-fingerprints")
     nodes = stored(members.groupBy("fp").agg(F.min(id_col).alias("first_id")), "simhash-nodes")
     linked = stored(link_fingerprints(nodes, max_bits), "simhash-linked")
-    least = linked.join(nodes, "fp").groupBy("root").agg(F.min("first_id").alias("component_id"))
+    # stored: the join below then has its own exchange on both sides, and Spark can split a hot component
+    least = stored(linked.join(nodes, "fp").groupBy("root").agg(F.min("first_id").alias("component_id")), "simhash-least")
     named = linked.join(least, "root").select("fp", "component_id")
     return members.join(named, "fp").select(id_col, "text_key", "fp", "component_id")
 
