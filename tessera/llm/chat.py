@@ -20,6 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import small_batches
+
 # Layout, its field paths, and its turns as (role, field) pairs or as a list of (list, role field, text field).
 MAPPINGS = {
     "turn row": (["turn", "role", "text"], {"row": ("role", "text")}),
@@ -96,6 +98,7 @@ def canonical_turns(records: DataFrame, id_col: str = "conv_id", record_col: str
                     zip(*rows), [b.schema.types[0], pa.int64(), pa.int64(), pa.string(), pa.string()])],
                     names=["conv_id", "turn", "sub", "role", "text"])
 
+    small_batches(records.sparkSession)
     id_type = records.schema[id_col].dataType.simpleString()
     return records.select(id_col, record_col).mapInArrow(run, f"conv_id {id_type}, turn bigint, sub bigint, role string, text string")
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import alnum_split, text_or_empty
+from tessera.llm.common import alnum_split, small_batches, text_or_empty
 
 MAX_RATINGS = 20_000
 BITS = 20
@@ -70,6 +70,7 @@ def _sampled(docs, ratings, id_col, text_col, max_ratings, bits):
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(1), pa.array(feats, pa.list_(pa.int32()))],
                                              names=["id", "grade", "features"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     rows = rows.join(F.broadcast(chosen), "id").select("id", "grade", "text")  # at most max_ratings small rows
     return rows.mapInArrow(run, "id string, grade int, features array<int>").toArrow().sort_by(
@@ -140,6 +141,7 @@ def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text", margin:
     """``docs`` (all rows and columns) with expected_grade, p_top and keep.  A document is kept if its tail probability of
     the top grade is at least that of a text whose score is ``-margin``: without telling tokens the score is 0, so a
     model that has learnt little keeps everything.  A model without ratings gives null scores and keeps every document."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds, model.bits))
     plain = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ADDED.fieldNames()])
     schema = T.StructType(plain.schema.fields + ADDED.fields)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import blanks_split, parallelism, stored, text_key, text_or_empty
+from tessera.llm.common import blanks_split, parallelism, small_batches, stored, text_key, text_or_empty
 from tessera.llm.components import components
 
 XXH_SEED = 42
@@ -55,6 +55,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = pa.array([fingerprint(t.as_py(), shingle) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fps], names=[id_col, "text_key", "fp"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col), text_key(text_col).alias("text_key"), text_or_empty(text_col).alias("text"))
     id_type = docs.schema[id_col].dataType.simpleString()
     return rows.mapInArrow(run, f"`{id_col}` {id_type}, text_key bigint, fp bigint")

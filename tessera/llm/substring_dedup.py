@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import blanks_split, parallelism, text_key, text_or_empty
+from tessera.llm.common import blanks_split, parallelism, small_batches, text_key, text_or_empty
 
 MIN_WORDS = 20
 BUCKETS = 1 << 16  # by the upper 16 bits of the prefix hash
@@ -180,6 +180,7 @@ def later_repeats(docs: DataFrame, id_col: str, text_col: str, min_words: int) -
     """Packed start places of the windows that also start earlier, by bucket of the document (``bucket_of``), and the number
     of buckets; a document's places may come in several rows."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(text_or_empty(text_col).alias("text"), F.col(id_col).cast("bigint").alias("id"),
                        short_key(text_col).alias("key"))
     where, n_groups = _groups(prefix_counts(rows.select("text"), min_words), parallelism(spark))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import text_or_empty
+from tessera.llm.common import small_batches, text_or_empty
 
 END = "\r\n\r\n"
 MIN_BYTES = 1000
@@ -124,6 +124,7 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
         if bytes(buffer).strip(b"\r\n"):
             raise ValueError("an archive ends inside a record")
 
+    small_batches(spark)
     # gzipped files are never split, so a task reads whole files in order
     return spark.read.option("lineSep", END).text(path).mapInArrow(run, FIELDS)
 
