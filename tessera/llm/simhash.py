@@ -95,6 +95,17 @@ def link_fingerprints(nodes: DataFrame, max_bits: int = 4) -> DataFrame:
         "fp", F.coalesce("last", "root").alias("root"))
 
 
+def _components(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int) -> DataFrame:
+    """(id_col, text_key, fp, root, component_id): ``root`` names the component, also where components share their smallest id."""
+    members = stored(fingerprints(docs, id_col, text_col, shingle), "simhash-fingerprints")
+    nodes = stored(members.groupBy("fp").agg(F.min(id_col).alias("first_id")), "simhash-nodes")
+    linked = stored(link_fingerprints(nodes, max_bits), "simhash-linked")
+    # stored: the join below then has its own exchange on both sides, and Spark can split a hot component
+    least = stored(linked.join(nodes, "fp").groupBy("root").agg(F.min("first_id").alias("component_id")), "simhash-least")
+    named = linked.join(least, "root").select("fp", "root", "component_id")
+    return members.join(named, "fp").select(id_col, "text_key", "fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
                     max_bits: int = 4) -> DataFrame:
     """One row per row of ``docs``: (id_col, text_key, fp, component_id).
@@ -103,22 +114,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     differing fingerprint bits, the document itself included; null ids do not count, so it is null only
     if the whole component has null ids.  Texts without words have fingerprint 0 and are linked like any other.
     """
-    members = stored(fingerprints(docs, id_col, text_col, shingle), "simhash-fingerprints")
-    nodes = stored(members.groupBy("fp").agg(F.min(id_col).alias("first_id")), "simhash-nodes")
-    linked = stored(link_fingerprints(nodes, max_bits), "simhash-linked")
-    # stored: the join below then has its own exchange on both sides, and Spark can split a hot component
-    least = stored(linked.join(nodes, "fp").groupBy("root").agg(F.min("first_id").alias("component_id")), "simhash-least")
-    named = linked.join(least, "root").select("fp", "component_id")
-    return members.join(named, "fp").select(id_col, "text_key", "fp", "component_id")
+    return _components(docs, id_col, text_col, shingle, max_bits).select(id_col, "text_key", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
              max_bits: int = 4) -> DataFrame:
-    """``docs`` with one document per component: the one whose id is the component id, exact repeats of it once."""
-    found = near_duplicates(docs, id_col, text_col, shingle, max_bits)
-    keep = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(
-        F.col(id_col).alias("__id"), "component_id", "text_key")
-    keep = keep.groupBy("__id", "component_id").agg(F.min("text_key").alias("__key")).select("__id", "__key").distinct()
+    """``docs`` with one document per component: the one whose id is the component id (of several, the smallest text key),
+    exact repeats of it once.  Components that share their smallest id, null included, keep one each."""
+    found = _components(docs, id_col, text_col, shingle, max_bits)
+    keep = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy("root").agg(
+        F.min(F.struct(F.col(id_col).alias("id"), "text_key")).alias("least"))
+    keep = keep.select(F.col("least.id").alias("__id"), F.col("least.text_key").alias("__key"))
     rows = docs.withColumn("__row_key", text_key(text_col))
     kept = rows.join(keep, rows[id_col].eqNullSafe(keep["__id"]) & (rows["__row_key"] == keep["__key"]), "left_semi")
     return kept.dropDuplicates([id_col, "__row_key"]).drop("__row_key")

@@ -83,3 +83,12 @@ def test_edge_cases(spark, make_docs):
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4, 7]
     assert simhash.near_duplicates(docs.where("false")).count() == 0
+
+
+def test_components_with_one_id_keep_one_each(spark, make_docs):
+    texts = [" ".join(f"{c}{i}" for i in range(300)) for c in "abcdef"]
+    docs = make_docs([(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[3]),
+                      (9, texts[4]), (9, texts[4] + " end"), (None, texts[5]), (6, texts[5])])
+    assert len({r.fp for r in simhash.fingerprints(docs).collect()}) >= 6
+    kept = sorted(((r.doc_id, r.text[0]) for r in simhash.keep_one(docs).collect()), key=repr)
+    assert kept == [(6, "f"), (7, "c"), (7, "d"), (9, "e"), (None, "a"), (None, "b")]
