@@ -5,10 +5,12 @@ of about ``SEGMENT_WORDS`` words of consecutive documents (sorted term hashes, a
 A segment is written once in the shared folder and read by every search after it.
 
 ``find_matches`` takes the windows of the benchmark (a stated query set) in blocks of bounded size.  Per block the
-corpus counts of its terms are summed over the segments; then, inside each segment, the postings of a window's
-rarest term give the candidate places, and the offset-adjusted postings of the other terms, rarest first, are
-intersected with them.  All terms in place: an exact phrase.  Enough terms within ``slack`` words of their place: a
-proximity match.  Matches leave the segment as merged runs per document and item; no postings are shuffled.
+corpus counts of its terms are summed over the segments; then, inside each segment, the offset-adjusted postings of a
+window's rarest terms give the candidate starts, and the postings of the other terms, rarest first, are intersected
+with them.  All terms in place: an exact phrase.  Enough terms within ``slack`` words of their place, counted from any
+start: a proximity match.  If ``misses`` terms may be missing, one of the ``misses + 1`` rarest is there, so candidates
+come from all of these, widened by ``slack``.  Matches leave the segment as merged runs per document and item; no
+postings are shuffled.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ SEGMENT_DOCS = 1 << 12
 BLOCK_WINDOWS = 50_000  # benchmark windows searched at once (13 terms each: about 5 MB)
 WINDOW = 13
 SLACK = 4  # words a term may stand off its place in a proximity match
+CANDIDATES = 1 << 18  # candidate starts held at once
 NEAR_SHARE = 0.8  # share of a window's terms that a proximity match needs
 HASH_SEED = 42
 
@@ -124,33 +127,62 @@ class _Postings:
         at = np.minimum(np.searchsorted(self.terms, wanted), len(self.terms) - 1)
         return np.where(self.terms[at] == wanted, at, -1)
 
-    def list(self, k: int) -> np.ndarray:
-        return self.places[self.ends[k - 1] if k else 0:self.ends[k]]
-
     def sizes(self, at: np.ndarray) -> np.ndarray:
         bounds = np.concatenate(([0], self.ends))
         return np.where(at < 0, 0, bounds[at + 1] - bounds[np.maximum(at, 0)])
 
 
-def _intersect(seg: _Postings, lists: np.ndarray, offsets: np.ndarray, slack: int, misses: int):
-    """Start places of exact and of proximity matches of one window; lists and offsets rarest term first."""
-    start = np.unique(seg.list(lists[0]).astype(np.int64) - offsets[0])
-    exact = np.ones(len(start), bool)
-    missed = np.zeros(len(start), np.int16)
-    for k, off in zip(lists[1:], offsets[1:]):
-        if not len(start):
+TERM = 1 << 32  # distance of the postings of neighbouring terms in ``keys``; places are below 2 ** 31
+
+
+def _check(keys, windows, w, start, within):
+    """The starts of windows ``w`` with at most ``misses`` terms further than ``within`` words from their place: (w, start,
+    whether all terms are in place, first and last place of a term that is there)."""
+    at, offsets, sizes, misses = windows
+    exact, missed = np.ones(len(w), bool), np.zeros(len(w), np.int16)
+    low, high = np.full(len(w), TERM, np.int64), np.full(len(w), -1, np.int64)
+    for k in range(at.shape[1]):
+        if not len(w):
             break
-        far = np.full(len(start), slack + 1, np.int64)
-        if k >= 0:
-            p, want = seg.list(k), start + off
-            at = np.searchsorted(p, want)
-            right = np.abs(p[np.minimum(at, len(p) - 1)] - want)
-            far = np.minimum(right, np.abs(p[np.maximum(at - 1, 0)] - want))
-        exact &= far == 0
-        missed += far > slack
-        left = missed <= misses
-        start, exact, missed = start[left], exact[left], missed[left]
-    return start[exact], start[~exact]
+        want = at[w, k] * TERM + start + offsets[w, k]  # a term that the segment lacks (-1) is far from every key
+        j = np.searchsorted(keys, want)
+        right, left = keys[np.minimum(j, len(keys) - 1)], keys[np.maximum(j - 1, 0)]
+        nearest = np.where(np.abs(right - want) < np.abs(left - want), right, left)
+        far, there = np.abs(nearest - want), k < sizes[w]
+        place, near = nearest % TERM, there & (far <= within)
+        low, high = np.where(near, np.minimum(low, place), low), np.where(near, np.maximum(high, place), high)
+        exact &= (far == 0) | ~there
+        missed += there & ~near
+        left = missed <= misses[w]
+        w, start, exact, missed, low, high = (x[left] for x in (w, start, exact, missed, low, high))
+    return w, start, exact, low, high
+
+
+def _distinct(w, start):
+    both = np.unique(w * (2 * TERM) + (start + TERM // 2))  # starts are above -TERM / 2
+    return both // (2 * TERM), both % (2 * TERM) - TERM // 2
+
+
+def _intersect(seg: _Postings, windows, slack: int):
+    """Parts (window, start, exact, first and last place) of the exact and proximity matches of all windows.  ``windows`` has
+    the segment's index of every term (-1: not there) and its offset, one row per window, rarest term first, and for
+    every window its number of terms and how many of them may be missing."""
+    at, offsets, sizes, misses = windows
+    counts = np.diff(seg.ends, prepend=0)
+    keys = np.repeat(np.arange(len(counts), dtype=np.int64), counts) * TERM + seg.places
+    w, k = np.nonzero((at >= 0) & (np.arange(at.shape[1]) <= misses[:, None]) & (np.arange(at.shape[1]) < sizes[:, None]))
+    lead = at[w, k]
+    ends = np.cumsum(counts[lead])
+    for lo in range(0, int(ends[-1]) if len(ends) else 0, CANDIDATES):
+        nth = np.arange(lo, min(lo + CANDIDATES, int(ends[-1])))
+        of = np.searchsorted(ends, nth, side="right")
+        place = seg.places[seg.ends[lead[of]] - (ends[of] - nth)].astype(np.int64)
+        # a start is within slack of a candidate, so its terms are within twice that of their place from there
+        cand = _check(keys, windows, *_distinct(w[of], place - offsets[w[of], k[of]]), 2 * slack)
+        shift = np.arange(-slack, slack + 1)
+        got = _check(keys, windows, *_distinct(np.repeat(cand[0], len(shift)), (cand[1][:, None] + shift).ravel()), slack)
+        if len(got[0]):
+            yield got
 
 
 def _merge(doc, item, first, last):
@@ -199,39 +231,36 @@ def _search_block(index, items, arrow_type, terms, item_type, slack, near_share)
         F.sum("n").alias("n")).toArrow()
     freq = np.zeros(len(wanted.value), np.int64)
     freq[np.searchsorted(wanted.value, counts["term"].to_numpy())] = counts["n"].to_numpy()
-    plan = []
-    for t in terms:
-        f = freq[np.searchsorted(wanted.value, t)]
-        order = np.lexsort((np.arange(len(t)), f))
-        plan.append((t[order], order, int((1 - near_share) * len(t) + 1e-9)))
-    plan = spark.sparkContext.broadcast((items, plan))
+    sizes = np.fromiter(map(len, terms), np.int64, len(terms))
+    nth, offsets = np.full((2, len(terms), int(sizes.max(initial=0))), -1, np.int64)  # terms as places in wanted, rarest first
+    for n, t in enumerate(terms):
+        at = np.searchsorted(wanted.value, t)
+        order = np.lexsort((np.arange(len(t)), freq[at]))
+        nth[n, :len(t)], offsets[n, :len(t)] = at[order], order
+    misses = ((1 - near_share) * sizes + 1e-9).astype(np.int64)
+    codes = np.unique([repr(i) for i in items], return_inverse=True)[1]
+    by_code = dict(zip(codes.tolist(), items))
+    plan = spark.sparkContext.broadcast((by_code, codes, nth, offsets, sizes, misses))
 
     def search(batches):
-        item_ids, windows = plan.value
-        rarest = np.array([w[0][0] for w in windows], np.int64)
+        by_code, codes, nth, offsets, sizes, misses = plan.value
         for b in batches:
             for segment, *arrays in zip(*b.columns):  # one segment at a time, not copied
-                seg, hits = _Postings(*(a.as_buffer() for a in arrays)), {"exact": [], "near": []}
-                for n in np.flatnonzero(seg.find(rarest) >= 0) if len(rarest) else ():
-                    t, offsets, misses = windows[n]
-                    exact, near = _intersect(seg, seg.find(t), offsets, slack, misses)
-                    for kind, at in (("exact", exact), ("near", near)):
-                        if len(at):
-                            hits[kind].append((at, n, len(t)))
-                for kind, got in hits.items():
-                    if not got:
+                seg = _Postings(*(a.as_buffer() for a in arrays))
+                if not nth.size or not len(seg.terms):
+                    continue
+                at = np.where(nth >= 0, seg.find(wanted.value)[nth], -1)
+                got = list(_intersect(seg, (at, offsets, sizes, misses), slack))
+                if not got:
+                    continue
+                w, start, exact, low, high = (np.concatenate(x) for x in zip(*got))
+                # an exact match covers its window, a proximity match the words from its first to its last term
+                for kind, which in (("exact", exact), ("near", ~exact)):
+                    if not which.any():
                         continue
-                    at = np.concatenate([g[0] for g in got])
-                    which = np.concatenate([np.full(len(g[0]), g[1]) for g in got])
-                    size = np.concatenate([np.full(len(g[0]), g[2]) for g in got])
-                    doc = np.maximum(np.searchsorted(seg.starts, at, side="right") - 1, 0)
-                    if kind == "near":  # the start of a proximity match may lie before the document's first word
-                        doc = np.searchsorted(seg.starts, at + size // 2, side="right") - 1
-                    codes = np.unique([repr(i) for i in item_ids], return_inverse=True)[1]
-                    first = np.maximum(at - seg.starts[doc], 0)
-                    last = at - seg.starts[doc] + size
-                    by_code = dict(zip(codes.tolist(), item_ids))
-                    doc, code, first, last = _merge(doc, codes[which], first, last)
+                    first, last = low[which], high[which] + 1
+                    doc = np.searchsorted(seg.starts, first, side="right") - 1
+                    doc, code, first, last = _merge(doc, codes[w[which]], first - seg.starts[doc], last - seg.starts[doc])
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([segment.as_py()] * len(doc)), pa.array(doc.astype(np.int32)),
                          pa.array([by_code[c] for c in code.tolist()], arrow_type), pa.array([kind] * len(doc)),

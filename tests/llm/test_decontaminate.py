@@ -71,3 +71,57 @@ def test_proximity(spark, make_docs):
         make_docs([(1, passage), (2, loose), (3, "w1 w1 w1 other")]),
         make_docs([(7, passage)]).withColumnRenamed("doc_id", "item_id")).collect()}
     assert got == {1: (13, 0), 2: (0, 1), 3: (0, 0)}
+
+
+def brute_near(docs, items, k=13, slack=4, share=0.8):
+    """Items with a window of which enough terms stand within slack of their place, and without an exact window."""
+    out, exact = {}, {i: set(found) for i, _, _, found, _ in brute(docs, items, k)}
+    for i, t in docs:
+        w, near = words(t), set()
+        for j, b in items:
+            v = words(b)
+            n = min(k, len(v))
+            for s in range(len(v) - n + 1 if v else 0):
+                for p in range(-n - slack, len(w) + slack):
+                    there = sum(v[s + x] in w[max(p + x - slack, 0):max(p + x + slack + 1, 0)] for x in range(n))
+                    if n - there <= int((1 - share) * n + 1e-9):
+                        near.add(str(j))
+        out[i] = len(near - exact[i])
+    return out
+
+
+def near_items(spark_docs, bench):
+    return {r.doc_id: r.n_near_items for r in D.contamination(spark_docs, bench.withColumnRenamed("doc_id", "item_id")).collect()}
+
+
+def test_proximity_without_the_rarest_terms(spark, make_docs):
+    passage = [f"w{i}" for i in range(13)]
+    common = " ".join(f"{w} {w} filler" for w in passage if w not in ("w6", "w9"))  # w6 and w9 are the rarest of the corpus
+    texts = [" ".join(passage), " ".join("typo" if w == "w6" else w for w in passage), " ".join(w for w in passage if w not in ("w6", "w9")),
+             " ".join("other" if w in ("w6", "w9", "w0") else w for w in passage), "a b w6 " + " ".join(w for w in passage if w != "w6")]
+    docs = list(enumerate(texts)) + [(9, common)]
+    items = [(7, " ".join(passage)), (8, " ".join("absent" if w == "w3" else w for w in passage)), (6, "lone"), (5, "w6 w9 two")]
+    want = brute_near(docs, items)
+    assert want[1] >= 1 and want[2] >= 1
+    assert near_items(make_docs(docs), make_docs(items)) == want
+
+
+def test_proximity_equals_brute_force(spark, make_docs, monkeypatch):
+    rng = random.Random(8)
+    vocab = [f"v{i}" for i in range(60)]
+    items = [(j, " ".join(rng.choices(vocab, k=rng.choice([1, 2, 5, 13, 16])))) for j in range(12)]
+    docs = []
+    for i in range(50):
+        w = rng.choices(vocab, k=rng.randint(0, 12))
+        for _, b in rng.sample(items, 2):
+            v = b.split()
+            for _ in range(rng.randint(0, 4)):
+                x = rng.randrange(len(v) + 1)
+                v[x:x + rng.randint(0, 1)] = rng.choices(vocab + ["new"], k=rng.randint(0, 2))
+            w += v + rng.choices(vocab, k=rng.randint(0, 6))
+        docs.append((i, " ".join(w)))
+    monkeypatch.setattr(D, "SEGMENT_WORDS", 200)
+    monkeypatch.setattr(D, "CANDIDATES", 50)
+    want = brute_near(docs, items)
+    assert sum(want.values()) > 50
+    assert near_items(make_docs(docs), make_docs(items)) == want
