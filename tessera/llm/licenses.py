@@ -45,7 +45,7 @@ LICENSES = [
     ("gpl", "general public", "gpl", "(?:gnu )?general public licen[cs]e"),
     ("gpl-2", "gpl", "gpl 2 0 only", "(?:gnu )?gpl ?(?:version |v ?)?2(?: 0)?"),
     ("gpl-3", "gpl", "gpl 3 0 only", "(?:gnu )?gpl ?(?:version |v ?)?3(?: 0)?"),
-    ("lgpl-2", "lesser", "lgpl 2 0", "(?:gnu )?(?:lesser|library) general public licen[cs]e (?:version |v )2(?: 0)?"),
+    ("lgpl-2", "general public", "lgpl 2 0", "(?:gnu )?(?:lesser|library) general public licen[cs]e (?:version |v )2(?: 0)?"),
     ("lgpl-2.1", "lesser", "lgpl 2 1", "(?:gnu )?lesser general public licen[cs]e (?:version |v )2 1"),
     ("lgpl-3", "lesser", "lgpl 3 0", "(?:gnu )?lesser general public licen[cs]e (?:version |v )3(?: 0)?"),
     ("lgpl", "lesser", "lgpl", "(?:gnu )?lesser general public licen[cs]e"),
@@ -80,7 +80,7 @@ LICENSES = [
     ("cc-by-sa", "creative commons", "cc by sa 3 0", "creative commons attribution share ?alike(?: [1-4] [05])?(?: international| unported)?(?: licen[cs]e)?"),
     ("cc-by-nc", "creative commons", "cc by nc 3 0", "creative commons attribution non ?commercial(?: [1-4] [05])?(?: international| unported)?(?: licen[cs]e)?"),
     ("public-domain", "public domain", "public domain", "(?:in(?:to)? the )?public domain"),
-    ("all-rights-reserved", "rights reserved", "proprietary", "all rights (?:are )?reserved"),
+    ("all-rights-reserved", "all rights", "proprietary", "all rights (?:are )?reserved"),
 ]
 
 # Wording (NAME and SPDX stand for the license), priority, confidence, ending of the label (None: no label).

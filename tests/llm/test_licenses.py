@@ -1,4 +1,6 @@
+import itertools
 import re
+from re import _constants as C, _parser
 
 from pyspark.sql import functions as F
 
@@ -59,3 +61,36 @@ def test_wordings_suppression_and_edge_cases(spark, make_docs):
     assert by[0].labels == "apache-2" and by[2].labels == "gpl-3" and by[6].labels == "all-rights-reserved"
     assert by[5].labels == "lgpl-2.1-or-later" and by[3].base_labels == "mit" and by[3].detections == []
     assert L.license_scan(df.where("false")).count() == 0
+
+
+def forms(parsed):
+    """Every text a rule's regex matches (look-arounds left out)."""
+    parts = []
+    for op, arg in parsed:
+        if op is C.LITERAL:
+            parts.append([chr(arg)])
+        elif op is C.IN:
+            parts.append([chr(x) for o, a in arg for x in ([a] if o is C.LITERAL else range(a[0], a[1] + 1))])
+        elif op is C.SUBPATTERN:
+            parts.append(forms(arg[-1]))
+        elif op is C.BRANCH:
+            parts.append([x for branch in arg[1] for x in forms(branch)])
+        elif op is C.MAX_REPEAT:
+            parts.append([x for n in range(arg[0], arg[1] + 1) for x in map("".join, itertools.product(forms(arg[2]), repeat=n))])
+        else:
+            assert op is C.ASSERT_NOT, op
+    return list(map("".join, itertools.product(*parts)))
+
+
+def test_gates_hold_for_every_form_of_every_rule():
+    for r in RULES:
+        texts = [f" {x} " for x in forms(_parser.parse(r["regex"]))]
+        assert texts and not [x for x in texts if r["keyword"] not in x or not any(s in x for s in L.STEMS)], r
+
+
+def test_forms_that_lack_the_usual_word(spark, make_docs):
+    texts = ["All rights are reserved.", "GNU Library General Public License version 2", "licensed under the GNU Library General "
+             "Public License, version 2.0", "not under the GNU library general public license v 2"]
+    rows = {r.doc_id: r for r in L.license_scan(make_docs(list(enumerate(texts)))).collect()}
+    assert [values(rows[i]) for i in range(4)] == [brute(t) for t in texts]
+    assert [rows[i].labels for i in range(3)] == ["all-rights-reserved", "lgpl-2", "lgpl-2"]
