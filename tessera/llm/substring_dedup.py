@@ -7,9 +7,12 @@ at consecutive places, so the tree is cut at this depth and a node is named by a
 1. Prefix counts.  Suffixes are counted by the hash bucket of their first word, first two and first four words (tables
    of ``BUCKETS`` counts, a fixed size, summed over the tasks).
 2. Variable-length prefixes.  A suffix belongs to its one-word prefix if that bucket has at most ``GROUP_SUFFIXES``
-   suffixes, else to its two-word, else to its four-word, else to its whole path, whose equal suffixes have already been
-   merged inside each task (only the first of them is sent; the others are later repeats for certain).
-   Buckets are packed into groups of about ``GROUP_SUFFIXES`` suffixes, so a group fits in memory at any input size.
+   suffixes, else to its two-word, else to its four-word, else to its whole path.  Equal paths are merged inside each
+   chunk of documents: only the first of them goes to the group; the others are later repeats for certain and go
+   straight to the bucket of their document (see 4), so copies spread over the buckets however many there are.
+   Buckets are packed into groups of about ``GROUP_SUFFIXES`` suffixes.  A path that is too frequent at every length
+   adds one suffix per chunk (about ``6 * CHUNK_WORDS`` bytes of text or one Arrow batch) to its group on top of that:
+   partial minima of several chunks are not merged on the way.
 3. Subtrees.  A group sorts its suffixes by path; every run of equal paths is a deep internal node, its first leaf (by
    document id, text key and place) stays, the other leaves are later repeats and go back to their documents.
 4. Documents and their later repeats meet in as many buckets as there are groups, so a bucket's texts fit in memory
@@ -35,6 +38,7 @@ CHUNK_WORDS = 1 << 19  # words whose windows a task holds at once
 LADDER = (1, 2, 4)  # prefix lengths; the last resort is the whole path
 MIX = np.uint64(0x9E3779B97F4A7C15)
 ZSTD = "zstd"
+NAMES = ["grp", "n_docs", "n", "ids", "known", "keys", "counts", "places", "paths"]
 PACKED = [pa.int32(), pa.int32(), pa.int64()] + [pa.binary()] * 5
 
 
@@ -176,16 +180,15 @@ def short_key(text_col: str):
     return F.shiftright(text_key(text_col), 32).cast("int")
 
 
-def later_repeats(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> tuple[DataFrame, int]:
-    """Packed start places of the windows that also start earlier, by bucket of the document (``bucket_of``), and the number
-    of buckets; a document's places may come in several rows."""
+def packed_suffixes(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> tuple[DataFrame, int]:
+    """Packed suffixes by group, and the number of groups.  Rows without paths hold the places that are later than another
+    place in their own chunk; their group is the bucket of the document."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(text_or_empty(text_col).alias("text"), F.col(id_col).cast("bigint").alias("id"),
                        short_key(text_col).alias("key"))
     where, n_groups = _groups(prefix_counts(rows.select("text"), min_words), parallelism(spark))
     plan = spark.sparkContext.broadcast(where)  # fixed size: one int per bucket and prefix length
-    names = ["grp", "n_docs", "n", "ids", "known", "keys", "counts", "places", "paths"]
 
     def split(batches):
         groups = plan.value
@@ -209,11 +212,12 @@ def later_repeats(docs: DataFrame, id_col: str, text_col: str, min_words: int) -
             group[whole] = (path[whole] % np.uint64(n_groups)).astype(np.int32)
             later = _later((place, doc), path)
             made = []
-            for known_later in (False, True):  # later than another place in this chunk: decided, sent without its path
+            for known_later in (False, True):  # later than another place in this chunk: decided, sent to its document
+                to = _bucket(ids, keys, n_groups)[doc] if known_later else group
                 sent = np.flatnonzero(later == known_later)
-                small = group[sent].astype(np.int16) if n_groups < 1 << 15 else group[sent]
+                small = to[sent].astype(np.int16) if n_groups < 1 << 15 else to[sent]
                 sent = sent[np.argsort(small, kind="stable")]
-                bounds = np.searchsorted(group[sent], np.arange(n_groups + 1))
+                bounds = np.searchsorted(to[sent], np.arange(n_groups + 1))
                 for g in np.flatnonzero(np.diff(bounds)):
                     at = sent[bounds[g]:bounds[g + 1]]
                     d, p = doc[at], place[at]
@@ -225,16 +229,25 @@ def later_repeats(docs: DataFrame, id_col: str, text_col: str, min_words: int) -
                                  _pack(np.diff(np.append(first, len(at))).astype(np.uint32)), _pack(gaps.astype(np.uint32)),
                                  b"" if known_later else path[at].tobytes()])
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
-                zip(*made), [pa.int32(), pa.int32(), pa.int64()] + [pa.binary()] * 6)], names=names)
+                zip(*made), [pa.int32(), pa.int32(), pa.int64()] + [pa.binary()] * 6)], names=NAMES)
+
+    return rows.mapInArrow(split, "grp int, n_docs int, n bigint, ids binary, known binary, keys binary, counts binary, "
+                                  "places binary, paths binary"), n_groups
+
+
+def later_repeats(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> tuple[DataFrame, int]:
+    """Packed start places of the windows that also start earlier, by bucket of the document (``bucket_of``), and the number
+    of buckets; a document's places may come in several rows."""
+    packed, n_groups = packed_suffixes(docs, id_col, text_col, min_words)
 
     def opened(row):
         return _opened(*row)
 
     def subtree(table: pa.Table) -> pa.Table:
-        rows = list(zip(*(table[c] for c in names)))
+        rows = list(zip(*(table[c] for c in NAMES)))
         rows = [[v.as_py() if k < 3 else v.as_buffer() for k, v in enumerate(r)] for r in rows]
         parts = [opened(r) for r in rows if len(r[8])]
-        decided = [opened(r) for r in rows if not len(r[8])]  # later than a place in their own chunk
+        decided = [opened(r) for r in rows if not len(r[8])]  # later than a place in their own chunk, in this bucket
         found = [[np.repeat(p[k], p[3]) for k in range(3)] + [p[4]] for p in decided]
         if parts:
             counts = np.concatenate([p[3] for p in parts])
@@ -252,7 +265,7 @@ def later_repeats(docs: DataFrame, id_col: str, text_col: str, min_words: int) -
             found.append([ids[doc[at]], known[doc[at]], keys[doc[at]], place[at]])
         ids, known, keys, place = (np.concatenate([f[k] for f in found]) for k in range(4))
         made = list(packed_rows(_bucket(ids, keys, n_groups), ids, known, keys, place))
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*made), PACKED)] if made else [pa.array([], t) for t in PACKED], names=names[:8])
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*made), PACKED)] if made else [pa.array([], t) for t in PACKED], names=NAMES[:8])
 
     def packed_rows(bucket, ids, known, keys, place):
         """Rows (bucket, n_docs, n, ids, known, keys, counts, places), one per bucket."""
@@ -269,8 +282,6 @@ def later_repeats(docs: DataFrame, id_col: str, text_col: str, min_words: int) -
             yield [int(bucket[lo]), len(first), int(hi - lo), _pack(np.diff(i[first], prepend=0)), _pack(k[first]), y[first].tobytes(),
                    _pack(np.diff(np.append(first, hi - lo)).astype(np.uint32)), _pack(gaps.astype(np.uint32))]
 
-    packed = rows.mapInArrow(split, "grp int, n_docs int, n bigint, ids binary, known binary, keys binary, counts binary, "
-                                    "places binary, paths binary")
     found = packed.groupBy("grp").applyInArrow(subtree, "bucket int, n_docs int, n bigint, ids binary, known binary, keys binary, "
                                                         "counts binary, places binary".replace("bucket", "grp"))
     return found.withColumnRenamed("grp", "bucket"), n_groups

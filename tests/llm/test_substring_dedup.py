@@ -43,3 +43,14 @@ def test_edge_cases(spark, make_docs):
     assert len(got) == len(docs) + 2
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in got} == brute(docs, 20)
     assert S.substring_dedup(df.where("false")).count() == 0
+
+
+def test_copies_do_not_meet_in_one_group(spark, make_docs):
+    copy = " ".join(f"w{i}" for i in range(21))
+    docs = make_docs([(i, copy) for i in range(1500)] + [(5000 + i, " ".join(f"u{i}x{j}" for j in range(20))) for i in range(500)]
+                     + [(9000 + i, "same " * 40) for i in range(400)])
+    packed, n_groups = S.packed_suffixes(docs, "doc_id", "text", 20)
+    sizes = [r.n for r in packed.groupBy("grp").agg(F.sum("n").alias("n")).collect()]
+    assert n_groups >= 8 and sum(sizes) == 2 * 1500 + 500 + 21 * 400
+    assert max(sizes) < 2 * sum(sizes) / n_groups
+    assert packed.where("length(paths) > 0").agg(F.sum("n")).first()[0] < 1000
