@@ -7,7 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from tessera.functions.hashing import sql_seeded_order
-from tessera.llm import ann, chat, decontaminate, licenses, line_dedup, mixing, quality, simhash, substring_dedup, warc
+from tessera.llm import ann, chat, decontaminate, divergence, licenses, line_dedup, mixing, quality, simhash, substring_dedup, warc
 from tessera.llm.common import read, scratch
 
 QUERIES: dict = {}
@@ -169,3 +169,30 @@ def op7(spark, sf_dir):
 def op5(spark, sf_dir):
     rows = read(spark, sf_dir, "embeddings")
     return ann.nearest(rows, rows.where(F.col("vec_id") % 50 == 0), k=5)
+
+
+@query("op13_divergence_audit", r"""
+with d as (select row_number() over () as i, coalesce(lang, '') as lang, coalesce(source, '') as source,
+             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+t as (select i, lang, source, unnest(w) as term from d),
+kept as (select lang, term, count(*) as lang_n from t group by all having count(distinct i) >= 3),
+langs as (select lang, count(*) as v, sum(lang_n) as lang_total from kept group by lang),
+n as (select lang, source, term, count(*) as n from t join kept using (lang, term) group by all),
+g as (select lang, source, coalesce(sum(n), 0) as total from (select distinct lang, source from d) left join n using (lang, source) group by all),
+grid as (select g.lang, g.source, kept.term, coalesce(n.n, 0) as n,
+           1 + 1000000000::hugeint * (coalesce(n.n, 0) + 1) // (g.total + v)::hugeint as p,
+           1 + 1000000000::hugeint * (lang_n + 1) // (lang_total + v)::hugeint as whole
+         from g join kept using (lang) join langs using (lang) left join n on n.lang = g.lang and n.source = g.source and n.term = kept.term),
+cells as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value
+          from grid a join grid b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+pairs as (select a.lang, a.source, 'pair' as part, b.source as item, cast(coalesce(value, 0) as bigint) as value
+          from g a join g b on a.lang = b.lang and a.source <> b.source
+          left join cells c on c.lang = a.lang and c.source = a.source and c.item = b.source),
+terms as (select lang, source, 'term' as part, term as item, cast((p - whole) * (p - whole) // whole as bigint) as value
+          from grid where n > 0 and p > whole),
+ranked as (select *, cast(row_number() over (partition by lang, source, part order by value desc, item) as integer) as rank
+           from (select * from pairs union all select * from terms))
+select lang, source, part, item, value, rank from ranked where part = 'pair' or rank <= 200""")
+def op13(spark, sf_dir):
+    return divergence.divergence(read(spark, sf_dir, "documents"))
