@@ -7,7 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from tessera.functions.hashing import sql_seeded_order
-from tessera.llm import ann, chat, decontaminate, divergence, licenses, line_dedup, mixing, quality, simhash, substring_dedup, warc
+from tessera.llm import ann, chat, decontaminate, divergence, licenses, line_dedup, lm_score, merkle, mixing, quality, simhash, substring_dedup, warc
 from tessera.llm.common import read, scratch
 
 QUERIES: dict = {}
@@ -196,3 +196,56 @@ ranked as (select *, cast(row_number() over (partition by lang, source, part ord
 select lang, source, part, item, value, rank from ranked where part = 'pair' or rank <= 200""")
 def op13(spark, sf_dir):
     return divergence.divergence(read(spark, sf_dir, "documents"))
+
+
+def _crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII text, bit by bit."""
+    return (f"xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, length({text}) + 1), lambda i: ascii({text}[i])::bigint)), "
+            "lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda a, z: xor(a >> 1, 3988292384 * (a & 1)))), 4294967295)")
+
+
+def _merkle_sql(levels: int = 14, top_levels: int = 9) -> str:
+    """The manifest of op11, one level of the trees per common table expression."""
+    steps = []
+
+    def tree(nodes, walk, count, name):
+        """Steps that turn ``nodes`` (grp, pos, n, digest) and ``walk`` (grp, pos, acc, sib, ...) into roots."""
+        for k in range(count):
+            runs, up, on = f"{name}_runs{k}", f"{name}_nodes{k}", f"{name}_walk{k}"
+            steps.append(f"{runs} as materialized (select grp, pos // 3 as pos, n, list(digest order by pos) as ds from {nodes} group by grp, pos // 3, n)")
+            steps.append(f"{up} as materialized (select grp, pos, (n + 2) // 3 as n, case when n = 1 then ds[1] else sha256(array_to_string(ds, '')) end as digest from {runs})")
+            steps.append(f"""{on} as materialized (select w.* replace (w.pos // 3 as pos,
+  case when n = 1 then acc else sha256(array_to_string(ds[:w.pos % 3], '') || acc || array_to_string(ds[w.pos % 3 + 2:], '')) end as acc,
+  case when n = 1 then sib else sib || array_to_string(ds[:w.pos % 3], '') || array_to_string(ds[w.pos % 3 + 2:], '') end as sib)
+  from {walk} w join {runs} r on w.grp = r.grp and w.pos // 3 = r.pos)""")
+            nodes, walk = up, on
+        return nodes, walk
+
+    fields = lambda text: " || ".join(f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in (
+        "doc_id::varchar", "source", "lang", "n_chars::varchar", text))
+    steps.append(f"""leaves as materialized (select doc_id, coalesce('=' || source, '') as grp, sha256({fields("text")}) as leaf,
+  case when {_crc32_sql("doc_id::varchar")} % 2 = 0 then sha256({fields("replace(text, chr(10), '')")}) else sha256({fields("text")}) end as changed from documents)""")
+    steps.append("first as materialized (select *, row_number() over (partition by grp order by doc_id) - 1 as pos, count(*) over (partition by grp) as n, leaf as digest from leaves)")
+    steps.append("start as materialized (select doc_id, leaf, grp, pos, changed as acc, '' as sib from first)")
+    nodes, walk = tree("first", "start", levels, "s")
+    steps.append(f"sub as materialized (select grp as source_grp, '' as grp, row_number() over (order by grp) - 1 as pos, count(*) over () as n, digest from {nodes})")
+    steps.append(f"up as materialized (select w.doc_id, w.leaf, sub.digest as subroot, sub.grp, sub.pos, w.acc, w.sib from {walk} w join sub on w.grp = sub.source_grp)")
+    nodes, walk = tree("sub", "up", top_levels, "r")
+    return "with " + ",\n".join(steps) + f"""
+select doc_id, leaf, subroot, digest as root, sha256(sib) as proof_sha256, acc as folded_root, acc = digest as verified
+from {walk} w join {nodes} n using (grp)"""
+
+
+@query("op11_merkle_manifest", _merkle_sql())
+def op11(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    fields = [F.col(c) for c in merkle.FIELDS]
+    leaves = docs.select("doc_id", "source", merkle.leaf_digest(fields).alias("leaf"), merkle.leaf_digest([*fields[:-1], tampered]).alias("changed"))
+    found = merkle.folded(merkle.manifest(leaves), "changed")
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+@query("op12_lm_score")
+def op12(spark, sf_dir):
+    return lm_score.lm_score(read(spark, sf_dir, "documents"))
