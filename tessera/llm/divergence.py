@@ -32,29 +32,38 @@ from tessera.llm.common import small_batches, stored
 BILLION = 1_000_000_000
 # Letters, A-Z lower-cased, and non-ASCII bytes; everything else becomes a blank.
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
-HELD_TERMS = 1 << 18  # terms that a task merges before it sends them on
+HELD_TERMS = 1 << 19  # terms, each counted once a source, that a task merges before it sends them on
+SAFE_COUNT = 9_000_000_000  # counts below it times BILLION fit into 64 bits
 CELLS = 1 << 22  # joint cells looked at together
 HELD_PAIRS = 1 << 20
 SALTS = 32
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, df) partly merged; one row with a null term for every group that a task meets."""
+    """(lang, term, df, total, sources, counts) partly merged: the documents and occurrences of a term in a language and its
+    occurrences in each source.  A null term lists the sources that a task meets."""
     def rows(held):
-        for (lang, source), (n, df) in held.items():
-            terms = list(n)
-            size = len(terms) + 1
+        for lang, (by_source, df) in held.items():
+            terms = {t: ([], []) for t in df}
+            for source, n in by_source.items():
+                for t, k in n.items():
+                    sources, counts = terms[t]
+                    sources.append(source)
+                    counts.append(k)
+            every = list(by_source)
+            sources, counts = [every, *(x for x, _ in terms.values())], [[0] * len(every), *(x for _, x in terms.values())]
             yield pa.RecordBatch.from_arrays([
-                pa.array([lang] * size, pa.string()), pa.array([source] * size, pa.string()),
-                pa.array([None, *terms], pa.binary()).cast(pa.string()),
-                pa.array([0, *n.values()], pa.int64()), pa.array([0, *(df[t] for t in terms)], pa.int64())],
-                names=["lang", "source", "term", "n", "df"])
+                pa.array([lang] * len(sources), pa.string()), pa.array([None, *terms], pa.binary()).cast(pa.string()),
+                pa.array([0, *df.values()], pa.int64()), pa.array([sum(x) for x in counts], pa.int64()),
+                pa.array(sources, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int64()))],
+                names=["lang", "term", "df", "total", "sources", "counts"])
 
     def run(batches):
         held, size = {}, 0
         for b in batches:
             for lang, source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary())):
-                n, df = held.setdefault((lang, source), (Counter(), Counter()))
+                by_source, df = held.setdefault(lang, ({}, Counter()))
+                n = by_source.setdefault(source, Counter())
                 words, before = text.as_py().translate(LETTERS).split(), len(n)
                 n.update(words)
                 df.update(set(words))
@@ -66,13 +75,14 @@ def term_counts(docs: DataFrame) -> DataFrame:
 
     small_batches(docs.sparkSession)
     named = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")]
-    return docs.select(*named).mapInArrow(run, "lang string, source string, term string, n bigint, df bigint")
+    return docs.select(*named).mapInArrow(run, "lang string, term string, df bigint, total bigint, sources array<string>, counts array<bigint>")
 
 
 def share(n: Column, total: Column, terms: Column) -> Column:
     """1 + floor(10^9 (n + 1) / (total + terms)), exact for every count."""
-    scaled = (n + F.lit(1)).cast("decimal(20,0)") * F.lit(BILLION).cast("decimal(10,0)")
-    return F.lit(1).cast("bigint") + F.call_function("div", scaled, F.greatest(total + terms, F.lit(1)).cast("decimal(20,0)"))
+    whole, more = F.greatest(total + terms, F.lit(1)), n + F.lit(1)
+    wide = F.call_function("div", more.cast("decimal(20,0)") * F.lit(BILLION).cast("decimal(10,0)"), whole.cast("decimal(20,0)"))
+    return F.lit(1).cast("bigint") + F.when(n < SAFE_COUNT, F.call_function("div", more.cast("bigint") * F.lit(BILLION), whole)).otherwise(wide)
 
 
 def cost(p: Column, q: Column) -> Column:
@@ -162,9 +172,11 @@ def divergence(docs: DataFrame, min_docs: int = 3, top_terms: int = 200) -> Data
     """(lang, source, part, item, value, rank): part ``pair`` holds each source's divergence from every other source of its
     language, part ``term`` the ``top_terms`` terms by which it exceeds the whole language."""
     by_term = Window.partitionBy("lang", "term")
-    counts = term_counts(docs).repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
-    counts = counts.withColumns({"lang_n": F.sum("n").over(by_term), "lang_df": F.sum("df").over(by_term)})
-    counts = stored(counts.where((F.col("lang_df") >= min_docs) | F.col("term").isNull()).drop("df", "lang_df"), "audit-counts")
+    parts = term_counts(docs).repartition("lang", "term").withColumns({"df": F.sum("df").over(by_term), "lang_n": F.sum("total").over(by_term)})
+    parts = parts.where((F.col("df") >= min_docs) | F.col("term").isNull())
+    counts = parts.select("lang", "term", "lang_n", F.explode(F.arrays_zip("sources", "counts")).alias("x"))
+    counts = counts.groupBy("lang", "term", F.col("x.sources").alias("source")).agg(F.sum("x.counts").alias("n"), F.max("lang_n").alias("lang_n"))
+    counts = stored(counts, "audit-counts")
     cells = counts.where("term is not null")
 
     # ids: the partition of a sort in its high bits, the place in it in the low ones

@@ -215,8 +215,8 @@ def _merkle_sql(levels: int = 14, top_levels: int = 9) -> str:
             steps.append(f"{runs} as materialized (select grp, pos // 3 as pos, n, list(digest order by pos) as ds from {nodes} group by grp, pos // 3, n)")
             steps.append(f"{up} as materialized (select grp, pos, (n + 2) // 3 as n, case when n = 1 then ds[1] else sha256(array_to_string(ds, '')) end as digest from {runs})")
             steps.append(f"""{on} as materialized (select w.* replace (w.pos // 3 as pos,
-  case when n = 1 then acc else sha256(array_to_string(ds[:w.pos % 3], '') || acc || array_to_string(ds[w.pos % 3 + 2:], '')) end as acc,
-  case when n = 1 then sib else sib || array_to_string(ds[:w.pos % 3], '') || array_to_string(ds[w.pos % 3 + 2:], '') end as sib)
+  case when n = 1 then acc else sha256(array_to_string(list_slice(ds, 1, w.pos % 3), '') || acc || array_to_string(list_slice(ds, w.pos % 3 + 2, 3), '')) end as acc,
+  case when n = 1 then sib else sib || array_to_string(list_slice(ds, 1, w.pos % 3), '') || array_to_string(list_slice(ds, w.pos % 3 + 2, 3), '') end as sib)
   from {walk} w join {runs} r on w.grp = r.grp and w.pos // 3 = r.pos)""")
             nodes, walk = up, on
         return nodes, walk
@@ -224,7 +224,7 @@ def _merkle_sql(levels: int = 14, top_levels: int = 9) -> str:
     fields = lambda text: " || ".join(f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in (
         "doc_id::varchar", "source", "lang", "n_chars::varchar", text))
     steps.append(f"""leaves as materialized (select doc_id, coalesce('=' || source, '') as grp, sha256({fields("text")}) as leaf,
-  case when {_crc32_sql("doc_id::varchar")} % 2 = 0 then sha256({fields("replace(text, chr(10), '')")}) else sha256({fields("text")}) end as changed from documents)""")
+  case when {_crc32_sql("cast(doc_id as varchar)")} % 2 = 0 then sha256({fields("replace(text, chr(10), '')")}) else sha256({fields("text")}) end as changed from documents)""")
     steps.append("first as materialized (select *, row_number() over (partition by grp order by doc_id) - 1 as pos, count(*) over (partition by grp) as n, leaf as digest from leaves)")
     steps.append("start as materialized (select doc_id, leaf, grp, pos, changed as acc, '' as sib from first)")
     nodes, walk = tree("first", "start", levels, "s")
