@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import small_batches, stored
 
-CLASSES, HEAD = 2047, 1 << 17
-DIMS, CONTEXT = 32, 2
-ROUNDS, STEP, NOISE, RATE = 3, 1024, 64, 0.1
+CLASSES, HEAD = 1023, 1 << 17
+DIMS, CONTEXT = 16, 2
+ROUNDS, STEP, NOISE, RATE = 3, 1024, 32, 0.1
 HELD_TOKENS = 1 << 18  # tokens that a counting task merges before it sends them on
 SCORED = 1 << 19  # tokens scored together
 LOGITS = 1 << 23  # class scores held at once
@@ -181,7 +181,7 @@ class Trainer:
         slopes = [*(wide(back * m[place + k, :d], none) for k in range(model.context)),
                   wide(pull[:, None] * vector, pull), wide(push.T @ vector, push.sum(axis=0))]
         row = np.concatenate(rows)
-        order = np.argsort(row, kind="stable")
+        order = np.argsort(row.astype(np.uint16) if len(m) <= 1 << 16 else row, kind="stable")  # short integers: radix sort
         sorted_rows = row[order]
         start = np.flatnonzero(np.r_[True, sorted_rows[1:] != sorted_rows[:-1]])
         self._move(sorted_rows[start], np.add.reduceat(np.concatenate(slopes)[order], start, axis=0))
