@@ -23,11 +23,16 @@ def _as_col(x) -> Column:
     return F.lit(x)
 
 
-def seeded_order(seed, key) -> Column:
-    """bigint in [0, 2^32) derived from md5(seed|key); seed and key may be columns or literals."""
+def seeded_hex(seed, key) -> Column:
+    """The 8 hexadecimal digits of ``seeded_order``: the same order, as text, without the conversion."""
     s = F.lit(str(seed)) if isinstance(seed, (int, str)) and not isinstance(seed, Column) else _as_col(seed).cast("string")
     k = _as_col(key).cast("string")
-    return F.conv(F.substring(F.md5(F.concat(s, F.lit("|"), k)), 1, 8), 16, 10).cast("bigint")
+    return F.substring(F.md5(F.concat(s, F.lit("|"), k)), 1, 8)
+
+
+def seeded_order(seed, key) -> Column:
+    """bigint in [0, 2^32) derived from md5(seed|key); seed and key may be columns or literals."""
+    return F.conv(seeded_hex(seed, key), 16, 10).cast("bigint")
 
 
 def seeded_unit(seed, key) -> Column:

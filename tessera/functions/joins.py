@@ -8,6 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def fresh(df: DataFrame, cols) -> DataFrame:
+    """The columns under new ids, so that ``df`` can be joined with a table it was derived from."""
+    return df.select(*[F.col(c).alias(c) for c in cols])
+
+
 def null_safe_on(left: DataFrame, right: DataFrame, cols) -> Column:
     """Equality on every key column where NULL equals NULL (``<=>``)."""
     return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in cols])

@@ -113,8 +113,9 @@ def init_random(pool: DataFrame, k: int, seed: int) -> list[int]:
 
 def _cluster_sums(assigned: DataFrame, metric: str, k: int, with_cost: bool = False):
     """Per cluster: member count, sum of member vectors (normalised for cosine) and, with
-    ``with_cost``, the summed assignment distance.  Partial sums per partition (k rows each),
-    merged on the driver (k x d values): one pass."""
+    ``with_cost``, the summed assignment distance.  Each partition adds up its rows, the partial
+    sums are added value by value on the executors, and the driver gets k x (d + 2) values
+    whatever the number of partitions: one pass."""
     def fn(it):
         acc = {}
         for pdf in it:
@@ -130,19 +131,13 @@ def _cluster_sums(assigned: DataFrame, metric: str, k: int, with_cost: bool = Fa
                 n0, v0, d0 = acc.get(int(c), (0, 0.0, 0.0))
                 acc[int(c)] = (n0 + len(s), v0 + s.sum(0), d0 + float(dist[m].sum()))
         if acc:
-            yield pd.DataFrame({"cluster": list(acc.keys()), "n": [v[0] for v in acc.values()],
-                                "s": [list(map(float, v[1])) for v in acc.values()],
-                                "d": [v[2] for v in acc.values()]})
-    parts = assigned.mapInPandas(fn, "cluster int, n long, s array<double>, d double").collect()
-    n = np.zeros(k, dtype=np.int64)
-    cost = np.zeros(k)
-    s = None
-    for r in parts:
-        vec = np.asarray(r["s"])
-        s = np.zeros((k, len(vec))) if s is None else s
-        n[r["cluster"]] += r["n"]
-        s[r["cluster"]] += vec
-        cost[r["cluster"]] += r["d"]
+            yield pd.DataFrame({"cluster": list(acc.keys()), "v": [[float(v[0]), v[2], *map(float, v[1])] for v in acc.values()]})
+    parts = assigned.mapInPandas(fn, "cluster int, v array<double>").select("cluster", F.posexplode("v").alias("i", "x"))
+    sums = parts.groupBy("cluster", "i").agg(F.sum("x").alias("x")).collect()
+    values = np.zeros((k, max((r["i"] for r in sums), default=1) + 1))
+    for r in sums:
+        values[r["cluster"], r["i"]] = r["x"]
+    n, cost, s = np.rint(values[:, 0]).astype(np.int64), values[:, 1], values[:, 2:]
     return (n, s, cost) if with_cost else (n, s)
 
 

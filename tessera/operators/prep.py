@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.hashing import seeded_order
+from tessera.functions.ranks import dense_codes
 
 # The words (lower case) that a binary column may hold.
 BINARY_WORDS = ("yes", "no", "true", "false", "t", "f", "1", "0")
@@ -75,9 +76,8 @@ def column_types(pool: DataFrame, features, categorical=()) -> DataFrame:
 
 
 def encode_labels(pool: DataFrame, label: str = "label", out: str = "label") -> DataFrame:
-    """P5: labels in sorted order -> 0..C-1 (dense rank over the distinct labels, joined back)."""
-    codes = pool.select(F.col(label).alias("_raw")).distinct()
-    codes = codes.withColumn("_code", (F.dense_rank().over(Window.orderBy("_raw")) - 1).cast("int"))
+    """P5: labels in sorted order -> 0..C-1 (codes of the distinct labels, joined back)."""
+    codes = dense_codes(pool.select(F.col(label).alias("_raw")), "_raw", out="_code").withColumn("_code", F.col("_code").cast("int"))
     j = pool.join(codes, pool[label].eqNullSafe(codes["_raw"]), "left")
     return j.drop(label).withColumnRenamed("_code", out).drop("_raw")
 
@@ -122,8 +122,7 @@ def fit_ordinal(train: DataFrame, columns) -> DataFrame:
     cats = parts[0]
     for p in parts[1:]:
         cats = cats.unionByName(p)
-    w = Window.partitionBy("column_name").orderBy("category")
-    return cats.withColumn("code", (F.dense_rank().over(w) - 1).cast("double"))
+    return dense_codes(cats, "category", ["column_name"]).withColumn("code", F.col("code").cast("double"))
 
 
 def apply_ordinal(df: DataFrame, codes: DataFrame, columns) -> DataFrame:
@@ -160,8 +159,7 @@ def one_hot_levels(train: DataFrame, columns) -> DataFrame:
     levels = parts[0]
     for p in parts[1:]:
         levels = levels.unionByName(p)
-    w = Window.partitionBy("column_name").orderBy("level")
-    return levels.withColumn("index", F.row_number().over(w) - 2).filter("index >= 0")
+    return dense_codes(levels, "level", ["column_name"], "index").withColumn("index", (F.col("index") - 1).cast("int")).filter("index >= 0")
 
 
 def one_hot(df: DataFrame, levels: DataFrame, columns) -> DataFrame:

@@ -6,14 +6,19 @@ row and class.  Metrics are grouped aggregates per run, so many runs score in on
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
+from tessera.functions.joins import fresh, null_safe_on
 from tessera.functions.tiles import BLOCK_ROWS, meet
 
+TEST_ROWS = 100_000  # test rows of a run that a user scorer gets at once
+
 
 # ---------------------------------------------------------------- E1 k-NN
 def knn_predict(context: DataFrame, test: DataFrame, k: int = 5, metric: str = "euclidean",
@@ -68,6 +73,8 @@ def logistic_predict(context: DataFrame, test: DataFrame, max_iter: int = 1000,
     sum of losses + |w|^2 / (2 c), i.e. regParam = 1 / (c n) on the mean loss, without feature scaling."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector, vector_to_array
+    if (one := one_class_predict(context, test)) is not None:  # E5
+        return one
     tr = context.select(array_to_vector("features").alias("fv"), F.col("label").cast("double").alias("y"))
     n = tr.count()
     model = LogisticRegression(featuresCol="fv", labelCol="y", maxIter=max_iter, tol=1e-8, family="multinomial",
@@ -127,6 +134,80 @@ def one_class_predict(context: DataFrame, test: DataFrame) -> DataFrame | None:
                        F.lit(1.0).alias("prob"))
 
 
+def score_runs(contexts: DataFrame, tests: DataFrame, run_key, fit_predict: Callable, test_rows: int = TEST_ROWS) -> DataFrame:
+    """E4 for many runs in one job: (run key..., row_id, y_true, class, prob), one row per test row and class of its run.
+
+    ``contexts`` and ``tests`` are (run key..., row_id, features, label).  ``fit_predict(context, test) -> (probabilities,
+    labels)`` gets two pandas frames and returns a row per test row and a column per label it knows.  A context with one
+    class predicts it with probability 1 and never reaches the scorer (E5); classes of the run (seen in its context or its
+    test rows) that a scorer does not know get 0 (E6).  A run without context rows gives none.
+
+    Runs meet by key; the test rows of a run are cut into blocks of about ``test_rows`` by a hash and its context, at most
+    ``V.MAX_CONTEXT_ROWS`` rows (an error in the task beyond), goes to each, so one large run is many tasks.  Null keys are
+    equal."""
+    g = list(run_key)
+    run = F.struct(*[F.col(c).alias(c) for c in g]).alias("_run")
+    cols = ["row_id", "features", F.col("label").cast("int").alias("label")]
+    c, t = contexts.select(run, *cols), tests.select(run, *cols)
+    cuts = t.groupBy("_run").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(test_rows)), F.lit(1)).cast("int").alias("_n"))
+    known = c.select("_run", "label").unionByName(t.select("_run", "label")).where("label is not null").groupBy("_run").agg(
+        F.array_sort(F.collect_set("label")).alias("_classes"))  # the classes of a run
+    c = c.join(cuts, "_run").withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
+    t = t.join(cuts, "_run").withColumn("_b", F.pmod(F.xxhash64("row_id"), F.col("_n")).cast("int")).drop("_n").join(known, "_run")
+    c, t = fresh(c, c.columns), fresh(t, t.columns)
+    types = dict(tests.dtypes)
+    names = ["row_id", "y_true", "class", "prob"]
+
+    def scored(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows) or not len(own):
+            return pd.DataFrame({"_run": [], **{n: [] for n in names}})
+        if len(own) > V.MAX_CONTEXT_ROWS:
+            raise ValueError(f"a user scorer takes a context of at most {V.MAX_CONTEXT_ROWS} rows")
+        own, rows = own.sort_values("row_id"), rows.sort_values("row_id")
+        classes = [int(k) for k in rows["_classes"].iloc[0]]
+        only = own["label"].unique()
+        probs, labels = (np.ones((len(rows), 1)), only) if len(only) == 1 else fit_predict(own, rows)
+        p = np.zeros((len(rows), len(classes)))
+        for j, k in enumerate(labels):
+            p[:, classes.index(int(k))] = np.asarray(probs, dtype=np.float64)[:, j]
+        n = len(classes)
+        return pd.DataFrame({"_run": np.repeat(rows["_run"].to_numpy(), n), "row_id": np.repeat(rows["row_id"].to_numpy(), n),
+                             "y_true": np.repeat(rows["label"].to_numpy(), n), "class": np.tile(classes, len(rows)), "prob": p.ravel()})
+
+    run_type = ", ".join(f"`{c}`: {types[c]}" for c in g)
+    out = t.groupBy("_run", "_b").cogroup(c.groupBy("_run", "_b")).applyInPandas(
+        scored, f"_run struct<{run_type}>, row_id {types['row_id']}, y_true int, class int, prob double")
+    return out.select("_run.*", *names)
+
+
+def knn_votes(k: int = 5) -> Callable:
+    """A scorer for ``score_runs``: vote shares of the k nearest context rows, ties in distance to the lower row_id."""
+    def fit_predict(context: pd.DataFrame, test: pd.DataFrame):
+        labels = np.unique(context["label"])
+        d = V.pairwise(V.stack(test["features"]), V.stack(context["features"]), "euclidean")
+        near = np.lexsort((np.broadcast_to(context["row_id"].to_numpy(), d.shape), d), axis=1)[:, :max(1, min(k, len(context)))]
+        votes = context["label"].to_numpy()[near]
+        return np.column_stack([(votes == c).mean(axis=1) for c in labels]), labels
+    return fit_predict
+
+
+def predict_through(store, contexts: DataFrame, tests: DataFrame, fit_predict: Callable) -> DataFrame:
+    """The predictions of every run of ``contexts`` (with the store's run key) through a prediction store.  A stored run
+    is taken only if it has one row per test row and class of the run; only the others are scored."""
+    g = store.run_key
+    run = F.struct(*[F.col(c).alias(c) for c in g]).alias("_run")
+    classes = contexts.select(run, "label").unionByName(tests.select(run, "label")).groupBy("_run").agg(F.count_distinct("label").alias("_c"))
+    sizes = tests.groupBy(run).agg(F.count(F.lit(1)).alias("_n"))
+    wanted = contexts.select(run).distinct().join(classes, "_run").join(sizes, "_run").select("_run.*", (F.col("_c") * F.col("_n")).alias("n_rows"))
+
+    def compute(todo: DataFrame) -> DataFrame:
+        def own(df):
+            keys = fresh(todo, g)
+            return df.join(keys, null_safe_on(df, keys, g), "left_semi")
+        return score_runs(own(contexts), own(tests), g, fit_predict)
+    return store.get_or_compute(wanted, compute)
+
+
 def align_probs(pred: DataFrame, classes: DataFrame, by=()) -> DataFrame:
     """One row per (row, class) of the class table; absent classes get probability 0."""
     cls = [r[0] for r in classes.select("class").distinct().orderBy("class").collect()]  # bounded class list

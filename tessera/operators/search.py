@@ -73,14 +73,17 @@ def candidate_metrics(cands: DataFrame, pool: DataFrame, val_auc: DataFrame, alp
 # ---------------------------------------------------------------- C4
 def crossover(cands: DataFrame, pairs: DataFrame, seed: int, p_cross: float = 0.7) -> DataFrame:
     """C4: uniform crossover; ``pairs`` is (child_id, parent_a, parent_b).  Each row's membership is
-    taken from parent a or b by a hash coin (prob 1/2); with prob 1 - p_cross the child copies a."""
+    taken from parent a or b by a hash coin (prob 1/2); with prob 1 - p_cross the child copies a.  Children with the same
+    ``coin_id`` (optional; the child's id without it) toss the same coins: with a and b swapped, each takes what the other leaves."""
+    if "coin_id" not in pairs.columns:
+        pairs = pairs.withColumn("coin_id", F.col("child_id"))
     a = cands.select(F.col("candidate_id").alias("parent_a"), "row_id", F.lit(1).alias("in_a"))
     b = cands.select(F.col("candidate_id").alias("parent_b"), "row_id", F.lit(1).alias("in_b"))
     pa = pairs.join(a, "parent_a")
     pb = pairs.join(b, "parent_b")
-    j = pa.join(pb, ["child_id", "parent_a", "parent_b", "row_id"], "full_outer")
-    coin = _h(seed, F.col("child_id"), F.col("row_id")) % 2 == 0
-    do_cross = (seeded_order(f"{seed}:x", F.col("child_id")).cast("double") / 4294967296.0) < p_cross
+    j = pa.join(pb, ["child_id", "parent_a", "parent_b", "coin_id", "row_id"], "full_outer")
+    coin = _h(seed, F.col("coin_id"), F.col("row_id")) % 2 == 0
+    do_cross = (seeded_order(f"{seed}:x", F.col("coin_id")).cast("double") / 4294967296.0) < p_cross
     take_b = do_cross & coin
     on = F.when(take_b, F.coalesce("in_b", F.lit(0))).otherwise(F.coalesce("in_a", F.lit(0)))
     return j.filter(on == 1).select(F.col("child_id").alias("candidate_id"), "row_id").distinct()
@@ -198,12 +201,12 @@ def elitist_replacement(old: DataFrame, new: DataFrame, population: int) -> Data
 
 
 # ---------------------------------------------------------------- C11, C12
-def best_curve(entries: DataFrame, by=("dataset", "fold"), size: str = "size", score: str = "val_auc") -> DataFrame:
-    """C11 (set form): drop score <= 0, best score per size, keep entries whose score is at least the
-    best score at every smaller-or-equal size."""
+def best_curve(entries: DataFrame, by=("dataset", "fold"), size: str = "size", score: str = "val_auc", tie: str | None = None) -> DataFrame:
+    """C11 (set form): drop score <= 0, best score per size (of equal ones, the smallest ``tie``), keep entries whose score
+    is at least the best score at every smaller-or-equal size."""
     g = list(by)
     pos = entries.filter(F.col(score) > 0)
-    w1 = Window.partitionBy(*g, size).orderBy(F.col(score).desc())
+    w1 = Window.partitionBy(*g, size).orderBy(F.col(score).desc(), *([tie] if tie else []))
     best = pos.withColumn("_r", F.row_number().over(w1)).filter("_r = 1").drop("_r")
     w2 = Window.partitionBy(*g).orderBy(size).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return best.withColumn("_m", F.max(score).over(w2)).filter(F.col(score) >= F.col("_m")).drop("_m")

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.hashing import seeded_order
+from tessera.functions.hashing import seeded_hex, seeded_order
 from tessera.functions.joins import small_broadcast
 
 
@@ -33,8 +33,9 @@ def random_selection(pool: DataFrame, budgets, seeds, key: str = "row_id") -> Da
     """
     budgets, seeds = list(budgets), list(seeds)
     n_max = max(budgets)
-    per_seed = pool.select(key).withColumn("seed", F.explode(F.array(*[F.lit(int(s)) for s in seeds])))
-    w = Window.partitionBy("seed").orderBy(seeded_order(F.col("seed"), F.col(key)), F.col(key))
+    # the keys alone are dealt out first: a scan of few row groups would leave all seeds' hashes to few tasks
+    per_seed = pool.select(key).repartition(key).withColumn("seed", F.explode(F.array(*[F.lit(int(s)) for s in seeds])))
+    w = Window.partitionBy("seed").orderBy(seeded_hex(F.col("seed"), F.col(key)), F.col(key))
     top = per_seed.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= F.lit(n_max))
     grid = small_broadcast(_seeds_budgets(pool.sparkSession, seeds, budgets))
     return top.join(grid, "seed").filter(F.col("pos") <= F.col("n_selected")).select("seed", "n_selected", key, "pos")
@@ -55,41 +56,41 @@ def min_one_per_class(pool: DataFrame, n: int, seed: int, label: str = "label",
 
 
 # ---------------------------------------------------------------- I5
-def balanced_quotas(class_counts: list[tuple], n: int, seed: int) -> dict:
-    """I5 quotas on the class-count table (C rows): min(size, n div C), then leftovers one by one
-    to the classes with most spare rows, ties broken by a seeded hash of the class."""
-    import hashlib
-    sizes = {c: int(k) for c, k in class_counts}
-    n_cls = len(sizes)
-    base = n // n_cls if n_cls else 0
-    quota = {c: min(k, base) for c, k in sizes.items()}
-    left = n - sum(quota.values())
-
-    def tie(c):
-        return int(hashlib.md5(f"{seed}|{c}".encode()).hexdigest()[:8], 16)
-    while left > 0:
-        spare = [(sizes[c] - quota[c], c) for c in sizes if sizes[c] - quota[c] > 0]
-        if not spare:
-            break
-        spare.sort(key=lambda t: (-t[0], tie(t[1])))
-        for _, c in spare:
-            if left == 0:
-                break
-            quota[c] += 1
-            left -= 1
-    return quota
+def balanced_quotas(sizes: DataFrame, n: int, seed: int, label: str = "label", size: str = "size") -> DataFrame:
+    """(label, quota) from one row per class (label, size).
+
+    Every class gets an even share of n, or all its rows.  The seats left over go round by round, one a class, to the
+    classes with room, those with most room first (ties by a seeded hash) - so that all classes with more room than the
+    number of whole rounds gain that number, the smaller ones are used up, and the last, broken round seats the roomiest.
+    The number of whole rounds follows from the running sum of the sorted rooms; nothing is dealt seat by seat."""
+    whole = Window.partitionBy()  # one row per class
+    q = sizes.select(label, F.col(size).cast("long").alias("_size")).withColumn("_k", F.count(F.lit(1)).over(whole))
+    q = q.withColumn("_share", F.least(F.col("_size"), F.floor(F.lit(n) / F.col("_k"))))
+    q = q.withColumn("_room", F.col("_size") - F.col("_share")).withColumn("_left", F.lit(n) - F.sum("_share").over(whole))
+    rising = whole.orderBy("_room", label)
+    # seats taken when every class has had as many rounds as this class has room
+    used = F.coalesce(F.sum("_room").over(rising.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) \
+        + (F.col("_k") - F.row_number().over(rising) + 1) * F.col("_room")
+    q = q.withColumn("_used", used)
+    done = F.col("_used") <= F.col("_left")
+    q = q.withColumn("_from", F.coalesce(F.max(F.when(done, F.col("_room"))).over(whole), F.lit(0)))
+    q = q.withColumn("_spent", F.coalesce(F.max(F.when(done, F.col("_used"))).over(whole), F.lit(0)))
+    open_classes = F.sum((F.col("_room") > F.col("_from")).cast("long")).over(whole)
+    q = q.withColumn("_open", open_classes).withColumn("_more", F.col("_left") - F.col("_spent"))
+    rounds = F.col("_from") + F.when(F.col("_open") > 0, F.floor(F.col("_more") / F.col("_open"))).otherwise(0)
+    broken = F.when(F.col("_open") > 0, F.col("_more") % F.col("_open")).otherwise(0)
+    roomiest = F.row_number().over(whole.orderBy(F.desc("_room"), seeded_order(seed, F.col(label)), label))
+    extra = F.least(F.col("_room"), rounds) + ((roomiest <= broken) & (F.col("_room") > rounds)).cast("long")
+    return q.select(label, (F.col("_share") + extra).cast("int").alias("quota"))
 
 
 def balanced_selection(pool: DataFrame, n: int, seed: int, label: str = "label", key: str = "row_id") -> DataFrame:
-    """Per-class quotas, rows by seeded hash within the class (window group limit)."""
-    counts = [(r[label], r["count"]) for r in pool.groupBy(label).count().collect()]  # one row per class
-    quota = balanced_quotas(counts, n, seed)
-    q_max = max(quota.values()) if quota else 0
-    qdf = pool.sparkSession.createDataFrame([(k, int(v)) for k, v in quota.items()],
-                                            f"{label} {dict(pool.dtypes)[label]}, quota int")
+    """Per-class quotas, rows by seeded hash within the class (window group limit; no quota is above n)."""
+    quota = balanced_quotas(pool.groupBy(label).agg(F.count(F.lit(1)).alias("size")), n, seed, label)
     w = Window.partitionBy(label).orderBy(seeded_order(seed, F.col(key)), F.col(key))
-    top = pool.select(key, label).withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= F.lit(q_max))
-    return top.join(small_broadcast(qdf), label).filter(F.col("pos") <= F.col("quota")).select(key, label)
+    top = pool.select(key, label).withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= F.lit(n))
+    quota = quota.select(F.col(label).alias("_label"), "quota")
+    return top.join(quota, top[label].eqNullSafe(quota["_label"])).filter(F.col("pos") <= F.col("quota")).select(key, label)
 
 
 # ---------------------------------------------------------------- I15

@@ -1,4 +1,4 @@
-"""ZCore scores (I13, I14) and top-n selection by score (I15 in select.py).
+"""ZCore scores (I13, I14) and the exact medians they need; top-n selection by score (I15) is in select.py.
 
 Our reading of the published method (the library body is not in the snapshot, so the
 sampling law is a parameter): each draw picks ``sample_dim`` dimensions and a point in
@@ -7,10 +7,15 @@ to it (L1 in those dimensions) gets +1 coverage; the ``redund_nn`` rows nearest
 covering row (same dimensions) lose a penalty with weights 1/d^redund_exp normalised to 1
 (an exact duplicate takes the whole penalty).  Scores are min-max scaled to [0, 1].
 
-Scale: draws are generated from seeded hashes of the draw id on the driver in bounded
-batches and broadcast; every partition reports its nearest row per draw (and its top
-``redund_nn`` rows per draw); the global winners come from grouped ``min_by`` / window
-group limits.  Per-row credits and penalties are one ``groupBy(row_id)``.
+Scale: draws come in numbered blocks, each from a generator seeded by its number, so any task makes the draws it needs
+and none are sent.  The pool is cut into blocks by a hash of the row id and met with groups of draw blocks, as many
+groups as the cluster has tasks for each pool block; one driver call plans the whole, whatever the number of draws.
+
+1. Every (group, pool block) reports its nearest row per draw; a grouped ``min_by`` names the covering rows.
+2. One pool block: its rows are all the neighbours, and the penalties are summed in the task.  Several: each reports how
+   far its share of the neighbours reaches, which bounds the global reach of a draw; rows within that bound (a small
+   multiple of ``redund_nn`` a draw, however large the pool) are merged by draw, exactly.
+3. Credits and penalties are one ``groupBy(row_id)``.
 
 I14 guards: constant dimensions are dropped first; if all are constant every score is 1;
 the draw dimension is min(sample_dim, remaining dims).  (The reference ignores its
@@ -20,98 +25,270 @@ constructor's sample_dim and always uses 2 - our default is 2.)
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions import vectors as V
+from tessera.session import cut_lineage
+
+POOL_BLOCK = 1 << 16  # rows of a pool block
+DRAW_BLOCK = 2000
+BLOCKS_A_GROUP = 64  # at most: bounds the rows that a task reports
+CELLS = 1 << 21  # distances held at once
+DIGIT = 11  # bits of a value that one pass of the median settles
+
 
+# ---------------------------------------------------------------- exact medians
+def _ordered_bits(x: np.ndarray) -> np.ndarray:
+    """Unsigned integers in the order of the floats (negative zero counts as zero)."""
+    x = x + x.dtype.type(0)
+    kind, top = (np.uint32, 31) if x.dtype == np.float32 else (np.uint64, 63)
+    b = x.view(kind)
+    sign = kind(1) << kind(top)
+    return np.where(b & sign, ~b, b | sign)
 
-def _rng(seed: int, batch: int) -> np.random.Generator:
-    return np.random.default_rng(int(hashlib.md5(f"{seed}|{batch}".encode()).hexdigest()[:8], 16))
+
+def _float_of(bits: int, single: bool) -> float:
+    kind, top = (np.uint32, 31) if single else (np.uint64, 63)
+    sign = kind(1) << kind(top)
+    b = kind(bits)
+    return float((b ^ sign if b & sign else ~b).view(np.float32 if single else np.float64))
 
 
 def dimension_stats(pool: DataFrame):
-    """Per-dimension min, median and max (one aggregate over posexplode: d result rows)."""
-    rows = (pool.select(F.posexplode("features").alias("i", "x"))
-            .groupBy("i").agg(F.min("x").alias("lo"), F.median("x").alias("med"), F.max("x").alias("hi"))
-            .orderBy("i").collect())
-    return (np.array([r.lo for r in rows], dtype=float), np.array([r.med for r in rows], dtype=float),
-            np.array([r.hi for r in rows], dtype=float))
+    """Rows of the pool and, per dimension, min, exact median and max.
+
+    The two middle values of a dimension are found digit by digit: each pass counts, among the values that share the
+    digits settled so far, the next ``DIGIT`` bits, and a window over those few counts picks the digit that holds the
+    rank.  A pass returns two rows a dimension, so no task ever holds a dimension's values."""
+    ends = pool.select(F.posexplode("features").alias("i", "x")).groupBy("i").agg(
+        F.min("x").alias("lo"), F.max("x").alias("hi"), F.count(F.lit(1)).alias("n")).orderBy("i").collect()  # one row a dimension
+    if not ends:
+        return 0, np.zeros(0), np.zeros(0), np.zeros(0)
+    d, n = len(ends), int(ends[0].n)
+    single = isinstance(pool.schema["features"].dataType.elementType, T.FloatType)
+    width = 32 if single else 64
+    prefix = np.zeros((d, 2), np.uint64)  # settled bits of the two middle values
+    rank = np.tile(np.array([(n - 1) // 2, n // 2], np.int64), (d, 1))
+    for done in range(0, width, DIGIT):
+        bits = min(DIGIT, width - done)
+        shift, known = width - done - bits, prefix.copy()
+
+        def count(it):
+            total = np.zeros((d, 2, 1 << bits), np.int64)
+            for pdf in it:
+                if len(pdf):
+                    x = np.concatenate(pdf["features"].to_numpy()).astype(np.float32 if single else np.float64).reshape(len(pdf), -1)
+                    key = _ordered_bits(x).astype(np.uint64)
+                    digit = (key >> np.uint64(shift)) & np.uint64((1 << bits) - 1)
+                    above = key >> np.uint64(shift + bits) if done else np.zeros_like(key)
+                    for i in range(d):
+                        for k in range(2):
+                            total[i, k] += np.bincount(digit[above[:, i] == known[i, k], i].astype(np.int64), minlength=1 << bits)
+            i, k, at = total.nonzero()
+            yield pd.DataFrame({"i": i, "k": k, "digit": at, "n": total[i, k, at]})
+
+        counts = pool.select("features").mapInPandas(count, "i int, k int, digit int, n long").groupBy("i", "k", "digit").agg(F.sum("n").alias("n"))
+        before = F.coalesce(F.sum("n").over(Window.partitionBy("i", "k").orderBy("digit").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        ranks = F.element_at(F.lit([int(r) for r in rank.ravel()]), (F.col("i") * 2 + F.col("k") + 1).cast("int"))
+        held = counts.withColumn("before", before).where((F.col("before") <= ranks) & (ranks < F.col("before") + F.col("n")))
+        for r in held.collect():  # two rows a dimension
+            prefix[r.i, r.k] = (prefix[r.i, r.k] << np.uint64(bits)) | np.uint64(r.digit)
+            rank[r.i, r.k] -= r.before
+    middle = np.array([[_float_of(int(b), single) for b in row] for row in prefix])
+    return n, np.array([r.lo for r in ends], float), middle.mean(axis=1), np.array([r.hi for r in ends], float)
+
+
+# ---------------------------------------------------------------- draws
+class Draws:
+    """All draws, by blocks: ``block(b)`` has the dimensions and the point of each draw of block b."""
+
+    def __init__(self, n: int, lo, med, hi, sample_dim: int, seed: int, sampler: str, size: int = DRAW_BLOCK):
+        self.n, self.size, self.seed, self.sampler = n, size, seed, sampler
+        self.lo, self.med, self.hi = lo, med, hi
+        self.keep = np.flatnonzero(hi > lo)
+        self.dims = min(sample_dim, len(self.keep))
+        self.blocks = -(-n // size)
+
+    def block(self, b: int) -> tuple[np.ndarray, np.ndarray]:
+        m = min(self.size, self.n - b * self.size)
+        rng = np.random.default_rng(int(hashlib.md5(f"{self.seed}|{b}".encode()).hexdigest()[:8], 16))
+        picks = np.zeros((m, 0), np.int64)
+        for k in range(self.dims):  # without replacement: a place among those left, moved past the ones taken
+            place = rng.integers(0, len(self.keep) - k, m)
+            for taken in np.sort(picks, axis=1).T:
+                place = place + (place >= taken)
+            picks = np.column_stack((picks, place))
+        dims = self.keep[picks]
+        lo, hi = self.lo[dims], self.hi[dims]
+        return dims, rng.triangular(lo, np.clip(self.med[dims], lo, hi), hi) if self.sampler == "triangular" else rng.uniform(lo, hi)
+
+
+def _distances(x: np.ndarray, dims: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """L1 distance of every row (columns of ``x``) to each draw's point in its dimensions."""
+    out = np.abs(x[dims[:, 0]] - points[:, :1])
+    for k in range(1, dims.shape[1]):
+        out += np.abs(x[dims[:, k]] - points[:, k:k + 1])
+    return out
+
+
+def _rows(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Row ids in order and their values, one row per dimension: the first of equal distances has the lowest id."""
+    pdf = pdf.sort_values("row_id")
+    return pdf["row_id"].to_numpy(), np.ascontiguousarray(V.stack(pdf["features"]).T)
+
 
+def _nearest_mask(dist: np.ndarray, k: int) -> np.ndarray:
+    """The k nearest of each row of ``dist`` (columns ascend by id), ties at the edge to the lowest id."""
+    if k >= dist.shape[1]:
+        return np.isfinite(dist)
+    edge = np.partition(dist, k - 1, axis=1)[:, k - 1:k]
+    below, equal = dist < edge, dist == edge
+    return (below | (equal & (np.cumsum(equal, axis=1) <= k - below.sum(axis=1, keepdims=True)))) & np.isfinite(dist)
 
+
+def penalties(dist: np.ndarray, mask: np.ndarray, power: float) -> np.ndarray:
+    """Each draw's penalty on each row: 1 / d^power over the masked rows, normalised; a duplicate takes it all."""
+    d = np.where(mask, dist, np.inf)
+    first = d.argmin(axis=1)
+    zero = d[np.arange(len(d)), first] == 0
+    with np.errstate(divide="ignore"):
+        w = 1.0 / np.square(np.square(d)) if power == 4 else np.power(d, -power)
+    w[zero] = 0.0
+    w[zero, first[zero]] = 1.0
+    total = w.sum(axis=1, keepdims=True)
+    return w / np.where(total > 0, total, 1.0)
+
+
+# ---------------------------------------------------------------- scores
 def zcore_scores(pool: DataFrame, n_sample: int = 1_000_000, sample_dim: int = 2, redund_nn: int = 1000,
-                 redund_exp: float = 4.0, seed: int = 0, batch: int = 2000, sampler: str = "triangular") -> DataFrame:
+                 redund_exp: float = 4.0, seed: int = 0, batch: int = DRAW_BLOCK, sampler: str = "triangular",
+                 pool_block: int = POOL_BLOCK) -> DataFrame:
     """(row_id, score) for every pool row."""
-    lo, med, hi = dimension_stats(pool)
-    keep = np.where(hi > lo)[0]
-    if len(keep) == 0:
+    n, lo, med, hi = dimension_stats(pool)
+    if not (hi > lo).any():
         return pool.select("row_id", F.lit(1.0).alias("score"))
-    sd = min(sample_dim, len(keep))
-    sc = pool.sparkSession.sparkContext
-    credits = None
+    draws = Draws(int(n_sample), lo, med, hi, sample_dim, seed, sampler, batch)
+    parts = max(1, math.ceil(n / pool_block))
+    tasks = pool.sparkSession.sparkContext.defaultParallelism
+    groups = min(draws.blocks, max(math.ceil(tasks / parts), math.ceil(draws.blocks / BLOCKS_A_GROUP)))
+    every = lambda k, name: F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias(name)
     base = pool.select("row_id", "features")
-    for bi, start in enumerate(range(0, n_sample, batch)):
-        m = min(batch, n_sample - start)
-        rng = _rng(seed, bi)
-        dims = np.stack([rng.choice(keep, sd, replace=False) for _ in range(m)])
-        if sampler == "triangular":
-            pts = np.where(lo[dims] == hi[dims], lo[dims],
-                           rng.triangular(lo[dims], np.clip(med[dims], lo[dims], hi[dims]), np.maximum(hi[dims], lo[dims] + 1e-300)))
-        else:
-            pts = rng.uniform(lo[dims], hi[dims])
-        b = sc.broadcast((dims, pts, start))
-
-        def nearest(it, b=b):
-            dd, pp, off = b.value
-            for pdf in it:
-                if len(pdf) == 0:
-                    continue
-                x = V.stack(pdf["features"])
-                ids = pdf["row_id"].to_numpy()
-                for j in range(len(dd)):
-                    dist = np.abs(x[:, dd[j]] - pp[j]).sum(1)
-                    a = int(np.lexsort((ids, dist))[0])
-                    yield pd.DataFrame({"draw": [off + j], "row_id": [ids[a]], "dist": [dist[a]],
-                                        "cover": [x[a, dd[j]].tolist()]})
-        near = (base.mapInPandas(nearest, "draw long, row_id long, dist double, cover array<double>")
-                .groupBy("draw").agg(F.min_by(F.struct("row_id", "cover"), F.struct("dist", "row_id")).alias("w"))
-                .select("draw", "w.row_id", "w.cover"))
-        cover = near.orderBy("draw").collect()  # one row per draw of this batch (bounded)
-        cov_pts = np.array([r.cover for r in cover], dtype=float)
-        cov_ids = np.array([r.row_id for r in cover], dtype=np.int64)
-        b2 = sc.broadcast((dims, cov_pts, cov_ids, start))
-
-        def neighbours(it, b2=b2):
-            dd, cp, cid, off = b2.value
+    cut = base.select("*", F.pmod(F.xxhash64("row_id"), F.lit(parts)).cast("int").alias("p"), every(groups, "g"))
+
+    def chunks(rows: int, at: np.ndarray):
+        step = max(1, CELLS // max(rows, 1))
+        return (at[lo:lo + step] for lo in range(0, len(at), step))
+
+    def nearest(key, pdf):
+        ids, x = _rows(pdf)
+        found = []
+        for b in range(int(key[0]), draws.blocks, groups):
+            dims, points = draws.block(b)
+            for at in chunks(len(ids), np.arange(len(dims))):
+                dist = _distances(x, dims[at], points[at])
+                best = dist.argmin(axis=1)
+                found.append((b * draws.size + at, ids[best], dist[np.arange(len(at)), best], x[dims[at], best[:, None]]))
+        draw, row, dist, cover = (np.concatenate(c) for c in zip(*found))
+        return pd.DataFrame({"draw": draw, "row_id": row, "dist": dist, "cover": list(cover)})
+
+    near = cut.groupBy("g", "p").applyInPandas(nearest, "draw long, row_id long, dist double, cover array<double>")
+    if parts > 1:
+        near = near.groupBy("draw").agg(F.min_by(F.struct("row_id", "cover"), F.struct("dist", "row_id")).alias("w")).select("draw", "w.*")
+    near = cut_lineage(near.select("draw", "row_id", "cover"))
+    block = F.floor(F.col("draw") / draws.size)
+    covers = near.select("*", (block % groups).cast("int").alias("g"))
+
+    def covered(key, rows, won):
+        """For each chunk of the group's draws: their numbers, the ids of the block's rows, and the distances to the covering
+        rows (infinite at the covering row itself)."""
+        ids, x = _rows(rows) if len(rows) else (np.zeros(0, np.int64), np.zeros((len(lo), 0)))
+        won = won.sort_values("draw")
+        number, own = won["draw"].to_numpy(), won["row_id"].to_numpy()
+        point = V.stack(won["cover"])
+        for b in np.unique(number // draws.size):
+            here = np.flatnonzero(number // draws.size == b)
+            dims = draws.block(int(b))[0][number[here] - b * draws.size]
+            for at in chunks(len(ids), np.arange(len(here))):
+                dist = _distances(x, dims[at], point[here[at]])
+                mine = np.minimum(np.searchsorted(ids, own[here[at]]), max(len(ids) - 1, 0))
+                if len(ids):
+                    same = ids[mine] == own[here[at]]
+                    dist[np.flatnonzero(same), mine[same]] = np.inf
+                yield number[here[at]], ids, dist
+
+    if parts == 1:
+        def punish(key, rows, won):
+            ids, total = np.sort(rows["row_id"].to_numpy()), np.zeros(len(rows))
+            for _, _, dist in covered(key, rows, won):
+                total += penalties(dist, _nearest_mask(dist, redund_nn), redund_exp).sum(axis=0)
+            return pd.DataFrame({"row_id": ids, "s": -total})
+
+        lost = cut.groupBy("g").cogroup(covers.groupBy("g")).applyInPandas(punish, "row_id long, s double")
+    else:
+        share = math.ceil(2 * redund_nn / parts)
+
+        def reach(key, rows, won):
+            """How far the block's share of the neighbours reaches, and how many they are."""
+            out = [(number, np.sort(dist, axis=1)[:, min(share, dist.shape[1]) - 1], np.minimum(share, np.isfinite(dist).sum(axis=1)))
+                   for number, ids, dist in covered(key, rows, won) if len(ids)]
+            if not out:
+                return pd.DataFrame({"draw": [], "far": [], "n": []})
+            draw, far, count = (np.concatenate(c) for c in zip(*out))
+            return pd.DataFrame({"draw": draw, "far": far, "n": count})
+
+        met = cut.groupBy("g", "p")
+        spread = covers.select("*", every(parts, "p"))
+        reached = met.cogroup(spread.groupBy("g", "p")).applyInPandas(reach, "draw long, far double, n long")
+        want = min(redund_nn, n - 1)
+        bound = reached.groupBy("draw").agg(F.when(F.sum("n") >= want, F.max("far")).otherwise(F.lit(float("inf"))).alias("far"))
+        bounded = cut_lineage(covers.join(bound, "draw"))
+
+        def within(key, rows, won):
+            far = won.sort_values("draw").set_index("draw")["far"]
+            out = []
+            for number, ids, dist in covered(key, rows, won):
+                edge = far.loc[number].to_numpy()[:, None]
+                for k, keep in zip(number, (dist <= edge) & np.isfinite(dist)):
+                    at = np.flatnonzero(keep)
+                    if len(at):
+                        out.append((k, ids[at], dist[number == k][0, at]))
+            return pd.DataFrame(out, columns=["draw", "ids", "dist"])
+
+        lists = met.cogroup(bounded.select("*", every(parts, "p")).groupBy("g", "p")).applyInPandas(
+            within, "draw long, ids array<long>, dist array<double>")
+
+        def merged(it):
+            held, lost = None, {}
+
+            def settle(ids, dist):
+                order = np.argsort(ids)
+                ids, dist = ids[order], dist[order][None, :]
+                for i, p in zip(ids, penalties(dist, _nearest_mask(dist, redund_nn), redund_exp)[0]):
+                    if p:
+                        lost[i] = lost.get(i, 0.0) - p
             for pdf in it:
-                if len(pdf) == 0:
-                    continue
-                x = V.stack(pdf["features"])
-                ids = pdf["row_id"].to_numpy()
-                for j in range(len(dd)):
-                    dist = np.abs(x[:, dd[j]] - cp[j]).sum(1)
-                    mask = ids != cid[j]
-                    di, ii = dist[mask], ids[mask]
-                    top = np.lexsort((ii, di))[:redund_nn]
-                    yield pd.DataFrame({"draw": off + j, "row_id": ii[top], "dist": di[top]})
-        nb = base.mapInPandas(neighbours, "draw long, row_id long, dist double")
-        w = Window.partitionBy("draw").orderBy("dist", "row_id")
-        nb = nb.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= F.lit(redund_nn))
-        first0 = F.min(F.when(F.col("r") == 1, F.col("dist"))).over(Window.partitionBy("draw"))
-        wt = F.when(first0 == 0, F.when(F.col("r") == 1, F.lit(1.0)).otherwise(F.lit(0.0))) \
-              .otherwise(F.pow(F.col("dist"), -redund_exp))
-        nb = nb.withColumn("wt", wt).withColumn("pen", F.col("wt") / F.sum("wt").over(Window.partitionBy("draw")))
-        part = (near.select("row_id", F.lit(1.0).alias("s"))
-                .unionByName(nb.select("row_id", (-F.col("pen")).alias("s")))
-                .groupBy("row_id").agg(F.sum("s").alias("s")))
-        credits = part if credits is None else credits.unionByName(part).groupBy("row_id").agg(F.sum("s").alias("s"))
-        if bi % 4 == 3:
-            from tessera.session import cut_lineage
-            credits = cut_lineage(credits)
-    raw = base.select("row_id").join(credits, "row_id", "left").fillna(0.0, subset=["s"])
-    lo_s, hi_s = raw.agg(F.min("s"), F.max("s")).first()
-    span = (hi_s - lo_s) or 1.0
-    return raw.select("row_id", ((F.col("s") - F.lit(lo_s)) / F.lit(span)).alias("score"))
+                for k, i, d in zip(pdf["draw"], pdf["ids"], pdf["dist"]):
+                    if held and held[0] == k:
+                        held = (k, [*held[1], i], [*held[2], d])
+                        continue
+                    if held:
+                        settle(np.concatenate(held[1]), np.concatenate(held[2]))
+                    held = (k, [i], [d])
+                if len(lost) > POOL_BLOCK:
+                    yield pd.DataFrame({"row_id": list(lost), "s": list(lost.values())})
+                    lost.clear()
+            if held:
+                settle(np.concatenate(held[1]), np.concatenate(held[2]))
+            yield pd.DataFrame({"row_id": np.array(list(lost), np.int64), "s": np.array(list(lost.values()), float)})
+
+        lost = lists.repartition("draw").sortWithinPartitions("draw").mapInPandas(merged, "row_id long, s double")
+    credits = near.select("row_id", F.lit(1.0).alias("s")).unionByName(lost).groupBy("row_id").agg(F.sum("s").alias("s"))
+    raw = cut_lineage(base.select("row_id").join(credits, "row_id", "left").fillna(0.0, subset=["s"]))
+    low, high = raw.agg(F.min("s"), F.max("s")).first()
+    return raw.select("row_id", ((F.col("s") - F.lit(low)) / F.lit((high - low) or 1.0)).alias("score"))

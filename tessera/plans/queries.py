@@ -615,3 +615,4 @@ def q_hist(spark, sf):
 from tessera.plans import queries_select  # noqa: E402,F401  (registers more queries)
 from tessera.plans import queries_search  # noqa: E402,F401
 from tessera.plans import queries_more  # noqa: E402,F401
+from tessera.plans import queries_stores  # noqa: E402,F401

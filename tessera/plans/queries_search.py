@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from tessera.functions.hashing import sql_seeded_order
 from tessera.operators import prep as P
 from tessera.operators import score as E
 from tessera.operators import search as C
+from tessera.operators import search_loop as L
 from tessera.operators import select as S
 from tessera.plans import analysis as A
 from tessera.plans import fixtures as FX
@@ -256,11 +258,90 @@ def q_local_search(spark, sf):
     return C.local_search_step(cands, m0, _flip_scores(cands, flips, train, val))
 
 
-@register("curve_evaluation")
+CURVE_SIZES, CURVE_FOLD = (10, 20, 40, 80), 0
+
+
+def _sized_cands_sql(size: int) -> str:
+    return re.sub(r"\b(cx|firsts|rest|cands)\b", rf"\1_{size}", _cands_sql(POP, size, 42))
+
+
+def _knn_metrics_sql(name: str, members: str, rows: str) -> str:
+    """CTEs ``<name>_*``: k-NN with 5 neighbours of ``rows`` (row_id, features, label) in each candidate of ``members``
+    (cand, row_id, label), and the metrics of every candidate in ``<name>`` (cand, metric, value)."""
+    return f"""{name}_nn as (select m.cand, t.row_id, t.label as y_true, m.label as cl, row_number() over (partition by m.cand, t.row_id
+   order by list_distance(cast(t.features as double[]), cast(e.features as double[])), m.row_id) as r
+   from {members} m join train e on e.row_id = m.row_id, {rows} t),
+{name}_pr as (select n.cand, n.row_id, n.y_true, c.class, count_if(n.cl = c.class and n.r <= 5) / 5.0 as prob
+   from {name}_nn n, (select distinct label as class from emb) c group by all),
+{name}_hard as (select cand, row_id, y_true, arg_max(class, (prob, -class)) as y_pred from {name}_pr group by all),
+{name}_conf as (select cand, class, sum(tp) as tp, sum(fp) as fp, sum(fn) as fn from (
+   select cand, y_true as class, cast(y_true = y_pred as int) as tp, 0 as fp, cast(y_true <> y_pred as int) as fn from {name}_hard
+   union all select cand, y_pred, 0, cast(y_true <> y_pred as int), 0 from {name}_hard) u group by all),
+{name}_auc as (select cand, class, (sum(case when y_true = class then r end) - count_if(y_true = class) * (count_if(y_true = class) + 1) / 2.0)
+    / nullif(count_if(y_true = class) * count_if(y_true <> class), 0) as auc, count_if(y_true = class) as p
+   from (select *, rank() over (partition by cand, class order by prob) + (count(*) over (partition by cand, class, prob) - 1) / 2.0 as r from {name}_pr) z
+   group by all),
+{name} as (select cand, 'AUC' as metric, avg(auc) as value from {name}_auc where p > 0 group by cand
+   union all select cand, 'ACC', avg(cast(y_true = y_pred as double)) from {name}_hard group by cand
+   union all select cand, 'F1', avg(case when 2 * tp + fp + fn > 0 then 2.0 * tp / (2 * tp + fp + fn) else 0.0 end) from {name}_conf group by cand
+   union all select cand, 'BalACC', avg(tp / (tp + fn)) from {name}_conf where tp + fn > 0 group by cand)"""
+
+
+CURVE_EVAL_SQL = f"""with emb as (select vec_id as row_id, embedding as features, cast(label as int) as label from embeddings),
+te as (select * from emb where {sql_seeded_order("'0'", "row_id")} % 5 = {CURVE_FOLD}),
+val as (select * from emb where {sql_seeded_order("'0'", "row_id")} % 5 <> {CURVE_FOLD} and {sql_seeded_order("'42'", "row_id")} / 4294967296.0 < 0.2),
+train as (select * from emb where {sql_seeded_order("'0'", "row_id")} % 5 <> {CURVE_FOLD} and {sql_seeded_order("'42'", "row_id")} / 4294967296.0 >= 0.2),
+{", ".join(_sized_cands_sql(s) for s in CURVE_SIZES)},
+members as ({" union all ".join(f"select {s} as size, {s} * 100 + candidate_id as cand, row_id, label from cands_{s}" for s in CURVE_SIZES)}),
+{_knn_metrics_sql("v", "members", "val")},
+entries as (select m.size, m.cand, round(v.value, 9) as val_auc from (select distinct size, cand from members) m join v using (cand)
+            where v.metric = 'AUC' and v.value > 0 qualify row_number() over (partition by m.size order by round(v.value, 9) desc, cand) = 1),
+curve as (select * from (select *, max(val_auc) over (order by size rows between unbounded preceding and current row) as m from entries) x where val_auc >= m),
+chosen as (select m.* from members m join curve using (cand)),
+{_knn_metrics_sql("t", "chosen", "te")}
+select cast(curve.size as int) as size, val_auc, n.n_members, metric, value
+from curve join t using (cand) join (select cand, count(distinct row_id) as n_members from chosen group by cand) n using (cand)"""
+
+
+@register("curve_evaluation", CURVE_EVAL_SQL, ["val_auc", "value"])
 def q_curve_eval(spark, sf):
-    """Refit each candidate subset (k-NN) and score it on the held-out fold: AUC/ACC/F1 per candidate."""
+    """Candidates of several sizes are scored on the validation rows, the best-so-far curve is stored as a
+    curve file and read back, and every point is refitted on its own rows and scored on the test fold."""
     pool = P.fold_assignment(FX.embeddings_pool(spark, sf), 5)
-    train, test = P.split_fold(pool, 0)
-    cands = C.random_candidates(train, 6, 30, 11)
-    pred = E.knn_predict_grouped(cands.join(train, "row_id"), test, 5)
-    return E.all_metrics(pred, by=("candidate_id",))
+    rest, test = P.split_fold(pool, CURVE_FOLD)
+    split = P.train_validation_split(rest)
+    key = lambda df: df.withColumns({"dataset": F.lit("embeddings"), "fold": F.lit(CURVE_FOLD)})
+    train, val = key(split.filter("split = 'train'").drop("split")), split.filter("split = 'val'").drop("split")
+    cands = None
+    for size in CURVE_SIZES:
+        part = C.random_candidates(train, POP, size, 42).select((F.col("candidate_id") + size * 100).cast("long").alias("candidate_id"), "row_id")
+        cands = part if cands is None else cands.unionByName(part)
+    cands = cut_lineage(key(cands))
+    scored = cut_lineage(key(_score(cands.select("candidate_id", "row_id"), train, val)).withColumn("val_auc", F.round("val_auc", 9)))
+    best = C.best_curve(scored, tie="candidate_id")
+    chosen = cands.join(best.select("dataset", "fold", "candidate_id"), ["dataset", "fold", "candidate_id"], "left_semi")
+    entries = best.join(L.curve_genes(chosen, train), ["dataset", "fold", "candidate_id"]).select(
+        "dataset", "fold", "size", "genes", F.size("genes").alias("n_genes"), "val_auc", "fitness", "reduction")
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/curves-{uuid.uuid4().hex}"
+    write_curves(curve_json(entries), folder)
+    points = cut_lineage(L.stored_curve_members(scan_curves(spark, folder), train))
+    found = L.evaluate_curve(points.drop("dataset", "fold"), lambda members: E.all_metrics(
+        E.knn_predict_grouped(members.join(train, "row_id"), test, 5), by=("candidate_id",)))
+    counts = points.groupBy("candidate_id").agg(F.count_distinct("row_id").alias("n_members"))
+    return found.join(counts, "candidate_id").select("size", "val_auc", "n_members", "metric", "value")
+
+
+SEARCH = dict(targets=[40, 20], population=20, patience=3, max_steps=4)
+
+
+@register("search_run")
+def q_search_run(spark, sf):
+    """A whole search down the ladder; the curve with the rows of each point counted again, and scored again, from the
+    archive.  Patience and steps are shorter than the operator's defaults (70, 500)."""
+    train, val = _split_pool(spark, sf)
+    run = L.search(train, lambda members: _score(members, train, val), **SEARCH)
+    points = cut_lineage(run.curve_members())
+    again = _score(points.select("candidate_id", "row_id"), train, val)
+    counts = points.groupBy("candidate_id", F.col("size").alias("curve_size"), F.col("val_auc").alias("curve_auc")).agg(
+        F.count_distinct("row_id").alias("n_members"))
+    return counts.join(again.select("candidate_id", "val_auc", "fitness", "n_cls"), "candidate_id")

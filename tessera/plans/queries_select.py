@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessera.functions.hashing import seeded_order
@@ -14,6 +16,7 @@ from tessera.plans import analysis as A
 from tessera.plans import fixtures as FX
 from tessera.plans import oracle as O
 from tessera.plans.queries import register
+from tessera.session import ensure_checkpoint_dir
 from tessera.sources.tables import read_table
 
 POOL_SQL = f"pool as ({FX.lineitem_pool_sql()})"
@@ -166,6 +169,24 @@ def q_balanced(spark, sf):
     return S.balanced_selection(FX.lineitem_pool(spark, sf), 24, 42)
 
 
+QUOTA_LABEL = "case when p_partkey <= 3 then 0 when p_partkey <= 10 then 1 when p_partkey <= 40 then 2 else 3 + p_partkey % 2 end"
+
+
+@register("balanced_rounds", f"""
+with p as (select p_partkey as row_id, cast({QUOTA_LABEL} as int) as label from part),
+sizes as (select label, count(*) as size, least(count(*), 128 // (select count(distinct label) from p)) as share from p group by label),
+seats as (select label, r, row_number() over (order by r, size - share - r desc, {H("'42'", "label")}, label) as seat
+          from (select *, unnest(range(0, least(size - share, 128))) as r from sizes) x),
+quota as (select s.label, s.share + count(seats.seat) as quota from sizes s left join seats on seats.label = s.label
+          and seat <= 128 - (select sum(share) from sizes) group by s.label, s.share)
+select row_id, label from (select *, row_number() over (partition by label order by {H("'42'", "row_id")}, row_id) as pos from p) x
+join quota using (label) where pos <= quota""")
+def q_balanced_rounds(spark, sf):
+    """I5 with classes of 3, 7 and 30 rows: the seats they leave go to the others over many rounds."""
+    part = read_table(spark, sf, "part").select(F.col("p_partkey").alias("row_id"), F.expr(QUOTA_LABEL).cast("int").alias("label"))
+    return S.balanced_selection(part, 128, 42)
+
+
 SCORE_EXPR = "cast(l_extendedprice * (1 - l_discount) as double)"
 
 
@@ -414,7 +435,12 @@ def q_rdss(spark, sf):
 
 @register("zcore_top_embeddings")
 def q_zcore(spark, sf):
+    """The method's 1,000,000 draws and 1,000 neighbours, through the score store."""
     from tessera.operators.zcore import zcore_scores
+    from tessera.sources.results_io import score_store
     pool = FX.embeddings_pool(spark, sf)
-    scores = zcore_scores(pool, n_sample=4000, redund_nn=100, batch=2000).persist()
+    store = score_store(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/zcore-{uuid.uuid4().hex}")
+    wanted = spark.createDataFrame([("embeddings", 0, "Emb")], "dataset string, fold int, space string").withColumn(
+        "n_rows", pool.select(F.count(F.lit(1))).scalar())
+    scores = store.get_or_compute(wanted, lambda todo: zcore_scores(pool).withColumns({c: F.lit(v) for c, v in todo.first().asDict().items() if c in store.run_key}))
     return S.top_by_score(scores, [10, 20, 40, 80])

@@ -1,12 +1,16 @@
-"""Result-file sources and keyed sinks (S1-S4, S6, S10) and keyed read-through stores."""
+"""Result-file sources and keyed sinks (S1-S4, S6, S10) and read-through stores of runs."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.joins import null_safe_on
+from tessera.functions.joins import fresh, null_safe_on
+from tessera.session import cut_lineage
+from tessera.sources.commits import CommitLog
 
 # Column names of the stored result layouts, and the long fact names they become.
 LONG_NAMES = {"instance_selection_space": "space", "instance_selection_algorithm": "method",
@@ -16,44 +20,55 @@ KEY = [c for c in REQUIRED if c != "value"]
 FOLD_IN_NAME = r"_f(\d+)\.csv$"
 
 
-def _files_by_header(spark: SparkSession, path_glob: str) -> dict:
-    """Group the files of a glob by their header line (one short read per file on the driver;
-    the number of result files is the number of folds x experiments, not data-sized)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    pattern = jvm.org.apache.hadoop.fs.Path(path_glob)
-    fs = pattern.getFileSystem(conf)
-    groups: dict = {}
-    for st in fs.globStatus(pattern) or []:
-        path = st.getPath()
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(path)))
-        try:
-            header = reader.readLine() or ""
-        finally:
-            reader.close()
-        groups.setdefault(header.strip(), []).append(path.toString())
-    return groups
+NAMES_OF = {c: [c] for c in REQUIRED} | {"value": ["value", "AUC"], "evaluator": ["evaluator", "evaluation_method"]}
+for _stored, _name in LONG_NAMES.items():
+    NAMES_OF[_name] = NAMES_OF[_name] + [_stored]
+CSV_FIELD = r'(?:^|,)("(?:[^"]|"")*"|[^,]*)'
 
 
-def scan_result_files(spark: SparkSession, path_glob: str, folds=None) -> DataFrame:
-    """Read every result CSV under a glob (header, all columns as text), tag rows with the source
-    file, take the fold from ``..._f<k>.csv`` when the column is absent, keep configured folds.
+def _fields(line: Column) -> Column:
+    """The fields of a CSV line as an array; quotes are taken off, empty fields are NULL."""
+    def plain(x):
+        inner = F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))
+        return F.nullif(F.when(F.startswith(x, F.lit('"')), inner).otherwise(x), F.lit(""))
+    return F.transform(F.regexp_extract_all(line, F.lit(CSV_FIELD), F.lit(1)), plain)
 
-    Files with different column layouts (old and new) are read per layout and unioned by name.
-    """
-    out = None
-    for _, paths in sorted(_files_by_header(spark, path_glob).items()):
-        df = spark.read.option("header", True).option("inferSchema", False).csv(paths)
-        df = df.withColumn("source_file", F.col("_metadata.file_name"))
-        if "fold" not in df.columns:
-            df = df.withColumn("fold", F.nullif(F.regexp_extract("source_file", FOLD_IN_NAME, 1), F.lit("")))
-        df = check_and_cast(upgrade_old_layout(df)).select(*REQUIRED, "source_file")
-        out = df if out is None else out.unionByName(df)
-    if out is None:
+
+def _names_any(line: Column, names: list[str]) -> Column:
+    return line.rlike('(^|,)"?(' + "|".join(names) + ')"?(,|$)')
+
+
+def scan_result_files(spark: SparkSession, path_glob: str, folds=None) -> DataFrame:
+    """Every result CSV under a glob in one scan, whatever its column layout: the required columns and ``source_file``.
+
+    Lines meet the header of their file, one row per file, on the executors.  S1: the fold comes from ``..._f<k>.csv`` if
+    the file has no such column; only the configured folds stay.  S2: unparsable numbers and the text NaN become NULL; a
+    file without a required column is an error when the query runs.  S3: the old layout (evaluation_method, AUC) becomes
+    evaluator, metric 'AUC' and value; an absent seed is NULL.  Fields may be quoted; a line break inside a field is not
+    supported."""
+    lines = spark.read.text(path_glob).where("trim(value) <> ''").select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("source_file"),
+        (F.col("_metadata.file_block_start") == 0).alias("first_block"), F.rtrim("value").alias("line"))
+    if lines.isEmpty():
         raise FileNotFoundError(path_glob)
-    if folds is not None:
-        out = out.filter(F.col("fold").isin(*folds))
-    return out
+    # the header: the line with the column names, at the start of the file
+    is_header = F.col("first_block") & _names_any(F.col("line"), ["dataset"]) & _names_any(F.col("line"), NAMES_OF["value"]) & \
+        _names_any(F.col("line"), NAMES_OF["n_selected"])
+    headers = lines.where(is_header).groupBy("path").agg(F.first("line").alias("header")).select("path", _fields(F.col("header")).alias("h"))
+    place = lambda *names: F.coalesce(*[F.nullif(F.array_position("h", n), F.lit(0).cast("long")) for n in names]).cast("int")
+    headers = headers.select("path", *[place(*names).alias(f"at_{c}") for c, names in NAMES_OF.items()],
+                             (place("value").isNull() & place("AUC").isNotNull()).alias("old"))
+    rows = lines.where(~is_header).join(headers, "path", "left").withColumn("f", _fields(F.col("line")))
+    absent = F.when(F.col("old").isNull(), F.lit("a header"))
+    for c in REQUIRED:
+        if c not in ("fold", "seed"):
+            absent = absent.when(F.col(f"at_{c}").isNull() & (F.lit(c != "metric") | ~F.col("old")), F.lit(f"column {c}"))
+    text = {c: F.element_at("f", F.col(f"at_{c}")) for c in REQUIRED}
+    text["fold"] = F.when(F.col("at_fold").isNull(), F.nullif(F.regexp_extract("source_file", FOLD_IN_NAME, 1), F.lit(""))).otherwise(text["fold"])
+    text["metric"] = F.when(F.col("old") & F.col("at_metric").isNull(), F.lit("AUC")).otherwise(text["metric"])
+    text["value"] = F.when(absent.isNotNull(), F.raise_error(F.concat_ws(" ", F.lit("result file"), F.col("path"), F.lit("lacks"), absent)).cast("string")).otherwise(text["value"])
+    out = check_and_cast(rows.select(*[text[c].alias(c) for c in REQUIRED], "source_file")).select(*REQUIRED, "source_file")
+    return out.filter(F.col("fold").isin(*folds)) if folds is not None else out
 
 
 def upgrade_old_layout(df: DataFrame) -> DataFrame:
@@ -126,61 +141,80 @@ def read_wide(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     return r.option("header", True).option("inferSchema", True).csv(path) if fmt == "csv" else r.parquet(path)
 
 
-class KeyedStore:
-    """A parquet table keyed by ``key`` with read-through.
+class RunStore:
+    """Rows of runs with read-through.  A run is stored and replaced as a whole.
 
-    ``missing(wanted)`` are the keys to compute (null-safe anti join); ``get_or_compute`` computes
-    only those, appends them and returns the stored rows for every wanted key.
+    Every write is a generation (a committed part, see ``sources.commits``) with an index of the runs it holds; the newest
+    generation of a run counts.  ``wanted`` tables have the run key; with ``n_rows`` a stored run fits only if it has that
+    many rows, and the columns named in ``match`` must be the same.  A run that does not fit, because it was stored for
+    another pool or only in part, is computed again and replaced once.  Keys compare null-safe.
     """
 
-    def __init__(self, spark: SparkSession, path: str, key: list[str], partition_by: list[str] | None = None):
-        self.spark, self.path, self.key, self.partition_by = spark, path, list(key), partition_by
+    def __init__(self, spark: SparkSession, path: str, run_key: list[str], match: tuple = ()):
+        self.spark, self.run_key, self.match = spark, list(run_key), list(match)
+        self.log = CommitLog(spark, path)
+
+    def runs(self) -> DataFrame | None:
+        """One row per stored run: key, ``match`` columns, n_rows, and the part and seq of its newest generation."""
+        index = self.log.read("runs")
+        if index is None:
+            return None
+        others = [c for c in index.columns if c not in self.run_key]
+        newest = index.groupBy(*self.run_key).agg(F.max_by(F.struct(*others), "seq").alias("_r"))
+        return newest.select(*self.run_key, *[F.col(f"_r.{c}").alias(c) for c in others])
 
     def read(self) -> DataFrame | None:
-        """The stored rows; None only if the path does not exist (any other error is raised)."""
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        there = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-        return self.spark.read.parquet(self.path) if there else None
+        """The rows of every run's newest generation; None if nothing is stored."""
+        rows, runs = self.log.read("rows"), self.runs()
+        if rows is None or runs is None:
+            return None
+        on = ["part", *self.run_key]
+        return rows.join(runs, null_safe_on(rows, runs, on), "left_semi").drop("part", "seq")
 
     def missing(self, wanted: DataFrame) -> DataFrame:
-        have = self.read()
-        w = wanted.select(*self.key).distinct()
-        if have is None:
+        """The wanted runs that are not stored, or do not fit."""
+        extra = [c for c in (*self.match, "n_rows") if c in wanted.columns]
+        w, runs = fresh(wanted, [*self.run_key, *extra]).distinct(), self.runs()
+        if runs is None:
             return w
-        h = have.select(*self.key).distinct()
-        return w.join(h, null_safe_on(w, h, self.key), "left_anti")
-
-    def append(self, rows: DataFrame):
-        w = rows.write.mode("append")
-        if self.partition_by:
-            w = w.partitionBy(*self.partition_by)
-        w.parquet(self.path)
+        return w.join(runs, null_safe_on(w, runs, [*self.run_key, *extra]), "left_anti")
+
+    def replace(self, wanted: DataFrame, rows: DataFrame) -> None:
+        """Store ``rows`` as the new generation of the ``wanted`` runs; runs without rows are stored as empty."""
+        part = f"p-{uuid.uuid4().hex}"
+        match = [c for c in self.match if c in wanted.columns]
+        keys = fresh(wanted, [*self.run_key, *match]).distinct()
+        own = rows.join(keys, null_safe_on(rows, keys, self.run_key), "left_semi")
+        self.log.stage("rows", part, own)
+        stored = self.spark.read.schema(own.schema).parquet(f"{self.log.path}/rows/part={part}")
+        counts = stored.groupBy(*self.run_key).agg(F.count(F.lit(1)).alias("n_rows"))
+        index = keys.join(counts, null_safe_on(keys, counts, self.run_key), "left").select(
+            *[keys[c] for c in (*self.run_key, *match)], F.coalesce("n_rows", F.lit(0)).cast("long").alias("n_rows"))
+        self.log.stage("runs", part, index)
+        self.log.commit(part)
 
     def get_or_compute(self, wanted: DataFrame, compute) -> DataFrame:
-        todo = self.missing(wanted)
+        """The stored rows of the wanted runs; ``compute(missing runs)`` is called for those that do not fit, if any."""
+        todo = cut_lineage(self.missing(wanted))
         if not todo.isEmpty():
-            self.append(compute(todo))
-        have = self.read()
-        w = wanted.select(*self.key).distinct()
-        return have.join(w, null_safe_on(have, w, self.key), "left_semi")
+            self.replace(todo, compute(todo))
+        have, w = self.read(), fresh(wanted, self.run_key).distinct()
+        return have.join(w, null_safe_on(have, w, self.run_key), "left_semi")
 
 
-class SelectionStore(KeyedStore):
-    """Stored selections (one row per selected row), reused only if they fit: a run counts as stored if its pool
-    length is ``pool_size`` and it has as many rows as its budget asks for (all rows, if the pool is smaller)."""
+class SelectionStore(RunStore):
+    """Stored selections (one row per selected row), reused only if they fit: the stored run was made for a pool of
+    ``pool_size`` rows and has as many rows as its budget asks for (all rows, if the pool is smaller)."""
 
     KEY = ["dataset", "fold", "space", "method", "n_selected", "seed"]
 
     def __init__(self, spark: SparkSession, path: str, pool_size: int):
-        super().__init__(spark, path, self.KEY)
+        super().__init__(spark, path, self.KEY, ("pool_size",))
         self.pool_size = pool_size
 
-    def read(self) -> DataFrame | None:
-        rows = super().read()
-        if rows is None:
-            return None
-        valid = selection_store_valid(rows, self.pool_size).select(*self.KEY)
-        return rows.join(valid, null_safe_on(rows, valid, self.KEY), "left_semi")
+    def missing(self, wanted: DataFrame) -> DataFrame:
+        size = F.lit(self.pool_size).cast("long")
+        return super().missing(wanted.select(*self.KEY, size.alias("pool_size"), F.least(F.col("n_selected").cast("long"), size).alias("n_rows")))
 
 
 def flatten_selections(nested: DataFrame) -> DataFrame:
@@ -188,27 +222,19 @@ def flatten_selections(nested: DataFrame) -> DataFrame:
     return nested.select(*SelectionStore.KEY, "pool_size", F.posexplode("selected").alias("pos", "row_id"))
 
 
-def prediction_store(spark: SparkSession, path: str) -> KeyedStore:
-    """Stored probabilities, one row per (run, test row, class)."""
-    return KeyedStore(spark, path, ["dataset", "fold", "space", "method", "n_selected", "seed", "evaluator", "row_id", "class"])
+def prediction_store(spark: SparkSession, path: str) -> RunStore:
+    """Stored probabilities per run, one row per (test row, class)."""
+    return RunStore(spark, path, ["dataset", "fold", "space", "method", "n_selected", "seed", "evaluator"])
 
 
-def embedding_store(spark: SparkSession, path: str) -> KeyedStore:
-    """Stored embeddings per dataset, fold and split."""
-    return KeyedStore(spark, path, ["dataset", "fold", "split", "row_id"], ["dataset", "fold", "split"])
+def embedding_store(spark: SparkSession, path: str) -> RunStore:
+    """Stored embeddings per dataset, fold, split and encoder."""
+    return RunStore(spark, path, ["dataset", "fold", "split", "encoder"])
 
 
-def score_store(spark: SparkSession, path: str) -> KeyedStore:
+def score_store(spark: SparkSession, path: str) -> RunStore:
     """Stored row scores (coverage scores) per dataset, fold and space."""
-    return KeyedStore(spark, path, ["dataset", "fold", "space", "row_id"], ["dataset", "fold"])
-
-
-def selection_store_valid(store: DataFrame, pool_size: int) -> DataFrame:
-    """S7 reuse check: a stored selection is valid only if its pool length matches and the number
-    of selected rows equals the requested size."""
-    g = ["dataset", "fold", "space", "method", "n_selected", "seed"]
-    return (store.groupBy(*g).agg(F.count(F.lit(1)).alias("n_rows"), F.max("pool_size").alias("pool_size"))
-            .filter((F.col("n_rows") == F.least("n_selected", F.lit(pool_size))) & (F.col("pool_size") == pool_size)))
+    return RunStore(spark, path, ["dataset", "fold", "space"])
 
 
 # Fields of a stored candidate.
@@ -238,16 +264,25 @@ def scan_curves(spark: SparkSession, path_glob: str) -> DataFrame:
 
 
 def write_curves(curves: DataFrame, folder: str):
-    """One ``<dataset>_fold<k>_best_chromosomes_curve.json`` per (dataset, fold) of (dataset, fold, json): as many small
-    files as the catalog has folds, written through the file system of ``folder``."""
+    """One ``<dataset>_fold<k>_best_chromosomes_curve.json`` per (dataset, fold) of (dataset, fold, json).  The executors
+    write the files, one folder each; the driver only moves them to their names."""
     spark = curves.sparkSession
     jvm = spark.sparkContext._jvm
-    base = jvm.org.apache.hadoop.fs.Path(folder)
+    path = jvm.org.apache.hadoop.fs.Path
+    base = path(folder)
     fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for r in curves.select("dataset", "fold", "json").toLocalIterator():
-        out = fs.create(jvm.org.apache.hadoop.fs.Path(base, f"{r.dataset}_fold{r.fold}_best_chromosomes_curve.json"))
-        out.write(r.json.encode())
-        out.close()
+    parts = f"{folder.rstrip('/')}/_parts-{uuid.uuid4().hex}"
+    name = F.concat(F.col("dataset"), F.lit("_fold"), F.col("fold").cast("string"), F.lit("_best_chromosomes_curve.json"))
+    # one row per curve, so a curve is one file; the folder's name is safe in any file system
+    curves.select(F.hex(name).alias("curve"), F.col("json").alias("value")).write.partitionBy("curve").text(parts)
+    for st in fs.listStatus(path(parts)):
+        curve = st.getPath().getName()
+        if curve.startswith("curve="):
+            target = path(base, bytes.fromhex(curve.removeprefix("curve=")).decode())
+            for f in fs.listStatus(st.getPath()):
+                if f.getPath().getName().startswith("part-") and not fs.rename(f.getPath(), target):
+                    raise OSError(f"cannot write {target.toString()}")
+    fs.delete(path(parts), True)
 
 
 def curve_json(entries: DataFrame) -> DataFrame:

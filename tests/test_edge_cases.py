@@ -55,7 +55,8 @@ def test_selection_edge_cases(spark):
     assert S.min_one_per_class(pool, 2, 1).count() == 2                  # n < C falls back to random
     got = S.min_one_per_class(pool, 4, 1).join(pool, "row_id")
     assert got.select("label").distinct().count() == 3
-    assert S.balanced_quotas([(0, 1), (1, 5), (2, 5)], 7, 1) == {0: 1, 1: 3, 2: 3}
+    sizes = spark.createDataFrame([(0, 1), (1, 5), (2, 5)], "label int, size int")
+    assert {r.label: r.quota for r in S.balanced_quotas(sizes, 7, 1).collect()} == {0: 1, 1: 3, 2: 3}
 
 
 def test_one_class_context(spark):
