@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +58,16 @@ def text_key(name: str = "text") -> Column:
     return F.xxhash64(text_or_empty(name))
 
 
+def whole_rows(docs: DataFrame, name: str = "__row") -> Column:
+    """All columns as one struct: operators that add columns of their own keep the input's apart, whatever their names."""
+    return F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns]).alias(name)
+
+
+def columns_of(docs: DataFrame, name: str = "__row") -> list[Column]:
+    """The columns of ``docs`` out of the struct that ``whole_rows`` made."""
+    return [F.col(name).getField(c).alias(c) for c in docs.columns]
+
+
 def blanks_split(text: bytes) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+``: bytes.split() cuts at exactly these six ASCII blanks."""
     return text.split()
@@ -64,3 +76,31 @@ def blanks_split(text: bytes) -> list[bytes]:
 def alnum_split(text: bytes) -> list[bytes]:
     """Words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the A-Z lower-cased text."""
     return text.translate(ALNUM_TABLE).split()
+
+
+def blanked(table: bytes, blanks: bytes = b"\x09\x0a\x0b\x0c\x0d\x20") -> bytes:
+    """A translation table that also turns every one of ``blanks`` into a space."""
+    return bytes(32 if c in blanks else table[c] for c in range(256))
+
+
+def token_codes(texts: pa.Array, table: bytes) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The words of a batch of texts (binary, without nulls) after translation by ``table``, which turns all separators into
+    spaces: (code of each word in order, number of words of each text, distinct words by code).  Works on the batch's
+    buffer as a whole; no word becomes a Python object."""
+    n = len(texts)
+    offsets = np.frombuffer(texts.buffers()[1], np.int32, n + 1, texts.offset * 4).astype(np.int64) if n else np.zeros(1, np.int64)
+    data = texts.buffers()[2]
+    raw = bytes(memoryview(data)[offsets[0]:offsets[-1]]) if data is not None else b""
+    offsets -= offsets[0]
+    buf = np.frombuffer(raw.translate(table), np.uint8)
+    word = buf != 32
+    first = np.zeros(len(buf) + 1, bool)  # places where a text starts: words do not go on across them
+    first[offsets[:-1]] = True
+    begin, end = word.copy(), word.copy()
+    begin[1:] &= ~word[:-1] | first[1:-1]
+    end[:-1] &= ~word[1:] | first[1:-1]
+    start = np.flatnonzero(begin)
+    length = np.flatnonzero(end) + 1 - start
+    ends = np.concatenate(([0], np.cumsum(length))).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(buf[word])]).dictionary_encode()
+    return words.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.diff(np.searchsorted(start, offsets)), words.dictionary

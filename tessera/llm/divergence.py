@@ -19,20 +19,18 @@ Groups without terms take part; an empty table gives no rows.  Ties rank by the
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import small_batches, stored
+from tessera.llm.common import small_batches, stored, token_codes
 
 BILLION = 1_000_000_000
 # Letters, A-Z lower-cased, and non-ASCII bytes; everything else becomes a blank.
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
-HELD_TERMS = 1 << 19  # terms, each counted once a source, that a task merges before it sends them on
+HELD_BYTES, ROWS_OUT = 6 << 20, 1 << 15  # text whose counts a task merges before it sends them on, and rows sent at once
 SAFE_COUNT = 9_000_000_000  # counts below it times BILLION fit into 64 bits
 CELLS = 1 << 22  # joint cells looked at together
 HELD_PAIRS = 1 << 20
@@ -40,38 +38,52 @@ SALTS = 32
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """(lang, term, df, total, sources, counts) partly merged: the documents and occurrences of a term in a language and its
-    occurrences in each source.  A null term lists the sources that a task meets."""
-    def rows(held):
-        for lang, (by_source, df) in held.items():
-            terms = {t: ([], []) for t in df}
-            for source, n in by_source.items():
-                for t, k in n.items():
-                    sources, counts = terms[t]
-                    sources.append(source)
-                    counts.append(k)
-            every = list(by_source)
-            sources, counts = [every, *(x for x, _ in terms.values())], [[0] * len(every), *(x for _, x in terms.values())]
-            yield pa.RecordBatch.from_arrays([
-                pa.array([lang] * len(sources), pa.string()), pa.array([None, *terms], pa.binary()).cast(pa.string()),
-                pa.array([0, *df.values()], pa.int64()), pa.array([sum(x) for x in counts], pa.int64()),
-                pa.array(sources, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int64()))],
-                names=["lang", "term", "df", "total", "sources", "counts"])
+    """(lang, term, df, total, sources, counts), merged over some megabytes of text: the documents and occurrences of a term in
+    a language and its occurrences in each source.  A null term lists the sources."""
+    names = ["lang", "term", "df", "total", "sources", "counts"]
+
+    def rows(batches):
+        langs, sources = (pa.chunked_array([b.column(k) for b in batches]).combine_chunks() for k in (0, 1))
+        code, sizes, words = token_codes(pa.concat_arrays([b.column(2).cast(pa.binary()) for b in batches]), LETTERS)
+        pairs = list(zip(langs.to_pylist(), sources.to_pylist()))
+        groups = sorted(set(pairs))  # by language, so that a term's groups of one language are neighbours
+        place = {g: k for k, g in enumerate(groups)}
+        lang_names = sorted({g[0] for g in groups})
+        lang_of = np.array([lang_names.index(g[0]) for g in groups])
+        group = np.array([place[p] for p in pairs])
+        # (word, document) cells, then (word, group) and (word, language)
+        cell, n = np.unique(code * len(group) + np.repeat(np.arange(len(group)), sizes), return_counts=True)
+        of = (cell // len(group)) * len(groups) + group[cell % len(group)]
+        order = np.argsort(of, kind="stable")
+        of, n = of[order], n[order]
+        at = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, np.int64)
+        docs_in = np.diff(np.r_[at, len(of)])
+        count = np.add.reduceat(n, at) if len(at) else n
+        word, which = of[at] // len(groups), of[at] % len(groups)
+        key = word * len(lang_names) + lang_of[which]
+        top = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+        source_names, ends = pa.array([g[1] for g in groups], pa.string()), np.r_[top, len(key)].astype(np.int32)
+        add = lambda x: pa.array(np.add.reduceat(x, top) if len(top) else np.zeros(0, np.int64), pa.int64())
+        terms = pa.RecordBatch.from_arrays([
+            pa.array(lang_names, pa.string()).take(pa.array(key[top] % len(lang_names))), words.take(pa.array(word[top])).cast(pa.string()),
+            add(docs_in), add(count), pa.ListArray.from_arrays(ends, source_names.take(pa.array(which))),
+            pa.ListArray.from_arrays(ends, pa.array(count.astype(np.int64)))], names=names)
+        every = [[g[1] for g in groups if g[0] == lang] for lang in lang_names]
+        yield pa.RecordBatch.from_arrays([pa.array(lang_names, pa.string()), pa.nulls(len(lang_names), pa.string()), *[pa.array([0] * len(lang_names), pa.int64())] * 2,
+                                          pa.array(every, pa.list_(pa.string())), pa.array([[0] * len(x) for x in every], pa.list_(pa.int64()))], names=names)
+        for lo in range(0, len(terms), ROWS_OUT):
+            yield terms.slice(lo, ROWS_OUT)
 
     def run(batches):
-        held, size = {}, 0
+        held, size = [], 0
         for b in batches:
-            for lang, source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary())):
-                by_source, df = held.setdefault(lang, ({}, Counter()))
-                n = by_source.setdefault(source, Counter())
-                words, before = text.as_py().translate(LETTERS).split(), len(n)
-                n.update(words)
-                df.update(set(words))
-                size += len(n) - before
-                if size > HELD_TERMS:
-                    yield from rows(held)
-                    held, size = {}, 0
-        yield from rows(held)
+            held.append(b)
+            size += b.nbytes
+            if size > HELD_BYTES:
+                yield from rows(held)
+                held, size = [], 0
+        if sum(map(len, held)):
+            yield from rows(held)
 
     small_batches(docs.sparkSession)
     named = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")]
