@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import blanks_split, parallelism, small_batches, text_key, text_or_empty
+from tessera.llm.common import blanks_split, parallelism, small_batches, stored, text_key, text_or_empty
 
 MIN_WORDS = 20
 BUCKETS = 1 << 16  # by the upper 16 bits of the prefix hash
@@ -162,31 +162,33 @@ def _opened(_, n_docs, n, ids, known, keys, counts, gaps, paths=b""):
     run = np.cumsum(gaps)
     first = np.cumsum(counts) - counts
     place = run - np.repeat(run[first] - gaps[first], counts)
-    return (np.cumsum(_unpack(ids, n_docs, np.int64)), _unpack(known, n_docs, np.bool_), np.frombuffer(keys, np.int32), counts,
+    return (np.cumsum(_unpack(ids, n_docs, np.int64)), _unpack(known, n_docs, np.bool_), _unpack(keys, n_docs, np.int64), counts,
             place.astype(np.uint32), np.frombuffer(paths, np.uint64))
 
 
 def _bucket(ids: np.ndarray, keys: np.ndarray, n: int) -> np.ndarray:
     """Bucket of a document; the same as ``bucket_of``, spread by id so that copies of a text do not meet."""
-    return np.mod(ids ^ keys.astype(np.int64), n).astype(np.int32)
+    return np.mod(ids ^ keys, n).astype(np.int32)
 
 
 def bucket_of(id_col: str, key_col: str, n: int):
-    return F.pmod(F.coalesce(F.col(id_col), F.lit(0)).bitwiseXOR(F.col(key_col).cast("bigint")), F.lit(n)).cast("int")
+    return F.pmod(F.coalesce(F.col(id_col), F.lit(0)).bitwiseXOR(F.col(key_col)), F.lit(n)).cast("int")
 
 
-def short_key(text_col: str):
-    """32 bits of the text key: enough to tell apart the few documents that share an id."""
-    return F.shiftright(text_key(text_col), 32).cast("int")
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(text, id, key): ``key`` tells apart the documents that share an id, null included, by 64 bits of their text; it is 0
+    where the id occurs once, so that it costs nothing on the way."""
+    rows = docs.select(text_or_empty(text_col).alias("text"), F.col(f"`{id_col}`").cast("bigint").alias("id"))
+    often = stored(rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("often"), F.lit(True).alias("shared")), "shared-ids")
+    rows = rows.join(often, rows["id"].eqNullSafe(often["often"]), "left")
+    return rows.select("text", "id", F.when(F.col("shared"), text_key("text")).otherwise(F.lit(0)).cast("bigint").alias("key"))
 
 
-def packed_suffixes(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> tuple[DataFrame, int]:
-    """Packed suffixes by group, and the number of groups.  Rows without paths hold the places that are later than another
+def packed_suffixes(rows: DataFrame, min_words: int) -> tuple[DataFrame, int]:
+    """From ``keyed`` rows, packed suffixes by group, and the number of groups.  Rows without paths hold the places that are later than another
     place in their own chunk; their group is the bucket of the document."""
-    spark = docs.sparkSession
+    spark = rows.sparkSession
     small_batches(spark)
-    rows = docs.select(text_or_empty(text_col).alias("text"), F.col(id_col).cast("bigint").alias("id"),
-                       short_key(text_col).alias("key"))
     where, n_groups = _groups(prefix_counts(rows.select("text"), min_words), parallelism(spark))
     plan = spark.sparkContext.broadcast(where)  # fixed size: one int per bucket and prefix length
 
@@ -225,7 +227,7 @@ def packed_suffixes(docs: DataFrame, id_col: str, text_col: str, min_words: int)
                     gaps = np.diff(p, prepend=0)
                     gaps[first] = p[first]
                     d = d[first]
-                    made.append([g, len(d), len(at), _pack(np.diff(ids[d], prepend=0)), _pack(known[d]), keys[d].tobytes(),
+                    made.append([g, len(d), len(at), _pack(np.diff(ids[d], prepend=0)), _pack(known[d]), _pack(keys[d]),
                                  _pack(np.diff(np.append(first, len(at))).astype(np.uint32)), _pack(gaps.astype(np.uint32)),
                                  b"" if known_later else path[at].tobytes()])
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
@@ -235,10 +237,10 @@ def packed_suffixes(docs: DataFrame, id_col: str, text_col: str, min_words: int)
                                   "places binary, paths binary"), n_groups
 
 
-def later_repeats(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> tuple[DataFrame, int]:
-    """Packed start places of the windows that also start earlier, by bucket of the document (``bucket_of``), and the number
+def later_repeats(rows: DataFrame, min_words: int) -> tuple[DataFrame, int]:
+    """From ``keyed`` rows, packed start places of the windows that also start earlier, by bucket of the document (``bucket_of``), and the number
     of buckets; a document's places may come in several rows."""
-    packed, n_groups = packed_suffixes(docs, id_col, text_col, min_words)
+    packed, n_groups = packed_suffixes(rows, min_words)
 
     def opened(row):
         return _opened(*row)
@@ -279,7 +281,7 @@ def later_repeats(docs: DataFrame, id_col: str, text_col: str, min_words: int) -
             first = np.flatnonzero(new)
             gaps = np.diff(p, prepend=0)
             gaps[first] = p[first]
-            yield [int(bucket[lo]), len(first), int(hi - lo), _pack(np.diff(i[first], prepend=0)), _pack(k[first]), y[first].tobytes(),
+            yield [int(bucket[lo]), len(first), int(hi - lo), _pack(np.diff(i[first], prepend=0)), _pack(k[first]), _pack(y[first]),
                    _pack(np.diff(np.append(first, hi - lo)).astype(np.uint32)), _pack(gaps.astype(np.uint32))]
 
     found = packed.groupBy("grp").applyInArrow(subtree, "bucket int, n_docs int, n bigint, ids binary, known binary, keys binary, "
@@ -294,9 +296,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smaller id (null first; rows of one id in the order of their text key), or further up in the same document.  Windows
     are judged on the input.  Documents of fewer words lose nothing.  ``id_col`` is an integer column.
     """
-    found, n_buckets = later_repeats(docs, id_col, text_col, min_words)
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), short_key(text_col).alias("key"), text_or_empty(text_col).alias("text"))
-    rows = rows.withColumn("bucket", bucket_of("id", "key", n_buckets))
+    rows = keyed(docs, id_col, text_col)
+    found, n_buckets = later_repeats(rows, min_words)
+    rows = rows.select("id", "key", "text", bucket_of("id", "key", n_buckets).alias("bucket"))
 
     def cut(texts: pa.Table, parts: pa.Table) -> pa.Table:
         gone: dict = {}
