@@ -39,19 +39,20 @@ IGNORED = ("id", "source", "metadata")  # top-level fields that do not make a la
 LEARNT = "assistant"
 CONTROL = re.compile(r"([\\<#])")
 IN_ROLE = re.compile(r"([\\<#:\n])")
+LONE = re.compile("[\ud800-\udfff]")
 TURN = re.compile(r"### ((?:[^\\<#:\n]|\\.)*): ((?:[^\\<#]|\\.)*) </turn>\n", re.S)
 
 
 def paths(value, at: str = "") -> set[str]:
     if isinstance(value, dict):
         return {p for k, v in value.items() if at or k not in IGNORED for p in paths(v, f"{at}.{k}" if at else k)}
-    if isinstance(value, list):
-        return {p for v in value for p in paths(v, f"{at}[]")} or {f"{at}[]"}
+    if isinstance(value, list):  # plain values in a list have a path of their own, so they are no empty list
+        return {p for v in value for p in (paths(v, f"{at}[]") if isinstance(v, (dict, list)) else (f"{at}[]=",))} or {f"{at}[]"}
     return {at}
 
 
 def fingerprint(found: set[str]) -> str:
-    return xxhash.xxh64_hexdigest("\n".join(sorted(found)).encode())
+    return xxhash.xxh64_hexdigest("\n".join(sorted(found)).encode("utf-8", "surrogatepass"))
 
 
 BY_FINGERPRINT = {fingerprint(set(fields)): name for name, (fields, _) in MAPPINGS.items()} | {
@@ -59,37 +60,50 @@ BY_FINGERPRINT = {fingerprint(set(fields)): name for name, (fields, _) in MAPPIN
 
 
 def _text(value) -> str:
-    return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    """A field as text: absent or null is empty, other values are their JSON; half a surrogate pair becomes U+FFFD."""
+    text = "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    return LONE.sub("\ufffd", text)
 
 
-def _load(record: str | None):
+def _layout(record: str | None):
+    """(fingerprint, layout, record) of a JSON record; no fingerprint if it is no object or nested too deeply to be read, no
+    layout if none is declared for it or its turn is no 64-bit integer."""
     try:
-        return json.loads(record) if record is not None else None
-    except ValueError:
-        return None
+        value = json.loads(record) if record is not None else None
+        if not isinstance(value, dict):
+            return None, None, None
+        print_ = fingerprint(paths(value))
+    except (ValueError, RecursionError):
+        return None, None, None
+    name = BY_FINGERPRINT.get(print_)
+    if name == "turn row":
+        turn = value["turn"]
+        if turn is not None and (isinstance(turn, bool) or not isinstance(turn, int) or not -(1 << 63) <= turn < 1 << 63):
+            name = None
+    return print_, name, value
 
 
 def _turns(record: dict, how: dict):
     """(role, text) of the record's turns."""
     if "row" in how:
-        yield tuple(_text(record[f]) for f in how["row"])
+        yield tuple(_text(record.get(f)) for f in how["row"])
     if "list" in how:
         name, role, text = how["list"]
-        for m in record[name]:
-            yield ROLE_NAMES.get(m[role], _text(m[role])), _text(m[text])
+        for m in record[name]:  # the fingerprint is that of all messages together: one of them may lack a field
+            said = _text(m.get(role))
+            yield ROLE_NAMES.get(said, said), _text(m.get(text))
     for role, fields in how.get("pairs", []):
-        yield role, "\n\n".join(t for t in (_text(record[f]) for f in fields.split("\n\n")) if t)
+        yield role, "\n\n".join(t for t in (_text(record.get(f)) for f in fields.split("\n\n")) if t)
 
 
 def canonical_turns(records: DataFrame, id_col: str = "conv_id", record_col: str = "record") -> DataFrame:
     """(conv_id, turn, sub, role, text) from JSON records; a "turn row" record brings its own ``turn``, others have 0 and
-    ``sub`` counts their turns.  Null roles and texts are empty.  Null, broken or unknown records give none."""
+    ``sub`` counts their turns.  Null and absent roles and texts are empty.  Null, broken or unknown records give none."""
     def run(batches):
         for b in batches:
             rows = []
             for i, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                record = _load(r)
-                name = BY_FINGERPRINT.get(fingerprint(paths(record))) if isinstance(record, dict) else None
+                _, name, record = _layout(r)
                 if name:
                     turn = record["turn"] if name == "turn row" else 0
                     rows += [(i, turn, k, role, text) for k, (role, text) in enumerate(_turns(record, MAPPINGS[name][1]))]
@@ -104,13 +118,12 @@ def canonical_turns(records: DataFrame, id_col: str = "conv_id", record_col: str
 
 
 def layouts(records: DataFrame, record_col: str = "record") -> DataFrame:
-    """(fingerprint, layout, n): records by schema fingerprint; layout is null if no mapping is declared for it."""
+    """(fingerprint, layout, n): records by schema fingerprint; layout is null if no mapping is declared for it or its turn is
+    no integer.  Records that are no readable JSON object have no fingerprint."""
     def run(batches):
         for b in batches:
-            found = [_load(r) for r in b.column(0).to_pylist()]
-            prints = [fingerprint(paths(r)) if isinstance(r, dict) else None for r in found]
-            yield pa.RecordBatch.from_arrays([pa.array(prints, pa.string()), pa.array([BY_FINGERPRINT.get(p) for p in prints], pa.string())],
-                                             names=["fingerprint", "layout"])
+            found = [_layout(r)[:2] for r in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.string()) for k in (0, 1)], names=["fingerprint", "layout"])
     return records.select(record_col).mapInArrow(run, "fingerprint string, layout string").groupBy("fingerprint", "layout").agg(
         F.count("*").alias("n"))
 

@@ -32,6 +32,26 @@ def test_every_layout_becomes_canonical_turns(spark):
     assert sum(n for name, n in counts if not name) == 4
 
 
+def test_incomplete_and_odd_records(spark):
+    m = lambda x: {"messages": x}
+    ok = {"role": "user", "content": "x"}
+    records = [json.dumps(r) for r in (
+        m([ok, {"role": "assistant"}]), m([{"content": "only text"}, ok]), m(["a", "b"]), m([None]), m([ok, None]), m([ok, {}]), m([{"role": ["list"], "content": {"k": 1}}]),
+        {"turn": "first", "role": "user", "text": "x"}, {"turn": 2.5, "role": "user", "text": "x"}, {"turn": 1 << 70, "role": "user", "text": "x"},
+        {"turn": None, "role": "user", "text": "x"}, {"turn": True, "role": "user", "text": "x"}, m([{"role": "user", "content": "a\ud800b\U0001F600"}]), {"\ud800": 1})]
+    records += ["[" * 100_000, '{"a":' * 100_000, json.dumps(m([ok]))[:-1]]
+    df = spark.createDataFrame(list(enumerate(records)), "conv_id long, record string")
+    got = {}
+    for r in C.canonical_turns(df).orderBy("conv_id", "turn", "sub").collect():
+        got.setdefault(r.conv_id, []).append((r.role, r.text))
+    assert got == {0: [("user", "x"), ("assistant", "")], 1: [("", "only text"), ("user", "x")], 5: [("user", "x"), ("", "")],
+                   10: [("user", "x")], 12: [("user", "a\ufffdb\U0001F600")]}
+    counts = C.layouts(df).collect()
+    assert sum(r.n for r in counts) == len(records) and sum(r.n for r in counts if r.fingerprint is None) == 3
+    assert sum(r.n for r in counts if r.layout) == len(got)
+    assert C.digests(C.format_turns(C.canonical_turns(df))).count() == len(got)
+
+
 def test_round_trip_and_mask(spark):
     rng = random.Random(1)
     rows = [(rng.randrange(20), k, rng.choice(["user", "assistant", "a: b\n#", "", None]),
