@@ -77,15 +77,23 @@ def _sampled(docs, ratings, id_col, text_col, max_ratings, bits):
         [("id", "ascending"), ("grade", "ascending")])
 
 
+COPY = 0.8  # share of common buckets (of those of both texts) from which two ratings are of copies
+
+
 def _without_copies(rows: pa.Table) -> pa.Table:
-    """One rating per group of near copies (texts with the same three smallest mixed buckets): the words of one text that
-    was copied often must not look telling.  Texts without tokens are left as they are."""
-    seen, keep = set(), []
+    """One rating per group of near copies: the words of one text that was copied often must not look telling.  Texts whose
+    three smallest mixed buckets agree are compared, and go only if they share ``COPY`` of their buckets with a text that
+    stays.  Texts without tokens are left as they are."""
+    seen, keep = {}, []
     for i, f in enumerate(rows["features"]):
-        low = np.sort(np.array(f.values, np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20))[:3].tobytes()
-        if not low or low not in seen:
-            keep.append(i)
-        seen.add(low)
+        own = np.array(f.values, np.int64)
+        low = np.sort(own.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20))[:3].tobytes()
+        others = seen.setdefault(low, [])
+        common = (len(np.intersect1d(own, x, assume_unique=True)) for x in others)
+        if low and any(n >= COPY * (len(own) + len(x) - n) for n, x in zip(common, others)):
+            continue
+        others.append(own)
+        keep.append(i)
     return rows.take(pa.array(keep, pa.int64()))
 
 

@@ -47,3 +47,18 @@ def test_edge_cases(spark, make_docs):
     assert Q.score(df.where("false"), Q.fit(df, ratings)).count() == 0
     assert Q.graded(spark.createDataFrame([(1, 0, 1), (2, 1, 1), (3, 1, 0), (4, None, 0)], "doc_id long, quality int, toxic int")
                     ).orderBy("doc_id").collect() == [(1, 0), (2, 1), (3, 2), (4, None)]
+
+
+def test_only_verified_copies_are_left_out():
+    """Ratings that share their three smallest mixed buckets stay unless most buckets are shared."""
+    import numpy as np
+    import pyarrow as pa
+    mixed = lambda x: np.array(x, np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)
+    low = sorted(range(5000), key=lambda b: int(mixed([b])[0]))[:3]
+    rng = np.random.default_rng(1)
+    rest = [b for b in range(5000) if b not in low]
+    one, other = (sorted(low + list(rng.choice(rest, 40, replace=False))) for _ in range(2))
+    copy = sorted(one[:-1] + [b for b in rest if b not in one][:1])
+    rows = pa.table({"id": ["a", "b", "c", "d", "e", "f"], "grade": pa.array([0, 1, 2, 0, 1, 2], pa.int32()),
+                     "features": pa.array([one, other, copy, one, [], []], pa.list_(pa.int32()))})
+    assert Q._without_copies(rows)["id"].to_pylist() == ["a", "b", "e", "f"]
