@@ -96,6 +96,7 @@ WORDINGS = [
 ]
 
 # Every match of every rule holds one of these.
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 STEMS = ["licen", " cc ", " cc0", "commons", "gpl", "public domain", "rights ", "bsd", "wtfpl"]
 BASE_CONFIDENCE = 0.9
 TOP = 5
@@ -122,14 +123,17 @@ def _blanks(x: str) -> str:
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list[dict] | None = None) -> DataFrame:
     """One row per row of ``docs``: (id_col, n_words, n_base, first_word, last_word, base_labels, labels, score, detections).
 
-    Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the lower-cased text, counted from 0.  ``n_base`` counts the places of
+    Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z lower-cased, counted from 0.  ``n_base`` counts the places of
     base phrases, first_word and last_word are their smallest and largest start (null without any).  ``labels`` joins the
     base labels and those of the matches left after suppression; ``score`` is the largest confidence among them, 0 without
     any.  ``detections`` has the matches left (first_word, n_words, label, confidence) in order.  Null or empty texts have
     no words and no labels; rows that repeat an id are scanned each for itself.
     """
     table = F.from_json(F.lit(json.dumps(rules or build_rules())), RULE_TYPE)
-    words = F.trim(F.regexp_replace(F.lower(text_or_empty(text_col)), ALNUM_SEPARATORS, " "))
+    text = text_or_empty(text_col)
+    # A-Z only: of all other characters, these two become ASCII letters in lower case
+    lowered = F.when(text.rlike("[\u0130\u212A]"), F.translate(text, UPPER, UPPER.lower())).otherwise(F.lower(text))
+    words = F.trim(F.regexp_replace(lowered, ALNUM_SEPARATORS, " "))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"),
                        F.concat(F.lit(" "), words, F.lit(" ")).alias("norm"))
     gate = " or ".join(f"contains(norm, '{s}')" for s in STEMS)

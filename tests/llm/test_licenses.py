@@ -94,3 +94,12 @@ def test_forms_that_lack_the_usual_word(spark, make_docs):
     rows = {r.doc_id: r for r in L.license_scan(make_docs(list(enumerate(texts)))).collect()}
     assert [values(rows[i]) for i in range(4)] == [brute(t) for t in texts]
     assert [rows[i].labels for i in range(3)] == ["all-rights-reserved", "lgpl-2", "lgpl-2"]
+
+
+def test_only_ascii_letters_are_lowered(spark, make_docs):
+    """The Kelvin sign and the dotted I become ASCII letters in Unicode lower case: words that hold them are other words."""
+    head = "Released under Creative Commons Attribution Share "
+    texts = [head + "aliKe", head + "ali\u212ae", "UNDER THE M\u0130T LICENSE", "Under The MIT License \u212a", "É under the mit license"]
+    got = [r for r in L.license_scan(make_docs(list(enumerate(texts)))).orderBy("doc_id").collect()]
+    assert "cc-by-sa" in got[0].labels.split(",") and "cc-by-sa" not in got[1].labels.split(",")
+    assert [r.base_labels for r in got] == ["", "", "", "mit", "mit"] and [r.n_words for r in got] == [7, 7, 4, 6, 6]
