@@ -36,16 +36,17 @@ BLOCK_VECTORS, BLOCK_QUERIES = 2048, 512
 TIE = 1e-9  # slack of the matrix product against the exact score
 
 
-def usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, v) of the vectors that take part: not null, no null or non-finite component, not zero, and of the most frequent
-    length (of several, the largest)."""
+def usable(rows: DataFrame, id_col: str, vec_col: str, dims: int | None = None) -> tuple[DataFrame, int]:
+    """(id, v) of the vectors that take part: not null, no null or non-finite component, not zero, and of length ``dims``; and
+    that length, by default the most frequent one (of several, the largest; 0 without vectors)."""
     x = F.col(vec_col)
     rows = rows.select(F.col(id_col).cast("bigint").alias("id"), F.transform(x, lambda e: e.cast("double")).alias("v"))
     rows = rows.where("id is not null and v is not null and size(v) > 0 and exists(v, e -> e <> 0) "
                       "and forall(v, e -> e is not null and not isnan(e) and abs(e) < double('infinity'))")
-    lengths = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1)
-    found = lengths.first()
-    return rows.where(F.size("v") == (found["d"] if found else 0))
+    if dims is None:
+        lengths = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).agg(F.max_by("d", F.struct("n", "d")).alias("d")).first()
+        dims = lengths["d"] or 0
+    return rows.where(F.size("v") == dims), dims
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -219,8 +220,8 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_
     left out; score is the cosine in double precision on the original vectors, ties go to the smaller id.  Vectors that
     ``usable`` drops take no part; rows that repeat an id and a vector are one candidate.  All candidates, if fewer."""
     spark = rows.sparkSession
-    clean = usable(rows, id_col, vec_col)
-    asked = usable(queries, id_col, vec_col)
+    clean, dims = usable(rows, id_col, vec_col)
+    asked, _ = usable(queries, id_col, vec_col, dims)  # one length for both sides
     c, links, postings = build_index(clean)
 
     def per_list(df):

@@ -78,3 +78,5 @@ def test_edge_cases(spark):
     assert got.keys() == {0, 50} and abs(got[0][0][1] - 1) < 1e-15
     assert A.nearest(df.where("false"), df.where("false")).count() == 0
     assert A.nearest(df, df.where("vec_id = 4")).count() == 0
+    longer = spark.createDataFrame([(50, [1.0, 2.0, 3.0]), (100, [1.0, 1.0, 1.0]), (150, [1.0, 2.0])], VEC)  # most queries have another length
+    assert {r.query_id for r in A.nearest(df, longer).collect()} == {150}
