@@ -25,8 +25,11 @@ SHINGLE_WORDS, LINK_BITS, RUN_LINES = 4, 4, 3
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.fit(docs, quality.graded(read(spark, sf_dir, "labels")))
-    scored = quality.score(docs.withColumnsRenamed({c: f"__{c}" for c in quality.ADDED.names if c in docs.columns}), model)
-    return scored.where("keep").drop(*quality.ADDED.names).withColumnsRenamed({f"__{c}": c for c in quality.ADDED.names})
+    mark = "_"  # columns of the names that the score adds are set aside under names that no column has
+    while any(f"{mark}{c}" in docs.columns for c in quality.ADDED.names):
+        mark += "_"
+    scored = quality.score(docs.withColumnsRenamed({c: f"{mark}{c}" for c in quality.ADDED.names}), model)
+    return scored.where("keep").drop(*quality.ADDED.names).withColumnsRenamed({f"{mark}{c}": c for c in quality.ADDED.names})
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import alnum_split, small_batches, stored, text_key, text_or_empty
+from tessera.llm.common import alnum_split, columns_of, small_batches, stored, text_key, text_or_empty, whole_rows
 
 SEGMENT_WORDS = 1 << 18
 SEGMENT_DOCS = 1 << 12
@@ -304,5 +304,5 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "d
     its real size."""
     bad = stored(contamination(docs, benchmark, id_col, item_col, text_col).where("contaminated").select(
         F.col(id_col).alias("__id"), F.col("text_key").alias("__key")), "contaminated")
-    rows = docs.withColumn("__row_key", text_key(text_col))
-    return rows.join(bad, rows[id_col].eqNullSafe(bad["__id"]) & (rows["__row_key"] == bad["__key"]), "left_anti").drop("__row_key")
+    rows = docs.select(whole_rows(docs), F.col(f"`{id_col}`").alias("__doc"), text_key(text_col).alias("__row_key"))
+    return rows.join(bad, rows["__doc"].eqNullSafe(bad["__id"]) & (rows["__row_key"] == bad["__key"]), "left_anti").select(*columns_of(docs))

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored, text_key, text_or_empty
+from tessera.llm.common import columns_of, stored, text_key, text_or_empty, whole_rows
 
 
 def _windows(docs: DataFrame, id_col: str, text_col: str, min_lines: int) -> DataFrame:
@@ -56,14 +56,15 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 3) -> DataFrame:
     """``docs`` with every row kept and four columns added: ``kept_text`` (the lines left, joined by a line feed),
-    ``n_lines``, ``n_removed`` and ``removed_runs`` (array of (first_line, n_lines), maximal runs in order)."""
+    ``n_lines``, ``n_removed`` and ``removed_runs`` (array of (first_line, n_lines), maximal runs in order).  Columns of the
+    input with these four names are replaced, all others are kept."""
     t = min_lines
     later = repeated_windows(docs, id_col, text_col, t)
     cuts = later.groupBy("id", "key").agg(F.sort_array(F.collect_set("first")).alias("__cuts")).select(
         F.col("id").alias("__id"), F.col("key").alias("__key"), "__cuts")
-    rows = docs.withColumn("__text_key", text_key(text_col))
-    joined = rows.join(cuts, rows[id_col].eqNullSafe(cuts["__id"]) & (rows["__text_key"] == cuts["__key"]), "left")
-    text = text_or_empty(text_col)
+    rows = docs.select(whole_rows(docs), F.col(f"`{id_col}`").alias("__doc"), text_key(text_col).alias("__text_key"), text_or_empty(text_col).alias("__text"))
+    joined = rows.join(cuts, rows["__doc"].eqNullSafe(cuts["__id"]) & (rows["__text_key"] == cuts["__key"]), "left")
+    text = F.col("__text")
     joined = joined.withColumn("__lines", F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, "\n")))
     # kept stretches lie between the end of one cut window and the start of the next
     edges = joined.withColumn("__edges", F.expr(
@@ -76,7 +77,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = kept.withColumn("__ends", F.expr(ends))
     runs = F.expr("filter(transform(sequence(0, size(__ends) - 2), k -> struct(__ends[k].b as first_line, "
                   "__ends[k + 1].a - __ends[k].b as n_lines)), r -> r.n_lines > 0)")
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("kept_text", "n_lines", "n_removed", "removed_runs")],
+    added = ("kept_text", "n_lines", "n_removed", "removed_runs")
+    return out.select(*[c for c, name in zip(columns_of(docs), docs.columns) if name not in added],
                       F.array_join("__kept", "\n").alias("kept_text"),
                       F.size("__lines").cast("bigint").alias("n_lines"),
                       (F.size("__lines") - F.size("__kept")).cast("bigint").alias("n_removed"),
@@ -86,8 +88,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 3) -> DataFrame:
     """``docs`` with its columns, the text cut to the lines left and ``n_chars`` (if there) brought in line.  A document
     all of whose lines are later repeats goes; documents that lose nothing, empty ones included, stay as they are."""
-    found = line_dedup(docs.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])).select(
-        F.col(id_col).alias("__doc"), F.col(text_col).alias("__txt"), "__row"), "__doc", "__txt", min_lines)
+    found = line_dedup(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), whole_rows(docs)), "id", "text", min_lines)
     found = found.where("n_removed = 0 or n_removed < n_lines")
     cols = []
     for f in docs.schema.fields:

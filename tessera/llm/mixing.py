@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.hashing import seeded_unit
-from tessera.llm.common import stored, text_or_empty
+from tessera.llm.common import columns_of, stored, text_or_empty, whole_rows
 
 DIMENSIONS = ("source", "lang", "topic")
 # Powers of the present token shares that serve as targets: under 1 draws hot values down and rare ones up.
@@ -85,6 +85,9 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, dims=DIMEN
 
 
 def sample(docs: DataFrame, **options) -> DataFrame:
-    """The sampled rows of ``docs`` with their columns and ``probability``."""
-    drawn = mix(docs.drop("probability", "sampled"), **options).where("sampled")
-    return drawn.select(*[c for c in docs.columns if c not in ("probability", "sampled")], "probability")
+    """The sampled rows of ``docs`` with their columns, of whatever names, and ``probability`` (a column of that name is
+    replaced, and so is ``sampled``)."""
+    plain = docs.drop("probability", "sampled")
+    used = {options.get("id_col", "doc_id"), options.get("text_col", "text"), *options.get("dims", DIMENSIONS)}
+    drawn = mix(plain.select(whole_rows(plain), *[F.col(f"`{c}`") for c in plain.columns if c in used]), **options).where("sampled")
+    return drawn.select(*columns_of(plain), "probability")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import blanks_split, parallelism, small_batches, stored, text_key, text_or_empty
+from tessera.llm.common import blanks_split, columns_of, parallelism, small_batches, stored, text_key, text_or_empty, whole_rows
 from tessera.llm.components import components
 
 XXH_SEED = 42
@@ -125,6 +125,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     keep = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy("root").agg(
         F.min(F.struct(F.col(id_col).alias("id"), "text_key")).alias("least"))
     keep = keep.select(F.col("least.id").alias("__id"), F.col("least.text_key").alias("__key"))
-    rows = docs.withColumn("__row_key", text_key(text_col))
-    kept = rows.join(keep, rows[id_col].eqNullSafe(keep["__id"]) & (rows["__row_key"] == keep["__key"]), "left_semi")
-    return kept.dropDuplicates([id_col, "__row_key"]).drop("__row_key")
+    rows = docs.select(whole_rows(docs), F.col(f"`{id_col}`").alias("__doc"), text_key(text_col).alias("__row_key"))
+    kept = rows.join(keep, rows["__doc"].eqNullSafe(keep["__id"]) & (rows["__row_key"] == keep["__key"]), "left_semi")
+    return kept.dropDuplicates(["__doc", "__row_key"]).select(*columns_of(docs))

@@ -43,6 +43,9 @@ def test_edge_cases(spark, make_docs):
     assert len(got) == len(docs) + 2
     assert {r.doc_id: (r.kept_text, r.n_lines, r.n_removed) for r in got} == want
     assert {r.doc_id: [tuple(x) for x in r.removed_runs] for r in got}[1] == [(1, 3)]
+    odd = df.withColumns({c: F.lit("own") for c in ("__id", "__key", "__cuts", "__text", "__lines", "__doc", "__row", "a.b")})
+    assert all(r["__id"] == r["__cuts"] == r["__row"] == r["a.b"] == "own" for r in L.line_dedup(odd).collect())
+    assert L.without_repeats(odd).columns == odd.columns
     kept = L.without_repeats(df)
     assert kept.columns == df.columns
     texts = {r.doc_id: r.text for r in kept.collect()}
