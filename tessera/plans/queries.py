@@ -381,7 +381,24 @@ def q_friedman(spark, sf):
     return H.friedman(A.scores(spark, sf))
 
 
-@register("nemenyi_pairs")
+# The studentised range with infinite degrees of freedom, P(R > q) = 1 - k * integral of phi(z) (Phi(z + q) - Phi(z))^(k-1):
+# Phi on a fine grid by the trapezoid rule with its end correction, between grid points by Taylor's series; the outer
+# integral by the trapezoid rule, which is exact to rounding for a smooth integrand that vanishes at both ends.
+_RANGE_CTES = """fine as (select i, -9 + i * 0.002 as x, exp(-0.5 * power(-9 + i * 0.002, 2)) / sqrt(2 * pi()) as phi from range(0, 9001) r(i)),
+cum as (select i, x, phi, 0.002 * (sum(phi) over (order by i) - phi / 2) + 0.002 * 0.002 / 12 * x * phi as cdf from fine),
+steps as (select x as z, phi, cdf from cum where i % 25 = 0),
+mr as (select c, label, avg(rank) as mean_rank, count(distinct dataset) as n_datasets from ranks group by c, label),
+pairs as (select a.c, a.label as label_a, a.mean_rank as rank_a, a.n_datasets, b.label as label_b, b.mean_rank as rank_b, k.k,
+            abs(a.mean_rank - b.mean_rank) / sqrt(k.k * (k.k + 1) / (6.0 * a.n_datasets)) * sqrt(2) as q
+          from mr a join mr b on a.c = b.c and a.label < b.label join (select c, count(*) as k from mr group by c) k on k.c = a.c),
+inner_ as (select p.*, s.phi, s.cdf, s.z + p.q as y, cast(least(round((s.z + p.q + 9) / 0.002), 9000) as bigint) as at from pairs p, steps s),
+upper as (select n.*, case when y >= 9 then 1.0 else g.cdf + g.phi * ((y - g.x) - g.x * power(y - g.x, 2) / 2 + (g.x * g.x - 1) * power(y - g.x, 3) / 6) end as top
+          from inner_ n join cum g on g.i = n.at)"""
+
+
+@register("nemenyi_pairs", W(O.scores_cte(), O.ranks_cte()) + ", " + _RANGE_CTES + """
+select * exclude (s), case when q <= 0 then 1.0 else 1 - least(1.0, k * 0.05 * s) end as p_value
+from (select c, label_a, rank_a, n_datasets, label_b, rank_b, k, q, sum(phi * power(greatest(least(top - cdf, 1.0), 0.0), k - 1)) as s from upper group by all) x""", ["rank_a", "rank_b", "q", "p_value"])
 def q_nemenyi(spark, sf):
     return H.nemenyi_pairs(A.scores(spark, sf))
 
@@ -509,7 +526,10 @@ def q_removal(spark, sf):
     return H.progressive_removal(A.scores(spark, sf), TARGET)
 
 
-@register("robustness_summary")
+@register("robustness_summary", f"""select 'cross-metric spearman' as "check", format('{{}}~{{}} rho={{:.3f}}', m1, m2, spearman_rho) as result from ({REGISTRY["cross_metric_spearman"].sql}) a
+union all select 'leave-one-dataset-out', format('{{}} of {{}} configs lose top; max shift={{:.2f}}', cast(sum(target_loses_top) as bigint), cast(sum(n_configs) as bigint), max(max_rank_shift))
+  from ({REGISTRY["leave_one_dataset_out"].sql}) b
+union all select 'progressive removal', format('retains top until >{{}}% removed', cast(floor(max(drop_point) * 100 + 1e-6) as integer)) from ({REGISTRY["progressive_removal"].sql}) d""")
 def q_robust(spark, sf):
     s = {m: A.scores(spark, sf, m) for m in ("AUC", "ACC", "F1")}
     return H.robustness_summary(H.cross_metric_spearman(s), H.leave_one_dataset_out(s["AUC"], TARGET),
