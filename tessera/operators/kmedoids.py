@@ -436,9 +436,10 @@ def kmedoids_summary(pool: DataFrame, medoids: list[int], metric: str = "euclide
 
 # ---------------------------------------------------------------- I11
 def duplicate_medoids(pool: DataFrame, medoids: list[int], key: str = "row_id", vec: str = "features") -> DataFrame:
-    """For each medoid vector value: how many medoids share it and how often it occurs in the pool."""
-    p = pool.select(F.col(key).alias(KEY), F.xxhash64(F.col(vec)).alias("vh"))
+    """For each medoid vector: the first medoid that has it, how many medoids share it and how often it occurs in the
+    pool.  Vectors are compared by value."""
+    p = pool.select(F.col(key).alias(KEY), F.col(vec).alias("vh"))
     ids = p.sparkSession.createDataFrame([(int(m),) for m in medoids], "row_id long")
-    med = p.join(F.broadcast(ids), KEY, "left_semi").groupBy("vh").agg(F.count(F.lit(1)).alias("n_medoids"))
+    med = p.join(F.broadcast(ids), KEY, "left_semi").groupBy("vh").agg(F.min(KEY).alias("medoid"), F.count(F.lit(1)).alias("n_medoids"))
     occ = p.join(med.select("vh"), "vh", "left_semi").groupBy("vh").agg(F.count(F.lit(1)).alias("pool_count"))
-    return med.join(occ, "vh")
+    return med.join(occ, "vh").select("medoid", "n_medoids", "pool_count")

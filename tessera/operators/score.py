@@ -84,8 +84,9 @@ def logistic_predict(context: DataFrame, test: DataFrame, max_iter: int = 1000,
     return pr.select("row_id", "y_true", F.posexplode("p").alias("class", "prob"))
 
 
-def gbt_predict(context: DataFrame, test: DataFrame, max_iter: int = 20) -> DataFrame:
-    """Boosted trees; one binary GBT per class (one-vs-rest), probabilities normalised per row."""
+def gbt_predict(context: DataFrame, test: DataFrame, max_iter: int = 100) -> DataFrame:
+    """E3 for a context too large for one task (``boosting.boosted_trees`` is the scorer of selections): one binary
+    pyspark.ml GBT per class (one-vs-rest), probabilities normalised per row."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector, vector_to_array
     classes = sorted(r[0] for r in context.select("label").distinct().collect())  # bounded class list
@@ -160,7 +161,7 @@ def score_runs(contexts: DataFrame, tests: DataFrame, run_key, fit_predict: Call
 
     def scored(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(own):
-            return pd.DataFrame({"_run": [], **{n: [] for n in names}})
+            return pd.DataFrame({"_run": rows["_run"].iloc[:0], **{n: [] for n in names}})
         if len(own) > V.MAX_CONTEXT_ROWS:
             raise ValueError(f"a user scorer takes a context of at most {V.MAX_CONTEXT_ROWS} rows")
         own, rows = own.sort_values("row_id"), rows.sort_values("row_id")

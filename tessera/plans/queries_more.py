@@ -8,6 +8,7 @@ from tessera.functions.hashing import seeded_order, sql_seeded_order
 from tessera.operators import prep as P
 from tessera.operators import results as G
 from tessera.operators import score as E
+from tessera.operators.boosting import boosted_trees
 from tessera.operators import select as S
 from tessera.operators import space as R
 from tessera.plans import analysis as A
@@ -130,10 +131,11 @@ def q_pca(spark, sf):
 
 @register("gbt_predictions")
 def q_gbt(spark, sf):
-    pool = FX.lineitem_pool(spark, sf)
+    """100 rounds of softmax boosting on a balanced selection, every other row scored."""
+    pool = FX.lineitem_pool(spark, sf).withColumn("run", F.lit(0))
     sel = S.balanced_selection(pool, 30, 42).select("row_id")
     ctx = pool.join(sel, "row_id", "left_semi")
-    return E.gbt_predict(ctx, pool.join(sel, "row_id", "left_anti"))
+    return E.score_runs(ctx, pool.join(sel, "row_id", "left_anti"), ["run"], boosted_trees()).drop("run")
 
 
 @register("one_hot", f"""

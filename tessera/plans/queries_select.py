@@ -303,11 +303,14 @@ def q_update(spark, sf):
     return spark.createDataFrame(rows, "cluster int, medoid long, total double")
 
 
-@register("duplicate_medoids")
+@register("duplicate_medoids", f"""with p as (select {FX.LINEITEM_ROW_ID_SQL} as row_id, [l_quantity, l_discount, l_tax] as v from lineitem),
+med as (select * from p order by {H("'42'", 'row_id')}, row_id limit 400)
+select m.medoid, m.n_medoids, o.pool_count from (select v, min(row_id) as medoid, count(*) as n_medoids from med group by v) m
+join (select v, count(*) as pool_count from p group by v) o using (v)""")
 def q_dup(spark, sf):
-    pool = FX.embeddings_pool(spark, sf)
-    med = K.init_random(pool.select("row_id", "features"), 10, 42)
-    return K.duplicate_medoids(pool, med)
+    """I11 over vectors that repeat: quantity, discount and tax of lineitem, 400 medoids."""
+    pool = FX.lineitem_pool(spark, sf).withColumn("features", F.array(*[F.col("features")[i] for i in (0, 2, 3)]))
+    return K.duplicate_medoids(pool, K.init_random(pool, 400, 42))
 
 
 @register("kmedoids_lineitem")
@@ -408,6 +411,27 @@ def q_knn_metrics(spark, sf):
     return E.all_metrics(q_knn(spark, sf))
 
 
+@register("auc_all_classes", f"with {EVENTS_SQL} select avg(auc) as AUC from (select class, (sum(case when y_true = class then r end) - p * (p + 1) / 2.0) / (p * n) as auc "
+          "from (select *, count_if(y_true = class) over (partition by class) as p, count_if(y_true <> class) over (partition by class) as n from "
+          "(select *, rank() over (partition by class order by prob) + (count(*) over (partition by class, prob) - 1) / 2.0 as r from pr) a) b "
+          "where p > 0 and n > 0 group by class, p, n) c", ["AUC"])
+def q_auc_all(spark, sf):
+    """The search's AUC, over all classes and not only those seen in test."""
+    return E.auc(_events_pred(spark, sf), restrict_to_test_labels=False)
+
+
+@register("one_per_class_short", f"with {POOL_SQL} select row_id from pool order by {H("'42'", 'row_id')}, row_id limit 2")
+def q_short(spark, sf):
+    """Fewer rows than classes, so plain random selection."""
+    return S.min_one_per_class(FX.lineitem_pool(spark, sf), 2, 42)
+
+
+@register("random_whole_pool", f"with {EMB_SQL} select s.seed, 1000000 as n_selected, row_id from emb, (values (42), (43)) s(seed)")
+def q_whole(spark, sf):
+    """A budget beyond the pool takes all of it."""
+    return S.random_selection(FX.embeddings_pool(spark, sf), [1_000_000], [42, 43]).drop("pos")
+
+
 @register("logistic_predictions")
 def q_lr(spark, sf):
     pool = FX.embeddings_pool(spark, sf)
