@@ -3,8 +3,8 @@
 Gaussian kernel k(x, y) = exp(-gamma |x - y|^2); the bandwidth is not visible in the
 reference snapshot, so ``gamma`` is an explicit parameter (default 1 / dims).
 
-mu(x) = mean kernel of x to the pool is exact: the pool is streamed once per
-bounded broadcast block of rows (``block`` rows at a time), so memory stays bounded
+mu(x) = mean kernel of x to the pool is exact: blocks of the pool (``block`` rows, by default as
+large as memory and parallelism allow) meet in one task per pair, so memory stays bounded
 and no pair rows are produced; the work is quadratic in the pool, as in the method.
 
 Greedy round t (t rows already picked) takes the unpicked row with the least
@@ -28,26 +28,40 @@ from tessera.functions.tiles import BLOCK_ROWS, meet
 from tessera.session import cut_lineage
 
 
+MAX_BLOCK = 1 << 15  # rows of a block: each row is sent to as many tasks as there are blocks
+CELLS = 1 << 22  # kernel values held at once
+
+
 def _kernel(x: np.ndarray, m: np.ndarray, gamma: float) -> np.ndarray:
     return np.exp(-gamma * V.pairwise(x, m, "euclidean") ** 2)
 
 
-def kernel_means(pool: DataFrame, gamma: float, block: int = BLOCK_ROWS) -> DataFrame:
+def _block_rows(rows: int, tasks: int) -> int:
+    """Rows of a block: as few blocks as give every task a pair of them, so that no row travels more than it must, and no
+    block over MAX_BLOCK."""
+    cuts = max(math.ceil(rows / MAX_BLOCK), min(math.ceil(rows / BLOCK_ROWS), math.ceil(math.sqrt(tasks))))
+    return max(1, math.ceil(rows / cuts))
+
+
+def kernel_means(pool: DataFrame, gamma: float, block: int | None = None) -> DataFrame:
     """(row_id, features, mu): exact mean kernel to the whole pool.  Blocks of the pool meet blocks of the pool on the
     executors, and partial sums are added up; one job, nothing passes the driver."""
     def sums(x: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(m):
             return pd.DataFrame({"row_id": [], "ksum": []})
-        return pd.DataFrame({"row_id": x["row_id"], "ksum": _kernel(V.stack(x["features"]), V.stack(m["features"]), gamma).sum(1)})
+        own, other = V.stack(x["features"]), V.stack(m["features"])
+        step = max(1, CELLS // len(other))
+        return pd.DataFrame({"row_id": x["row_id"], "ksum": np.concatenate([_kernel(own[lo:lo + step], other, gamma).sum(1) for lo in range(0, len(own), step)])})
 
     rows = pool.select("row_id", "features")
+    block = block or _block_rows(rows.count(), pool.sparkSession.sparkContext.defaultParallelism)
     total = meet(rows, rows, sums, "row_id long, ksum double", block, block).groupBy("row_id").agg(F.sum("ksum").alias("ksum"))
     n = pool.select(F.count(F.lit(1))).scalar()
     return rows.join(total, "row_id").select("row_id", "features", (F.col("ksum") / n).alias("mu"))
 
 
 def rdss(pool: DataFrame, n: int, alpha: float | None = None, gamma: float | None = None,
-         block: int = BLOCK_ROWS, checkpoint_every: int = 8) -> list[int]:
+         block: int | None = None, checkpoint_every: int = 8) -> list[int]:
     """Ids of the n rows picked by alpha-MMD herding (in pick order).  n <= 0 is an error;
     n >= N returns the whole pool."""
     if n <= 0:

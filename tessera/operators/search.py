@@ -264,9 +264,10 @@ def local_search_step(cands: DataFrame, metrics: DataFrame, flip_metrics: DataFr
     """C9 keep-best: per candidate, the best flip if it beats the candidate's fitness.
     ``flip_metrics`` is (candidate_id, flip_id, fitness) for all flips scored in one job.
     Returns (candidate_id, flip_id or NULL when the candidate stays)."""
+    whole = F.round("fitness", 9)  # sums differ in the last bits by the order of addition
     best = flip_metrics.groupBy("candidate_id").agg(
-        F.max_by(F.struct("flip_id", "fitness"), F.struct(F.col("fitness"), -F.col("flip_id"))).alias("b"))
-    j = best.join(metrics.select("candidate_id", F.col("fitness").alias("f0")), "candidate_id")
+        F.max_by(F.struct("flip_id", whole.alias("fitness")), F.struct(whole, -F.col("flip_id"))).alias("b"))
+    j = best.join(metrics.select("candidate_id", whole.alias("f0")), "candidate_id")
     return j.select("candidate_id", F.when(F.col("b.fitness") > F.col("f0"), F.col("b.flip_id")).alias("flip_id"))
 
 

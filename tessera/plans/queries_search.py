@@ -12,7 +12,6 @@ from tessera.operators import prep as P
 from tessera.operators import score as E
 from tessera.operators import search as C
 from tessera.operators import search_loop as L
-from tessera.operators import select as S
 from tessera.plans import analysis as A
 from tessera.plans import fixtures as FX
 from tessera.plans import oracle as O
@@ -247,17 +246,6 @@ def _flip_scores(cands, flips, train, val):
                     (F.col("candidate_id") % 1000).alias("flip_id"), "fitness")
 
 
-@register("local_search_step")
-def q_local_search(spark, sf):
-    """Score 6 flips of each of 4 candidates in one job, keep the improving ones."""
-    train, val = _split_pool(spark, sf)
-    train = train.persist()
-    cands = C.random_candidates(train, 4, SIZE, 42).persist()
-    m0 = _score(cands, train, val)
-    flips = C.flip_neighbours(cands, train, 6, 3)
-    return C.local_search_step(cands, m0, _flip_scores(cands, flips, train, val))
-
-
 CURVE_SIZES, CURVE_FOLD = (10, 20, 40, 80), 0
 
 
@@ -287,6 +275,37 @@ def _knn_metrics_sql(name: str, members: str, rows: str) -> str:
    union all select cand, 'BalACC', avg(tp / (tp + fn)) from {name}_conf where tp + fn > 0 group by cand)"""
 
 
+FLIPS, FLIP_REMOVES = 6, 4
+LOCAL_SQL = f"""with {_train_sql()}, {_cands_sql(4, SIZE, 42)},
+free as (select * from (select *, count(*) over (partition by candidate_id, label) as n from cands) a where n > 1),
+rm as (select candidate_id, row_id, row_number() over (partition by candidate_id order by {_order_sql('3f')}, row_id) - 1 as flip_id, 'remove' as op from free),
+off as (select cast(c.id as int) as candidate_id, t.row_id from train t, range(0, 4) c(id) anti join cands k on k.candidate_id = c.id and k.row_id = t.row_id),
+ad as (select candidate_id, row_id, row_number() over (partition by candidate_id order by {_order_sql('3g')}, row_id) - 1 + {FLIP_REMOVES} as flip_id, 'add' as op from off),
+fl as (select * from rm where flip_id < {FLIP_REMOVES} union all select * from ad where flip_id < {FLIPS}),
+mem as (select c.candidate_id * 1000 + i.flip_id as cand, c.row_id, c.label from cands c join (select distinct candidate_id, flip_id from fl) i using (candidate_id)
+          where not exists (select 1 from fl r where r.op = 'remove' and r.candidate_id = c.candidate_id and r.flip_id = i.flip_id and r.row_id = c.row_id)
+        union all select candidate_id * 1000 + flip_id, row_id, t.label from fl join train t using (row_id) where op = 'add'
+        union all select candidate_id * 1000 + 999, row_id, label from cands),
+{_knn_metrics_sql("v", "mem", "val")},
+sizes as (select cand, cast(count(*) as double) as size, count(distinct label) as n_cls, (select count(distinct label) from train) as n_classes from mem group by cand),
+fit as (select cand // 1000 as candidate_id, cand % 1000 as flip_id, round(case when size < 2 or n_cls < n_classes then 0.0 else 0.5 * value + 0.5 * ({_RED_SQL}) end, 9) as f
+        from sizes join v using (cand) where metric = 'AUC'),
+best as (select candidate_id, arg_max(flip_id, (f, -flip_id)) as flip_id, max(f) as f from fit where flip_id < 999 group by candidate_id)
+select cast(b.candidate_id as bigint) as candidate_id, case when b.f > o.f then cast(b.flip_id as bigint) end as flip_id
+from best b join fit o on o.candidate_id = b.candidate_id and o.flip_id = 999"""
+
+
+@register("local_search_step", LOCAL_SQL)
+def q_local_search(spark, sf):
+    """Score 6 flips of each of 4 candidates in one job, keep the improving ones."""
+    train, val = _split_pool(spark, sf)
+    train = train.persist()
+    cands = C.random_candidates(train, 4, SIZE, 42).persist()
+    m0 = _score(cands, train, val)
+    flips = C.flip_neighbours(cands, train, FLIPS, 3)
+    return C.local_search_step(cands, m0, _flip_scores(cands, flips, train, val)).select(F.col("candidate_id").cast("long"), F.col("flip_id").cast("long"))
+
+
 CURVE_EVAL_SQL = f"""with emb as (select vec_id as row_id, embedding as features, cast(label as int) as label from embeddings),
 te as (select * from emb where {sql_seeded_order("'0'", "row_id")} % 5 = {CURVE_FOLD}),
 val as (select * from emb where {sql_seeded_order("'0'", "row_id")} % 5 <> {CURVE_FOLD} and {sql_seeded_order("'42'", "row_id")} / 4294967296.0 < 0.2),
@@ -331,7 +350,7 @@ def q_curve_eval(spark, sf):
     return found.join(counts, "candidate_id").select("size", "val_auc", "n_members", "metric", "value")
 
 
-SEARCH = dict(targets=[40, 20], population=20, patience=3, max_steps=4)
+SEARCH = dict(targets=[40, 20], population=20, patience=2, max_steps=2)
 
 
 @register("search_run")
