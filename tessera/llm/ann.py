@@ -6,6 +6,10 @@
 2. Postings.  Every vector finds its nearest centroids by a beam search in the graph and joins the nearest list; vectors
    near a boundary join up to ``MAX_REPLICAS`` further lists within ``REPLICA_RATIO`` of the nearest distance, unless a list
    already joined is nearer to that centroid than the vector is.
+   Where the sample gives fewer lists than ``LIST_SIZE`` asks for, over-full lists are split again on the executors: a
+   sample of each list, in proportion to its size, is clustered in its own task into at most ``FAN_OUT`` lists, its
+   vectors move on block by block, and so on until no list is over twice the mean size or none can be split (equal
+   vectors).  Lists stay balanced at any number of vectors; queries walk down the same levels.
 3. Search.  A query takes the lists within ``PROBE_RATIO`` of its nearest centroid's distance, and further ones until they
    hold ``MIN_CANDIDATES`` vectors.  Lists and their queries are cut into blocks of bounded size that meet block by block,
    so a hot list is spread over many tasks; each block gives its best few, scored exactly on the original vectors.
@@ -32,6 +36,7 @@ BEAM = 96
 MAX_REPLICAS, REPLICA_RATIO = 4, 1.1
 PROBE_RATIO = 1.3
 MIN_CANDIDATES = 400
+FAN_OUT = 1000
 BLOCK_VECTORS, BLOCK_QUERIES = 2048, 512
 TIE = 1e-9  # slack of the matrix product against the exact score
 
@@ -211,33 +216,103 @@ def _probes(queries: DataFrame, c, links, sizes: np.ndarray) -> DataFrame:
     return queries.mapInArrow(run, "list int, id bigint, v array<double>")
 
 
-def _blocks(counts: np.ndarray, size: int) -> np.ndarray:
-    return np.maximum(1, -(-counts // size)).astype(np.int64)
+def _cut(df: DataFrame, sizes: DataFrame, parts: str, block: int) -> DataFrame:
+    """``df`` with the number of blocks of its list (``sizes`` has list, n) and the block of each row, by a hash of its id."""
+    n = F.ceil(F.col("n") / F.lit(block)).cast("int")
+    return df.join(sizes.select("list", n.alias(parts)), "list").withColumn("block", F.pmod(F.xxhash64("id"), F.col(parts)).cast("int"))
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): for every vector of ``queries`` its ``k`` nearest found among ``rows``, itself (its id)
-    left out; score is the cosine in double precision on the original vectors, ties go to the smaller id.  Vectors that
-    ``usable`` drops take no part; rows that repeat an id and a vector are one candidate.  All candidates, if fewer."""
-    spark = rows.sparkSession
-    clean, dims = usable(rows, id_col, vec_col)
-    asked, _ = usable(queries, id_col, vec_col, dims)  # one length for both sides
-    c, links, postings = build_index(clean)
+def _split_lists(postings: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Postings whose lists over twice LIST_SIZE are split, level by level, and the centres (list, to, c, n) of every level: the
+    list ``list`` was split into lists ``to`` with centre c and n vectors.  A new list's number is a hash; two lists that
+    share one are searched together."""
+    levels, seed = [], 0
+    postings = postings.withColumn("list", F.col("list").cast("bigint")).withColumn("open", F.lit(True))
+    while True:
+        sizes = postings.where("open").groupBy("list").agg(F.count("*").alias("n")).where(F.col("n") > 2 * LIST_SIZE)
+        if sizes.isEmpty():
+            return postings.drop("open"), levels
+        sizes, seed = stored(sizes, "list-sizes"), seed + 1
+        into = F.least(F.ceil(F.col("n") / F.lit(LIST_SIZE)), F.lit(FAN_OUT)).cast("int")
+        lot = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        sample = postings.where("open").join(sizes.withColumn("parts", into), "list").where(lot < F.col("parts") * SAMPLE_PER_LIST / F.col("n"))
+
+        def cluster(rows: pa.Table) -> pa.Table:
+            """Centres of one list, from at most about FAN_OUT * SAMPLE_PER_LIST of its vectors."""
+            x = np.unique(unit(matrix(rows["v"].combine_chunks())), axis=0)
+            c = balanced_centroids(x, min(rows["parts"][0].as_py(), len(x))) if len(x) > 1 else x[:0]
+            return pa.table({"list": pa.array([rows["list"][0].as_py()] * len(c), pa.int64()), "sub": pa.array(range(len(c)), pa.int32()),
+                             "c": pa.array(list(c), pa.list_(pa.float64()))})
+
+        centres = sample.select("list", "v", "parts").groupBy("list").applyInArrow(cluster, "list bigint, sub int, c array<double>")
+        centres = stored(centres.withColumn("to", F.xxhash64("list", "sub", F.lit(seed))), "list-centres")
+        blocks = _cut(postings.where("open"), sizes, "parts", BLOCK_VECTORS)
+        spread = centres.join(sizes, "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / F.lit(BLOCK_VECTORS)).cast("int") - 1)))
+
+        def move(vectors: pa.Table, parts: pa.Table) -> pa.Table:
+            parts = parts.sort_by("sub")
+            c, to = matrix(parts["c"].combine_chunks()), parts["to"].to_numpy()
+            at, where = [], []
+            if len(vectors) and len(c) > 1:
+                x = unit(matrix(vectors["v"].combine_chunks()))
+                for s in range(0, len(x), 512):
+                    d = np.sqrt(np.maximum(2.0 - 2.0 * (x[s:s + 512] @ c.T), 0.0))
+                    ids = np.argsort(d, axis=1, kind="stable")[:, :2 * MAX_REPLICAS]
+                    rows, which = np.nonzero(_replicas(c, ids, np.take_along_axis(d, ids, axis=1)))
+                    at.append(rows + s)
+                    where.append(to[ids[rows, which]])
+            if not at:  # not to be split: the list stays as it is
+                return pa.table({"list": vectors["list"], "id": vectors["id"], "v": vectors["v"], "open": pa.array([False] * len(vectors))})
+            at, where = np.concatenate(at), np.concatenate(where)
+            return pa.table({"list": pa.array(where), "id": vectors["id"].take(pa.array(at)), "v": vectors["v"].take(pa.array(at)),
+                             "open": pa.array([True] * len(at))})
+
+        moved = blocks.select("list", "block", "id", "v").groupBy("list", "block").cogroup(
+            spread.select("list", "block", "sub", "c", "to").groupBy("list", "block")).applyInArrow(move, "list bigint, id bigint, v array<double>, open boolean")
+        rest = postings.join(sizes.select("list"), "list", "left_anti").select("list", "id", "v", "open")
+        postings = stored(rest.unionByName(moved), "postings")
+        counts = postings.groupBy(F.col("list").alias("to")).agg(F.count("*").alias("n"))
+        levels.append(stored(centres.join(counts, "to").select("list", "to", "c", "n"), "list-level"))
+
+
+def _walk_down(probes: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """The probes of first-level lists, moved on to the lists that these were split into: those within PROBE_RATIO of the
+    nearest centre's distance, and further ones until they hold MIN_CANDIDATES vectors."""
+    def choose(asked: pa.Table, parts: pa.Table) -> pa.Table:
+        if not len(asked) or not len(parts):
+            return asked.select(["list", "id", "v"])
+        parts = parts.sort_by("to")
+        c, to, n = matrix(parts["c"].combine_chunks()), parts["to"].to_numpy(), parts["n"].to_numpy()
+        q, at, where = unit(matrix(asked["v"].combine_chunks())), [], []
+        for s in range(0, len(q), 512):
+            d = np.sqrt(np.maximum(2.0 - 2.0 * (q[s:s + 512] @ c.T), 0.0))
+            ids = np.argsort(d, axis=1, kind="stable")
+            d = np.take_along_axis(d, ids, axis=1)
+            held = np.cumsum(n[ids], axis=1) - n[ids]
+            rows, which = np.nonzero((d <= PROBE_RATIO * d[:, :1] + 1e-12) | (held < MIN_CANDIDATES))
+            at.append(rows + s)
+            where.append(to[ids[rows, which]])
+        at = pa.array(np.concatenate(at))
+        return pa.table({"list": pa.array(np.concatenate(where)), "id": asked["id"].take(at), "v": asked["v"].take(at)})
+
+    for centres in levels:
+        split = centres.select("list").distinct()
+        sizes = probes.join(split, "list", "left_semi").groupBy("list").agg(F.count("*").alias("n"))
+        blocks = _cut(probes.join(split, "list", "left_semi"), sizes, "parts", BLOCK_QUERIES)
+        spread = centres.join(sizes.withColumnRenamed("n", "asked"), "list").withColumn(
+            "block", F.explode(F.sequence(F.lit(0), F.ceil(F.col("asked") / F.lit(BLOCK_QUERIES)).cast("int") - 1)))
+        moved = blocks.select("list", "block", "id", "v").groupBy("list", "block").cogroup(
+            spread.select("list", "block", "to", "c", "n").groupBy("list", "block")).applyInArrow(choose, "list bigint, id bigint, v array<double>")
+        probes = stored(probes.join(split, "list", "left_anti").select("list", "id", "v").unionByName(moved).dropDuplicates(["list", "id"]), "probes")
+    return probes
 
-    def per_list(df):
-        got = df.groupBy("list").count().toArrow()  # one row per centroid at most
-        out = np.zeros(len(c), np.int64)
-        out[got["list"].to_numpy()] = got["count"].to_numpy()
-        return out
-    sizes = per_list(postings)
-    probes = stored(_probes(asked, c, links, sizes), "probes")
-    v_parts, q_parts = _blocks(sizes, BLOCK_VECTORS), _blocks(per_list(probes), BLOCK_QUERIES)
-    cuts = F.from_json(F.lit(str([{"a": int(a), "b": int(b)} for a, b in zip(v_parts, q_parts)]).replace("'", '"')), "array<struct<a:int,b:int>>")
-    side = lambda df, own, other: df.withColumn("cut", cuts[F.col("list")]).select(
-        "list", "id", "v", F.pmod(F.xxhash64("id"), F.col(f"cut.{own}")).cast("int").alias(own),
-        F.explode(F.sequence(F.lit(0), F.col(f"cut.{other}") - 1)).alias(other))
-    left, right = side(postings, "a", "b"), side(probes, "b", "a")
 
+def _blocks(counts: np.ndarray, size: int) -> np.ndarray:
+    return np.maximum(1, -(-counts // size)).astype(np.int64)
+
+
+def _best_of_block(k: int):
+    """The k best vectors of a block for each of its queries."""
     def meet(vectors: pa.Table, asked: pa.Table) -> pa.Table:
         if not len(vectors) or not len(asked):
             return _result([], [], [])
@@ -264,9 +339,57 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_
             out[1].append(ids[which[best]])
             out[2].append(score[best])
         return _result(*out)
+    return meet
+
+
+FOUND = "query_id bigint, vec_id bigint, score double"
+
+
+def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(query_id, rank, vec_id, score): for every vector of ``queries`` its ``k`` nearest found among ``rows``, itself (its id)
+    left out; score is the cosine in double precision on the original vectors, ties go to the smaller id.  Vectors that
+    ``usable`` drops take no part; rows that repeat an id and a vector are one candidate.  All candidates, if fewer."""
+    spark = rows.sparkSession
+    clean, dims = usable(rows, id_col, vec_col)
+    asked, _ = usable(queries, id_col, vec_col, dims)  # one length for both sides
+    c, links, postings = build_index(clean)
+
+    def per_list(df):
+        got = df.groupBy("list").count().toArrow()  # one row per centroid at most
+        out = np.zeros(len(c), np.int64)
+        out[got["list"].to_numpy()] = got["count"].to_numpy()
+        return out
+    sizes = per_list(postings)
+    probes = stored(_probes(asked, c, links, sizes), "probes")
+    if sizes.max(initial=0) > 2 * LIST_SIZE and clean.count() > LIST_SIZE * len(c):  # the sample gave too few lists
+        postings, levels = _split_lists(postings)
+        probes = _walk_down(probes.withColumn("list", F.col("list").cast("bigint")), levels)
+        return _ranked(_meet_lists(postings, probes, k), k)
+    v_parts, q_parts = _blocks(sizes, BLOCK_VECTORS), _blocks(per_list(probes), BLOCK_QUERIES)
+    cuts = F.from_json(F.lit(str([{"a": int(a), "b": int(b)} for a, b in zip(v_parts, q_parts)]).replace("'", '"')), "array<struct<a:int,b:int>>")
+    side = lambda df, own, other: df.withColumn("cut", cuts[F.col("list")]).select(
+        "list", "id", "v", F.pmod(F.xxhash64("id"), F.col(f"cut.{own}")).cast("int").alias(own),
+        F.explode(F.sequence(F.lit(0), F.col(f"cut.{other}") - 1)).alias(other))
+    left, right = side(postings, "a", "b"), side(probes, "b", "a")
+
+    return _ranked(left.groupBy("list", "a", "b").cogroup(right.groupBy("list", "a", "b")).applyInArrow(_best_of_block(k), FOUND), k)
+
+
+def _meet_lists(postings: DataFrame, probes: DataFrame, k: int) -> DataFrame:
+    """As the end of ``nearest``, for lists too many to have their block counts on the driver."""
+    counts = lambda df, out: df.groupBy("list").agg(F.count("*").alias(out))
+    cuts = counts(probes, "q").join(counts(postings, "n"), "list").select(
+        "list", F.ceil(F.col("n") / F.lit(BLOCK_VECTORS)).cast("int").alias("as"), F.ceil(F.col("q") / F.lit(BLOCK_QUERIES)).cast("int").alias("bs"))
+    cuts = stored(cuts, "list-cuts")
+
+    def side(df, own, other):
+        return df.join(cuts, "list").select("list", "id", "v", F.pmod(F.xxhash64("id"), F.col(f"{own}s")).cast("int").alias(own),
+                                            F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1)).alias(other))
+    left, right = side(postings, "a", "b"), side(probes, "b", "a")
+    return left.groupBy("list", "a", "b").cogroup(right.groupBy("list", "a", "b")).applyInArrow(_best_of_block(k), FOUND)
+
 
-    found = left.groupBy("list", "a", "b").cogroup(right.groupBy("list", "a", "b")).applyInArrow(
-        meet, "query_id bigint, vec_id bigint, score double")
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

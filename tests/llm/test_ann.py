@@ -58,6 +58,29 @@ def test_hot_vector_blocks_and_recall(spark, monkeypatch):
     assert [i for i, _ in got[0]] == [3, 6, 9, 12, 15]  # equal scores: smaller ids first
 
 
+def test_lists_stay_balanced_beyond_the_sample(spark, monkeypatch):
+    """A sample that gives 10 lists where 200 are asked for: lists are split on the executors, over two levels; a third of
+    the rows are one vector, whose list cannot be split."""
+    for name, value in {"MAX_SAMPLE": 200, "LIST_SIZE": 20, "FAN_OUT": 5, "MIN_CANDIDATES": 200, "BLOCK_VECTORS": 128, "BLOCK_QUERIES": 8}.items():
+        monkeypatch.setattr(A, name, value)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(4000, 8)).astype(np.float32)
+    x[::3] = x[0]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, VEC).repartition(4)
+    clean, _ = A.usable(df, "vec_id", "embedding")
+    c, _, first = A.build_index(clean)
+    postings, levels = A._split_lists(first)
+    assert len(c) <= 25 and len(levels) >= 2
+    assert postings.select("id").distinct().count() == 4000  # every row is indexed
+    sizes = sorted(r["count"] for r in postings.where("id % 3 <> 0").groupBy("list").count().collect())
+    assert sizes[-1] <= 2 * 20 and len(sizes) > 100
+    got = found(A.nearest(df, df.where("vec_id % 50 = 0")))
+    want = brute(rows, [r for r in rows if r[0] % 50 == 0])
+    assert got.keys() == want.keys()
+    assert sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) / (5 * len(want)) >= 0.9
+
+
 def test_beam_search_finds_the_nearest_centroids():
     rng = np.random.default_rng(3)
     c, q = A.unit(rng.normal(size=(900, 8))), A.unit(rng.normal(size=(200, 8)))
