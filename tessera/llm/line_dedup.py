@@ -54,45 +54,43 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return met.where(~F.struct("id", "key", "first").eqNullSafe(F.col("origin"))).select("id", "key", "first")
 
 
+def _cut(docs: DataFrame, id_col: str, text_col: str, min_lines: int) -> DataFrame:
+    """(row, kept_text, n_lines, n_removed, removed_runs), ``row`` the struct of all columns; the text travels once."""
+    t = min_lines
+    later = repeated_windows(docs, id_col, text_col, t)
+    cuts = later.groupBy("id", "key").agg(F.sort_array(F.collect_set("first")).alias("cuts"))
+    rows = docs.select(whole_rows(docs, "row"), text_key(text_col).alias("text_key"))
+    joined = rows.join(cuts, F.col("row").getField(id_col).eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")), "left")
+    text = F.coalesce(F.col("row").getField(text_col), F.lit(""))
+    joined = joined.withColumn("lines", F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, "\n")))
+    # kept stretches lie between the end of one cut window and the start of the next
+    edges = joined.withColumn("edges", F.expr(f"concat(array(-{t}), coalesce(cuts, array()), array(size(lines)))"))
+    stretch = edges.withColumn("gaps", F.expr(
+        f"filter(transform(sequence(0, size(edges) - 2), k -> struct(edges[k] + {t} as a, edges[k + 1] as b)), g -> g.b > g.a)"))
+    kept = stretch.withColumn("kept", F.expr("flatten(transform(gaps, g -> slice(lines, g.a + 1, g.b - g.a)))"))
+    out = kept.withColumn("ends", F.expr("concat(array(struct(0 as a, 0 as b)), gaps, array(struct(size(lines) as a, size(lines) as b)))"))
+    runs = F.expr("filter(transform(sequence(0, size(ends) - 2), k -> struct(ends[k].b as first_line, "
+                  "ends[k + 1].a - ends[k].b as n_lines)), r -> r.n_lines > 0)")
+    return out.select("row", F.array_join("kept", "\n").alias("kept_text"), F.size("lines").cast("bigint").alias("n_lines"),
+                      (F.size("lines") - F.size("kept")).cast("bigint").alias("n_removed"), runs.alias("removed_runs"))
+
+
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 3) -> DataFrame:
     """``docs`` with every row kept and four columns added: ``kept_text`` (the lines left, joined by a line feed),
     ``n_lines``, ``n_removed`` and ``removed_runs`` (array of (first_line, n_lines), maximal runs in order).  Columns of the
     input with these four names are replaced, all others are kept."""
-    t = min_lines
-    later = repeated_windows(docs, id_col, text_col, t)
-    cuts = later.groupBy("id", "key").agg(F.sort_array(F.collect_set("first")).alias("__cuts")).select(
-        F.col("id").alias("__id"), F.col("key").alias("__key"), "__cuts")
-    rows = docs.select(whole_rows(docs), F.col(f"`{id_col}`").alias("__doc"), text_key(text_col).alias("__text_key"), text_or_empty(text_col).alias("__text"))
-    joined = rows.join(cuts, rows["__doc"].eqNullSafe(cuts["__id"]) & (rows["__text_key"] == cuts["__key"]), "left")
-    text = F.col("__text")
-    joined = joined.withColumn("__lines", F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, "\n")))
-    # kept stretches lie between the end of one cut window and the start of the next
-    edges = joined.withColumn("__edges", F.expr(
-        f"concat(array(-{t}), coalesce(__cuts, array()), array(size(__lines)))"))
-    stretch = edges.withColumn("__gaps", F.expr(
-        f"filter(transform(sequence(0, size(__edges) - 2), k -> struct(__edges[k] + {t} as a, __edges[k + 1] as b)), "
-        "g -> g.b > g.a)"))
-    kept = stretch.withColumn("__kept", F.expr("flatten(transform(__gaps, g -> slice(__lines, g.a + 1, g.b - g.a)))"))
-    ends = "concat(array(struct(0 as a, 0 as b)), __gaps, array(struct(size(__lines) as a, size(__lines) as b)))"
-    out = kept.withColumn("__ends", F.expr(ends))
-    runs = F.expr("filter(transform(sequence(0, size(__ends) - 2), k -> struct(__ends[k].b as first_line, "
-                  "__ends[k + 1].a - __ends[k].b as n_lines)), r -> r.n_lines > 0)")
     added = ("kept_text", "n_lines", "n_removed", "removed_runs")
-    return out.select(*[c for c, name in zip(columns_of(docs), docs.columns) if name not in added],
-                      F.array_join("__kept", "\n").alias("kept_text"),
-                      F.size("__lines").cast("bigint").alias("n_lines"),
-                      (F.size("__lines") - F.size("__kept")).cast("bigint").alias("n_removed"),
-                      runs.alias("removed_runs"))
+    own = [c for c, name in zip(columns_of(docs, "row"), docs.columns) if name not in added]
+    return _cut(docs, id_col, text_col, min_lines).select(*own, *added)
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 3) -> DataFrame:
     """``docs`` with its columns, the text cut to the lines left and ``n_chars`` (if there) brought in line.  A document
     all of whose lines are later repeats goes; documents that lose nothing, empty ones included, stay as they are."""
-    found = line_dedup(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), whole_rows(docs)), "id", "text", min_lines)
-    found = found.where("n_removed = 0 or n_removed < n_lines")
+    found = _cut(docs, id_col, text_col, min_lines).where("n_removed = 0 or n_removed < n_lines")
     cols = []
     for f in docs.schema.fields:
-        old, value = F.col("__row").getField(f.name), F.col("kept_text")
+        old, value = F.col("row").getField(f.name), F.col("kept_text")
         if f.name == "n_chars":
             value = F.length("kept_text").cast(f.dataType)
         cols.append((F.when(F.col("n_removed") > 0, value).otherwise(old) if f.name in (text_col, "n_chars") else old).alias(f.name))
