@@ -213,10 +213,12 @@ def best_curve(entries: DataFrame, by=("dataset", "fold"), size: str = "size", s
 
 
 def history_summary(history: DataFrame, by=()) -> DataFrame:
-    """Per (by..., initial_size, step): mean fitness, population std, best fitness and its candidate."""
+    """Per (by..., initial_size, step): mean fitness, population std, best fitness and its candidate (of equal ones the
+    lowest id)."""
     return history.groupBy(*by, "initial_size", "step").agg(
         F.avg("fitness").alias("mean_fitness"), F.stddev_pop("fitness").alias("std_fitness"),
-        F.max("fitness").alias("best_fitness"), F.max_by("candidate_id", "fitness").alias("best_candidate"))
+        F.max("fitness").alias("best_fitness"),
+        F.max_by("candidate_id", F.struct(F.col("fitness"), -F.col("candidate_id"))).alias("best_candidate"))
 
 
 # ---------------------------------------------------------------- C14, C15

@@ -31,7 +31,7 @@ fact as ({FX.all_results_sql()}),
 run as (select dataset, fold, space, method, evaluator, n_selected, seed, metric, avg(value) as value
         from fact where value is not null group by all),
 win as (select r.* from run r left join {runs_values()} on r.method = u.method
-        where r.method in ('All', 'SSMA') or (r.seed >= 42 and r.seed <= 42 + coalesce(u.runs, 1) - 1)),
+        where r.method in {FX.EXEMPT_SQL} or (r.seed >= 42 and r.seed <= 42 + coalesce(u.runs, 1) - 1)),
 foldt as (select dataset, fold, space, method, evaluator, n_selected, metric, avg(value) as value
           from win group by all),
 catalog as ({FX.CATALOG_SQL}),

@@ -103,9 +103,9 @@ def q_seed_means(spark, sf):
 @register("missing_runs", W() + f"""
 select e.dataset, e.fold, e.space, e.method, e.evaluator, coalesce(h.n_runs, 0) as n_runs,
        coalesce(u.runs, 1) as expected_runs
-from (select distinct dataset, fold, space, method, evaluator from run where method not in ('All', 'SSMA')) e
+from (select distinct dataset, fold, space, method, evaluator from run where method not in {FX.EXEMPT_SQL}) e
 left join (select dataset, fold, space, method, evaluator, count(distinct seed) as n_runs from win
-           where method not in ('All', 'SSMA') group by all) h using (dataset, fold, space, method, evaluator)
+           where method not in {FX.EXEMPT_SQL} group by all) h using (dataset, fold, space, method, evaluator)
 left join {O.runs_values()} on e.method = u.method
 where coalesce(h.n_runs, 0) < coalesce(u.runs, 1)""")
 def q_missing_runs(spark, sf):

@@ -178,22 +178,18 @@ def q_fitness(spark, sf):
 
 HIST_SQL = O.with_base() + """
 select dataset, n_selected as initial_size, fold as step, avg(value) as mean_fitness, stddev_pop(value) as std_fitness,
-       max(value) as best_fitness, arg_max(seed, value) as best_candidate
-from (select * from run where metric = 'AUC' and method <> 'All'
-      qualify row_number() over (partition by dataset, n_selected, fold, value order by seed, space, method) = 1) r
+       max(value) as best_fitness, arg_max(seed, (round(value, 9), -seed)) as best_candidate
+from run where metric = 'AUC' and method <> 'All'
 group by dataset, n_selected, fold"""
 
 
 @register("history_summary", HIST_SQL, ["mean_fitness", "std_fitness", "best_fitness"])
 def q_history(spark, sf):
-    from pyspark.sql import Window
     from tessera.operators import results as G
     run = G.run_means(A.fact(spark, sf)).filter("metric = 'AUC' and method <> 'All'")
-    # distinct fitness values per step so the best candidate is unique
-    run = run.withColumn("_r", F.row_number().over(Window.partitionBy("dataset", "n_selected", "fold", "value").orderBy("seed", "space", "method"))) \
-             .filter("_r = 1")
+    # run means are averages: rounded, so that equal ones are equal in any engine
     h = run.select("dataset", F.col("n_selected").alias("initial_size"), F.col("fold").alias("step"),
-                   F.col("seed").alias("candidate_id"), F.col("value").alias("fitness"))
+                   F.col("seed").alias("candidate_id"), F.round("value", 9).alias("fitness"))
     return C.history_summary(h, by=("dataset",))
 
 
