@@ -9,8 +9,10 @@ Parquet and read again as the next stage's ``docs``.  All stages but the last re
 4. decontamination      documents with a twentieth of their words inside benchmark windows go
 5. mixing               documents are drawn by calibrated probabilities, added as ``probability``
 
-Null texts count as empty; empty tables give empty results; rows that repeat an id and a text stay together until
-stage 3 keeps one of them.
+In every stage null texts count as empty, texts are read whole whatever their length, empty tables give empty results,
+and extra columns of any name pass through (a dot in a name is not supported by Spark's Arrow functions, stage 1).  Rows
+that repeat an id and a text stay together until stage 3 keeps one of them; unlike texts under one id, null included,
+are separate documents.  Ties: the earlier place of equal runs of lines stays, then the smaller id, null first.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ SHINGLE_WORDS, LINK_BITS, RUN_LINES = 4, 4, 3
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose tail probability of the top grade is not below the cut; without ratings all rows stay, repeated rows alike."""
     model = quality.fit(docs, quality.graded(read(spark, sf_dir, "labels")))
     mark = "_"  # columns of the names that the score adds are set aside under names that no column has
     while any(f"{mark}{c}" in docs.columns for c in quality.ADDED.names):
@@ -33,18 +36,22 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without later repeated runs (``n_chars`` follows); a document that loses all its lines goes, one without lines stays."""
     return line_dedup.without_repeats(docs, min_lines=RUN_LINES)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per component of linked fingerprints: the smallest id, then the smallest text key; texts without words link like any other."""
     return simhash.keep_one(docs, shingle=SHINGLE_WORDS, max_bits=LINK_BITS)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that are not contaminated; a benchmark without words leaves all."""
     return decontaminate.without_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows drawn, with their probability; rows that repeat an id share their lot, null dimensions count as empty."""
     return mixing.sample(docs)
 
 
