@@ -77,3 +77,45 @@ def test_guards(spark):
     want = brute(ids, np.column_stack((np.ones(8), np.arange(8.0))), Z.Draws(100, lo, med, hi, 2, 0, "uniform"), 2, 4)
     assert all(abs(got[i] - want[i]) < 1e-9 for i in want)
     assert [r.score for r in Z.zcore_scores(pool.limit(1).select("row_id", F.col("features")), n_sample=10).collect()] == [1.0]
+
+
+def test_bounds_of_the_reach():
+    rng = np.random.default_rng(5)
+    for want, step, ranks in ((10, 1, 8), (40, 3, 6), (7, 2, 32), (60, 5, 32)):
+        lists = [[np.sort(np.round(rng.random(m), 2)) for m in (30, 25, 0, 41)] for _ in range(20)]
+        top = step * ranks
+        rungs, n = np.full((20, 4, ranks), np.inf), np.zeros((20, 4), np.int64)
+        for i, blocks in enumerate(lists):
+            for k, d in enumerate(blocks):
+                n[i, k] = min(top, len(d))
+                if len(d):
+                    rungs[i, k] = d[np.minimum(step * np.arange(1, ranks + 1), n[i, k]) - 1]
+        low, high = Z._bounds(rungs, n, step, want)
+        for i, blocks in enumerate(lists):
+            d = np.sort(np.concatenate(blocks))
+            assert (d < low[i]).sum() <= want and (high[i] == np.inf or (d <= high[i]).sum() >= want)
+            assert low[i] <= d[want - 1] <= high[i]
+
+
+def test_a_task_sends_few_neighbours(spark, monkeypatch):
+    """Several pool blocks: only rows near the edge of a draw's neighbours leave a task, not the lists themselves."""
+    sent = []
+    kept = Z.cut_lineage
+    monkeypatch.setattr(Z, "cut_lineage", lambda df: sent.append(df) or kept(df))
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1500, 4))
+    ids, pool = pool_of(spark, x)
+    got = {r.row_id: r.score for r in Z.zcore_scores(pool, n_sample=60, redund_nn=400, batch=20, pool_block=300).collect()}
+    _, lo, med, hi = Z.dimension_stats(pool)
+    want = brute(ids, x, Z.Draws(60, lo, med, hi, 2, 0, "triangular", 20), 400, 4)
+    assert all(abs(got[i] - want[i]) < 1e-9 for i in want)
+    ends = next(df for df in sent if "high" in df.columns).toPandas()
+    held = 0
+    by_id = {i: r for i, r in zip(ids, x)}
+    for r in ends.itertuples():
+        dims, _ = Z.Draws(60, lo, med, hi, 2, 0, "triangular", 20).block(r.draw // 20)
+        d = np.abs(x[:, dims[r.draw % 20]] - by_id[r.row_id][dims[r.draw % 20]]).sum(axis=1)
+        d = d[ids != r.row_id]
+        assert (d < r.low).sum() <= 400 <= (d <= r.high).sum()
+        held += ((d >= r.low) & (d <= r.high)).sum()
+    assert held / len(ends) < 150
