@@ -17,6 +17,7 @@ import pandas as pd
 from tessera.functions import vectors as V
 
 MIN_GAIN = 1e-6
+TEST_ROWS = 1 << 14  # test rows that pass the trees at once
 SLACK = 1e-9  # sums of second derivatives differ in the last bits by the order of addition
 
 
@@ -43,12 +44,16 @@ class Tree:
         self.feature, self.bin, self.weight, self.depth = np.full(size, -1), np.zeros(size, np.int64), np.zeros(size), depth
 
     def leaves(self, bins: np.ndarray) -> np.ndarray:
-        node = np.zeros(len(bins), np.int64)
-        for _ in range(self.depth):
-            split = self.feature[node] >= 0
-            right = bins[np.arange(len(bins)), np.maximum(self.feature[node], 0)] > self.bin[node]
-            node = np.where(split, 2 * node + 1 + right, node)
-        return self.weight[node]
+        """The weight that each row reaches: from the leaves up, a split picks between the weights of its two sides, so a split
+        costs one comparison a row, on one column, and a small tree little however deep it may grow."""
+        out = self._weights(0, bins.T)
+        return out if isinstance(out, np.ndarray) else np.full(len(bins), out)
+
+    def _weights(self, node: int, columns: np.ndarray):
+        f = self.feature[node]
+        if f < 0:
+            return self.weight[node]
+        return np.where(columns[f] > self.bin[node], self._weights(2 * node + 2, columns), self._weights(2 * node + 1, columns))
 
 
 def grow(bins: np.ndarray, n_bins: int, g: np.ndarray, h: np.ndarray, depth: int, l2: float, min_child: float) -> Tree:
@@ -81,17 +86,24 @@ def boosted_trees(rounds: int = 100, depth: int = 6, rate: float = 0.3, l2: floa
     def fit_predict(context: pd.DataFrame, test: pd.DataFrame):
         x, (labels, y) = V.stack(context["features"]), np.unique(context["label"], return_inverse=True)
         cuts = cuts_of(x, bins)
-        own, other, n_bins = binned(x, cuts), binned(V.stack(test["features"]), cuts), max(max(map(len, cuts)) + 1, 2)
+        own, n_bins = binned(x, cuts), max(max(map(len, cuts)) + 1, 2)
         k = 1 if len(labels) == 2 else len(labels)
         want = (y[:, None] == (np.arange(k) if k > 1 else 1)).astype(np.float64)
-        score, out = np.zeros((len(y), k)), np.zeros((len(test), k))
+        score, out, trees = np.zeros((len(y), k)), np.zeros((len(test), k)), []
         for _ in range(rounds):
             p = softmax(score) if k > 1 else 1.0 / (1.0 + np.exp(-score))
             g, h = p - want, np.maximum((2.0 if k > 1 else 1.0) * p * (1 - p), 1e-16)
             for c in range(k):
                 tree = grow(own, n_bins, g[:, c], h[:, c], depth, l2, min_child)
                 score[:, c] += rate * tree.leaves(own)
-                out[:, c] += rate * tree.leaves(other)
+                trees.append((c, tree))
+        for at in range(0, len(test), TEST_ROWS):
+            other = binned(V.stack(test["features"].iloc[at:at + TEST_ROWS]), cuts)
+            other = np.asfortranarray(other.astype(np.min_scalar_type(n_bins)))  # columns one after the other
+            part = np.zeros((k, len(other)))
+            for c, tree in trees:
+                part[c] += rate * tree.leaves(other)
+            out[at:at + TEST_ROWS] = part.T
         if k > 1:
             return softmax(out), labels
         p = 1.0 / (1.0 + np.exp(-out[:, 0]))

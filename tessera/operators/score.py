@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,33 +151,38 @@ def score_runs(contexts: DataFrame, tests: DataFrame, run_key, fit_predict: Call
     run = F.struct(*[F.col(c).alias(c) for c in g]).alias("_run")
     cols = ["row_id", "features", F.col("label").cast("int").alias("label")]
     c, t = contexts.select(run, *cols), tests.select(run, *cols)
-    cuts = t.groupBy("_run").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(test_rows)), F.lit(1)).cast("int").alias("_n"))
-    known = c.select("_run", "label").unionByName(t.select("_run", "label")).where("label is not null").groupBy("_run").agg(
-        F.array_sort(F.collect_set("label")).alias("_classes"))  # the classes of a run
-    c = c.join(cuts, "_run").withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
-    t = t.join(cuts, "_run").withColumn("_b", F.pmod(F.xxhash64("row_id"), F.col("_n")).cast("int")).drop("_n").join(known, "_run")
+    label_set = F.collect_set("label")  # without nulls
+    seen = t.groupBy("_run").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(test_rows)), F.lit(1)).cast("int").alias("_n"), label_set.alias("_tested"))
+    own = c.groupBy("_run").agg(label_set.alias("_given"))
+    known = seen.join(own, "_run").select("_run", "_n", F.array_sort(F.array_union("_tested", "_given")).alias("_classes")).where("size(_classes) > 0")
+    known = F.broadcast(known)  # one row a run with its classes
+    c = c.join(known, "_run").withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
+    t = t.join(F.broadcast(seen.select("_run", "_n")), "_run").withColumn("_b", F.pmod(F.xxhash64("row_id"), F.col("_n")).cast("int")).drop("_n")
     c, t = fresh(c, c.columns), fresh(t, t.columns)
     types = dict(tests.dtypes)
     names = ["row_id", "y_true", "class", "prob"]
 
-    def scored(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows) or not len(own):
-            return pd.DataFrame({"_run": rows["_run"].iloc[:0], **{n: [] for n in names}})
-        if len(own) > V.MAX_CONTEXT_ROWS:
+    def scored(tested: pa.Table, given: pa.Table) -> pa.Table:
+        if not len(tested) or not len(given):
+            at, classes, p = np.zeros(0, np.int64), [], np.zeros((0, 0))
+        elif len(given) > V.MAX_CONTEXT_ROWS:
             raise ValueError(f"a user scorer takes a context of at most {V.MAX_CONTEXT_ROWS} rows")
-        own, rows = own.sort_values("row_id"), rows.sort_values("row_id")
-        classes = [int(k) for k in rows["_classes"].iloc[0]]
-        only = own["label"].unique()
-        probs, labels = (np.ones((len(rows), 1)), only) if len(only) == 1 else fit_predict(own, rows)
-        p = np.zeros((len(rows), len(classes)))
-        for j, k in enumerate(labels):
-            p[:, classes.index(int(k))] = np.asarray(probs, dtype=np.float64)[:, j]
-        n = len(classes)
-        return pd.DataFrame({"_run": np.repeat(rows["_run"].to_numpy(), n), "row_id": np.repeat(rows["row_id"].to_numpy(), n),
-                             "y_true": np.repeat(rows["label"].to_numpy(), n), "class": np.tile(classes, len(rows)), "prob": p.ravel()})
+        else:
+            own, rows = (x.select(["row_id", "features", "label"]).to_pandas().sort_values("row_id") for x in (given, tested))
+            classes, at = given["_classes"][0].as_py(), rows.index.to_numpy()
+            only = own["label"].unique()
+            probs, labels = (np.ones((len(rows), 1)), only) if len(only) == 1 else fit_predict(own, rows)
+            p = np.zeros((len(rows), len(classes)))
+            for j, k in enumerate(labels):
+                p[:, classes.index(int(k))] = np.asarray(probs, dtype=np.float64)[:, j]
+        at = pa.array(np.repeat(at, len(classes)))
+        keys = tested["_run"].combine_chunks()
+        keys = pa.StructArray.from_arrays(keys.flatten(), [f.name for f in keys.type])  # fields may be null in the result's type
+        values = [c.take(at) for c in (keys, tested["row_id"].combine_chunks(), tested["label"].combine_chunks())]  # run keys never become Python objects
+        return pa.table([*values, pa.array(np.tile(np.array(classes, np.int32), len(p))), pa.array(p.ravel())], ["_run", *names])
 
     run_type = ", ".join(f"`{c}`: {types[c]}" for c in g)
-    out = t.groupBy("_run", "_b").cogroup(c.groupBy("_run", "_b")).applyInPandas(
+    out = t.groupBy("_run", "_b").cogroup(c.groupBy("_run", "_b")).applyInArrow(
         scored, f"_run struct<{run_type}>, row_id {types['row_id']}, y_true int, class int, prob double")
     return out.select("_run.*", *names)
 

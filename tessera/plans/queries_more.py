@@ -15,6 +15,7 @@ from tessera.plans import analysis as A
 from tessera.plans import fixtures as FX
 from tessera.plans import oracle as O
 from tessera.plans.queries import register
+from tessera.session import cut_lineage
 from tessera.sources.tables import read_table
 
 
@@ -133,7 +134,7 @@ def q_pca(spark, sf):
 def q_gbt(spark, sf):
     """100 rounds of softmax boosting on a balanced selection, every other row scored."""
     pool = FX.lineitem_pool(spark, sf).withColumn("run", F.lit(0))
-    sel = S.balanced_selection(pool, 30, 42).select("row_id")
+    sel = F.broadcast(cut_lineage(S.balanced_selection(pool, 30, 42).select("row_id")))  # 30 rows, selected once
     ctx = pool.join(sel, "row_id", "left_semi")
     return E.score_runs(ctx, pool.join(sel, "row_id", "left_anti"), ["run"], boosted_trees()).drop("run")
 

@@ -97,3 +97,51 @@ def test_encoder_is_loaded_once_a_worker_and_checked(spark):
     with pytest.raises(Exception, match="gave 1 rows"):
         R.encode(pool, lambda: lambda pdf: np.zeros((1, 2)), ["x"], "short").collect()
     assert R.encode(pool.where("false"), lambda: None, ["x"], "none").count() == 0
+
+
+def test_a_tree_costs_a_comparison_a_split():
+    """Leaves by nested choices equal a walk from the root; a tree with one split looks at one column."""
+    rng = np.random.default_rng(11)
+    for depth in (1, 3, 6):
+        tree = B.Tree(depth)
+        for node in range((1 << depth) - 1):
+            if (node == 0 or tree.feature[(node - 1) // 2] >= 0) and rng.random() < 0.8:
+                tree.feature[node], tree.bin[node] = rng.integers(4), rng.integers(20)
+        tree.weight[:] = rng.normal(size=len(tree.weight))
+        bins = rng.integers(0, 20, (500, 4))
+        want = []
+        for row in bins:
+            node = 0
+            while tree.feature[node] >= 0:
+                node = 2 * node + 1 + (row[tree.feature[node]] > tree.bin[node])
+            want.append(tree.weight[node])
+        assert np.array_equal(tree.leaves(bins), want) and np.array_equal(tree.leaves(np.asfortranarray(bins.astype(np.uint8))), want)
+
+    class Counted:
+        shape, seen = (5, 3), []
+
+        def __len__(self):
+            return 5
+
+        @property
+        def T(self):
+            return self
+
+        def __getitem__(self, f):
+            self.seen.append(int(f))
+            return np.arange(5)
+    tree = B.Tree(6)
+    tree.feature[0], tree.bin[0], tree.weight[1:3] = 2, 1, (3.0, 4.0)
+    rows = Counted()
+    assert tree.leaves(rows).tolist() == [3, 3, 4, 4, 4] and rows.seen == [2]
+
+
+def test_runs_with_keys_that_are_never_null(spark):
+    """One aggregate over the test rows gives a run's blocks and classes; key types with and without nulls pass."""
+    rows = [(0, "a", i, [float(i % 7)], i % 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "one int, two string, row_id long, features array<float>, label int").withColumn("run", F.lit(0))
+    keys = ["run", "one", "two"]
+    out = E.score_runs(df.where("row_id < 10"), df.where("row_id >= 10"), keys, E.knn_votes(3), test_rows=7)
+    got = out.collect()
+    assert len(got) == 60 and {(r.run, r.one, r.two) for r in got} == {(0, 0, "a")} and {r["class"] for r in got} == {0, 1}
+    assert "FlatMapCoGroupsInArrow" in out._jdf.queryExecution().executedPlan().toString()
