@@ -16,11 +16,14 @@ Scale design
   - cosine: the sum is n - x.(sum of members), exact in one linear pass;
   - euclidean: exact with pruning.  The sum is at least n |x - mean| (triangle
     inequality); members whose bound is not below the best sum found so far cannot
-    win.  Remaining candidates meet the members of their cluster block by
-    block on the executors (``tiles.meet``: partial sums, then a grouped sum).  No
-    candidate cap, no pair rows, and no candidate vector on the driver.
+    win.  Where many are left, the members are gathered in cells and the bound is taken
+    again from the cells' means.  A bounded number of candidates is broadcast and meets
+    the members where they are; more meet the members of their cluster in blocks of up
+    to ``TILE`` rows on the executors.  Partial sums are added by a grouped sum and at
+    most ``HELD`` distances are held at once.  No candidate cap, no pair rows.
 * The assignment is recomputed from the pool and the medoid ids each iteration,
-  so lineage never grows with the number of iterations.
+  so lineage never grows with the number of iterations.  The pool itself is dealt
+  over the cluster and checkpointed once.
 """
 
 from __future__ import annotations
@@ -35,12 +38,16 @@ from pyspark.sql import types as T
 
 from tessera.functions import vectors as V
 from tessera.functions.hashing import seeded_order, seeded_unit
-from tessera.functions.tiles import meet
 from tessera.session import cut_lineage
 
 KEY = "row_id"
 VEC = "features"
 HIST_BUCKETS = 1024        # radius histogram per cluster for the reverse-triangle bound
+TILE, TILE_LEAST = 1 << 15, 1 << 11  # rows of a block of candidates or members
+HELD = (256, 4096)         # distances held at once: candidates x members
+SENT = 1 << 20             # values of candidates, or of cells' means, that are broadcast
+FEW_PAIRS = 1 << 27        # distances that are not worth a second bound
+PART_ROWS = 500_000        # rows of a partition of a large pool
 
 
 def _prep(pool: DataFrame, key: str, vec: str) -> DataFrame:
@@ -157,46 +164,55 @@ def _lower_bounds(assigned: DataFrame, n: np.ndarray, s: np.ndarray, metric: str
     means = s / np.maximum(n, 1)[:, None]
     bm = sc.broadcast(means)
 
-    def radius(it):
-        mu = bm.value
+    def farthest(it):
+        mu, best = bm.value, {}
         for pdf in it:
             if len(pdf) == 0:
                 continue
-            x = V.stack(pdf[VEC])
-            cl = pdf["cluster"].to_numpy()
-            yield pd.DataFrame({KEY: pdf[KEY].to_numpy(), VEC: pdf[VEC], "cluster": cl,
-                                "r": np.linalg.norm(x - mu[cl], axis=1)})
-    rad = assigned.mapInPandas(radius, "row_id long, features array<float>, cluster int, r double")
-    far = rad.groupBy("cluster").agg(F.max_by(VEC, F.struct("r", KEY)).alias("f"), F.max("r").alias("rmax")).collect()
+            x, cl, ids = V.stack(pdf[VEC]), pdf["cluster"].to_numpy(), pdf[KEY].to_numpy()
+            r = np.linalg.norm(x - mu[cl], axis=1)
+            for c in np.unique(cl):
+                m = np.flatnonzero(cl == c)
+                i = m[np.lexsort((ids[m], r[m]))[-1]]
+                if int(c) not in best or (r[i], ids[i]) > best[int(c)][:2]:
+                    best[int(c)] = (r[i], ids[i], x[i])
+        if best:
+            yield pd.DataFrame([(c, *v) for c, v in best.items()], columns=["cluster", "r", KEY, VEC])
+    far = assigned.select(KEY, VEC, "cluster").mapInPandas(farthest, "cluster int, r double, row_id long, features array<double>").groupBy(
+        "cluster").agg(F.max_by(VEC, F.struct("r", KEY)).alias("f"), F.max("r").alias("rmax")).collect()
     anchors = np.repeat(means[:, None, :], 2, axis=1)
     lo, hi = np.zeros((k, 2)), np.zeros((k, 2))
     for r in far:
         anchors[r["cluster"], 1] = np.asarray(r["f"], dtype=np.float64)
         # |x - mu| <= rmax and |x - far| <= |x - mu| + |mu - far| <= 2 rmax: fixed ranges, no extra pass
         hi[r["cluster"]] = (r["rmax"], 2.0 * r["rmax"])
-    ba = sc.broadcast(anchors)
+    width = np.where(hi > lo, (hi - lo) / HIST_BUCKETS, 1.0)
+    ba = sc.broadcast((anchors, lo, width))
 
-    def anchor_dist(it):
-        an = ba.value
+    def measured(pdf):
+        """Cluster, distance to both anchors and bucket of that distance."""
+        an, lo_, w_ = ba.value
+        cl = pdf["cluster"].to_numpy()
+        d = np.linalg.norm(V.stack(pdf[VEC])[:, None, :] - an[cl], axis=2)  # n x 2
+        return cl, d, np.clip(np.floor((d - lo_[cl]) / w_[cl]), 0, HIST_BUCKETS - 1).astype(int)
+
+    def histogram(it):
+        held = {}
         for pdf in it:
             if len(pdf) == 0:
                 continue
-            x = V.stack(pdf[VEC])
-            cl = pdf["cluster"].to_numpy()
-            d = np.linalg.norm(x[:, None, :] - an[cl], axis=2)  # n x 2
-            yield pd.DataFrame({KEY: pdf[KEY].to_numpy(), VEC: pdf[VEC], "cluster": cl,
-                                "d0": d[:, 0], "d1": d[:, 1]})
-    ad = assigned.mapInPandas(anchor_dist, "row_id long, features array<float>, cluster int, d0 double, d1 double")
-    width = np.where(hi > lo, (hi - lo) / HIST_BUCKETS, 1.0)
-
-    def bucket_of(col, j):
-        lo_a = F.element_at(F.array(*[F.lit(float(v)) for v in lo[:, j]]), F.col("cluster") + 1)
-        w_a = F.element_at(F.array(*[F.lit(float(v)) for v in width[:, j]]), F.col("cluster") + 1)
-        return F.greatest(F.least(F.floor((F.col(col) - lo_a) / w_a), F.lit(HIST_BUCKETS - 1)), F.lit(0)).cast("int")
-    hist = (ad.select("cluster", F.explode(F.array(
-        F.struct(F.lit(0).alias("j"), bucket_of("d0", 0).alias("b"), F.col("d0").alias("d")),
-        F.struct(F.lit(1).alias("j"), bucket_of("d1", 1).alias("b"), F.col("d1").alias("d")))).alias("h"))
-        .groupBy("cluster", "h.j", "h.b").agg(F.count(F.lit(1)).alias("c"), F.sum("h.d").alias("sd")).collect())
+            cl, d, bk = measured(pdf)
+            for c in np.unique(cl):
+                m = cl == c
+                t = held.setdefault(int(c), np.zeros((2, 2, HIST_BUCKETS)))
+                for j in (0, 1):
+                    t[j, 0] += np.bincount(bk[m, j], minlength=HIST_BUCKETS)
+                    t[j, 1] += np.bincount(bk[m, j], d[m, j], HIST_BUCKETS)
+        for c, t in held.items():
+            j, at = np.nonzero(t[:, 0])
+            yield pd.DataFrame({"cluster": c, "j": j, "b": at, "c": t[j, 0, at], "sd": t[j, 1, at]})
+    hist = assigned.select(VEC, "cluster").mapInPandas(histogram, "cluster int, j int, b int, c double, sd double").groupBy(
+        "cluster", "j", "b").agg(F.sum("c").alias("c"), F.sum("sd").alias("sd")).collect()
     cnt = np.zeros((k, 2, HIST_BUCKETS))
     sd = np.zeros((k, 2, HIST_BUCKETS))
     for r in hist:
@@ -206,46 +222,166 @@ def _lower_bounds(assigned: DataFrame, n: np.ndarray, s: np.ndarray, metric: str
     s_below = np.cumsum(sd, 2) - sd
     c_above = cnt.sum(2, keepdims=True) - np.cumsum(cnt, 2)
     s_above = sd.sum(2, keepdims=True) - np.cumsum(sd, 2)
-    b = sc.broadcast((n.astype(np.float64), lo, width, c_below, s_below, c_above, s_above))
+    b = sc.broadcast((n.astype(np.float64), c_below, s_below, c_above, s_above))
 
     def fn(it):
-        nn, lo_, w_, cb, sb, ca, sa = b.value
+        nn, cb, sb, ca, sa = b.value
         for pdf in it:
             if len(pdf) == 0:
                 continue
-            cl = pdf["cluster"].to_numpy()
-            lb = nn[cl] * pdf["d0"].to_numpy()
-            for j, col in ((0, "d0"), (1, "d1")):
-                r = pdf[col].to_numpy()
-                bk = np.clip(np.floor((r - lo_[cl, j]) / w_[cl, j]), 0, HIST_BUCKETS - 1).astype(int)
-                rev = (r * cb[cl, j, bk] - sb[cl, j, bk]) + (sa[cl, j, bk] - r * ca[cl, j, bk])
+            cl, d, bk = measured(pdf)
+            lb = nn[cl] * d[:, 0]
+            for j in (0, 1):
+                r, at = d[:, j], bk[:, j]
+                rev = (r * cb[cl, j, at] - sb[cl, j, at]) + (sa[cl, j, at] - r * ca[cl, j, at])
                 lb = np.maximum(lb, rev)
             yield pd.DataFrame({KEY: pdf[KEY].to_numpy(), VEC: pdf[VEC], "cluster": cl, "lb": lb})
-    return ad.mapInPandas(fn, "row_id long, features array<float>, cluster int, lb double")
-
-
-def _tile_sums(cands: DataFrame, members: DataFrame) -> DataFrame:
-    """(row_id, cluster, total): exact summed distance of every candidate to the members of its cluster.  Blocks of
-    candidates meet blocks of members on the executors and partial sums are added up, so a large cluster is spread
-    over many tasks and no candidate vector passes the driver."""
-    def part(c: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
-        if not len(c) or not len(m):
-            return pd.DataFrame({KEY: [], "cluster": [], "s": []})
-        d = V.pairwise(V.stack(c[VEC]), V.stack(m[VEC]), "euclidean")
-        return pd.DataFrame({KEY: c[KEY], "cluster": c["cluster"], "s": d.sum(1)})
-    parts = meet(cands.select(KEY, VEC, "cluster"), members.select(KEY, VEC, "cluster"), part, "row_id long, cluster int, s double",
-                 by=("cluster",))
+    return assigned.select(KEY, VEC, "cluster").mapInPandas(fn, "row_id long, features array<float>, cluster int, lb double")
+
+
+def _by_cluster(values) -> "F.Column":
+    """The value of a row's cluster."""
+    return F.element_at(F.array(*[F.lit(v) for v in values]), F.col("cluster") + 1)
+
+
+def _summed(x: np.ndarray, m: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
+    """Summed (weighted) distance of every row of x to the rows of m."""
+    out = np.zeros(len(x))
+    for lo in range(0, len(m), HELD[1]):
+        block = m[lo:lo + HELD[1]]
+        for at in range(0, len(x), HELD[0]):
+            d = V.pairwise(x[at:at + HELD[0]], block, "euclidean")
+            out[at:at + HELD[0]] += d.sum(1) if weight is None else d @ weight[lo:lo + HELD[1]]
+    return out
+
+
+def _tile_sums(cands: DataFrame, members: DataFrame, k: int, n: np.ndarray, width: int) -> DataFrame:
+    """(row_id, cluster, total): exact summed distance of every candidate to the members of its cluster (``n`` a cluster).
+
+    A bounded number of candidates is broadcast, and every partition adds up the distances to its members.  More are cut
+    into blocks by cluster, as are the members, and meet block by block; blocks are as large as the tasks of the cluster and
+    ``TILE`` allow, because each row is sent once per block of the other side."""
+    out = "row_id long, cluster int, s double"
+    sc, most = members.sparkSession.sparkContext, max(1, SENT // max(1, width))
+    cands = cands.select(KEY, VEC, "cluster")
+    rows = cands.limit(most + 1).collect()
+    if len(rows) <= most:
+        held = {}
+        for c in {r["cluster"] for r in rows}:
+            own = [r for r in rows if r["cluster"] == c]
+            held[c] = (np.array([r[KEY] for r in own], np.int64), np.vstack([np.asarray(r[VEC], dtype=np.float64) for r in own]))
+        b = sc.broadcast(held)
+
+        def add(it):
+            total = {}
+            for pdf in it:
+                for c, own in pdf.groupby("cluster")[VEC]:
+                    if c in b.value:
+                        total[c] = total.get(c, 0.0) + _summed(b.value[c][1], V.stack(own))
+            for c, t in total.items():
+                yield pd.DataFrame({KEY: b.value[c][0], "cluster": c, "s": t})
+        parts = members.select(VEC, "cluster").mapInPandas(add, out)
+    else:
+        counts = np.zeros(k, np.int64)
+        for r in cands.groupBy("cluster").count().collect():
+            counts[r["cluster"]] = r["count"]
+        pairs = float((counts * n.astype(np.float64)).sum())
+        side = int(min(TILE, max(TILE_LEAST, math.sqrt(pairs / (4 * sc.defaultParallelism)))))
+        n_a, n_b = (_by_cluster([int(max(1, -(-c // side))) for c in sizes]) for sizes in (counts, n))
+        cut = lambda m: F.pmod(F.xxhash64(KEY), m).cast("int")
+        every = lambda m: F.explode(F.sequence(F.lit(0), m - 1))
+        left = cands.withColumn("_a", cut(n_a)).withColumn("_b", every(n_b))
+        right = members.filter(_by_cluster([bool(c) for c in counts])).select(  # new column ids: both may come from the same table
+            *[F.col(c).alias(c) for c in (KEY, VEC, "cluster")]).withColumn("_b", cut(n_b)).withColumn("_a", every(n_a)).drop(KEY)
+
+        def part(c: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+            if not len(c) or not len(m):
+                return pd.DataFrame({KEY: [], "cluster": [], "s": []})
+            return pd.DataFrame({KEY: c[KEY], "cluster": c["cluster"], "s": _summed(V.stack(c[VEC]), V.stack(m[VEC]))})
+        parts = left.groupBy("cluster", "_a", "_b").cogroup(right.groupBy("cluster", "_a", "_b")).applyInPandas(part, out)
     return parts.groupBy(KEY, "cluster").agg(F.sum("s").alias("total"))
 
 
+def _grid(low: np.ndarray, high: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Coordinates (at most four, the widest), their edge lengths and numbers of bins, for at most ``cells`` cubes."""
+    wide = np.argsort(low - high, kind="stable")[:4]
+    extent = (high - low)[wide]
+    edge = 1.0
+    for m in range(1, len(wide) + 1):
+        if extent[m - 1] > 0:
+            edge = math.exp((np.log(extent[:m]).sum() - math.log(cells)) / m)
+        if m == len(wide) or extent[m] <= edge:
+            break
+    bins = np.maximum(np.floor(extent[:m] / edge), 1).astype(np.int64)
+    return wide[:m], np.where(extent[:m] > 0, extent[:m] / bins, 1.0), bins
+
+
+def _cell_bounds(cands: DataFrame, assigned: DataFrame, n: np.ndarray, s: np.ndarray) -> DataFrame:
+    """``lb`` of the candidates from cells: the members of a cell with mean m have a summed distance of at least their number
+    times |x - m|.  Cells are cubes over the widest coordinates of a cluster, about n^(2/3) of them."""
+    sc, k, d = assigned.sparkSession.sparkContext, len(n), s.shape[1]
+    means = s / np.maximum(n, 1)[:, None]
+
+    def ends(it):
+        low, high = np.full((k, d), np.inf), np.full((k, d), -np.inf)
+        for pdf in it:
+            for c, own in pdf.groupby("cluster")[VEC]:
+                x = V.stack(own)
+                low[c], high[c] = np.fmin(low[c], np.fmin.reduce(x)), np.fmax(high[c], np.fmax.reduce(x))
+        for c in np.flatnonzero(np.isfinite(low).all(axis=1)):
+            yield pd.DataFrame({"cluster": c, "i": np.arange(d), "low": low[c], "high": high[c]})
+    low, high = np.zeros((k, d)), np.zeros((k, d))
+    for r in assigned.select(VEC, "cluster").mapInPandas(ends, "cluster int, i int, low double, high double").groupBy("cluster", "i").agg(
+            F.min("low").alias("low"), F.max("high").alias("high")).collect():
+        low[r["cluster"], r["i"]], high[r["cluster"], r["i"]] = r["low"], r["high"]
+    most = max(64, SENT // ((d + 2) * k))
+    grids = [_grid(low[c], high[c], int(min(most, max(64, n[c] ** (2 / 3))))) for c in range(k)]
+    b = sc.broadcast((low, grids, means))
+
+    def gather(it):
+        low_, grid, mu = b.value
+        total = {c: np.zeros((int(np.prod(g[2])), d + 1)) for c, g in enumerate(grid)}
+        for pdf in it:
+            for c, own in pdf.groupby("cluster")[VEC]:
+                x = V.stack(own)
+                at, edge, bins = grid[c]
+                cell = np.ravel_multi_index(tuple(np.clip(((x[:, at] - low_[c, at]) / edge).astype(np.int64), 0, bins - 1).T), tuple(bins))
+                total[c][:, 0] += np.bincount(cell, minlength=len(total[c]))
+                for i in range(d):
+                    total[c][:, i + 1] += np.bincount(cell, x[:, i] - mu[c, i], len(total[c]))
+        for c, t in total.items():
+            held = np.flatnonzero(t[:, 0])
+            if len(held):
+                yield pd.DataFrame({"cluster": c, "cell": held, **{f"v{i}": t[held, i] for i in range(d + 1)}})
+    names = [f"v{i}" for i in range(d + 1)]
+    cells = assigned.select(VEC, "cluster").mapInPandas(gather, "cluster int, cell long, " + ", ".join(f"{v} double" for v in names)).groupBy(
+        "cluster", "cell").agg(*[F.sum(v).alias(v) for v in names]).toPandas()  # at most SENT values
+    held = {}
+    for c, own in cells.groupby("cluster"):
+        v = own[names].to_numpy()
+        held[c] = (v[:, 0], v[:, 1:] / v[:, :1])
+    h = sc.broadcast((means, held))
+
+    def fn(it):
+        mu, cell = h.value
+        for pdf in it:
+            lb = pdf["lb"].to_numpy().copy()
+            for c, at in pdf.groupby("cluster").indices.items():
+                sums = _summed(V.stack(pdf[VEC].iloc[at]) - mu[c], cell[c][1], cell[c][0])
+                lb[at] = np.maximum(lb[at], sums * (1 - 1e-9))  # sums differ in the last bits
+            yield pdf.assign(lb=lb)
+    return cands.select(KEY, VEC, "cluster", "lb").mapInPandas(fn, "row_id long, features array<float>, cluster int, lb double")
+
+
 # candidates per cluster that are scored first, to have a good threshold for the others
 FIRST_CANDIDATES = 8
 
 
 def _best_members_euclidean(assigned: DataFrame, k: int, start_ids: list[int], start_cost: np.ndarray, sums=None):
     """Exact argmin over members of the summed distance to the cluster, with bound pruning: the few members with the
-    lowest bounds of each cluster give a threshold; every member whose bound is below it is then scored in one job.
-    One row per cluster reaches the driver each time."""
+    lowest bounds of each cluster give a threshold; every member whose bound is below it is then scored in one job.  Where
+    these are many, their bounds are first taken again from cells (``_cell_bounds``).  One row per cluster reaches the
+    driver each time, besides a bounded number of candidates to broadcast."""
     n, s = sums if sums is not None else _cluster_sums(assigned, "euclidean", k)
     lbs = _lower_bounds(assigned, n, s, "euclidean").persist()
     best_val = np.asarray(start_cost, dtype=np.float64).copy()
@@ -260,18 +396,34 @@ def _best_members_euclidean(assigned: DataFrame, k: int, start_ids: list[int], s
     def below():
         return F.col("lb") < F.array(*[F.lit(float(v)) for v in best_val])[F.col("cluster")]
     w = Window.partitionBy("cluster").orderBy("lb", KEY)
-    first = lbs.filter(below()).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= FIRST_CANDIDATES).drop("_r")
-    scored = _tile_sums(first, assigned).select("cluster", total.alias("v"), KEY).collect()  # a few rows per cluster
-    for r in scored:
-        take(r["cluster"], r["v"], r[KEY])
-    rest = lbs.filter(below()).filter(~F.col(KEY).isin([r[KEY] for r in scored]))
-    evaluated = rest.count()
+    done = []
+
+    def score_first(rows: DataFrame):
+        """Scores the rows with the lowest bounds, a few per cluster, and returns the others that may still win."""
+        first = rows.filter(below()).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= FIRST_CANDIDATES).drop("_r")
+        for r in _tile_sums(first, assigned, k, n, s.shape[1]).select("cluster", total.alias("v"), KEY).collect():
+            take(r["cluster"], r["v"], r[KEY])
+            done.append(r[KEY])
+        return rows.filter(below()).filter(~F.col(KEY).isin(done))
+
+    def left(rows: DataFrame) -> tuple[int, float]:
+        found = rows.groupBy("cluster").count().collect()
+        return sum(r["count"] for r in found), sum(float(r["count"]) * float(n[r["cluster"]]) for r in found)
+    rest = score_first(lbs)
+    evaluated, pairs = left(rest)
+    closer = None
+    if pairs > FEW_PAIRS:
+        closer = _cell_bounds(rest, assigned, n, s).persist()
+        rest = score_first(closer)
+        evaluated, _ = left(rest)
     if evaluated:
-        best = _tile_sums(rest, assigned).groupBy("cluster").agg(F.min(F.struct(total.alias("v"), F.col(KEY))).alias("b")).collect()
+        best = _tile_sums(rest, assigned, k, n, s.shape[1]).groupBy("cluster").agg(F.min(F.struct(total.alias("v"), F.col(KEY))).alias("b")).collect()
         for r in best:
             take(r["cluster"], r["b"]["v"], r["b"][KEY])
+    if closer is not None:
+        closer.unpersist()
     lbs.unpersist()
-    return best_id, best_val, evaluated + len(scored)
+    return best_id, best_val, evaluated + len(done)
 
 
 def init_heuristic(pool: DataFrame, k: int, metric: str = "euclidean") -> list[int]:
@@ -298,7 +450,7 @@ def init_heuristic(pool: DataFrame, k: int, metric: str = "euclidean") -> list[i
     spread = lbs.agg(F.sum("lb")).first()[0] / float(n[0])  # sum |y - mean|
     kth_ub = lbs.select((F.col("lb") + F.lit(spread)).alias("ub")).orderBy("ub").limit(k).collect()[-1]["ub"]
     cands = lbs.filter(F.col("lb") <= kth_ub)
-    best = _tile_sums(cands, one).orderBy(F.round("total", 9), KEY).limit(k).collect()  # k rows
+    best = _tile_sums(cands, one, 1, n, s.shape[1]).orderBy(F.round("total", 9), KEY).limit(k).collect()  # k rows
     lbs.unpersist()
     return [r[KEY] for r in best]
 
@@ -377,6 +529,8 @@ def kmedoids(pool: DataFrame, k: int, seed: int = 42, metric: str = "euclidean",
     n_rows = p.count()
     if k >= n_rows:
         return [r[KEY] for r in p.select(KEY).orderBy(KEY).collect()], {"iterations": 0, "whole_pool": True}
+    tasks = p.sparkSession.sparkContext.defaultParallelism
+    p = cut_lineage(p.repartition(max(2 * tasks, math.ceil(n_rows / PART_ROWS)), KEY))
     if init == "random":
         medoids = init_random(p, k, seed)
     elif init == "heuristic":

@@ -65,3 +65,57 @@ def test_partition_count_does_not_change_result(spark):
     a, _ = K.kmedoids(pool.repartition(1), 4, 3)
     b, _ = K.kmedoids(pool.repartition(7), 4, 3)
     assert a == b
+
+
+def test_sums_by_broadcast_and_by_blocks(spark, monkeypatch):
+    """Few candidates are broadcast, more meet the members in blocks of their cluster; both give every pair of a cluster once."""
+    rng = np.random.default_rng(4)
+    x, cl = rng.normal(size=(700, 3)).astype(np.float32), rng.choice([0, 1, 1, 1, 3], 700)
+    rows = spark.createDataFrame([(i, [float(v) for v in x[i]], int(cl[i])) for i in range(700)], "row_id long, features array<float>, cluster int").repartition(3)
+    d = _dist(x.astype(float), "euclidean")
+    for sent in (K.SENT, 9):
+        monkeypatch.setattr(K, "SENT", sent)
+        monkeypatch.setattr(K, "TILE", 64)
+        monkeypatch.setattr(K, "TILE_LEAST", 64)
+        got = K._tile_sums(rows.where("row_id % 3 = 0 and cluster <> 3"), rows, 4, np.bincount(cl, minlength=4), 3).collect()
+        assert sorted(r.row_id for r in got) == [i for i in range(0, 700, 3) if cl[i] != 3]
+        for r in got:
+            assert abs(r.total - d[r.row_id, cl == cl[r.row_id]].sum()) < 1e-6
+
+
+def test_distances_are_held_a_few_at_a_time(monkeypatch):
+    rng = np.random.default_rng(6)
+    x, m, w, seen = rng.normal(size=(900, 5)), rng.normal(size=(9000, 5)), rng.random(9000), []
+    want = np.sqrt(((x[:, None] - m[None]) ** 2).sum(-1))
+    kept = K.V.pairwise
+    monkeypatch.setattr(K.V, "pairwise", lambda *a: seen.append(a[0].shape[0] * a[1].shape[0]) or kept(*a))
+    assert np.allclose(K._summed(x, m), want.sum(1)) and np.allclose(K._summed(x, m, w), want @ w)
+    assert max(seen) <= K.HELD[0] * K.HELD[1]
+
+
+def test_cells_leave_few_candidates_on_nearly_one_dimension(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = np.column_stack((rng.random(3000) * 1000, rng.random(3000) * 50, rng.random(3000) * 0.1)).astype(np.float32)
+    pool = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "row_id long, features array<float>").repartition(4)
+    monkeypatch.setattr(K, "FEW_PAIRS", 0)
+    a = K.assign(pool, [5, 900, 2000]).persist()
+    n, s = K._cluster_sums(a, "euclidean", 3)
+    lbs = K._lower_bounds(a, n, s, "euclidean")
+    d, lab = _dist(x.astype(float), "euclidean"), np.zeros(3000, int)
+    for r in a.collect():
+        lab[r.row_id] = r.cluster
+    old = {r.row_id: r.lb for r in lbs.collect()}
+    new = {r.row_id: r.lb for r in K._cell_bounds(lbs, a, n, s).collect()}
+    total = np.array([d[i, lab == lab[i]].sum() for i in range(3000)])
+    assert all(old[i] <= new[i] <= total[i] + 1e-6 for i in range(3000))
+    best = [total[lab == c].min() for c in range(3)]
+    assert sum(new[i] < best[lab[i]] for i in range(3000)) * 2 < sum(old[i] < best[lab[i]] for i in range(3000))
+    got, _, _ = K._best_members_euclidean(a, 3, [5, 900, 2000], np.array([total[5], total[900], total[2000]]), sums=(n, s))
+    assert got == [int(np.flatnonzero(lab == c)[total[lab == c].argmin()]) for c in range(3)]
+
+
+def test_grid_has_no_more_cells_than_asked():
+    for extent in ([8000, 50, 0.1, 0.08], [1, 1, 1, 1, 1], [0, 0], [5, 0, 0], [1e-9, 1e9]):
+        for cells in (64, 5000):
+            wide, edge, bins = K._grid(np.zeros(len(extent)), np.array(extent, float), cells)
+            assert 1 <= np.prod(bins) <= cells and np.allclose(np.where(np.array(extent)[wide] > 0, edge * bins, 0), np.array(extent)[wide])
