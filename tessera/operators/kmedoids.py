@@ -16,8 +16,9 @@ Scale design
   - cosine: the sum is n - x.(sum of members), exact in one linear pass;
   - euclidean: exact with pruning.  The sum is at least n |x - mean| (triangle
     inequality); members whose bound is not below the best sum found so far cannot
-    win.  Where many are left, the members are gathered in cells and the bound is taken
-    again from the cells' means.  A bounded number of candidates is broadcast and meets
+    win.  Where many are left, the bound is taken again from the second moments of the
+    cluster (close where distances are alike, as in many dimensions), then from the means
+    of cells (close in few dimensions).  A bounded number of candidates is broadcast and meets
     the members where they are; more meet the members of their cluster in blocks of up
     to ``TILE`` rows on the executors.  Partial sums are added by a grouped sum and at
     most ``HELD`` distances are held at once.  No candidate cap, no pair rows.
@@ -47,6 +48,7 @@ TILE, TILE_LEAST = 1 << 15, 1 << 11  # rows of a block of candidates or members
 HELD = (256, 4096)         # distances held at once: candidates x members
 SENT = 1 << 20             # values of candidates, or of cells' means, that are broadcast
 FEW_PAIRS = 1 << 27        # distances that are not worth a second bound
+CELL_PAIRS = 32            # distances that cost less than a value in the sums of a cell
 PART_ROWS = 500_000        # rows of a partition of a large pool
 
 
@@ -316,6 +318,51 @@ def _grid(low: np.ndarray, high: np.ndarray, cells: int) -> tuple[np.ndarray, np
     return wide[:m], np.where(extent[:m] > 0, extent[:m] / bins, 1.0), bins
 
 
+def _moment_bounds(cands: DataFrame, assigned: DataFrame, n: np.ndarray, s: np.ndarray) -> DataFrame:
+    """``lb`` of the candidates from the second moments of their cluster.
+
+    With u = x - mean and v = y - mean, z = |x - y|^2 has mean |u|^2 + E|v|^2 and variance 4 u'Cu - 4 u.E[v|v|^2] + Var|v|^2
+    over the members y (C: their covariance), and Hoelder's inequality gives E sqrt(z) >= (E z)^(3/2) / (E z^2)^(1/2).
+    k x d^2 / 2 sums reach the driver; where these are more than ``SENT``, the bounds stay as they are."""
+    sc, k, d = assigned.sparkSession.sparkContext, len(n), s.shape[1]
+    upper = np.triu_indices(d)
+    if k * (2 + d + len(upper[0])) > SENT:
+        return cands
+    means = s / np.maximum(n, 1)[:, None]
+    bm = sc.broadcast(means)
+
+    def gather(it):
+        mu, total = bm.value, {}
+        for pdf in it:
+            for c, own in pdf.groupby("cluster")[VEC]:
+                v = V.stack(own) - mu[c]
+                q = (v * v).sum(1)
+                total[c] = total.get(c, 0.0) + np.concatenate(([q.sum(), q @ q], q @ v, (v.T @ v)[upper]))
+        if total:
+            yield pd.DataFrame({"cluster": list(total), "v": list(total.values())})
+    parts = assigned.select(VEC, "cluster").mapInPandas(gather, "cluster int, v array<double>").select("cluster", F.posexplode("v").alias("i", "x"))
+    sums = parts.groupBy("cluster", "i").agg(F.sum("x").alias("x")).toPandas()
+    mean = np.zeros((k, 2 + d + len(upper[0])))
+    cl = sums["cluster"].to_numpy()
+    mean[cl, sums["i"].to_numpy()] = sums["x"].to_numpy() / np.maximum(n, 1)[cl]
+    cov = np.zeros((k, d, d))
+    cov[:, upper[0], upper[1]] = cov[:, upper[1], upper[0]] = mean[:, 2 + d:]
+    b = sc.broadcast((means, n.astype(np.float64), mean[:, 0], mean[:, 1] - mean[:, 0] ** 2, mean[:, 2:2 + d], cov))
+
+    def fn(it):
+        mu, nn, spread, var, skew, cv = b.value
+        for pdf in it:
+            lb = pdf["lb"].to_numpy().copy()
+            for c, at in pdf.groupby("cluster").indices.items():
+                u = V.stack(pdf[VEC].iloc[at]) - mu[c]
+                z = (u * u).sum(1) + spread[c]
+                zz = z * z + np.maximum(4 * ((u @ cv[c]) * u).sum(1) - 4 * (u @ skew[c]) + var[c], 0)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    lb[at] = np.fmax(lb[at], nn[c] * z * np.sqrt(z / zz) * (1 - 1e-9))  # sums differ in the last bits
+            yield pdf.assign(lb=lb)
+    return cands.select(KEY, VEC, "cluster", "lb").mapInPandas(fn, "row_id long, features array<float>, cluster int, lb double")
+
+
 def _cell_bounds(cands: DataFrame, assigned: DataFrame, n: np.ndarray, s: np.ndarray) -> DataFrame:
     """``lb`` of the candidates from cells: the members of a cell with mean m have a summed distance of at least their number
     times |x - m|.  Cells are cubes over the widest coordinates of a cluster, about n^(2/3) of them."""
@@ -373,6 +420,11 @@ def _cell_bounds(cands: DataFrame, assigned: DataFrame, n: np.ndarray, s: np.nda
     return cands.select(KEY, VEC, "cluster", "lb").mapInPandas(fn, "row_id long, features array<float>, cluster int, lb double")
 
 
+def _closer(n: np.ndarray, s: np.ndarray):
+    """The second bounds, each with the number of pairs up to which scoring costs less: cells send up to d values a row."""
+    return (_moment_bounds, FEW_PAIRS), (_cell_bounds, max(FEW_PAIRS, CELL_PAIRS * s.shape[1] * int(n.sum())))
+
+
 # candidates per cluster that are scored first, to have a good threshold for the others
 FIRST_CANDIDATES = 8
 
@@ -380,8 +432,8 @@ FIRST_CANDIDATES = 8
 def _best_members_euclidean(assigned: DataFrame, k: int, start_ids: list[int], start_cost: np.ndarray, sums=None):
     """Exact argmin over members of the summed distance to the cluster, with bound pruning: the few members with the
     lowest bounds of each cluster give a threshold; every member whose bound is below it is then scored in one job.  Where
-    these are many, their bounds are first taken again from cells (``_cell_bounds``).  One row per cluster reaches the
-    driver each time, besides a bounded number of candidates to broadcast."""
+    these are many, their bounds are first taken again from moments and from cells (``_closer``).  One row per cluster
+    reaches the driver each time, besides a bounded number of candidates to broadcast."""
     n, s = sums if sums is not None else _cluster_sums(assigned, "euclidean", k)
     lbs = _lower_bounds(assigned, n, s, "euclidean").persist()
     best_val = np.asarray(start_cost, dtype=np.float64).copy()
@@ -411,26 +463,27 @@ def _best_members_euclidean(assigned: DataFrame, k: int, start_ids: list[int], s
         return sum(r["count"] for r in found), sum(float(r["count"]) * float(n[r["cluster"]]) for r in found)
     rest = score_first(lbs)
     evaluated, pairs = left(rest)
-    closer = None
-    if pairs > FEW_PAIRS:
-        closer = _cell_bounds(rest, assigned, n, s).persist()
-        rest = score_first(closer)
-        evaluated, _ = left(rest)
+    closer = [lbs]
+    for bounds, few in _closer(n, s):
+        if pairs > few:
+            closer.append(bounds(rest, assigned, n, s).persist())
+            rest = score_first(closer[-1])
+            evaluated, pairs = left(rest)
     if evaluated:
         best = _tile_sums(rest, assigned, k, n, s.shape[1]).groupBy("cluster").agg(F.min(F.struct(total.alias("v"), F.col(KEY))).alias("b")).collect()
         for r in best:
             take(r["cluster"], r["b"]["v"], r["b"][KEY])
-    if closer is not None:
-        closer.unpersist()
-    lbs.unpersist()
+    for df in closer:
+        df.unpersist()
     return best_id, best_val, evaluated + len(done)
 
 
 def init_heuristic(pool: DataFrame, k: int, metric: str = "euclidean") -> list[int]:
     """I8: the k rows with the smallest summed distance to the whole pool (exact).
 
-    cosine: closed form n - x.(sum of rows).  euclidean: bounds n|x - mean| <= S(x) <= n|x - mean| + sum |y - mean|;
-    rows whose lower bound exceeds the k-th smallest upper bound drop, the rest are scored exactly in one job.
+    cosine: closed form n - x.(sum of rows).  euclidean: the few rows with the lowest bounds are scored, and rows whose bound
+    exceeds the k-th smallest sum found drop.  Where many are left, their bounds are first taken again (``_closer``); the
+    rest are scored exactly in one job.
     """
     one = pool.withColumn("cluster", F.lit(0)).withColumn("dist", F.lit(0.0))
     n, s = _cluster_sums(one, metric, 1)
@@ -446,12 +499,20 @@ def init_heuristic(pool: DataFrame, k: int, metric: str = "euclidean") -> list[i
                     yield pd.DataFrame({KEY: pdf[KEY].to_numpy(), "score": float(n[0]) - x @ tot})
         sc_df = pool.mapInPandas(fn, "row_id long, score double")
         return [r[KEY] for r in sc_df.orderBy("score", KEY).limit(k).collect()]
-    lbs = _lower_bounds(one, n, s, metric).persist()
-    spread = lbs.agg(F.sum("lb")).first()[0] / float(n[0])  # sum |y - mean|
-    kth_ub = lbs.select((F.col("lb") + F.lit(spread)).alias("ub")).orderBy("ub").limit(k).collect()[-1]["ub"]
-    cands = lbs.filter(F.col("lb") <= kth_ub)
+    held = [_lower_bounds(one, n, s, metric).persist()]
+
+    def may_win() -> DataFrame:
+        first = held[-1].orderBy("lb", KEY).limit(4 * k + FIRST_CANDIDATES)
+        kth = [r["total"] for r in _tile_sums(first, one, 1, n, s.shape[1]).orderBy("total").limit(k).collect()][-1]
+        return held[-1].filter(F.col("lb") <= F.lit(kth + 1e-9 * (1 + abs(kth))))  # sums differ in the last bits
+    cands = may_win()
+    for bounds, few in _closer(n, s):
+        if cands.count() * float(n[0]) > few:
+            held.append(bounds(cands, one, n, s).persist())
+            cands = may_win()
     best = _tile_sums(cands, one, 1, n, s.shape[1]).orderBy(F.round("total", 9), KEY).limit(k).collect()  # k rows
-    lbs.unpersist()
+    for df in held:
+        df.unpersist()
     return [r[KEY] for r in best]
 
 

@@ -114,6 +114,60 @@ def test_cells_leave_few_candidates_on_nearly_one_dimension(spark, monkeypatch):
     assert got == [int(np.flatnonzero(lab == c)[total[lab == c].argmin()]) for c in range(3)]
 
 
+def _unit_pool(spark, rng, n, d):
+    x = rng.normal(size=(n, d)) + np.linspace(0.6, 0, d)
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    x[n - n // 100:] = x[0]  # copies, the last rows
+    return x, spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "row_id long, features array<float>").repartition(4)
+
+
+def test_moments_leave_few_candidates_in_many_dimensions(spark, monkeypatch):
+    """Distances are alike in many dimensions, so that those to the mean and to cells exclude next to no member."""
+    x, pool = _unit_pool(spark, np.random.default_rng(2), 3000, 32)
+    a = K.assign(pool, [5, 900, 2000]).persist()
+    n, s = K._cluster_sums(a, "euclidean", 3)
+    lbs = K._lower_bounds(a, n, s, "euclidean")
+    lab = np.zeros(3000, int)
+    for r in a.collect():
+        lab[r.row_id] = r.cluster
+    d = _dist(x.astype(float), "euclidean")
+    total = np.array([d[i, lab == lab[i]].sum() for i in range(3000)])
+    best = np.array([total[lab == c].min() for c in range(3)])
+    old = {r.row_id: r.lb for r in K._cell_bounds(lbs, a, n, s).collect()}
+    new = {r.row_id: r.lb for r in K._moment_bounds(lbs, a, n, s).collect()}
+    assert all(new[i] <= total[i] + 1e-6 for i in range(3000))
+    assert sum(old[i] < best[lab[i]] for i in range(3000)) > 2500 and sum(new[i] < best[lab[i]] for i in range(3000)) < 300
+    monkeypatch.setattr(K, "FEW_PAIRS", 0)
+    got, _, scored = K._best_members_euclidean(a, 3, [5, 900, 2000], total[[5, 900, 2000]], sums=(n, s))
+    assert got == [int(np.flatnonzero(lab == c)[total[lab == c].argmin()]) for c in range(3)] and scored < 350
+
+
+def test_heuristic_init_scores_few_rows(spark, monkeypatch):
+    x, pool = _unit_pool(spark, np.random.default_rng(3), 3000, 32)
+    s = _dist(x.astype(float), "euclidean").sum(1).round(6)
+    want, scored, kept = [int(i) for i in np.lexsort((np.arange(3000), s))[:6]], [], K._tile_sums
+    monkeypatch.setattr(K, "_tile_sums", lambda cands, *a: scored.append(cands.count()) or kept(cands, *a))
+    monkeypatch.setattr(K, "FEW_PAIRS", 0)
+    assert K.init_heuristic(pool, 6) == want
+    assert scored[-1] < 300
+
+
+def test_moment_bounds_hold_for_any_vectors(spark, monkeypatch):
+    """Far from the origin, with outliers, with equal rows and in clusters of one."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate((rng.normal(size=(200, 4)) + 500, rng.standard_cauchy((100, 4)) * 10, np.ones((40, 4)), [[9e4, 0, 0, 1]])).astype(np.float32)
+    cl = np.repeat([0, 1, 2, 3], (200, 100, 40, 1))
+    rows = spark.createDataFrame([(i, [float(v) for v in r], int(c), 0.0) for i, (r, c) in enumerate(zip(x, cl))],
+                                 "row_id long, features array<float>, cluster int, dist double").repartition(3)
+    n, s = K._cluster_sums(rows, "euclidean", 4)
+    z = np.sqrt(((x[:, None].astype(float) - x[None]) ** 2).sum(-1))
+    got = {r.row_id: r.lb for r in K._moment_bounds(K._lower_bounds(rows, n, s, "euclidean"), rows, n, s).collect()}
+    assert len(got) == len(x) and all(got[i] <= z[i, cl == cl[i]].sum() * (1 + 1e-9) + 1e-6 for i in range(len(x)))
+    lbs = K._lower_bounds(rows, n, s, "euclidean")
+    monkeypatch.setattr(K, "SENT", 9)
+    assert K._moment_bounds(lbs, rows, n, s) is lbs
+
+
 def test_grid_has_no_more_cells_than_asked():
     for extent in ([8000, 50, 0.1, 0.08], [1, 1, 1, 1, 1], [0, 0], [5, 0, 0], [1e-9, 1e9]):
         for cells in (64, 5000):
