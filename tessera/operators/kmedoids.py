@@ -22,6 +22,8 @@ Scale design
     the members where they are; more meet the members of their cluster in blocks of up
     to ``TILE`` rows on the executors.  Partial sums are added by a grouped sum and at
     most ``HELD`` distances are held at once.  No candidate cap, no pair rows.
+* Python workers take ``FEW`` rows of an Arrow batch at a time, so that full batches of a
+  large pool need no more memory than the small ones of a small pool.
 * The assignment is recomputed from the pool and the medoid ids each iteration,
   so lineage never grows with the number of iterations.  The pool itself is dealt
   over the cluster and checkpointed once.
@@ -45,7 +47,8 @@ KEY = "row_id"
 VEC = "features"
 HIST_BUCKETS = 1024        # radius histogram per cluster for the reverse-triangle bound
 TILE, TILE_LEAST = 1 << 15, 1 << 11  # rows of a block of candidates or members
-HELD = (256, 4096)         # distances held at once: candidates x members
+HELD = (256, 1024)         # distances held at once: candidates x members
+FEW = 1 << 11              # rows of an Arrow batch that a task works on at once
 SENT = 1 << 20             # values of candidates, or of cells' means, that are broadcast
 FEW_PAIRS = 1 << 27        # distances that are not worth a second bound
 CELL_PAIRS = 32            # distances that cost less than a value in the sums of a cell
@@ -56,6 +59,13 @@ def _prep(pool: DataFrame, key: str, vec: str) -> DataFrame:
     return pool.select(F.col(key).cast("long").alias(KEY), F.col(vec).alias(VEC))
 
 
+def _few(frames):
+    """The rows of the frames, at most ``FEW`` at a time: what a Python worker holds does not grow with the batches it gets."""
+    for pdf in frames:
+        for lo in range(0, len(pdf), FEW):
+            yield pdf.iloc[lo:lo + FEW]
+
+
 def _fetch(pool: DataFrame, ids: list[int]) -> np.ndarray:
     """Vectors of a bounded id list (k medoids), in the order of ids."""
     V.check_broadcast(len(ids), 1)
@@ -78,9 +88,7 @@ def distances_to(pool: DataFrame, ids: list[int], metric: str = "euclidean") ->
 
     def fn(it):
         tid, mm = b.value
-        for pdf in it:
-            if len(pdf) == 0:
-                continue
+        for pdf in _few(it):
             x = V.stack(pdf[VEC])
             x = V.normalise(x) if metric == "cosine" else x
             d = V.pairwise(x, mm, metric)
@@ -101,9 +109,7 @@ def assign(pool: DataFrame, medoid_ids: list[int], metric: str = "euclidean",
 
     def fn(it):
         mm = b.value
-        for pdf in it:
-            if len(pdf) == 0:
-                continue
+        for pdf in _few(it):
             x = V.stack(pdf[VEC])
             xn = V.normalise(x) if metric == "cosine" else x
             d = V.pairwise(xn, mm, metric)
@@ -127,9 +133,7 @@ def _cluster_sums(assigned: DataFrame, metric: str, k: int, with_cost: bool = Fa
     whatever the number of partitions: one pass."""
     def fn(it):
         acc = {}
-        for pdf in it:
-            if len(pdf) == 0:
-                continue
+        for pdf in _few(it):
             x = V.stack(pdf[VEC])
             x = V.normalise(x) if metric == "cosine" else x
             cl = pdf["cluster"].to_numpy()
@@ -168,9 +172,7 @@ def _lower_bounds(assigned: DataFrame, n: np.ndarray, s: np.ndarray, metric: str
 
     def farthest(it):
         mu, best = bm.value, {}
-        for pdf in it:
-            if len(pdf) == 0:
-                continue
+        for pdf in _few(it):
             x, cl, ids = V.stack(pdf[VEC]), pdf["cluster"].to_numpy(), pdf[KEY].to_numpy()
             r = np.linalg.norm(x - mu[cl], axis=1)
             for c in np.unique(cl):
@@ -200,9 +202,7 @@ def _lower_bounds(assigned: DataFrame, n: np.ndarray, s: np.ndarray, metric: str
 
     def histogram(it):
         held = {}
-        for pdf in it:
-            if len(pdf) == 0:
-                continue
+        for pdf in _few(it):
             cl, d, bk = measured(pdf)
             for c in np.unique(cl):
                 m = cl == c
@@ -228,9 +228,7 @@ def _lower_bounds(assigned: DataFrame, n: np.ndarray, s: np.ndarray, metric: str
 
     def fn(it):
         nn, cb, sb, ca, sa = b.value
-        for pdf in it:
-            if len(pdf) == 0:
-                continue
+        for pdf in _few(it):
             cl, d, bk = measured(pdf)
             lb = nn[cl] * d[:, 0]
             for j in (0, 1):
@@ -276,7 +274,7 @@ def _tile_sums(cands: DataFrame, members: DataFrame, k: int, n: np.ndarray, widt
 
         def add(it):
             total = {}
-            for pdf in it:
+            for pdf in _few(it):
                 for c, own in pdf.groupby("cluster")[VEC]:
                     if c in b.value:
                         total[c] = total.get(c, 0.0) + _summed(b.value[c][1], V.stack(own))
@@ -299,7 +297,8 @@ def _tile_sums(cands: DataFrame, members: DataFrame, k: int, n: np.ndarray, widt
         def part(c: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
             if not len(c) or not len(m):
                 return pd.DataFrame({KEY: [], "cluster": [], "s": []})
-            return pd.DataFrame({KEY: c[KEY], "cluster": c["cluster"], "s": _summed(V.stack(c[VEC]), V.stack(m[VEC]))})
+            x = V.stack(c[VEC])
+            return pd.DataFrame({KEY: c[KEY], "cluster": c["cluster"], "s": sum(_summed(x, V.stack(own[VEC])) for own in _few([m]))})
         parts = left.groupBy("cluster", "_a", "_b").cogroup(right.groupBy("cluster", "_a", "_b")).applyInPandas(part, out)
     return parts.groupBy(KEY, "cluster").agg(F.sum("s").alias("total"))
 
@@ -333,7 +332,7 @@ def _moment_bounds(cands: DataFrame, assigned: DataFrame, n: np.ndarray, s: np.n
 
     def gather(it):
         mu, total = bm.value, {}
-        for pdf in it:
+        for pdf in _few(it):
             for c, own in pdf.groupby("cluster")[VEC]:
                 v = V.stack(own) - mu[c]
                 q = (v * v).sum(1)
@@ -351,7 +350,7 @@ def _moment_bounds(cands: DataFrame, assigned: DataFrame, n: np.ndarray, s: np.n
 
     def fn(it):
         mu, nn, spread, var, skew, cv = b.value
-        for pdf in it:
+        for pdf in _few(it):
             lb = pdf["lb"].to_numpy().copy()
             for c, at in pdf.groupby("cluster").indices.items():
                 u = V.stack(pdf[VEC].iloc[at]) - mu[c]
@@ -371,7 +370,7 @@ def _cell_bounds(cands: DataFrame, assigned: DataFrame, n: np.ndarray, s: np.nda
 
     def ends(it):
         low, high = np.full((k, d), np.inf), np.full((k, d), -np.inf)
-        for pdf in it:
+        for pdf in _few(it):
             for c, own in pdf.groupby("cluster")[VEC]:
                 x = V.stack(own)
                 low[c], high[c] = np.fmin(low[c], np.fmin.reduce(x)), np.fmax(high[c], np.fmax.reduce(x))
@@ -388,7 +387,7 @@ def _cell_bounds(cands: DataFrame, assigned: DataFrame, n: np.ndarray, s: np.nda
     def gather(it):
         low_, grid, mu = b.value
         total = {c: np.zeros((int(np.prod(g[2])), d + 1)) for c, g in enumerate(grid)}
-        for pdf in it:
+        for pdf in _few(it):
             for c, own in pdf.groupby("cluster")[VEC]:
                 x = V.stack(own)
                 at, edge, bins = grid[c]
@@ -411,7 +410,7 @@ def _cell_bounds(cands: DataFrame, assigned: DataFrame, n: np.ndarray, s: np.nda
 
     def fn(it):
         mu, cell = h.value
-        for pdf in it:
+        for pdf in _few(it):
             lb = pdf["lb"].to_numpy().copy()
             for c, at in pdf.groupby("cluster").indices.items():
                 sums = _summed(V.stack(pdf[VEC].iloc[at]) - mu[c], cell[c][1], cell[c][0])
@@ -493,10 +492,9 @@ def init_heuristic(pool: DataFrame, k: int, metric: str = "euclidean") -> list[i
 
         def fn(it):
             tot = b.value
-            for pdf in it:
-                if len(pdf):
-                    x = V.normalise(V.stack(pdf[VEC]))
-                    yield pd.DataFrame({KEY: pdf[KEY].to_numpy(), "score": float(n[0]) - x @ tot})
+            for pdf in _few(it):
+                x = V.normalise(V.stack(pdf[VEC]))
+                yield pd.DataFrame({KEY: pdf[KEY].to_numpy(), "score": float(n[0]) - x @ tot})
         sc_df = pool.mapInPandas(fn, "row_id long, score double")
         return [r[KEY] for r in sc_df.orderBy("score", KEY).limit(k).collect()]
     held = [_lower_bounds(one, n, s, metric).persist()]
@@ -539,9 +537,7 @@ def init_kmedoidspp(pool: DataFrame, k: int, seed: int, metric: str = "euclidean
         def pot(it, b=b):
             cv = b.value
             acc = np.zeros(len(cv))
-            for pdf in it:
-                if len(pdf) == 0:
-                    continue
+            for pdf in _few(it):
                 x = V.stack(pdf[VEC])
                 x = V.normalise(x) if metric == "cosine" else x
                 d = V.pairwise(x, cv, metric)
@@ -556,9 +552,7 @@ def init_kmedoidspp(pool: DataFrame, k: int, seed: int, metric: str = "euclidean
 
         def upd(it, nb=nb):
             m = nb.value
-            for pdf in it:
-                if len(pdf) == 0:
-                    continue
+            for pdf in _few(it):
                 x = V.stack(pdf[VEC])
                 x = V.normalise(x) if metric == "cosine" else x
                 d = V.pairwise(x, m, metric)[:, 0]
@@ -608,12 +602,11 @@ def kmedoids(pool: DataFrame, k: int, seed: int = 42, metric: str = "euclidean",
 
             def fn(itr, b=b):
                 tot = b.value
-                for pdf in itr:
-                    if len(pdf):
-                        x = V.normalise(V.stack(pdf[VEC]))
-                        cl = pdf["cluster"].to_numpy()
-                        yield pd.DataFrame({"cluster": cl, KEY: pdf[KEY].to_numpy(),
-                                            "score": (x * tot[cl]).sum(1)})
+                for pdf in _few(itr):
+                    x = V.normalise(V.stack(pdf[VEC]))
+                    cl = pdf["cluster"].to_numpy()
+                    yield pd.DataFrame({"cluster": cl, KEY: pdf[KEY].to_numpy(),
+                                        "score": (x * tot[cl]).sum(1)})
             best = (a.mapInPandas(fn, "cluster int, row_id long, score double")
                     .groupBy("cluster").agg(F.max_by(KEY, F.struct(F.col("score"), -F.col(KEY))).alias(KEY))
                     .collect())

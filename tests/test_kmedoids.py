@@ -1,6 +1,10 @@
 """K-medoids against a brute-force NumPy alternate algorithm from the same seeding."""
 
+import tracemalloc
+from types import SimpleNamespace
+
 import numpy as np
+import pandas as pd
 import pytest
 
 from tessera.operators import kmedoids as K
@@ -93,6 +97,35 @@ def test_distances_are_held_a_few_at_a_time(monkeypatch):
     assert max(seen) <= K.HELD[0] * K.HELD[1]
 
 
+class _Here:
+    """Stands for a pool: hands back the function that Spark would run, with broadcast values kept here."""
+
+    sparkSession = SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda v: SimpleNamespace(value=v)))
+
+    def mapInPandas(self, fn, schema):
+        return fn
+
+
+def test_full_batches_take_no_more_memory_than_small_ones():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(20_000, 32)).astype(np.float32)
+    pdf = pd.DataFrame({"row_id": np.arange(len(x)), "features": list(x)})
+    fn = K.assign(_Here(), [], medoid_vectors=x[:10].astype(float))
+
+    def peak(rows):
+        kept = []
+        tracemalloc.start()
+        for out in fn(iter([pdf.iloc[:rows]])):
+            kept.append((len(out), out["dist"].sum()))
+        top = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return top, kept
+    peak(2000)  # imports
+    (small, _), (full, got) = peak(2000), peak(20_000)
+    assert sum(n for n, _ in got) == 20_000 and full < 2 * small
+    assert np.isclose(sum(v for _, v in got), np.sqrt(((x[:, None].astype(float) - x[None, :10]) ** 2).sum(-1)).min(1).sum())
+
+
 def test_cells_leave_few_candidates_on_nearly_one_dimension(spark, monkeypatch):
     rng = np.random.default_rng(9)
     x = np.column_stack((rng.random(3000) * 1000, rng.random(3000) * 50, rng.random(3000) * 0.1)).astype(np.float32)
