@@ -6,7 +6,9 @@ from types import SimpleNamespace
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from tessera.functions.hashing import seeded_order, seeded_unit
 from tessera.operators import kmedoids as K
 from tessera.plans import fixtures as FX
 from tests.conftest import SF_SMALL
@@ -206,3 +208,86 @@ def test_grid_has_no_more_cells_than_asked():
         for cells in (64, 5000):
             wide, edge, bins = K._grid(np.zeros(len(extent)), np.array(extent, float), cells)
             assert 1 <= np.prod(bins) <= cells and np.allclose(np.where(np.array(extent)[wide] > 0, edge * bins, 0), np.array(extent)[wide])
+
+
+def _line_pool(spark, rng, n):
+    """Nearly one dimension, as prices are beside quantities."""
+    x = np.column_stack((rng.random(n) * 1000, rng.random(n) * 50, rng.random(n) * 0.1)).astype(np.float32)
+    return x, spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "row_id long, features array<float>").repartition(4)
+
+
+def test_an_update_takes_few_jobs(spark, monkeypatch):
+    """Each is a pass over the pool, so that their number is what a large pool waits for."""
+    x, pool = _line_pool(spark, np.random.default_rng(11), 3000)
+    monkeypatch.setattr(K, "FEW_PAIRS", 0)
+    sc, jobs = spark.sparkContext, []
+    for turns in (1, 2):
+        sc.setJobGroup(f"turns-{turns}", "k-medoids")
+        K.kmedoids(pool, 3, 5, max_iter=turns)
+        jobs.append(len(sc.statusTracker().getJobIdsForGroup(f"turns-{turns}")))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[1] - jobs[0] <= 8
+
+
+def test_seeding_draws_as_the_row_hash_says(spark):
+    x, pool = _line_pool(spark, np.random.default_rng(12), 400)
+    d, k, seed = _dist(x.astype(float), "euclidean"), 5, 7
+    chosen = [pool.orderBy(seeded_order(seed, F.col("row_id")), "row_id").head().row_id]
+    for r in range(1, k):
+        u = np.array([v.u for v in pool.select("row_id", seeded_unit(F.lit(f"{seed}:{r}"), F.col("row_id")).alias("u")).orderBy("row_id").collect()])
+        near = d[:, chosen].min(1)
+        keys = np.where(near > 0, -np.log(u) / np.maximum(near, 1e-9) ** 2, np.inf)
+        drawn = np.argsort(keys)[:2 + int(np.log(k))]
+        chosen.append(int(drawn[np.argmin([(np.minimum(near, d[:, j]) ** 2).sum() for j in drawn])]))
+    assert K.init_kmedoidspp(pool, k, seed) == chosen
+
+
+def test_packed_rows_come_back_and_odd_vectors_are_errors(spark):
+    x, pool = _line_pool(spark, np.random.default_rng(13), 500)
+    packed = K._packed(pool)
+    assert packed.count() < 10 and {r.row_id: tuple(r.features) for r in K._rows(packed).collect()} == {i: tuple(map(float, v)) for i, v in enumerate(x)}
+    a = {r.row_id: (r.cluster, r.dist) for r in K.assign(pool, [3, 8]).collect()}
+    got = K._rows(K.assign(packed, [3, 8])).collect()
+    assert {r.row_id: r.cluster for r in got} == {i: c for i, (c, _) in a.items()}
+    assert np.allclose(K._cluster_sums(K.assign(packed, [3, 8]), "euclidean", 2, True)[2], [sum(v for c, v in a.values() if c == i) for i in (0, 1)])
+    for odd in ([(1, [1.0, 2.0]), (2, [1.0])], [(1, [1.0]), (2, None)], [(None, [1.0]), (2, [2.0])]):
+        with pytest.raises(Exception, match="vectors must be|without a key"):
+            K._packed(spark.createDataFrame(odd, "row_id long, features array<float>").coalesce(1)).count()
+
+
+def test_cells_bound_sums_from_both_sides(spark, monkeypatch):
+    x, pool = _line_pool(spark, np.random.default_rng(14), 2000)
+    a = K.assign(K._packed(pool), [5, 900, 1500]).persist()
+    n, s, cost, ends = K._cluster_sums(a, "euclidean", 3, True, True)
+    lab = np.zeros(2000, int)
+    for r in K._rows(a).collect():
+        lab[r.row_id] = r.cluster
+    d = _dist(x.astype(float), "euclidean")
+    total = np.array([d[i, lab == lab[i]].sum() for i in range(2000)])
+    for spread in (K._spread(a, n, s), K._corners(n, s, ends)):
+        bounds = [K._Reverse(n, s, spread), K._Cells(n, s, spread)]
+        K._tables(a, bounds)
+        for bound in bounds:
+            assert (bound.lower(lab, x.astype(float)) <= total + 1e-6).all()
+        for c in range(3):
+            assert (bounds[1].upper(c, x[lab == c].astype(float)) >= total[lab == c] - 1e-6).all()
+    monkeypatch.setattr(K, "FEW_PAIRS", 0)
+    for sent in (K.SENT, 9):  # on the driver, and with too many rows for it
+        monkeypatch.setattr(K, "SENT", sent)
+        got, vals, _ = K._best_members_euclidean(a, 3, [5, 900, 1500], cost, (n, s, ends), {})
+        assert got == [int(np.flatnonzero(lab == c)[total[lab == c].argmin()]) for c in range(3)]
+
+
+def test_keys_that_repeat_do_not_hide_the_best_row(spark, monkeypatch):
+    """Rows of one key count together, so that none of them wins; the others are found as if there were no bounds."""
+    x, pool = _line_pool(spark, np.random.default_rng(15), 1500)
+    total = _dist(x.astype(float), "euclidean").sum(1)
+    order = np.argsort(total)
+    twice = pool.where(F.col("row_id").isin([int(i) for i in order[:20]]))
+    a = K.assign(K._packed(pool.unionByName(twice).repartition(3)), [int(order[-1])]).persist()
+    n, s, cost, ends = K._cluster_sums(a, "euclidean", 1, True, True)
+    monkeypatch.setattr(K, "FEW_PAIRS", 0)
+    got, _, _ = K._best_members_euclidean(a, 1, [int(order[-1])], cost, (n, s, ends), {})
+    want = total + _dist(x.astype(float), "euclidean")[:, order[:20]].sum(1)
+    want[order[:20]] *= 2
+    assert got == [int(want.argmin())]
